@@ -63,10 +63,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(estimate)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` (doc_id and ``columns``) with next_<column>, the values of the next row by doc_id; the last row's next is the first.
+def with_next(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """``docs`` (doc_id and ``text``) with the fingerprint ``name``, and next_<text> and next_<name> of the next row by doc_id; the last row's next is the first.
 
-    Nulls come first, rows with one doc_id are ordered by their first column's hash. The ids are
+    Nulls come first, rows with one doc_id are ordered by their text's hash. The ids are
     cut into ranges of equal numbers of rows, and each range is ordered by itself; the first row
     of the next range is added to its end.
     """
@@ -75,19 +75,19 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     cuts = [] if ranges == 1 else docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
     cuts = sorted(set(cuts))
     place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    docs = docs.select("doc_id", *columns, F.when(F.col("doc_id").isNull(), 0).otherwise(place).alias("place"))
+    docs = docs.select("doc_id", text, F.when(F.col("doc_id").isNull(), 0).otherwise(place).alias("place"))
     heads = docs.groupBy("place").agg(F.min("doc_id").alias("head"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     heads = heads.select("place", F.when(F.col("nulls") == 0, F.col("head")).alias("head"))
     before = F.coalesce(F.lag("place").over(W.orderBy("place")), F.max("place").over(W.partitionBy()))
-    heads = heads.select("place", "head", before.alias("before"), (F.lag("place").over(W.orderBy("place")).isNull()).alias("around"))
+    heads = heads.select("place", "head", before.alias("before"))
     # One row for each range, at most MOST_RANGES + 1.
     extra = docs.join(F.broadcast(heads.withColumnRenamed("place", "p")), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("place") == F.col("p")))
-    order = F.xxhash64(columns[0])
-    extra = extra.groupBy("p", "before", "around", "doc_id").agg(F.min_by(F.struct(*columns), order).alias("v")).select(
-        "doc_id", *[F.col(f"v.{c}").alias(c) for c in columns], F.col("before").alias("place"), F.lit(True).alias("extra"))
-    rows = docs.withColumn("extra", F.lit(False)).unionByName(extra)
+    order = F.xxhash64(text)
+    extra = extra.groupBy("p", "before", "doc_id").agg(F.min_by(text, order).alias(text)).select(
+        "doc_id", text, F.col("before").alias("place"), F.lit(True).alias("extra"))
+    rows = with_fingerprint(docs.withColumn("extra", F.lit(False)), text, name).unionByName(with_fingerprint(extra, text, name))
     w = W.partitionBy("place").orderBy("extra", F.col("doc_id").asc_nulls_first(), order)
-    return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("not extra").drop("place", "extra")
+    return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (text, name)]).where("not extra").drop("place", "extra")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     (or all) of the next text's first. A null text counts as empty. A row in, a row out.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(texts, "text", "fingerprint"), ["text", "fingerprint"])
+    rows = with_next(texts, "text", "fingerprint")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
