@@ -1,3 +1,545 @@
-"""The registered queries of the library's own operators and their SQL."""
+"""The registered queries of the library's own operators over the given tables, and their SQL."""
 
-QUERIES, ORACLE_SQL, FLAGSHIP = {}, {}, None
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import color, dates, text
+from ..operators import aggregates, images, lookups, sequences
+from ..sources import files
+from ..streaming import jobs as streams
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "burst_counts"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Event histories
+
+COLLAPSED = "SELECT * FROM (SELECT *, lag(event_type) OVER w AS prev, row_number() OVER w AS n FROM events {where} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR event_type IS DISTINCT FROM prev"
+BURSTS = "SELECT event_id, user_id, least(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) / 15.0, 1.0)::DOUBLE AS ratio FROM ({src})"
+
+
+@query(f"SELECT event_id, user_id, event_type FROM ({COLLAPSED.format(where='')})")
+def collapse_repeats(spark, sf_dir):
+    return sequences.collapse_repeats(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")).select("event_id", "user_id", "event_type")
+
+
+@query(f"SELECT event_id, user_id, event_type FROM ({COLLAPSED.format(where=chr(32).join(['WHERE event_type IS DISTINCT FROM', chr(39) + 'error' + chr(39)]))})")
+def remove_key_and_collapse(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return sequences.remove_key_and_collapse(e, "error").select("event_id", "user_id", "event_type")
+
+
+@query(f"SELECT event_id, user_id, round(ratio, 9) AS ratio FROM ({BURSTS.format(src='SELECT * FROM events')})")
+def burst_ratio(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    return sequences.burst_ratio(e, 3600).select("event_id", "user_id", F.round("ratio", 9).alias("ratio"))
+
+
+@query(f"SELECT user_id, count(*) AS n, round(max(ratio), 9) AS most FROM ({BURSTS.format(src=COLLAPSED.format(where=''))}) GROUP BY user_id")
+def burst_counts(spark, sf_dir):
+    """Repeats collapsed, bursts measured, counted by user: one exchange serves all three."""
+    e = sequences.collapse_repeats(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
+    return sequences.burst_ratio(e, 3600).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("ratio"), 9).alias("most"))
+
+
+@query("""
+WITH k AS (SELECT i AS k, (12 - abs(i - 12)) / 144.0::DOUBLE AS w FROM range(24) t(i))
+SELECT user_id, floor(epoch_us(ts) / 1000 / 60000)::BIGINT + k AS frame, round(sum(value * w), 9) AS delta FROM events, k GROUP BY 1, 2""")
+def spread_impulses(spark, sf_dir):
+    """Impulses spread over frames of a minute, for events are sparse."""
+    out = sequences.spread_impulses(_table(spark, sf_dir, "events").select("user_id", "ts", "value"), "user_id", "ts", "value", 60_000)
+    return out.withColumn("delta", F.round("delta", 9))
+
+
+@query("""
+WITH p AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'main' ELSE 'sub' END AS track, value FROM events WHERE event_type IN ('view', 'click')),
+a AS (SELECT user_id, event_id, last_value(CASE WHEN track = 'main' THEN value END IGNORE NULLS) OVER w AS main, last_value(CASE WHEN track = 'sub' THEN value END IGNORE NULLS) OVER w AS sub FROM p
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, event_id, main, sub FROM a WHERE abs(main - sub) > 20""")
+def drift_events(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").where("event_type in ('view', 'click')")
+    p = e.select("user_id", "event_id", "ts", F.when(F.col("event_type") == "view", "main").otherwise("sub").alias("track"), F.col("value").alias("position"))
+    return sequences.drift_events(p, 20, "user_id").select("user_id", "event_id", "main", "sub")
+
+
+def _ops(spark, sf_dir):
+    kind = F.col("event_type")
+    op = F.when(kind == "error", "pop").when(kind == "signup", "remove").otherwise("push")
+    order = F.struct("ts", "event_id")
+    return _table(spark, sf_dir, "events").select("user_id", order.alias("o"), op.alias("op"), F.when(kind == "signup", "view").otherwise(kind).alias("key")).selectExpr(
+        "user_id", "unix_micros(timestamp(o.ts)) * 1000 + o.event_id % 1000 AS seq", "op", "key")
+
+
+@query()
+def replay_history(spark, sf_dir):
+    return sequences.replay_history(_ops(spark, sf_dir))
+
+
+@query()
+def breadcrumb_trail(spark, sf_dir):
+    return sequences.breadcrumb_trail(_ops(spark, sf_dir).withColumn("op", F.when(F.col("op") == "remove", "select").otherwise(F.col("op"))))
+
+
+@query("""
+WITH e AS (SELECT user_id, list(event_type IN ('view', 'click') ORDER BY ts, event_id) AS ups FROM events GROUP BY user_id)
+SELECT user_id, round(list_reduce(list_prepend(1.0::DOUBLE, list_transform(ups, lambda u: CASE WHEN u THEN 1.25 ELSE 0.8 END::DOUBLE)), lambda a, b: greatest(0.1, least(10.0, a * b))), 6) AS zoom FROM e""")
+def clamped_running_product(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").isin("view", "click").alias("up"))
+    return sequences.clamped_running_product(e, "user_id", ["ts", "event_id"], "up").withColumn("zoom", F.round("zoom", 6))
+
+
+# Jobs, modes, budgets
+
+JOBS = "SELECT o_orderpriority AS batch_id, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'pending' END AS status, 'order-' || o_orderkey AS file, 'customer ' || o_custkey AS reason FROM orders"
+STATUS = f"SELECT batch_id, count(*) AS total, count(*) FILTER (status <> 'pending') AS processed, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, floor(count(*) FILTER (status <> 'pending') / count(*) * 100)::INTEGER AS percentage FROM ({JOBS}) GROUP BY batch_id"
+
+
+def _as_jobs(orders: DataFrame) -> DataFrame:
+    s = F.col("o_orderstatus")
+    return orders.select(
+        F.col("o_orderpriority").alias("batch_id"), F.when(s == "F", "success").when(s == "O", "failed").otherwise("pending").alias("status"),
+        F.concat(F.lit("order-"), "o_orderkey").alias("file"), F.concat(F.lit("customer "), "o_custkey").alias("reason"))
+
+
+@query(STATUS)
+def job_status(spark, sf_dir):
+    return aggregates.job_status(_as_jobs(_table(spark, sf_dir, "orders")))
+
+
+@query(f"SELECT batch_id, total - 10 AS total, least(processed, total - 10) AS processed, least(success, least(processed, total - 10)) AS success FROM ({STATUS})")
+def clamp_counters(spark, sf_dir):
+    s = aggregates.job_status(_as_jobs(_table(spark, sf_dir, "orders"))).select("batch_id", (F.col("total") - 10).alias("total"), "processed", "success")
+    return aggregates.clamp_counters(s)
+
+
+@query(f"SELECT batch_id, file || ': ' || reason AS line FROM ({JOBS}) WHERE status = 'failed'")
+def failure_report(spark, sf_dir):
+    return aggregates.failure_report(_as_jobs(_table(spark, sf_dir, "orders")))
+
+
+@query()
+def stream_job_status(spark, sf_dir):
+    """The stream of orders to its end; the counts equal those of job_status."""
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    return _drained(streams.stream_job_status(_as_jobs(spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*"))), "complete")
+
+
+@query()
+def stream_history(spark, sf_dir):
+    """The stream of events to its end, each user's last history."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    op = F.when(F.col("event_type") == "error", "pop").otherwise("push")
+    return _drained(streams.stream_history(e.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("seq"), op.alias("op"), F.col("event_type").alias("key"))), "update")
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream over a bounded table has given when it is at its end, written batch by batch to the shared folder."""
+    spark = stream.sparkSession
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+    path = f"{top}/stream-{uuid.uuid4().hex}"
+    write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    write.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("""
+WITH c AS (SELECT o_custkey, (year(o_orderdate) // 2) * 2 AS low, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_custkey, low, low + 2 AS high, n FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, low) = 1""")
+def bucket_mode(spark, sf_dir):
+    return aggregates.bucket_mode(_table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y")), "o_custkey", "y", 2)
+
+
+ITEMS = "SELECT conv_id AS group_id, turn AS pos, length(text) AS size FROM conversations"
+
+
+def _items(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), F.length("text").cast("long").alias("size"))
+
+
+@query(f"SELECT group_id, pos, size, sum(size) OVER g <= 800 OR row_number() OVER b = 1 OR sum(size) OVER b + 20 <= 800 AS shown FROM ({ITEMS}) WINDOW g AS (PARTITION BY group_id), b AS (PARTITION BY group_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)")
+def fit_budget_tail(spark, sf_dir):
+    return aggregates.fit_budget_tail(_items(spark, sf_dir), 800, 20)
+
+
+@query(f"SELECT group_id, pos, size, sum(size) OVER g + 4 * (count(*) OVER g - 1) <= 800 OR sum(size + 4) OVER b + 30 <= 800 AS shown FROM ({ITEMS}) WINDOW g AS (PARTITION BY group_id), b AS (PARTITION BY group_id ORDER BY pos ROWS UNBOUNDED PRECEDING)")
+def fit_budget_head(spark, sf_dir):
+    return aggregates.fit_budget_head(_items(spark, sf_dir), 800, 30, 4)
+
+
+@query(f"SELECT group_id, (sum(size) + 4 * (count(*) - 1))::BIGINT AS need FROM ({ITEMS}) GROUP BY group_id")
+def budget_need(spark, sf_dir):
+    return aggregates.budget_need(_items(spark, sf_dir), "group_id", "size", 4)
+
+
+@query()
+def pack_rows(spark, sf_dir):
+    return aggregates_pack(_items(spark, sf_dir))
+
+
+def aggregates_pack(items: DataFrame) -> DataFrame:
+    return sequences.pack_rows(items.withColumn("height", F.lit(1)), 800, 4)
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY first) AS joined FROM (SELECT conv_id, text, min(turn) AS first FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY conv_id")
+def ordered_distinct_concat(spark, sf_dir):
+    return aggregates.ordered_distinct_concat(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+# Colours and numbers
+
+RGB = "SELECT DISTINCT l_orderkey % 256 AS r, l_partkey % 256 AS g, l_suppkey % 256 AS b FROM lineitem"
+HSV = f"""SELECT r, g, b, CASE WHEN d = 0 THEN 0.0 WHEN hi = r THEN fmod(60 * ((g - b)::DOUBLE / d) + 360, 360) WHEN hi = g THEN fmod(60 * ((b - r)::DOUBLE / d) + 120, 360) ELSE fmod(60 * ((r - g)::DOUBLE / d) + 240, 360) END AS h,
+  CASE WHEN hi = 0 THEN 0.0 ELSE d::DOUBLE / hi END AS s, hi / 255.0::DOUBLE AS v FROM (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d FROM ({RGB}))"""
+
+
+def _rgb(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 256 AS r", "l_partkey % 256 AS g", "l_suppkey % 256 AS b").distinct()
+
+
+def _hsv(spark, sf_dir):
+    return _rgb(spark, sf_dir).withColumn("c", color.rgb_to_hsv(F.col("r"), F.col("g"), F.col("b")))
+
+
+@query(f"SELECT r, g, b, round(h, 9) AS h, round(s, 9) AS s, round(v, 9) AS v FROM ({HSV})")
+def rgb_to_hsv(spark, sf_dir):
+    return _hsv(spark, sf_dir).select("r", "g", "b", *[F.round(f"c.{x}", 9).alias(x) for x in "hsv"])
+
+
+@query("""
+WITH x AS (SELECT l_orderkey, l_linenumber, (l_partkey * 7 % 360)::DOUBLE AS h, (l_suppkey % 101) / 101.0::DOUBLE AS s, (l_orderkey % 97) / 97.0::DOUBLE AS v FROM lineitem),
+y AS (SELECT *, floor(h / 60)::BIGINT % 6 AS k, h / 60 - floor(h / 60) AS f FROM x), z AS (SELECT *, v * (1 - s) AS p, v * (1 - f * s) AS q, v * (1 - (1 - f) * s) AS t FROM y)
+SELECT l_orderkey, l_linenumber, trunc(CASE k WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END * 255)::INTEGER AS r,
+  trunc(CASE k WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q ELSE p END * 255)::INTEGER AS g, trunc(CASE k WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN v WHEN 4 THEN v ELSE q END * 255)::INTEGER AS b FROM z""")
+def hsv_to_rgb(spark, sf_dir):
+    x = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "double(l_partkey * 7 % 360) h", "(l_suppkey % 101) / 101D s", "(l_orderkey % 97) / 97D v")
+    return x.withColumn("c", color.hsv_to_rgb(F.col("h"), F.col("s"), F.col("v"))).select("l_orderkey", "l_linenumber", "c.*")
+
+
+@query(f"SELECT r, g, b, round(h, 9) AS h, round(s, 9) AS s, round(v * CASE WHEN v > 0.9 THEN 0.8 WHEN v > 0.8 THEN 0.9 WHEN v > 0.7 THEN 0.95 ELSE 1.0 END, 9) AS v FROM ({HSV})")
+def adjust_brightness(spark, sf_dir):
+    x = _hsv(spark, sf_dir).withColumn("c", color.adjust_brightness(F.col("c")))
+    return x.select("r", "g", "b", *[F.round(f"c.{n}", 9).alias(n) for n in "hsv"])
+
+
+@query(f"SELECT r, g, b, round(0.3 * sqrt((r - g) * (r - g) + (0.5 * (r + g) - b) * (0.5 * (r + g) - b)), 6) AS colorfulness FROM ({RGB})")
+def colorfulness(spark, sf_dir):
+    return _rgb(spark, sf_dir).withColumn("colorfulness", F.round(color.colorfulness(F.col("r"), F.col("g"), F.col("b")), 6))
+
+
+@query(f"""
+WITH f(shade, a, c) AS (VALUES ('primary', 1.0, 1.0), ('dark1', 1.0, 0.75), ('dark2', 1.05, 0.5), ('dark3', 1.1, 0.4), ('light1', 1.0, 1.05), ('light2', 0.75, 1.05), ('light3', 0.65, 1.05))
+SELECT r, g, b, shade, round(least(s * a::DOUBLE, 1.0), 9) AS s, round(least(v * c::DOUBLE, 1.0), 9) AS v FROM ({HSV}), f""")
+def theme_shades(spark, sf_dir):
+    x = _hsv(spark, sf_dir).select("r", "g", "b", F.explode(color.theme_shades(F.col("c.h"), F.col("c.s"), F.col("c.v"))).alias("t"))
+    return x.select("r", "g", "b", "t.shade", F.round("t.s", 9).alias("s"), F.round("t.v", 9).alias("v"))
+
+
+@query("""
+WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '#' || upper(substr(md5(p_name), 1, 6)) WHEN 1 THEN '#' || substr(md5(p_name), 1, 8) WHEN 2 THEN p_name ELSE NULL END AS t FROM part),
+y AS (SELECT p_partkey, CASE WHEN regexp_full_match(t, '#?([0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})') THEN lpad(replace(t, '#', ''), 8, 'F') ELSE 'FF102030' END AS h FROM x)
+SELECT p_partkey, ('0x' || substr(h, 3, 2))::INTEGER AS r, ('0x' || substr(h, 5, 2))::INTEGER AS g, ('0x' || substr(h, 7, 2))::INTEGER AS b, ('0x' || substr(h, 1, 2))::INTEGER AS a FROM y""")
+def parse_hex_color(spark, sf_dir):
+    k, m = F.col("p_partkey") % 4, F.md5("p_name")
+    t = F.when(k == 0, F.concat(F.lit("#"), F.upper(F.substring(m, 1, 6)))).when(k == 1, F.concat(F.lit("#"), F.substring(m, 1, 8))).when(k == 2, F.col("p_name"))
+    return _table(spark, sf_dir, "part").select("p_partkey", color.parse_hex_color(t, "#102030").alias("c")).select("p_partkey", "c.*")
+
+
+@query("SELECT p_partkey, trunc(p_partkey % 101 / 100.0::DOUBLE * 255)::INTEGER AS alpha, trunc(p_partkey % 256 / 255.0::DOUBLE * 100)::INTEGER AS percent FROM part")
+def alpha_percent(spark, sf_dir):
+    k = F.col("p_partkey")
+    return _table(spark, sf_dir, "part").select("p_partkey", color.alpha_from_percent(k % 101).alias("alpha"), color.percent_from_alpha(k % 256).alias("percent"))
+
+
+@query(f"SELECT r, g, b, trunc(g * b / 255.0::DOUBLE + r * (255 - b) / 255.0::DOUBLE)::INTEGER AS blended FROM ({RGB})")
+def alpha_blend(spark, sf_dir):
+    return _rgb(spark, sf_dir).withColumn("blended", color.alpha_blend(F.col("r"), F.col("g"), F.col("b")))
+
+
+@query("SELECT p_partkey, trunc((p_size - 1) / greatest(49, 1)::DOUBLE * 320)::INTEGER AS pos, trunc((p_partkey % 340 - 10)::DOUBLE / 320 * 49 + 1)::INTEGER AS value FROM part")
+def slider_position(spark, sf_dir):
+    n = lambda x: F.lit(x)
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", color.value_to_position(F.col("p_size"), n(1), n(50), n(320)).alias("pos"), color.position_to_value(F.col("p_partkey") % 340, n(1), n(50), n(320), n(20)).alias("value"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 60 <= 5 THEN '' ELSE p_size || ' of ' || (p_partkey % 60 - 5) || ': ' || trunc((p_size - 5) * 100 / (p_partkey % 60 - 5)::DOUBLE)::INTEGER || '%' END AS label FROM part")
+def progress_text(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", color.progress_text(F.col("p_size"), F.lit(5), F.col("p_partkey") % 60, F.lit("%v of %m: %p%")).alias("label"))
+
+
+@query("""
+WITH x AS (SELECT p_partkey, p_size * 20 AS w, p_partkey % 700 + 1 AS h FROM part)
+SELECT p_partkey, trunc(w * least(450 / w::DOUBLE, 450 / h::DOUBLE, 1.0))::INTEGER AS fit_w, trunc(h * least(450 / w::DOUBLE, 450 / h::DOUBLE, 1.0))::INTEGER AS fit_h, greatest(trunc(w / h::DOUBLE * 120)::INTEGER, 1) AS side_w,
+  trunc(w * greatest(96 / w::DOUBLE, 96 / h::DOUBLE))::INTEGER AS cover_w, trunc(h * greatest(96 / w::DOUBLE, 96 / h::DOUBLE))::INTEGER AS cover_h FROM x""")
+def image_sizes(spark, sf_dir):
+    """fit_within, scale_to_side and center_crop_box."""
+    x = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size * 20 AS w", "p_partkey % 700 + 1 AS h")
+    w, h = F.col("w"), F.col("h")
+    x = x.select("p_partkey", color.fit_within(w, h, F.lit(450), F.lit(450)).alias("f"), color.scale_to_side(w, h, 120).alias("side_w"), color.center_crop_box(w, h, 96).alias("c"))
+    return x.select("p_partkey", F.col("f.w").alias("fit_w"), F.col("f.h").alias("fit_h"), "side_w", F.col("c.w").alias("cover_w"), F.col("c.h").alias("cover_h"))
+
+
+@query(f"SELECT image_id, pos, r, g, b, row_number() OVER (PARTITION BY image_id ORDER BY round(0.3 * sqrt((r - g) * (r - g) + (0.5 * (r + g) - b) * (0.5 * (r + g) - b)), 9) DESC, pos) AS rank FROM (SELECT l_orderkey AS image_id, l_linenumber AS pos, l_partkey % 256 AS r, l_suppkey % 256 AS g, l_orderkey % 256 AS b FROM lineitem) QUALIFY count(*) OVER (PARTITION BY image_id, pos) = 1")
+def palette_rank(spark, sf_dir):
+    c = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS image_id", "l_linenumber AS pos", "l_partkey % 256 AS r", "l_suppkey % 256 AS g", "l_orderkey % 256 AS b")
+    from pyspark.sql import Window as W
+
+    return aggregates.palette_rank(c).withColumn("n", F.count("*").over(W.partitionBy("image_id", "pos"))).where("n = 1").drop("n").withColumn("rank", F.col("rank").cast("long"))
+
+
+# Dates
+
+@query("""
+SELECT o_orderkey, (year(d) - 1990) * 12 + month(d) - 1 AS page, date_trunc('month', d)::DATE AS first, last_day(d) AS last, day(last_day(d))::INTEGER AS days,
+  (date_diff('day', DATE '1990-01-01', d) // 7)::INTEGER AS row, (date_diff('day', DATE '1990-01-01', d) % 7)::INTEGER AS col, strftime(d, '%B') AS month_name, lpad(day(d)::VARCHAR, 2, '0') AS day2, year(d) || '年' AS year_text
+FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)""")
+def calendar(spark, sf_dir):
+    """month_page and back, calendar_cell (1 January 1990 is a Monday), days_in_month, month names, suffixes, padding."""
+    d = F.to_date("o_orderdate")
+    x = _table(spark, sf_dir, "orders").select("o_orderkey", d.alias("d"), dates.month_page(d, 1990).alias("page"), dates.calendar_cell(d, 1990).alias("c"))
+    d = F.col("d")
+    return x.select(
+        "o_orderkey", "page", dates.page_month(F.col("page"), 1990).alias("first"), F.last_day(d).alias("last"), dates.days_in_month(F.year(d), F.month(d)).alias("days"), "c.row", "c.col",
+        dates.encode_month(dates.decode_month(dates.encode_month(F.month(d)))).alias("month_name"), dates.pad2(F.day(d)).alias("day2"),
+        dates.encode_suffix(dates.decode_suffix(dates.encode_suffix(F.year(d), "年")), "年").alias("year_text"))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month FROM orders)
+SELECT month, i AS cell, (date_trunc('week', month)::DATE + i::INTEGER) AS day FROM m, range(42) t(i)""")
+def calendar_grid(spark, sf_dir):
+    m = _table(spark, sf_dir, "orders").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).distinct()
+    return m.select("month", F.posexplode(dates.calendar_grid(F.col("month"))).alias("cell", "day")).withColumn("cell", F.col("cell").cast("long"))
+
+
+@query("""
+SELECT event_id, CASE WHEN hour(ts) % 12 = 0 THEN 12 ELSE hour(ts) % 12 END::INTEGER AS hour12, CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END AS half, hour(ts)::INTEGER AS hour24,
+  (event_id * 977 // 3600) || ':' || lpad((event_id * 977 // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((event_id * 977 % 60)::VARCHAR, 2, '0') AS duration FROM events""")
+def clock(spark, sf_dir):
+    """to_12h, from_12h and format_duration."""
+    x = _table(spark, sf_dir, "events").select("event_id", dates.to_12h(F.hour("ts")).alias("t"), dates.format_duration(F.col("event_id") * 977_000 + 999).alias("duration"))
+    return x.select("event_id", F.col("t.hour").alias("hour12"), "t.half", dates.from_12h(F.col("t.hour"), F.col("t.half")).alias("hour24"), "duration")
+
+
+# Text
+
+@query("SELECT doc_id, length(text) + length(regexp_replace(text, '[^\\x{1100}-\\x{115F}\\x{2E80}-\\x{303E}\\x{3041}-\\x{A4CF}\\x{AC00}-\\x{D7A3}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE6F}\\x{FF00}-\\x{FF60}\\x{FFE0}-\\x{FFE6}]', '', 'g')) AS width, upper(substr(text, 1, 1)) AS initial FROM documents")
+def display_width(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.display_width(F.col("text")).cast("long").alias("width"), text.initial_letter(F.col("text")).alias("initial"))
+
+
+@query("SELECT page_id, trim(regexp_replace(html, '[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}\\x{0b}]+', ' ', 'g'), ' ') AS clean FROM pages")
+def normalize_whitespace(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.normalize_whitespace(F.col("html")).alias("clean"))
+
+
+@query("SELECT conv_id, turn, len(string_split(replace(text, chr(10), ' '), ' ')) * 2 - 1 - len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x = '')) AS tokens FROM conversations WHERE text <> ''")
+def tokenize(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.size(text.tokenize(F.col("text"))).cast("long").alias("tokens"))
+
+
+@query("SELECT p_partkey, list_transform(range(0, length(p_name), 7), lambda i: substr(p_name, i + 1, 7)) AS pieces FROM part")
+def split_long_token(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", text.split_long_token(F.col("p_name"), 7).alias("pieces"))
+
+
+@query("SELECT item_id, kind, count(*) AS n FROM (SELECT item_id, CASE WHEN regexp_full_match(unnest(string_split(text, '')), '\\s') THEN 'SPACE' ELSE 'LATIN' END AS kind FROM benchmark) GROUP BY item_id, kind")
+def char_type(spark, sf_dir):
+    c = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    return c.groupBy("item_id", text.char_type(F.col("c")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name || ': blue, --' || n_nationkey || ', red, --unknown, --' AS style FROM nation")
+def render_template(spark, sf_dir):
+    t = F.concat("n_name", F.lit(": --Main, ----"), "n_nationkey", F.lit(", --{Mark}, --unknown, ----"))
+    return _table(spark, sf_dir, "nation").select("n_nationkey", text.render_template(t, {"Main": "blue", "Mark": "red"}).alias("style"))
+
+
+@query()
+def wrap_text(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", text.wrap_text(F.col("text"), 80).alias("w"))
+    return d.select("doc_id", "w.is_wrapped", F.size(F.split("w.text", "\n")).alias("lines"), F.md5("w.text").alias("text_md5"))
+
+
+# Lookups
+
+WORDS = "SELECT word AS key, p_brand AS value, p_partkey * 100 + i AS seq FROM (SELECT p_brand, p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(len(string_split(p_name, ' ')))) AS i FROM part)"
+DICT = f"SELECT lower(key) AS key, arg_max(value, seq) AS value FROM ({WORDS}) WHERE regexp_full_match(lower(key), '[a-z]*') GROUP BY 1"
+
+
+def _words(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(F.posexplode(F.split("p_name", " ")).alias("i", "key"), F.col("p_brand").alias("value"), "p_partkey").selectExpr("key", "value", "p_partkey * 100 + i AS seq")
+
+
+@query(f"SELECT c_custkey, coalesce(d.value, 'none') AS value FROM (SELECT c_custkey, lower(c_mktsegment) AS k FROM customer UNION ALL SELECT p_partkey, lower(split_part(p_name, ' ', 1)) FROM part) q LEFT JOIN ({DICT}) d ON q.k = d.key")
+def exact_lookup(spark, sf_dir):
+    q = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_mktsegment AS key").union(_table(spark, sf_dir, "part").selectExpr("p_partkey", "split(p_name, ' ')[0]"))
+    return lookups.exact_lookup(q, _words(spark, sf_dir), F.lit("none")).select("c_custkey", "value")
+
+
+@query(f"""
+WITH d AS ({DICT}), q AS (SELECT p_partkey AS query_id, lower(substr(p_name, 1, p_partkey % 4)) AS prefix FROM part)
+SELECT query_id, rank, key, value FROM q JOIN (SELECT prefix, key, value, row_number() OVER (PARTITION BY prefix ORDER BY length(key), key) AS rank FROM (SELECT DISTINCT prefix FROM q) p JOIN d ON starts_with(d.key, p.prefix)) r USING (prefix) WHERE rank <= 5""")
+def prefix_lookup(spark, sf_dir):
+    q = _table(spark, sf_dir, "part").selectExpr("p_partkey AS query_id", "substring(p_name, 1, int(p_partkey % 4)) AS prefix")
+    return lookups.prefix_lookup(q, _words(spark, sf_dir), [0, 1, 2, 3], 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT o_orderkey, coalesce(idx, -1) AS idx FROM (SELECT o_orderkey, o_custkey % 25 AS list_id, 'Customer#' || lpad((o_orderkey % 500)::VARCHAR, 9, '0') AS probe FROM orders) q LEFT JOIN (SELECT c_nationkey AS list_id, c_name AS probe, min(c_custkey) AS idx FROM customer GROUP BY 1, 2) i USING (list_id, probe)")
+def find_first(spark, sf_dir):
+    q = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 25 AS list_id", "concat('Customer#', lpad(o_orderkey % 500, 9, '0')) AS probe")
+    i = _table(spark, sf_dir, "customer").selectExpr("bigint(c_nationkey) AS list_id", "c_custkey AS idx", "c_name AS text")
+    return lookups.find_first(q, i).select("o_orderkey", "idx")
+
+
+@query("""
+WITH a AS (SELECT s_name AS name, s_nationkey AS grp, unnest([upper(s_name), 'NATION ' || s_nationkey, n_name]) AS alias, unnest([0, 1, 2]) AS pos FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+r AS (SELECT lower(real_name) AS low, min(real_name) AS real_name FROM (SELECT n_name AS real_name FROM nation UNION ALL SELECT initcap_name FROM (SELECT 'Nation ' || n_nationkey AS initcap_name FROM nation WHERE n_nationkey % 2 = 0)) GROUP BY 1)
+SELECT name, grp, arg_min(real_name, pos) AS real_name FROM a JOIN r ON lower(alias) = low GROUP BY name, grp""")
+def resolve_alias(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    s = _table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    a = s.select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("grp"), F.array(F.upper("s_name"), F.concat(F.lit("NATION "), "s_nationkey"), "n_name").alias("aliases"))
+    real = n.select(F.col("n_name").alias("real_name")).union(n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("Nation "), "n_nationkey")))
+    return lookups.resolve_alias(a, real)
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN n_regionkey = 1 THEN 'B ' || n_name END, CASE WHEN n_nationkey % 2 = 0 THEN 'A ' || n_name END, n_name) AS text FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def localize(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    cat = lambda mark, cond: n.where(cond).select(F.col("n_regionkey").alias("context"), F.col("n_name").alias("source"), F.concat(F.lit(mark), "n_name").alias("translation"))
+    d = _table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("context"), F.col("n_name").alias("source"))
+    return lookups.localize(d, cat("A ", "n_nationkey % 2 = 0"), cat("B ", "n_regionkey = 1")).select("c_custkey", "text")
+
+
+_SCHEMA = "key string, kind string, min double, max double, options array<string>, default string, restart boolean"
+
+
+def _settings_schema(spark):
+    rows = [("k", "range", 10.0, 60.0, None, "30", False), ("mode", "option", None, None, ["on", "off", "auto"], "auto", True), ("flag", "bool", None, None, None, "false", False)]
+    return spark.createDataFrame(rows, _SCHEMA)
+
+
+def _settings(spark, sf_dir):
+    return files.read_settings(_table(spark, sf_dir, "events").select(F.col("event_id").alias("entity_id"), F.col("props").alias("json")))
+
+
+@query("""
+WITH e AS (SELECT event_id AS entity_id, (props->>'k')::INTEGER AS k FROM events)
+SELECT entity_id, 'k' AS key, greatest(10, least(60, k))::VARCHAR AS value FROM e UNION ALL SELECT entity_id, 'mode', 'auto' FROM e UNION ALL SELECT entity_id, 'flag', 'false' FROM e""")
+def overlay_settings(spark, sf_dir):
+    return lookups.overlay_settings(_settings(spark, sf_dir), _settings_schema(spark))
+
+
+@query("SELECT event_id AS entity_id, 'k' AS key, props->>'k' AS old_value, greatest(10, least(60, (props->>'k')::INTEGER))::VARCHAR AS new_value FROM events WHERE (props->>'k')::INTEGER NOT BETWEEN 10 AND 60")
+def changed_settings(spark, sf_dir):
+    old = _settings(spark, sf_dir)
+    new = lookups.overlay_settings(old, _settings_schema(spark).where("key = 'k'"))
+    return lookups.changed_settings(old, new)
+
+
+@query("SELECT event_id AS entity_id, '{\"\":{\"k\":\"' || (props->>'k') || '\"}}' AS json FROM events")
+def write_settings(spark, sf_dir):
+    return files.write_settings(_settings(spark, sf_dir))
+
+
+@query("SELECT doc_id, replace(source || '\\docs', '\\', '/') AS path FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) % 2 = 0)")
+def existing_folders(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    there = d.groupBy("source").count().where("count % 2 = 0").select(F.concat("source", F.lit("/docs")).alias("path"))
+    return lookups.existing_folders(d.select("doc_id", F.concat("source", F.lit("\\docs")).alias("path")), there).select("doc_id", "path")
+
+
+@query("""
+WITH a AS (SELECT c_nationkey AS list_id, c_mktsegment AS path, count(*) AS n FROM customer GROUP BY 1, 2), b AS (SELECT c_nationkey AS list_id, c_mktsegment AS path, count(*) AS n FROM customer WHERE c_custkey % 50 <> 7 GROUP BY 1, 2)
+SELECT list_id, bool_or(a.n IS DISTINCT FROM b.n) AS changed FROM a FULL JOIN b USING (list_id, path) GROUP BY list_id""")
+def folders_changed(spark, sf_dir):
+    a = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("list_id"), F.col("c_mktsegment").alias("path"), "c_custkey")
+    return lookups.folders_changed(a, a.where("c_custkey % 50 <> 7"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT NULL AS parent, 'r' || r_regionkey AS child, r_regionkey = 0 AS hidden FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, n_nationkey % 5 = 2 FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, s_suppkey % 7 = 0 FROM supplier),
+t AS (SELECT child AS node, 0 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.child, t.depth + 1 FROM t JOIN e ON e.parent = t.node WHERE NOT e.hidden)
+SELECT node, depth FROM t""")
+def visible_nodes(spark, sf_dir):
+    r = _table(spark, sf_dir, "region").selectExpr("string(null) AS parent", "concat('r', r_regionkey) AS child", "r_regionkey = 0 AS hidden")
+    n = _table(spark, sf_dir, "nation").selectExpr("concat('r', n_regionkey)", "concat('n', n_nationkey)", "n_nationkey % 5 = 2")
+    s = _table(spark, sf_dir, "supplier").selectExpr("concat('n', s_nationkey)", "concat('s', s_suppkey)", "s_suppkey % 7 = 0")
+    return lookups.visible_nodes(r.union(n).union(s))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'image' WHEN page_id % 3 = 1 THEN 'video' ELSE 'other' END AS kind FROM pages")
+def media_kind(spark, sf_dir):
+    path = F.concat("url", F.when(F.col("page_id") % 3 == 0, "/a.PNG").when(F.col("page_id") % 3 == 1, "/b.mkv").otherwise("/c.txt"))
+    return _table(spark, sf_dir, "pages").select("page_id", files.media_kind(path).alias("kind"))
+
+
+# Images, derived from the embeddings: 64 values make an 8 x 8 gray image, three of them a colour image
+
+def _images(spark, sf_dir, channels: int = 3) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return _as_images(e, channels)
+
+
+def _as_images(e: DataFrame, channels: int) -> DataFrame:
+    value = F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.least((x * 100 + 128).cast("int"), F.lit(255)), F.lit(0))), 2, "0"))
+    per_pixel = F.transform(value, lambda v, i: F.concat(v, *[F.lpad(F.hex((i * 29 + k * 53) % 256), 2, "0") for k in range(1, channels)]) if channels > 1 else v)
+    return e.select(F.col("vec_id").cast("string").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(channels).alias("channels"), F.unhex(F.array_join(per_pixel, "")).alias("data"))
+
+
+def _seen(df: DataFrame) -> DataFrame:
+    return df.select("image_id", "width", "height", "channels", F.md5("data").alias("data_md5"), "error")
+
+
+@query()
+def gaussian_blur(spark, sf_dir):
+    return _seen(images.gaussian_blur(_images(spark, sf_dir), 2, 0.85))
+
+
+@query()
+def resize_image(spark, sf_dir):
+    return _seen(images.resize_image(_images(spark, sf_dir), 12, 6))
+
+
+@query()
+def cover_crop(spark, sf_dir):
+    return _seen(images.cover_crop(_images(spark, sf_dir), 5))
+
+
+@query()
+def acrylic_composite(spark, sf_dir):
+    return _seen(images.acrylic_composite(_images(spark, sf_dir), radius=2))
+
+
+@query()
+def watermark_overlay(spark, sf_dir):
+    import numpy as np
+
+    return _seen(images.watermark_overlay(_images(spark, sf_dir), np.full((2, 3, 3), 255, np.uint8)))
+
+
+@query()
+def dominant_color(spark, sf_dir):
+    return images.dominant_color(_images(spark, sf_dir))
