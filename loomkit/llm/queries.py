@@ -50,15 +50,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit of a replica in which every record whose crc32(page_id as text) mod 97 is 5 has rotted: its first three characters read backwards, or it is gone if they are alike."""
+    """The audit of a replica in which every record whose page_id mod 97 is 5 has rotted: its first three characters read backwards, which leaves it intact if they are the same."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    rotted = F.when(fold(F.col("page_id"), 97) == 5, F.concat(F.reverse(F.substring("html", 1, 3)), F.substring("html", 4, 1 << 30))).otherwise(F.col("html"))
+    rotted = F.when(F.col("page_id") % 97 == 5, F.concat(F.reverse(F.substring("html", 1, 3)), F.substring("html", 4, 1 << 30))).otherwise(F.col("html"))
     return warc_fixity.audit(warc_fixity.leaves(pages), warc_fixity.leaves(pages, rotted))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return cleaned.select("doc_id", "lines_total", "lines_removed", F.md5("text").alias("text_md5"))
+    return cleaned.select("doc_id", F.col("lines_total").cast("long"), F.col("lines_removed").cast("long"), F.md5("text").alias("text_md5"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
