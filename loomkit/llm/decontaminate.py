@@ -32,37 +32,27 @@ _PLACE = mix(np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Vocabulary(dict):
-    """token -> its number; ``hash`` and ``kind`` hold what is known of each. Emptied between texts when large."""
-
-    def __init__(self):
-        super().__init__()
-        self.hash, self.kind = [], []
+    """token -> its hash with the last three bits giving its kind; emptied when it holds half a million."""
 
     def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
         low = token.lower()
         kind = END if token[0] in ".!?\n" else NUMBER if token[0].isdigit() else UNIT if low in UNITS else CAPITAL if token.istitle() else LITERAL
-        self.hash.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")))
-        self.kind.append(kind)
-        k = self[token] = len(self.hash) - 1
+        k = self[token] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~7 | kind
         return k
 
 
 class Reader:
     def __init__(self):
-        self.v = Vocabulary()
+        self.known = Vocabulary()
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(template, slot kinds, token hashes) of a text; a slot kind of 0 marks a literal."""
-        if len(self.v) > 500_000:
-            self.v = Vocabulary()
-        at = np.fromiter(map(self.v.__getitem__, TOKEN.findall(text or "")), np.int64)
-        if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
-        if getattr(self, "size", -1) != len(self.v.hash) or self.owner is not self.v:
-            self.hash, self.kind = np.array(self.v.hash, np.uint64), np.array(self.v.kind, np.int8)
-            self.size, self.owner = len(self.v.hash), self.v
-        h, kind = self.hash[at], self.kind[at]
-        first = np.concatenate([[True], kind[:-1] == END])
+        coded = np.fromiter(map(self.known.__getitem__, TOKEN.findall(text or "")), np.uint64)
+        kind, h = (coded & np.uint64(7)).astype(np.int8), coded & ~np.uint64(7)
+        first = np.ones(len(kind), bool)
+        first[1:] = kind[:-1] == END
         kind = np.where((kind == CAPITAL) & first, LITERAL, kind)
         h, kind = h[kind != END], kind[kind != END]
         return np.where(kind == LITERAL, h, _PLACE[kind]), kind, h
