@@ -1,0 +1,201 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomkit.llm import decontaminate, fingerprints, language_id, line_dedup, mixing, pii, quality, toxicity, warc_fixity
+
+WORDS = [f"{a}{b}" for a in ("ra", "to", "mi", "ne", "su") for b in ("lo", "ka", "ven", "dri", "pos", "tum")]
+
+
+def text(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def frame(spark, rows, extra="source string"):
+    return spark.createDataFrame(rows, f"doc_id long, text string, {extra}" if extra else "doc_id long, text string")
+
+
+def test_fingerprints_against_the_definition(spark):
+    r = random.Random(1)
+    texts = [text(r, n) for n in (1, 3, 4, 5, 6, 50, 400, 2000)] + ["", "É𝒳 ñ  ü", " \n "]
+    rows = [(i * 3, t) for i, t in enumerate(texts)] + [(90, None)]
+    got = {x.doc_id: x for x in fingerprints.edited_fingerprints(frame(spark, rows, None)).collect()}
+    whole = [t or "" for _, t in rows]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    for k, (i, _) in enumerate(rows):
+        t, nx = whole[k], whole[(k + 1) % len(whole)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nx[:half]
+        x = got[i]
+        assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        a, b = shingles(t), shingles(edited)
+        true = len(a & b) / len(a | b) if a | b else 1.0
+        assert abs(x.near_edited - true) < 0.2
+        assert len(x.fingerprint) == (2 * fingerprints.BINS if a else 0)
+    assert fingerprints.edited_fingerprints(frame(spark, [], None)).count() == 0
+
+
+def test_next_wraps_over_many_ranges_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 5)
+    rows = [(i // 2, f"word{i}") for i in range(40)] + [(None, "none")]
+    out = fingerprints.with_next(frame(spark, rows, None), "text", "fp").collect()
+    assert len(out) == 41
+    after = {x.text: x.next_text for x in out}
+    seen, at = [], "none"
+    for _ in range(41):
+        seen.append(at)
+        at = after[at]
+    assert at == "none" and len(set(seen)) == 41
+    assert [x.split("d")[-1] for x in (str(int(s[4:]) // 2) for s in seen[1:])] == [str(i // 2) for i in range(40)]
+
+
+def test_language_profiles(spark):
+    r = random.Random(2)
+    make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(60))
+    rows = [(i, make("aeioulmnrt" if i % 2 else "bcdfghkpsz"), "xx" if i % 2 else "yy") for i in range(40)]
+    profiles = language_id.learn_profiles(frame(spark, rows, "lang string"))
+    asked = frame(spark, [(i, t) for i, t, _ in rows] + [(98, None), (99, "12 !? 3")], None).withColumn("lang", F.lit("clash"))
+    got = {x.doc_id: x for x in language_id.identify(asked, profiles).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+    assert got[98].lang_pred == got[99].lang_pred == "und"
+    assert all(0 <= x.score <= 1 for x in got.values())
+    nothing = language_id.learn_profiles(frame(spark, [], "lang string"))
+    assert nothing == {} and language_id.identify(frame(spark, [(1, "abc")], None), nothing).first().lang_pred == "und"
+
+
+def test_quality_tells_junk(spark):
+    r = random.Random(3)
+    good = [(i, text(r, r.randint(40, 300)).capitalize() + ".", 1) for i in range(120)]
+    bad = [(200 + i, " ".join([r.choice(WORDS).upper() + "!!"] * r.randint(20, 100)), 0) for i in range(60)]
+    rows = frame(spark, good + bad + [(900, None, None), (901, "", None)], "quality int")
+    described = quality.describe(rows)
+    model = quality.fit(described, "quality")
+    got = {x.doc_id: x.score for x in quality.score(described, model).collect()}
+    assert len(got) == 182 and all(got[i] > 0.5 for i, _, _ in good) and all(got[i] < 0.5 for i, _, _ in bad)
+    assert quality.fit(described.where("quality = 1"), "quality") == 1.0
+    assert quality.fit(described.where("quality = 7"), "quality") == 0.5
+
+
+def test_toxicity_learns_terms(spark):
+    r = random.Random(4)
+    rows = [(i, text(r, 40) + (" blorg " if i % 4 == 0 else " ") + text(r, 5), int(i % 4 == 0)) for i in range(400)]
+    docs, labels = frame(spark, [x[:2] for x in rows], None), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    extra = frame(spark, [(1000, None), (1001, "")], None)
+    got = {x.doc_id: x.score for x in toxicity.score(docs.union(extra), machine).collect()}
+    assert len(got) == 402 and all((got[i] >= 0.7) == bool(y) for i, _, y in rows) and got[1000] == got[1001] < 0.7
+    assert toxicity.score(docs, toxicity.fit(docs, labels.where("false"))).first().score == 0.5
+
+
+def test_machine_is_the_sum_over_pairs():
+    r = np.random.default_rng(0)
+    k = 5
+    p = r.normal(size=1 + k + k * toxicity.FACTORS)
+    w, v = p[1 : 1 + k], p[1 + k :].reshape(k, -1)
+    z = p[0] + w[1] + w[3] + w[4] + v[1] @ v[3] + v[1] @ v[4] + v[3] @ v[4]
+    assert toxicity.Machine(list(range(k)), p).score([[1, 3, 4]])[0] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-5)
+
+
+def test_leaks_are_found_by_template_and_slot(spark):
+    item = "How many apples does Maria have if she buys 12 apples and gives 5 apples to her friend and then eats 5 more apples herself"
+    bench = spark.createDataFrame([(7, item), (8, "short one"), (9, None)], "item_id long, text string")
+    other = item.replace("Maria", "Peter").replace("12", "30").replace("5", "9")
+    broken = other.replace("9", "9", 1).replace("eats 9", "eats 4")
+    r = random.Random(5)
+    docs = frame(spark, [(1, text(r, 30) + ".\n" + item + ". " + text(r, 30)), (2, text(r, 9) + ". " + other), (3, broken), (4, text(r, 300)), (5, None), (6, "")], None)
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(docs.withColumn("item_id", F.lit(1)), bench).collect()}
+    assert {(1, 7), (2, 7)} <= set(got) and not {k for k in got if k[0] in (4, 5, 6)}
+    assert got[(1, 7)].verbatim == got[(1, 7)].matched and got[(2, 7)].verbatim < got[(2, 7)].matched
+    assert (3, 7) not in got or got[(3, 7)].matched < got[(2, 7)].matched
+    assert sorted(x.doc_id for x in decontaminate.clean(docs.where("doc_id != 3"), bench).collect()) == [4, 5, 6]
+    assert decontaminate.leaks(docs, bench.where("false")).count() == 0
+
+
+def test_mixing_meets_its_targets(spark):
+    r = random.Random(6)
+    rows = [(i, text(r, r.randint(0, 60)), r.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(900)] + [(5000, None, "a"), (3, "x y", "b"), (3, "x y", "b")]
+    df = frame(spark, rows)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    weight = dict(zip(["a", "b", "c", None], (3, 1, 2, 3), strict=True))
+    want, open_, left = {}, set(size), 1.5 * sum(size.values())
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * size[s]}
+        want |= {s: 2.0 * size[s] for s in full} | ({} if full else {s: level * weight[s] for s in open_})
+        if not full:
+            break
+        left -= sum(2 * size[s] for s in full)
+        open_ -= full
+    for s in size:
+        assert {round(x.target, 6) for x in got if x.source == s} == {round(want[s], 6)}
+        assert abs(sum(x.taken for x in got if x.source == s) - want[s]) <= 60
+    assert all(x.taken <= 2 * x.size for x in got)
+    assert mixing.mix(df.where("false")).count() == 0
+    assert {x.taken for x in mixing.mix(frame(spark, [(1, "", "a"), (2, None, None)])).collect()} == {0}
+
+
+def test_audit_finds_every_changed_record(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" if i % 7 else None) for i in range(2500)] + [(3, "u3", "again")], "page_id long, url string, html string")
+    a = warc_fixity.leaves(pages)
+    bad = {5, 1030, 1031, 2499}
+    b = warc_fixity.leaves(pages, F.when(F.col("page_id").isin(*bad), "rot").otherwise(F.col("html")))
+    out = warc_fixity.audit(a, b)
+    assert {x.page_id for x in out.where("status = 'corrupt'").collect()} == bad and out.count() == 2501
+    assert {x.page_id for x in warc_fixity.audit(a, warc_fixity.leaves(pages.where("page_id != 2499"))).where("status != 'intact'").collect()} == {2499}
+    assert warc_fixity.audit(a.where("false"), a.where("false")).count() == 0
+
+
+def test_spread_lines_go_but_for_the_first(spark):
+    rows = [(i, f"own {i}\n  common line \nrare", f"s{i % 4}" if i else None) for i in range(6)] + [(9, None, "s1"), (10, "", "s1"), (11, "twice\ntwice", "s1")]
+    rows[4] = (4, "own 4\n\ncommon line", "s0")
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(frame(spark, rows).withColumn("h", F.lit(1))).collect()}
+    assert got[0].text == "own 0\n  common line \nrare" and got[1].text == "own 1" and got[4].text == "own 4\n"
+    assert got[9].text is None and got[10].text == "" and got[11].text == "twice\ntwice"
+    assert (got[1].lines_total, got[1].lines_removed) == (3, 2)
+    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base(t):
+    # The contract's patterns as they stand.
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    fits = {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")), "card": lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 8 <= len(digits(m)) <= 15}
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in kinds.items() for m in re.finditer(p, t) if fits[k](m.group())]
+
+
+def test_base_spans_equal_the_patterns(spark):
+    r = random.Random(7)
+    bits = ["a@b.c", "@", ".", "x_y%z@q-r.s.t", "1.2.3.4", "300.1.1.1", "001.255.0.9", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (22) 333-44.55", "+", "-", " ", "7", "é", "𝒳", "_", "\n", "+49", "12345678"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(400)] + [None, "1.2.3.4 " * 700, "9" * 30_000, "a." * 20_000 + "@b", "1 " * 20_000, "a@" + "b." * 20_000 + "c"]
+    df = frame(spark, list(enumerate(texts)), None)
+    got = {x.doc_id: x for x in pii.digest(pii.find_base(df).withColumn("term", F.array().cast("array<struct<start:int,end:int>>"))).collect()}
+    for i, t in enumerate(texts):
+        if t is None or len(t) < 10_000 or t.startswith("9"):
+            assert got[i].spans == ",".join(base(t or "")), t
+    assert all(x.base_sha256 == hashlib.sha256(x.spans.encode()).hexdigest() for x in got.values())
+
+
+def test_disclosing_words_are_found_and_taken(spark):
+    r = random.Random(8)
+    rows = [(i, f"{text(r, 20)} colleague Zimmerfeld a.b@c.org said {text(r, 20)}") for i in range(5)] + [(10 + i, text(r, 40)) for i in range(200)]
+    got = {x.doc_id: x for x in pii.find(frame(spark, rows, None)).collect()}
+    words = {t[s.start : s.end] for i, t in rows for s in got[i].term}
+    assert "Zimmerfeld" in words and not words & set(WORDS)
+    clean = {x.doc_id: x.text for x in pii.sanitise(frame(spark, rows, None)).collect()}
+    assert "[EMAIL]" in clean[0] and "Zimmerfeld" not in clean[0] and clean[10] == rows[5][1]
