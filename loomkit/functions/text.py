@@ -69,33 +69,49 @@ def initial_letter(text: Column) -> Column:
     return F.nullif(F.upper(F.substring(text, 1, 1)), F.lit(""))
 
 
-def wrap_lines(text: str, width: int) -> tuple[str, bool]:
-    """Greedy wrapping by display width; gives the lines joined by newlines and whether any line was cut."""
-    measure = lambda s: sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in s)
+def _measure(s: str) -> int:
+    return sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in s)
+
+
+def _rows(line: str, width: int) -> list[str]:
+    """The rows of a line that is too wide. A row that a fitting token fills is closed at once; one filled by a token that overflowed stays open, so that a space after it starts the next row."""
+    out, row, used = [], "", 0
+    for token in _tokens(line):
+        size = _measure(token)
+        if token.isspace() and not used:
+            continue
+        fits = used + size <= width
+        if not fits and used:
+            out.append(row.rstrip())
+            row, used = "", 0
+        while size > width and len(token) > width:
+            out.append(token[:width])
+            token = token[width:]
+            size = _measure(token)
+        row, used = row + token, used + size
+        if fits and used == width:
+            out.append(row.rstrip())
+            row, used = "", 0
+    return [*out, row.rstrip()] if row else out
+
+
+def wrap_lines(text: str, width: int, once: bool = False) -> tuple[str, bool]:
+    """Greedy wrapping by display width; gives the lines joined by newlines and whether any line was cut.
+
+    With ``once`` the first line that is too wide is broken in two, and what follows is the text from
+    the place that the broken line's length gives; narrow lines before it run together.
+    """
     out, cut = [], False
     for raw in text.splitlines():
         line = " ".join(raw.split())
-        if measure(line) <= width:
+        if _measure(line) <= width:
             out.append(line)
             continue
-        cut, row, used = True, "", 0
-        for token in _tokens(line):
-            size = measure(token)
-            if token.isspace() and not used:
-                continue
-            if used + size > width and used:
-                out.append(row.rstrip())
-                row, used = "", 0
-            while size > width and len(token) > width:
-                out.append(token[:width])
-                token = token[width:]
-                size = measure(token)
-            row, used = row + token, used + size
-            if used == width:
-                out.append(row.rstrip())
-                row, used = "", 0
-        if row:
-            out.append(row.rstrip())
+        cut, rows = True, _rows(line, width)
+        if once:
+            broken = rows[0] + "\n" + " ".join(rows[1:])
+            return "".join(out) + broken + text[len(broken) :].rstrip(), True
+        out += rows
     return "\n".join(out), cut
 
 
@@ -113,10 +129,10 @@ def _tokens(line: str):
         yield held
 
 
-def wrap_text(text: Column, width: int) -> Column:
-    """struct<text, is_wrapped>: the text wrapped at ``width`` columns; null stays null."""
+def wrap_text(text: Column, width: int, once: bool = False) -> Column:
+    """struct<text, is_wrapped>: the text wrapped at ``width`` columns, everywhere or once; null stays null."""
     @F.pandas_udf("text string, is_wrapped boolean")
     def wrap(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if t is None else wrap_lines(t, width) for t in texts], columns=["text", "is_wrapped"])
+        return pd.DataFrame([(None, None) if t is None else wrap_lines(t, width, once) for t in texts], columns=["text", "is_wrapped"])
 
     return wrap(text)

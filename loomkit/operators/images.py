@@ -89,18 +89,40 @@ def cover_crop(images: DataFrame, d: int) -> DataFrame:
     return _each(images, lambda a: cover(a, d))
 
 
-def acrylic_composite(images: DataFrame, luminosity=(255, 255, 255, 10), tint=(242, 242, 242, 150), radius: float = 6) -> DataFrame:
-    """Blur, then luminosity, then tint."""
-    return _each(images, lambda a: over(over(blur(a, radius), luminosity), tint))
+def acrylic_composite(images: DataFrame, luminosity=(255, 255, 255, 10), tint=(242, 242, 242, 150), radius: float = 6, noise: np.ndarray | None = None, opacity: float = 0.03) -> DataFrame:
+    """Blur, then luminosity, then tint, then ``noise`` (h, w, 3), repeated over the image, at ``opacity``."""
+    def job(a):
+        out = over(over(blur(a, radius), luminosity), tint)
+        if noise is None:
+            return out
+        tiled = np.tile(noise, (-(-out.shape[0] // noise.shape[0]), -(-out.shape[1] // noise.shape[1]), 1))
+        return np.trunc(out * (1 - opacity) + tiled[: out.shape[0], : out.shape[1]] * opacity)
+
+    return _each(images, job)
+
+
+def rotate(a: np.ndarray, degrees: float) -> tuple[np.ndarray, np.ndarray]:
+    """``a`` turned clockwise about its centre into the box that holds it, nearest pixels; and where the box shows it."""
+    h, w = a.shape[:2]
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    bw, bh = (max(1, int(round(n, 6) + 0.5)) for n in (w * abs(c) + h * abs(s), w * abs(s) + h * abs(c)))
+    y, x = np.mgrid[:bh, :bw]
+    y, x = y - (bh - 1) / 2, x - (bw - 1) / 2
+    from_x, from_y = (np.rint(np.round(v, 6)).astype(int) for v in (c * x + s * y + (w - 1) / 2, c * y - s * x + (h - 1) / 2))
+    inside = (from_x >= 0) & (from_x < w) & (from_y >= 0) & (from_y < h)
+    return a[from_y.clip(0, h - 1), from_x.clip(0, w - 1)], inside
+
 
+def watermark_overlay(images: DataFrame, mark: np.ndarray, anchor: int = 8, opacity: float = 20, zoom: float = 100, rotation: float = 0) -> DataFrame:
+    """``mark`` (h, w, 3), scaled and turned, over each image at one of nine anchors (0 top left to 8 bottom right), cut where it would stand out."""
+    scaled = resize(mark, max(1, int(mark.shape[1] * zoom / 100)), max(1, int(mark.shape[0] * zoom / 100)))
+    turned, seen = rotate(scaled, rotation)
 
-def watermark_overlay(images: DataFrame, mark: np.ndarray, anchor: int = 8, opacity: float = 20, zoom: float = 100) -> DataFrame:
-    """``mark`` (h, w, 3) over each image at one of nine anchors (0 top left to 8 bottom right), cut where it would stand out."""
     def job(a):
-        m = resize(mark, max(1, int(mark.shape[1] * zoom / 100)), max(1, int(mark.shape[0] * zoom / 100)))[: a.shape[0], : a.shape[1]]
+        m, k = turned[: a.shape[0], : a.shape[1]], seen[: a.shape[0], : a.shape[1], None] * (opacity / 100)
         y = (a.shape[0] - m.shape[0]) * (anchor // 3) // 2
         x = (a.shape[1] - m.shape[1]) * (anchor % 3) // 2
-        out, k = a[:, :, :3].astype(float), opacity / 100
+        out = a[:, :, :3].astype(float) if a.shape[2] > 1 else np.repeat(a, 3, 2).astype(float)
         part = out[y : y + m.shape[0], x : x + m.shape[1]]
         part[:] = np.trunc(part * (1 - k) + m * k)
         return np.concatenate([out, a[:, :, 3:]], 2)

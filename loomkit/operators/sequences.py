@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,11 @@ def burst_ratio(events: DataFrame, seconds: float = 0.5, cap: int = 15, user: st
     return events.withColumn("ratio", F.least(F.count("*").over(w) / float(cap), F.lit(1.0)))
 
 
+def boosted(delta: Column, ratio: Column, step: float = 1.5, acceleration: float = 1.0) -> Column:
+    """The distance of an impulse: longer the denser the burst it stands in."""
+    return delta * step * (1 + acceleration * ratio)
+
+
 def kernel(mode: str = "linear") -> np.ndarray:
     """The weights of an impulse's ``STEPS`` frames; they sum to 1."""
     x, m = np.abs(np.arange(STEPS) - STEPS / 2), STEPS / 2
@@ -50,6 +55,22 @@ def drift_events(positions: DataFrame, threshold: float = 150, session: str = "s
     return positions.withColumn("main", last("main")).withColumn("sub", last("sub")).where(F.abs(F.col("main") - F.col("sub")) > threshold)
 
 
+def drift_ticks(positions: DataFrame, threshold: float = 150, tick_ms: int = 200, session: str = "session_id") -> DataFrame:
+    """(session, tick, main, sub): ticks of ``tick_ms`` at whose end both tracks play more than ``threshold`` apart; sub is then set to main.
+
+    ``positions``: track (main or sub), ts, event_id, position, playing. A tick without rows changes nothing and is left out.
+    """
+    far = positions.withColumn("tick", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / tick_ms))
+    order = W.partitionBy(session).orderBy("ts", "event_id")
+    known = order.rowsBetween(W.unboundedPreceding, 0)
+    last = lambda t, c: F.last(F.when(F.col("track") == t, F.col(c)), ignorenulls=True).over(known)
+    state = far.select(
+        session, "tick", last("main", "position").alias("main"), last("sub", "position").alias("sub"),
+        (last("main", "playing") & last("sub", "playing")).alias("both"), F.lead("tick").over(order).alias("next"))
+    ends = F.col("next").isNull() | (F.col("next") != F.col("tick"))
+    return state.where(ends & F.col("both") & (F.abs(F.col("main") - F.col("sub")) > threshold)).select(session, "tick", "main", "sub")
+
+
 def clamped_running_product(events: DataFrame, user: str, order: list[str], up: str, low: float = 0.1, high: float = 10.0) -> DataFrame:
     """(user, zoom): from 1, times 1.25 where ``up`` is true and 0.8 where not, held within the limits at each step."""
     steps = F.array_sort(F.collect_list(F.struct(*order, F.col(up).alias("up"))))

@@ -62,6 +62,12 @@ def burst_counts(spark, sf_dir):
     return sequences.burst_ratio(e, 3600).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("ratio"), 9).alias("most"))
 
 
+@query(f"SELECT b.event_id, b.user_id, round(e.value * 1.5 * (1 + b.ratio), 6) AS delta FROM ({BURSTS.format(src='SELECT * FROM events')}) b JOIN events e USING (event_id)")
+def burst_delta(spark, sf_dir):
+    e = sequences.burst_ratio(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value"), 3600)
+    return e.select("event_id", "user_id", F.round(sequences.boosted(F.col("value"), F.col("ratio")), 6).alias("delta"))
+
+
 @query("""
 WITH k AS (SELECT i AS k, (12 - abs(i - 12)) / 144.0::DOUBLE AS w FROM range(24) t(i))
 SELECT user_id, floor(epoch_us(ts) / 1000 / 60000)::BIGINT + k AS frame, round(sum(value * w), 9) AS delta FROM events, k GROUP BY 1, 2""")
@@ -82,6 +88,39 @@ def drift_events(spark, sf_dir):
     return sequences.drift_events(p, 20, "user_id").select("user_id", "event_id", "main", "sub")
 
 
+PLAYED = "SELECT user_id, event_id, ts, CASE WHEN event_type = 'view' THEN 'main' ELSE 'sub' END AS track, value AS position, event_type <> 'purchase' AS playing FROM events WHERE event_type IN ('view', 'click', 'purchase')"
+
+
+def _played(events: DataFrame) -> DataFrame:
+    """Positions of two tracks: views of main, clicks and purchases of sub, which a purchase stops."""
+    kind = F.col("event_type")
+    return events.where(kind.isin("view", "click", "purchase")).select(
+        "user_id", "event_id", "ts", F.when(kind == "view", "main").otherwise("sub").alias("track"), F.col("value").alias("position"), (kind != "purchase").alias("playing"))
+
+
+@query(f"""
+WITH p AS (SELECT *, floor(epoch_us(ts) / 1000 / 3600000)::BIGINT AS tick FROM ({PLAYED})),
+a AS (SELECT user_id, tick, last_value(CASE WHEN track = 'main' THEN position END IGNORE NULLS) OVER w AS main, last_value(CASE WHEN track = 'sub' THEN position END IGNORE NULLS) OVER w AS sub,
+  last_value(CASE WHEN track = 'sub' THEN playing END IGNORE NULLS) OVER w AS plays, row_number() OVER (PARTITION BY user_id, tick ORDER BY ts DESC, event_id DESC) AS n FROM p
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, tick, main, sub FROM a WHERE n = 1 AND plays AND abs(main - sub) > 20""")
+def drift_ticks(spark, sf_dir):
+    """Ticks of an hour, for events are sparse."""
+    return sequences.drift_ticks(_played(_table(spark, sf_dir, "events")), 20, 3_600_000, "user_id")
+
+
+@query(f"""
+WITH p AS (SELECT * FROM ({PLAYED}) WHERE playing),
+w AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day, arg_max(position, ts) FILTER (track = 'main') AS main, arg_max(position, ts) FILTER (track = 'sub') AS sub FROM p GROUP BY 1, 2)
+SELECT user_id, epoch_ms(day) AS day_ms, main, sub FROM w WHERE abs(main - sub) > 20 AND day + INTERVAL 1 DAY <= (SELECT max(ts) FROM p) - INTERVAL 1 SECOND""")
+def stream_drift(spark, sf_dir):
+    """The stream of positions to its end, in ticks of a day; the ticks that the watermark has passed."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streams.stream_drift(_played(e).withColumnRenamed("user_id", "session_id"), 20, "1 day")
+    return _drained(found.select(F.col("session_id").alias("user_id"), F.unix_millis("window.start").alias("day_ms"), "main", "sub"), "append")
+
+
 def _ops(spark, sf_dir):
     kind = F.col("event_type")
     op = F.when(kind == "error", "pop").when(kind == "signup", "remove").otherwise("push")
@@ -90,12 +129,21 @@ def _ops(spark, sf_dir):
         "user_id", "unix_micros(timestamp(o.ts)) * 1000 + o.event_id % 1000 AS seq", "op", "key")
 
 
-@query()
+# Each event is a list of one key, so that a fold over lists can carry the history.
+FOLD = "SELECT user_id, list_reduce(list_prepend([]::VARCHAR[], list([event_type] ORDER BY ts, event_id)), lambda a, b: {step}) AS history FROM events GROUP BY user_id"
+PUSH = "CASE WHEN len(a) > 0 AND a[len(a)] = b[1] THEN a ELSE list_concat(a, b) END"
+REPLAYED = FOLD.format(step=f"""CASE b[1] WHEN 'error' THEN a[1:greatest(len(a) - 1, 0)]
+  WHEN 'signup' THEN list_filter(list_filter(a, lambda x: x <> 'view'), lambda x, i: i = 1 OR x <> list_filter(a, lambda y: y <> 'view')[i - 1]) ELSE {PUSH} END""")
+TRAILED = FOLD.format(step="""CASE b[1] WHEN 'error' THEN a[1:greatest(len(a) - 1, 0)] WHEN 'signup' THEN CASE WHEN list_contains(a, 'view') THEN a[1:list_position(a, 'view')] ELSE a END
+  ELSE CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END END""")
+
+
+@query(REPLAYED)
 def replay_history(spark, sf_dir):
     return sequences.replay_history(_ops(spark, sf_dir))
 
 
-@query()
+@query(TRAILED)
 def breadcrumb_trail(spark, sf_dir):
     return sequences.breadcrumb_trail(_ops(spark, sf_dir).withColumn("op", F.when(F.col("op") == "remove", "select").otherwise(F.col("op"))))
 
@@ -137,14 +185,14 @@ def failure_report(spark, sf_dir):
     return aggregates.failure_report(_as_jobs(_table(spark, sf_dir, "orders")))
 
 
-@query()
+@query(STATUS)
 def stream_job_status(spark, sf_dir):
     """The stream of orders to its end; the counts equal those of job_status."""
     schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
     return _drained(streams.stream_job_status(_as_jobs(spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*"))), "complete")
 
 
-@query()
+@query(FOLD.format(step=f"CASE b[1] WHEN 'error' THEN a[1:greatest(len(a) - 1, 0)] ELSE {PUSH} END"))
 def stream_history(spark, sf_dir):
     """The stream of events to its end, each user's last history."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -159,8 +207,10 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
     path = f"{top}/stream-{uuid.uuid4().hex}"
     write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    write.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    # Appended rows are kept of every batch, under its number, so that a repeated batch replaces itself; other modes keep the last batch.
+    out = (lambda n: f"{path}/out/batch={n}") if mode == "append" else lambda n: f"{path}/out"
+    write.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out(n))).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(stream.columns)
 
 
 @query("""
@@ -192,7 +242,11 @@ def budget_need(spark, sf_dir):
     return aggregates.budget_need(_items(spark, sf_dir), "group_id", "size", 4)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pos) AS n FROM ({ITEMS})),
+p AS (SELECT group_id, pos, size, n, 0::BIGINT AS row, size + 4 AS used FROM i WHERE n = 1
+  UNION ALL SELECT i.group_id, i.pos, i.size, i.n, CASE WHEN p.used + i.size > 800 THEN p.row + 1 ELSE p.row END, CASE WHEN p.used + i.size > 800 THEN i.size + 4 ELSE p.used + i.size + 4 END FROM p JOIN i ON i.group_id = p.group_id AND i.n = p.n + 1)
+SELECT group_id, pos, size, 1 AS height, row FROM p""")
 def pack_rows(spark, sf_dir):
     return aggregates_pack(_items(spark, sf_dir))
 
@@ -382,6 +436,12 @@ def wrap_text(spark, sf_dir):
     return d.select("doc_id", "w.is_wrapped", F.size(F.split("w.text", "\n")).alias("lines"), F.md5("w.text").alias("text_md5"))
 
 
+@query()
+def wrap_text_once(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", text.wrap_text(F.col("text"), 80, once=True).alias("w"))
+    return d.select("doc_id", "w.is_wrapped", F.md5("w.text").alias("text_md5"))
+
+
 # Lookups
 
 WORDS = "SELECT word AS key, p_brand AS value, p_partkey * 100 + i AS seq FROM (SELECT p_brand, p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(len(string_split(p_name, ' ')))) AS i FROM part)"
@@ -540,6 +600,13 @@ def watermark_overlay(spark, sf_dir):
     return _seen(images.watermark_overlay(_images(spark, sf_dir), np.full((2, 3, 3), 255, np.uint8)))
 
 
+@query()
+def watermark_rotated(spark, sf_dir):
+    import numpy as np
+
+    return _seen(images.watermark_overlay(_images(spark, sf_dir), np.full((2, 4, 3), 255, np.uint8), anchor=4, opacity=50, rotation=90))
+
+
 @query()
 def dominant_color(spark, sf_dir):
     return images.dominant_color(_images(spark, sf_dir))

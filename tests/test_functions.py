@@ -28,11 +28,17 @@ def test_templates(spark):
 
 
 @pytest.mark.parametrize(("line", "width", "want"), [
-    ("aaa bbb", 3, "aaa\nbbb"), ("aaa", 3, "aaa"), ("漢漢漢", 4, "漢漢\n漢"), ("abcdefgh", 3, "abc\ndef\ngh"), ("", 5, ""), ("a\x0bb", 5, "a\nb")])
+    ("aaa bbb", 3, "aaa\nbbb"), ("aaa", 3, "aaa"), ("漢漢漢", 4, "漢漢\n漢"), ("abcdefgh", 3, "abc\ndef\ngh"), ("", 5, ""), ("a\x0bb", 5, "a\nb"),
+    ("a bbb c", 3, "a\nbbb\n c"), ("abcdef gh", 3, "abc\ndef\n gh"), ("aaa b", 3, "aaa\nb")])
 def test_wrap(line, width, want):
     assert wrap_lines(line, width)[0] == want
 
 
+@pytest.mark.parametrize(("whole", "want"), [("aaa bbb ccc", "aaa\nbbb ccc"), ("aa", "aa"), ("x\naaa bbb", "xaaa\nbbbbb"), ("", "")])
+def test_wrap_once(whole, want):
+    assert wrap_lines(whole, 3, once=True)[0] == want
+
+
 def test_wrap_column_keeps_null(spark):
     df = spark.createDataFrame([("aaa bbb",), (None,)], "t string").select(text.wrap_text(F.col("t"), 3).alias("w"))
     assert [r.w and r.w.text for r in df.collect()] == ["aaa\nbbb", None]

@@ -71,6 +71,31 @@ def test_images(spark):
     assert images.choose([(90, 90, 90)]) == images.DEFAULT_COLOR
 
 
+def test_turned_marks():
+    mark = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    for degrees, want in [(0, mark), (90, np.rot90(mark, -1)), (180, mark[::-1, ::-1]), (-90, np.rot90(mark))]:
+        got, seen = images.rotate(mark, degrees)
+        assert seen.all() and (got == want).all()
+    got, seen = images.rotate(mark, 45)
+    assert not seen.all() and seen.any()
+
+
+def test_marks_and_noise_on_images(spark):
+    flat = np.full((4, 4, 3), 100, np.uint8)
+    df = spark.createDataFrame([("flat", *image(flat))], "image_id string, width int, height int, channels int, data binary")
+    got = images.pixels(images.watermark_overlay(df, np.full((1, 2, 3), 200, np.uint8), anchor=0, opacity=50, rotation=90).first())
+    assert got[:2, 0].tolist() == [[150] * 3] * 2 and (got[2:] == 100).all() and (got[:, 1:] == 100).all()
+    noise = np.array([[[0] * 3, [255] * 3]], np.uint8)
+    got = images.pixels(images.acrylic_composite(df, (0, 0, 0, 0), (0, 0, 0, 0), 1, noise, 0.2).first())
+    assert got[0, :, 0].tolist() == [80, 131, 80, 131]
+
+
+def test_drift_needs_more_than_the_threshold_while_both_play(spark):
+    rows = [(1, 1, 0, "main", 1000, True), (1, 2, 10, "sub", 850, True), (2, 3, 0, "main", 1000, True), (2, 4, 10, "sub", 849, True), (3, 5, 0, "main", 1000, True), (3, 6, 10, "sub", 0, False)]
+    p = spark.createDataFrame(rows, "session_id long, event_id long, ms long, track string, position long, playing boolean").selectExpr("*", "timestamp_millis(ms) AS ts")
+    assert [tuple(r) for r in sequences.drift_ticks(p).collect()] == [(2, 0, 1000, 849)]
+
+
 def png(a):
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     raw = b"".join(b"\0" + row.tobytes() for row in a)
