@@ -13,7 +13,7 @@ DARK = ((1, 0.9), (0.977, 0.82), (0.95, 0.7), (0.92, 1), (0.78, 1), (0.65, 1), (
 
 def parse_hex_color(text: Column, default: str) -> Column:
     """struct<r, g, b, a> of RRGGBB or AARRGGBB, with or without #; of anything else the default's."""
-    good = F.when(text.rlike("^#?(?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})$"), F.ltrim(F.replace(text, F.lit("#"), F.lit(""))))
+    good = F.when(text.rlike(r"^#?(?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})\z"), F.ltrim(F.replace(text, F.lit("#"), F.lit(""))))
     h = F.coalesce(good, F.lit(default.lstrip("#")))
     h = F.lpad(h, 8, "F")
     part = lambda k: F.conv(F.substring(h, k, 2), 16, 10).cast("int")

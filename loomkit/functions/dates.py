@@ -61,7 +61,8 @@ def encode_suffix(n: Column, suffix: str) -> Column:
 
 
 def decode_suffix(text: Column) -> Column:
-    return F.substring(text, F.lit(1), F.char_length(text) - 1).cast("int")
+    """The number before a suffix of one character; null if there is none."""
+    return F.substring(text, F.lit(1), F.char_length(text) - 1).try_cast("int")
 
 
 def pad2(n: Column) -> Column:

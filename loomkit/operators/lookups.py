@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def dictionary(entries: DataFrame) -> DataFrame:
     """(key, value): lower-case keys of a-z only, the last insert (by seq) of each."""
-    e = entries.select(F.lower("key").alias("key"), "value", "seq").where(F.col("key").rlike("^[a-z]*$"))
+    e = entries.select(F.lower("key").alias("key"), "value", "seq").where(F.col("key").rlike(r"^[a-z]*\z"))
     return e.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
@@ -56,13 +56,14 @@ def localize(df: DataFrame, *catalogues: DataFrame) -> DataFrame:
 
 
 def correct_value(value: Column, kind: Column, low: Column, high: Column, options: Column, default: Column) -> Column:
-    """The value by its kind's rule: range clamps, option and bool fall to their first option, colour to the default."""
-    number = value.cast("double")
+    """The value by its kind's rule: range clamps, option and bool fall to their first option, colour and what is no number to the default."""
+    number = value.try_cast("double")
     return (
-        F.when(kind == "range", F.coalesce(F.greatest(low, F.least(high, number)).cast("int").cast("string"), default))
+        F.when((kind == "range") & number.isNotNull(), F.greatest(low, F.least(high, number)).cast("int").cast("string"))
         .when(kind == "option", F.when(F.array_contains(options, value), value).otherwise(F.element_at(options, 1)))
         .when(kind == "bool", F.when(value.isin("true", "false"), value).otherwise("true"))
-        .when(kind == "color", F.when(value.rlike("^#(?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})$"), value).otherwise(default))
+        .when(kind == "color", F.when(value.rlike("^#(?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})\\z"), value).otherwise(default))
+        .when(kind == "range", default)
         .otherwise(F.coalesce(value, default)))
 
 

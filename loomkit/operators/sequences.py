@@ -34,18 +34,20 @@ def boosted(delta: Column, ratio: Column, step: float = 1.5, acceleration: float
     return delta * step * (1 + acceleration * ratio)
 
 
-def kernel(mode: str = "linear") -> np.ndarray:
-    """The weights of an impulse's ``STEPS`` frames; they sum to 1."""
-    x, m = np.abs(np.arange(STEPS) - STEPS / 2), STEPS / 2
-    w = {"constant": np.ones(STEPS), "linear": m - x, "quadratic": m * m - x * x, "cosine": np.cos(x * np.pi / STEPS)}[mode]
-    return w / w.sum()
-
-
-def spread_impulses(events: DataFrame, key: str, ts: str, delta: str, frame_ms: int = 16, mode: str = "linear") -> DataFrame:
-    """(key, frame, delta): each impulse spread over its frames, overlaps added."""
-    weights = F.array(*[F.lit(float(x)) for x in kernel(mode)])
+def kernel(mode: str = "linear", steps: int = STEPS) -> np.ndarray:
+    """The weights of an impulse's frames; they sum to 1, those of the quadratic kernel nearly."""
+    m = steps / 2
+    x = np.abs(np.arange(steps) - m) / m
+    shape = {"constant": np.full(steps, 0.5), "linear": 1 - x, "quadratic": 0.75 * (1 - x * x), "cosine": (1 + np.cos(np.pi * x)) / 2}
+    return shape[mode] / m
+
+
+def spread_impulses(events: DataFrame, key: str, ts: str, delta: str, frame_ms: int = 16, mode: str = "linear", steps: int = STEPS, whole: bool = False) -> DataFrame:
+    """(key, frame, delta): each impulse spread over its frames, overlaps added; ``whole`` rounds each frame, halves to even."""
+    weights = F.array(*[F.lit(float(x)) for x in kernel(mode, steps)])
+    total = F.sum(F.col("d") * F.col("w"))
     rows = events.select(key, F.floor(F.unix_millis(F.col(ts).cast("timestamp")) / frame_ms).alias("frame0"), F.col(delta).alias("d"), F.posexplode(weights).alias("k", "w"))
-    return rows.groupBy(key, (F.col("frame0") + F.col("k")).alias("frame")).agg(F.sum(F.col("d") * F.col("w")).alias("delta"))
+    return rows.groupBy(key, (F.col("frame0") + F.col("k")).alias("frame")).agg((F.bround(total) if whole else total).alias("delta"))
 
 
 def drift_events(positions: DataFrame, threshold: float = 150, session: str = "session_id") -> DataFrame:

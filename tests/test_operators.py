@@ -19,7 +19,20 @@ def test_folds():
 
 @pytest.mark.parametrize("mode", ["constant", "linear", "quadratic", "cosine"])
 def test_kernels_sum_to_one(mode):
-    assert sequences.kernel(mode).sum() == pytest.approx(1)
+    assert sequences.kernel(mode).sum() == pytest.approx(1, abs=0.002)
+    assert sequences.kernel(mode)[12] == pytest.approx({"constant": 1 / 24, "quadratic": 1 / 16}.get(mode, 1 / 12))
+
+
+def test_impulses_in_whole_steps(spark):
+    e = spark.createDataFrame([("k", 0, 120.0), ("k", 16, 120.0)], "key string, ms long, delta double").selectExpr("*", "timestamp_millis(ms) AS ts")
+    got = {r.frame: r.delta for r in sequences.spread_impulses(e, "key", "ts", "delta", whole=True).collect()}
+    assert len(got) == 25 and got[0] == 0 and got[1] == 1 and got[2] == 2 and got[12] == 19 and got[24] == 1
+
+
+def test_what_is_no_number_falls_to_the_default(spark):
+    schema = spark.createDataFrame([("r", "range", 5.0, 9.0, None, "7"), ("c", "color", None, None, None, "#000000")], "key string, kind string, min double, max double, options array<string>, default string")
+    got = lookups.overlay_settings(spark.createDataFrame([(1, "r", "abc"), (1, "c", "#FFFFFF\n"), (2, "r", "6.5")], "entity_id long, key string, value string"), schema)
+    assert {(r.entity_id, r.key, r.value) for r in got.collect()} == {(1, "r", "7"), (1, "c", "#000000"), (2, "r", "6"), (2, "c", "#000000")}
 
 
 def test_pack_and_budget(spark):
