@@ -6,6 +6,10 @@ joined by hash with those of the benchmark items, so that a question with other
 names still meets its original. A match counts only if its slots are consistent: at one
 alignment of text and item, equal slots of the item stand for equal slots of the text, and
 the other way round.
+
+Two exact paths go beside the templates, both over the tokens' own hashes. ``RUN`` consecutive
+tokens of an item are a leak however long the item is, and an item too dense in numbers, names
+and units to have a window of enough literals is looked up by its words as they stand.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import mix, small_batches, windows
 
 WINDOW, LEAST_LITERALS, LEAST_SHARE = 8, 5, 0.3
+#: So many consecutive tokens word for word are a leak, whatever share of the item they are.
+RUN = 13
 #: Items that are held by every task at once; a longer benchmark is taken in blocks.
 BLOCK_CHARS = 20_000_000
 
@@ -58,21 +64,59 @@ class Reader:
         return np.where(kind == LITERAL, h, _PLACE[kind]), kind, h
 
 
+class Table:
+    """Windows of the items, sorted by hash: hash, item's place, offset in the item."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, int, np.ndarray]] = []
+
+    def add(self, hashes: np.ndarray, owner: int, offset: np.ndarray) -> None:
+        self.parts.append((hashes, owner, offset))
+
+    def sort(self) -> Table:
+        self.hash = np.concatenate([h for h, _, _ in self.parts]) if self.parts else np.zeros(0, np.uint64)
+        owner = np.repeat(np.array([k for _, k, _ in self.parts], np.int32), [len(h) for h, _, _ in self.parts])
+        offset = np.concatenate([i for _, _, i in self.parts]).astype(np.int32) if self.parts else np.zeros(0, np.int32)
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.owner, self.offset, self.parts = self.hash[order], owner[order], offset[order], []
+        return self
+
+    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``w`` whose hash is held, where its rows begin)."""
+        if not len(self.hash) or not len(w):
+            return np.zeros(0, int), np.zeros(0, int)
+        lo = np.searchsorted(self.hash, w)
+        hit = np.nonzero(self.hash[lo.clip(max=len(self.hash) - 1)] == w)[0]
+        return hit, lo[hit]
+
+    def found(self, w: np.ndarray) -> dict[int, set[int]]:
+        """item's place -> the offsets of its windows that are among ``w``."""
+        hit, lo = self.hits(w)
+        out: dict[int, set[int]] = {}
+        for j, d in sorted({int(j): int(d) for j, d in zip(lo, hit, strict=True)}.items()):
+            for n in range(j, int(np.searchsorted(self.hash, w[d], "right"))):
+                out.setdefault(int(self.owner[n]), set()).add(int(self.offset[n]))
+        return out
+
+
 def _items(rows: list[tuple[int, str]]):
-    """The windows of the items, sorted by hash: (hash, item's place, offset), and the items' reads."""
-    reader, reads, hashes, owner, offset = Reader(), [], [], [], []
+    """The items' tables (windows by template; by token of the items that have none of those; runs by token), and the items' reads."""
+    reader, reads, template_at, plain_at, runs_at = Reader(), [], Table(), Table(), Table()
     for k, (_, text) in enumerate(rows):
         template, kind, h = reader.read(text)
         w = windows(template, WINDOW)
         literal = windows_sum(kind == LITERAL, WINDOW)
         good = np.nonzero(literal >= min(LEAST_LITERALS, len(template)))[0] if len(w) else np.zeros(0, int)
-        reads.append((kind, h, len(good)))
-        hashes.append(w[good])
-        owner.append(np.full(len(good), k))
-        offset.append(good)
-    hashes, owner, offset = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.uint64), (owner, int), (offset, int)))
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], owner[order], offset[order], reads
+        if len(good):
+            template_at.add(w[good], k, good)
+        else:
+            w = windows(h, WINDOW)
+            plain_at.add(w, k, np.arange(len(w)))
+        if len(h) >= RUN:
+            runs = windows(h, RUN)
+            runs_at.add(runs, k, np.arange(len(runs)))
+        reads.append((kind, h, len(good), len(good) or len(w)))
+    return template_at.sort(), plain_at.sort(), runs_at.sort(), reads
 
 
 def windows_sum(flags: np.ndarray, width: int) -> np.ndarray:
@@ -94,9 +138,16 @@ def _consistent(item_h, item_kind, doc_h, doc_kind, item_at: np.ndarray, doc_at:
     return ok
 
 
+def _covered(offsets: set[int]) -> int:
+    """How many tokens of an item lie in its runs that begin at ``offsets``."""
+    at = sorted(offsets)
+    return RUN + sum(min(RUN, y - x) for x, y in zip(at, at[1:], strict=False)) if at else 0
+
+
 def _match(items):
-    ids, hashes, owner, offset, reads = items
-    short = {len(h) for _, h, n in reads if n and len(h) < WINDOW}
+    ids, table, plain, runs, reads = items
+    short = {len(h) for _, h, n, _ in reads if n and len(h) < WINDOW}
+    plain_short = {len(h) for _, h, n, _ in reads if not n and 0 < len(h) < WINDOW}
 
     def run(batches):
         reader = Reader()
@@ -105,38 +156,46 @@ def _match(items):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 template, kind, h = reader.read(text)
                 best: dict[int, dict[int, bool]] = {}
-                for width in [WINDOW, *short] if len(hashes) else []:
+                for width in [WINDOW, *short] if len(table.hash) else []:
                     if len(template) < width:
                         continue
                     w = windows(template, width)
-                    lo = np.searchsorted(hashes, w)
-                    hit = np.nonzero(hashes[lo.clip(max=len(hashes) - 1)] == w)[0]
-                    pairs = [(int(owner[j]), int(offset[j]), int(d)) for d in hit.tolist() for j in range(int(lo[d]), int(np.searchsorted(hashes, w[d], "right")))]
+                    hit, lo = table.hits(w)
+                    pairs = [(int(table.owner[j]), int(table.offset[j]), d) for d, first in zip(hit.tolist(), lo.tolist(), strict=True) for j in range(first, int(np.searchsorted(table.hash, w[d], "right")))]
                     by: dict[tuple[int, int], list] = {}
                     for k, i, d in pairs:
                         by.setdefault((k, d - i), []).append((i, d))
                     for (k, _), found in sorted(by.items()):
                         i, d = (np.array(x) for x in zip(*sorted(found), strict=True))
-                        item_kind, item_h, _ = reads[k]
+                        item_kind, item_h, *_ = reads[k]
                         ok = _consistent(item_h, item_kind, h, kind, i, d)
                         for a, b in zip(i[ok].tolist(), d[ok].tolist(), strict=True):
                             same = bool((item_h[a : a + width] == h[b : b + width]).all())
                             best.setdefault(k, {})[a] = best.get(k, {}).get(a, False) or same
-                for k, found in sorted(best.items()):
-                    out.append((doc_id, ids[k], len(found), reads[k][2], sum(found.values())))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
+                for width in [WINDOW, *plain_short] if len(plain.hash) else []:
+                    if len(h) >= width:
+                        for k, found in plain.found(windows(h, width)).items():
+                            best.setdefault(k, {}).update(dict.fromkeys(found, True))
+                held = runs.found(windows(h, RUN)) if len(h) >= RUN else {}
+                for k in sorted({*best, *held}):
+                    found = best.get(k, {})
+                    out.append((doc_id, ids[k], len(found), reads[k][3], sum(found.values()), _covered(held.get(k, set()))))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], batch.column("doc_id").type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "item_id", "matched", "windows", "verbatim"])
+                [pa.array(cols[0], batch.column("doc_id").type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "item_id", "matched", "windows", "verbatim", "in_runs"])
 
     return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, item_id, matched, windows, verbatim): the items that a document holds, by template.
+    """(doc_id, item_id, matched, windows, verbatim, in_runs): the items that a document holds, by template or word for word.
 
     ``matched`` of the item's ``windows`` are in the text with consistent slots, ``verbatim`` of
-    them word for word; at least ``least_share`` of them must be. An item of fewer than eight
-    tokens is one window, and one without five literal words (or all of fewer) is never found.
+    them word for word, and ``in_runs`` of its tokens lie in runs of ``RUN`` or more that are in
+    the text word for word; at least ``least_share`` of the windows must be matched, or one run
+    be held. An item of fewer than eight tokens is one window. An item with no window of five
+    literal words (or, if it is shorter, with a slot) has its windows matched word for word only.
+    An item without tokens is never found.
     Null and empty texts hold nothing; rows with a null item_id are left out; repeated items
     count once; repeated documents each give their rows.
     """
@@ -150,9 +209,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHAR
     for b in range(blocks):
         rows = sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect())
         held = spark.sparkContext.broadcast(([k for k, _ in rows], *_items(rows)))
-        found = docs.select("doc_id", "text").mapInArrow(lambda batches, held=held: _match(held.value)(batches), f"doc_id {kind}, item_id long, matched long, windows long, verbatim long")
+        found = docs.select("doc_id", "text").mapInArrow(lambda batches, held=held: _match(held.value)(batches), f"doc_id {kind}, item_id long, matched long, windows long, verbatim long, in_runs long")
         out = found if out is None else out.union(found)
-    return out.where(F.col("matched") >= F.col("windows") * least_share)
+    return out.where((F.col("matched") >= F.col("windows") * least_share) | (F.col("in_runs") > 0))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -119,6 +119,22 @@ def test_leaks_are_found_by_template_and_slot(spark):
     assert decontaminate.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_verbatim_leaks_need_neither_share_nor_literals(spark):
+    r = random.Random(9)
+    long = " ".join(f"w{r.choice('abcdefgh')}{r.choice(WORDS)}{r.choice(WORDS)}" for _ in range(200))
+    sums = "12 + 7 = 19, 30 + 45 = 75, 8 + 64 = 72, 15 + 15 = 30"
+    german = "Der Hund Rex, die Katze Mimi und das Pferd Blitz von Bauer Heinrich Meier aus Ulm"
+    bench = spark.createDataFrame([(1, long), (2, sums), (3, german), (4, "7 kg"), (5, "?!"), (6, "")], "item_id long, text string")
+    w, own = long.split(), text(r, 40)
+    docs = frame(spark, [
+        (1, f"{own} {' '.join(w[100:150])} {own}"), (2, f"{own} {' '.join(w[100 : 100 + decontaminate.RUN - 1])} {own}"), (3, f"{own}. {sums}. {own}"),
+        (4, f"{own}. {german}. {own}"), (5, f"{own} 7 kg {own}"), (6, f"{own} 12 {own} 19 {own} kg ?!"), (7, None), (8, sums.replace("7", "6"))], None)
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == {(1, 1), (3, 2), (4, 3), (5, 4)}
+    assert got[(1, 1)].in_runs == 50 and got[(1, 1)].matched < 0.3 * got[(1, 1)].windows and got[(3, 2)].matched == got[(3, 2)].windows
+    assert sorted(x.doc_id for x in decontaminate.clean(docs, bench).collect()) == [2, 6, 7, 8]
+
+
 def test_mixing_meets_its_targets(spark):
     r = random.Random(6)
     rows = [(i, text(r, r.randint(0, 60)), r.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(900)] + [(5000, None, "a"), (3, "x y", "b"), (3, "x y", "b")]
