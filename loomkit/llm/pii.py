@@ -1,12 +1,14 @@
 """Operator 10: personal data, found by pattern and by what the corpus discloses.
 
 The patterns give the protected entities: e-mail and IP addresses, card and phone numbers.
-Words near an entity may reveal it too. With N documents, df(c) that hold the entity c,
-df(t) that hold the word t and co that hold t near c, the information of the entity is
+Words of a text that holds an entity may reveal it too. With N documents, df(c) that hold the
+entity c, df(t) that hold the word t and co that hold both, the information of the entity is
 IC(c) = -log2(df(c) / N) and what the word tells of it PMI = log2(co * N / (df(c) * df(t)))
-(Sanchez and Batet 2016); a word with PMI >= IC / ``ALPHA`` discloses the entity and its
-occurrences near it are taken too. Only words that stand near the entity in ``SUPPORT``
-different texts count. Only DataFrame operations are used.
+(Sanchez and Batet 2016); a word with PMI >= IC / ``ALPHA`` discloses the entity, and its
+occurrences in all documents of the entity are taken too. Rare entities are weighed like the
+others. As co <= df(c), a word with df(t) > N * (df(c) / N) ** (1 / ``ALPHA``) can't disclose c
+and is not paired with it; entities that stand in the same documents are paired as one. Both
+leave the result as it is. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import saved
 
 KINDS = ("email", "ip", "card", "phone")
-ALPHA, SUPPORT, CONTEXT = 1.1, 3, 60
-TERM = r"[\p{L}]{4,}"
+ALPHA, SUPPORT = 1.1, 1
+TERM = r"\p{L}+"
+#: Words in more than this share of all documents are taken out by a broadcast if they can't disclose anything: a document has a bounded number of them.
+COMMON = 0.01
 
 # The contract's patterns; runs that can't match otherwise are possessive, so that long texts need neither stack nor time.
 PATTERNS = {
@@ -99,54 +103,74 @@ def find_base(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("whole"), *[s.alias(k) for k, s in base_spans(F.col("text")).items()])
 
 
-def _contexts(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(doc_id, whole, entity, term, start, end): the words within ``CONTEXT`` code points of an entity, hashes of lower-cased words."""
+def _entities(base: DataFrame) -> DataFrame:
+    """(doc, entity): the entities of each document, a document being a doc_id with a text."""
     def of(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x.start.alias("start"), x.end.alias("end"), x.value.alias("value")))
+        return F.transform(kind, lambda x: F.xxhash64(F.lit(kind), _digits(x.value) if kind in ("card", "phone") else F.lower(x.value)))
 
-    every = F.flatten(F.array(*map(of, KINDS)))
-    held = base.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select(F.col("doc_id").alias("b_id"), F.col("whole").alias("b_whole"), every.alias("every")).dropDuplicates(["b_id", "b_whole"])
+    return base.select(_document().alias("doc"), F.explode(F.array_distinct(F.flatten(F.array(*map(of, KINDS))))).alias("entity")).distinct()
+
+
+def _document() -> Column:
+    """The hash of (doc_id, whole); a null doc_id is a value of its own."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "whole")
+
+
+def _classes(entities: DataFrame) -> DataFrame:
+    """(doc, class, df_c): the entities of each document, those that stand in the same documents as one class."""
+    # Sets of documents are told apart by their number and two sums of hashes.
+    sums = [F.bit_xor(F.xxhash64(F.lit(k), "doc")) for k in (1, 2)]
+    by = entities.groupBy("entity").agg(F.count("*").alias("df_c"), F.xxhash64(F.count("*"), *sums).alias("class"))
+    return entities.join(by, "entity").groupBy("doc", "class").agg(F.first("df_c").alias("df_c"))
+
+
+def _words(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """(doc, whole, term, start, end): the words outside the entities in the documents that hold one; hashes of lower-cased words."""
+    every = F.flatten(F.array(*[F.transform(k, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"))) for k in KINDS]))
+    held = base.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select(_document().alias("b_doc"), every.alias("every")).dropDuplicates(["b_doc"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("whole")).join(
-        held.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("whole") == F.col("b_whole")))
-    near = rows.select("doc_id", "whole", "text", F.explode("every").alias("e"))
-    low = F.greatest(F.col("e.start") - CONTEXT, F.lit(0))
-    near = near.select(
-        "doc_id", "whole", F.xxhash64("e.kind", F.when(F.col("e.kind").isin("card", "phone"), _digits(F.col("e.value"))).otherwise(F.lower("e.value"))).alias("entity"),
-        F.explode(F.array(
-            F.struct(low.alias("from"), F.substring("text", low + 1, F.col("e.start") - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-            F.struct(F.col("e.end").alias("from"), F.substring("text", F.col("e.end") + 1, F.lit(CONTEXT)).alias("part"), F.lit(False).alias("cut_left"), F.lit(True).alias("cut_right")))).alias("c"))
-    near = near.select("doc_id", "whole", "entity", "c.*", F.explode(located(F.col("c.part"), TERM)).alias("t"))
-    inside = (~F.col("cut_left") | (F.col("t.start") > 0)) & (~F.col("cut_right") | (F.col("t.end") < CONTEXT))
-    return near.where(inside).select(
-        "doc_id", "whole", "entity", F.xxhash64(F.lower("t.value")).alias("term"), (F.col("from") + F.col("t.start")).alias("start"), (F.col("from") + F.col("t.end")).alias("end"))
-
-
-def disclosing(docs: DataFrame, base: DataFrame, contexts: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term): the pairs whose mutual information reaches the entity's information over ``alpha``."""
-    once = contexts.groupBy("entity", "term", "doc_id", "whole").count()
-    pairs = saved(once.groupBy("entity", "term").agg(F.count("*").alias("co"), F.count_distinct("whole").alias("texts")).where(F.col("texts") >= support))
-    entities = contexts.groupBy("entity", "doc_id", "whole").count().groupBy("entity").agg(F.count("*").alias("df_c"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(x)))
-    df_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("whole")).select("text", "whole", _document().alias("doc"))
+    rows = rows.join(held.hint("shuffle_hash"), F.col("doc") == F.col("b_doc"))
+    words = rows.select("doc", "whole", "every", F.explode(located(F.col("text"), TERM)).alias("t"))
+    outside = ~F.exists("every", lambda e: (F.col("t.start") < e.end) & (F.col("t.end") > e.start))
+    return words.where(outside).select("doc", "whole", F.xxhash64(F.lower("t.value")).alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+
+
+def disclosing(docs: DataFrame, base: DataFrame, words: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """(doc, term): the words of each document whose mutual information with one of its entities reaches the entity's information over ``alpha``.
+
+    With ``support`` above 1, only words that stand with the entity in so many different texts count.
+    """
     n = base.count()
-    found = pairs.join(entities, "entity").join(df_t, "term")
+    held = saved(_classes(_entities(base)))
+    bound = lambda df_c: n * F.pow(df_c / n, F.lit(1 / alpha)) * (1 + 1e-9)
+    most = held.agg(F.max("df_c").alias("df_c")).select(bound(F.col("df_c"))).first()[0] or 0.0
+    every = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(x)))
+    df_t = saved(docs.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")))
+    common = df_t.where(F.col("df_t") > max(most, n * COMMON)).select("term")
+    rare = words.join(F.broadcast(common), "term", "left_anti").groupBy("term", "doc").agg(F.first("whole").alias("whole"))
+    rare = rare.join(df_t.where(F.col("df_t") <= most), "term")
+    # Each document's words and classes meet by the document; of its words only those that can disclose the class are paired with it.
+    pairs = saved(rare.join(held, "doc").where(F.col("df_t") <= bound(F.col("df_c"))).select("doc", "whole", "class", "df_c", "term", "df_t"))
+    co = pairs.groupBy("class", "term").agg(F.first("df_c").alias("df_c"), F.first("df_t").alias("df_t"), F.count("*").alias("co"), *([F.count_distinct("whole").alias("texts")] if support > 1 else []))
     pmi = F.log2(F.col("co") * n / (F.col("df_c") * F.greatest("df_t", "co")))
-    return found.where(pmi >= F.log2(n / F.col("df_c")) / alpha).select("entity", "term")
+    found = co.where(pmi >= F.log2(n / F.col("df_c")) / alpha - 1e-9)
+    found = found.where(F.col("texts") >= support) if support > 1 else found
+    return pairs.join(found.select("class", "term"), ["class", "term"], "left_semi").select("doc", "term").distinct()
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(doc_id, whole, email, ip, card, phone, term): all spans of each row of ``docs`` (doc_id, text).
 
     Whole texts are searched, null counting as empty; a row in, a row out; rows with equal doc_id
-    and text have equal spans. Rare entities and corpora without repeats give no terms.
+    and text have equal spans. Every occurrence of a disclosing word is a span, but for those inside entities.
     """
     base = saved(find_base(docs))
-    contexts = saved(_contexts(docs, base))
-    flagged = disclosing(docs, base, contexts, alpha, support)
-    added = contexts.join(flagged, ["entity", "term"], "left_semi").groupBy(F.col("doc_id").alias("a_id"), F.col("whole").alias("a_whole")).agg(
+    words = saved(_words(docs, base))
+    flagged = disclosing(docs, base, words, alpha, support)
+    added = words.join(flagged, ["doc", "term"], "left_semi").groupBy(F.col("doc").alias("a_doc")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term"))
-    out = base.join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("whole") == F.col("a_whole")), "left")
+    out = base.join(added, _document() == F.col("a_doc"), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     return out.select("doc_id", "whole", *KINDS, F.coalesce("term", none).alias("term"))
 

@@ -215,3 +215,43 @@ def test_disclosing_words_are_found_and_taken(spark):
     assert "Zimmerfeld" in words and not words & set(WORDS)
     clean = {x.doc_id: x.text for x in pii.sanitise(frame(spark, rows, None)).collect()}
     assert "[EMAIL]" in clean[0] and "Zimmerfeld" not in clean[0] and clean[10] == rows[5][1]
+
+
+def test_rare_entities_short_names_and_far_words_are_disclosed(spark):
+    r = random.Random(10)
+    rows = [(i, text(r, 40)) for i in range(300)]
+    rows[0] = (0, f"Kim wrote. {text(r, 60)} mail kim.o@c.org {text(r, 60)}. So said KIM.")
+    rows[1] = (None, f"Ana {text(r, 60)} +1 222 333 4455 {text(r, 60)} Ana")
+    rows[2] = (2, f"Kimm {text(r, 60)}")
+    for i in (3, 4, 5):
+        rows[i] = (i, f"{text(r, 30)} q.z@hot.net x{i}.y@hot.net {text(r, 30)} Li {text(r, 10)}")
+    rows += [rows[4], (6, None)]
+    found = pii.find(frame(spark, rows, None)).collect()
+    assert len(found) == len(rows)
+    n = len(rows)
+    words = [re.findall(r"[^\W\d_]+", (t or "").lower()) for _, t in rows]
+    df = {}
+    for w in words:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    entity = {i: [e.lower() for e in re.findall(r"\S+@\S+|\+1[ 0-9]+[0-9]", t or "")] for i, t in rows}
+    distinct = {(i, t) for i, t in rows}
+    holds = lambda e: [(i, t) for i, t in distinct if e in entity[i]]
+    want = {}
+    for i, t in distinct:
+        cut = lambda t, i: re.sub(r"\S+@\S+|\+1[ 0-9]+[0-9]", lambda m: " " * len(m.group()), t or "")
+        spans = want[(i, t)] = set()
+        for m in re.finditer(r"[^\W\d_]+", cut(t, i)):
+            x = m.group().lower()
+            for e in entity[i]:
+                c = holds(e)
+                co = sum(x in re.findall(r"[^\W\d_]+", cut(u, j).lower()) for j, u in c)
+                if co * n / (len(c) * max(df[x], co)) >= (n / len(c)) ** (1 / pii.ALPHA):
+                    spans.add((m.start(), m.end()))
+    of = {i: t for i, t in rows}
+    got = {x.doc_id: {(s.start, s.end) for s in x.term} for x in found}
+    assert got == {i: want[(i, t)] for i, t in of.items()}
+    assert {of[0][a:b] for a, b in got[0]} >= {"Kim", "KIM"} and len(got[0]) >= 3 and {of[None][a:b] for a, b in got[None]} == {"Ana"}
+    assert all("Li" in {of[i][a:b] for a, b in got[i]} for i in (3, 4, 5)) and not got[2]
+    clean = {x.doc_id: x.text for x in pii.sanitise(frame(spark, rows, None)).collect()}
+    assert "kim" not in clean[0].lower() and "Ana" not in clean[None] and clean[2] == of[2]
