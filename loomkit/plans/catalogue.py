@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import color, dates, text
 from ..operators import aggregates, images, lookups, sequences
@@ -198,18 +199,21 @@ def stream_history(spark, sf_dir):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     op = F.when(F.col("event_type") == "error", "pop").otherwise("push")
-    return _drained(streams.stream_history(e.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("seq"), op.alias("op"), F.col("event_type").alias("key"))), "update")
+    return _drained(streams.stream_history(e.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("seq"), op.alias("op"), F.col("event_type").alias("key"))), "update", ["user_id"])
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream over a bounded table has given when it is at its end, written batch by batch to the shared folder."""
+def _drained(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
+    """What a stream over a bounded table has given when it is at its end, written batch by batch to the shared folder; in update mode the last row of each ``key``."""
     spark = stream.sparkSession
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
     path = f"{top}/stream-{uuid.uuid4().hex}"
     write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    # Appended rows are kept of every batch, under its number, so that a repeated batch replaces itself; other modes keep the last batch.
-    out = (lambda n: f"{path}/out/batch={n}") if mode == "append" else lambda n: f"{path}/out"
+    # Appended and updated rows are kept of every batch, under its number, so that a repeated batch replaces itself; complete mode keeps the last batch.
+    out = (lambda n: f"{path}/out") if mode == "complete" else lambda n: f"{path}/out/batch={n}"
     write.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out(n))).start().awaitTermination()
+    if mode == "update":
+        rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/out")
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("last")).select("last.*")
     return spark.read.schema(stream.schema).parquet(f"{path}/out").select(stream.columns)
 
 

@@ -22,12 +22,12 @@ def stream_drift(positions: DataFrame, threshold: float = 150, tick: str = "200
     return playing.groupBy("session_id", F.window("ts", tick)).agg(last("main"), last("sub")).where(F.abs(F.col("main") - F.col("sub")) > threshold)
 
 
-def stream_history(ops: DataFrame, most: int = 1000) -> DataFrame:
-    """(user_id, history) after each batch of ops (user_id, seq, op, key); of a longer history only the last ``most`` keys are kept as state."""
+def stream_history(ops: DataFrame) -> DataFrame:
+    """(user_id, history) after each batch of ops (user_id, seq, op, key), in update mode; the whole history is kept as state, so that later pops reach every key."""
     def step(key, groups, state):
         history = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(groups)).sort_values("seq")
-        history = replay([("push", k) for k in history] + list(zip(rows["op"], rows["key"], strict=True)))[-most:]
+        history = replay([("push", k) for k in history] + list(zip(rows["op"], rows["key"], strict=True)))
         state.update((history,))
         yield pd.DataFrame({"user_id": [key[0]], "history": [history]})
 

@@ -133,3 +133,16 @@ def test_media_sources(spark, tmp_path):
 def test_stream_drift_plans(spark, tmp_path):
     p = spark.readStream.schema("session_id long, track string, ts timestamp, position double, playing boolean").parquet(str(tmp_path))
     assert jobs.stream_drift(p).isStreaming
+
+
+def test_drained_histories_are_whole_over_many_batches(spark, tmp_path):
+    from loomkit.plans.catalogue import _drained
+    from loomkit.streaming.jobs import stream_history
+
+    schema = "user_id long, seq long, op string, key string"
+    pushes = [(u, n, "push", f"k{n}") for u in (1, 2) for n in range(1500)]
+    for rows in (pushes, [(2, 2000 + n, "pop", "") for n in range(1200)], [(3, 1, "push", "x")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ops = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {x.user_id: x.history for x in _drained(stream_history(ops), "update", ["user_id"]).collect()}
+    assert got == {1: [f"k{n}" for n in range(1500)], 2: [f"k{n}" for n in range(300)], 3: ["x"]}
