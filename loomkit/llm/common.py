@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
-ROWS_PER_BATCH = 500
+ROWS_PER_PIECE = 500
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -21,10 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a temporary folder serves if the driver does all the work (tests); on a
+    cluster, where executors would write to disks of their own, it must be set.
+    """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.loomkit.scratch", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="spark-loomkit-", dir="/tmp")
         spark.conf.set("spark.loomkit.scratch", folder)
     return folder
@@ -38,9 +45,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, for texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def few(df: DataFrame) -> DataFrame:
+    """``df``, a small table after a shuffle, in no more partitions than four for each core: tasks and files that hold next to nothing cost more than they do."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def pieces(batches, rows: int = ROWS_PER_PIECE):
+    """The batches in pieces of at most so many rows; Spark bounds a batch by its bytes, this bounds what a task unpacks of it at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -137,26 +151,23 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): (node, root), the root being the least node; nodes without a link are absent.
 
-    Large-star and small-star steps (Kiveris et al. 2014) until nothing changes; each step is a
-    join and an aggregate by node, and no node's neighbours are ever gathered in one place.
+    Large-star and small-star steps (Kiveris et al. 2014) until nothing changes; each step is an
+    aggregate and a join by node, and no node's neighbours are ever gathered in one place.
     """
-    e = saved(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = saved(few(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     seen = None
     while True:
+        # Every larger neighbour of a node goes to the least of its neighbours and itself; then every smaller one. A link gives one link.
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("a != m").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        e = saved(
-            small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b"))).distinct()
-        )
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
+        large = saved(few(e.join(least, F.col("b") == F.col("node")).select("a", F.col("m").alias("b"))))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node")
+        e = saved(few(large.join(low, F.col("a") == F.col("node")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
+    e = e.distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

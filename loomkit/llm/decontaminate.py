@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, windows
+from .common import mix, pieces, windows
 
 WINDOW, LEAST_LITERALS, LEAST_SHARE = 8, 5, 0.3
 #: So many consecutive tokens word for word are a leak, whatever share of the item they are.
@@ -151,7 +151,7 @@ def _match(items):
 
     def run(batches):
         reader = Reader()
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 template, kind, h = reader.read(text)
@@ -200,7 +200,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHAR
     count once; repeated documents each give their rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import pieces
 
 TOP = 300
 #: Documents of each language that the profiles are learned from at most, and languages (the most frequent).
@@ -49,7 +49,7 @@ def ranked(text: str | None, top: int) -> np.ndarray:
 
 
 def _count(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         lang = batch.column("lang").to_pylist()
         text = batch.column("text").to_pylist()
         for one in sorted(set(lang)):
@@ -62,7 +62,6 @@ def learn_profiles(labelled: DataFrame, top: int = TOP, training_rows: int = TRA
 
     At most about ``training_rows`` documents of a language are used, chosen by a hash of doc_id.
     """
-    small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
@@ -80,7 +79,7 @@ def learn_profiles(labelled: DataFrame, top: int = TOP, training_rows: int = TRA
 
 def _predict(langs: list[str], vocabulary: np.ndarray, ranks: np.ndarray, top: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             lang, score = [], []
             for text in batch.column("text").to_pylist():
                 g = ranked(text, top)
@@ -109,7 +108,6 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -
     Whole texts count. A text that is null or has no letters, or no profiles at all, gives ``und``
     and 0; ties go to the language that comes first. A row in, a row out.
     """
-    small_batches(docs.sparkSession)
     langs = sorted(profiles)
     vocabulary = np.unique(np.concatenate([profiles[k] for k in langs])) if langs else np.zeros(0, np.uint64)
     ranks = np.full((len(vocabulary), len(langs)), -1)

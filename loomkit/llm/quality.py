@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import pieces
 
 STATISTICS = ("words", "word_length", "distinct", "top_word", "symbols", "upper", "digits", "repeats", "same_lines", "line_words", "stops", "bare_marks", "entropy", "marked_words")
 TO_POOLED, TO_DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
@@ -61,7 +61,7 @@ def statistics(text: str | None) -> list[float]:
 
 
 def _describe(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         values = [statistics(t) for t in batch.column("text").to_pylist()]
         keys = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array([v[k] for v in values], pa.float64()) for k in range(len(STATISTICS)))], [*keys, *STATISTICS])
@@ -69,7 +69,6 @@ def _describe(batches):
 
 def describe(docs: DataFrame) -> DataFrame:
     """The key columns of ``docs`` and its statistics, one row for each row; the column ``text`` goes."""
-    small_batches(docs.sparkSession)
     keys = "".join(f"`{n}` {t}, " for n, t in docs.dtypes if n != "text")
     return docs.mapInArrow(_describe, keys + ", ".join(f"{s} double" for s in STATISTICS))
 
@@ -120,7 +119,7 @@ def score(described: DataFrame, model: Discriminant | float) -> DataFrame:
     keys = [n for n in described.columns if n not in STATISTICS]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS], 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(model.score(x))], [*keys, "score"])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, fold, saved, small_batches
+from .common import WORD, WordHashes, fold, saved, pieces
 
 BUCKETS, FEATURES, FACTORS = 1 << 22, 1024, 8
 LEAST_RATIO = 12.0
@@ -29,7 +29,7 @@ SHARDS, ROUNDS, EPOCHS, RATE, DECAY = 6, 6, 6, 0.3, 1e-5
 
 def _bucket_counts(batches):
     hashes = WordHashes()
-    for batch in batches:
+    for batch in pieces(batches):
         found, toxic = [], []
         for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             b = np.unique(hashes.of(WORD.findall((text or "").lower())) % np.uint64(BUCKETS))
@@ -119,7 +119,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training_rows:
     At most about ``training_rows`` labelled rows, chosen by a hash of doc_id, are used; that
     bounded set of ids is what is broadcast. Without labels every text scores 0.5.
     """
-    small_batches(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     share = training_rows / max(1, usable.count())
     sample = usable if share >= 1 else usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1e6))
@@ -142,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training_rows:
 
     def features(batches):
         of = Features(buckets).of
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), pa.array([of(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "label", "features"])
 
@@ -161,12 +160,11 @@ def score(docs: DataFrame, machine: Machine, keep_text: bool = False) -> DataFra
 
     Whole texts count, null ones as empty. A row in, a row out.
     """
-    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if keep_text or c != "text"]
 
     def run(batches):
         of = Features(machine.buckets).of
-        for batch in batches:
+        for batch in pieces(batches):
             s = machine.score([of(t) for t in batch.column("text").to_pylist()]).astype(float)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s)], [*keep, "score"])
 
