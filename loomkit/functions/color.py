@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Saturation and value factors of the seven shades, for a light and a dark theme.
 SHADES = ("primary", "dark1", "dark2", "dark3", "light1", "light2", "light3")
 LIGHT = ((1, 1), (1, 0.75), (1.05, 0.5), (1.1, 0.4), (1, 1.05), (0.75, 1.05), (0.65, 1.05))
-DARK = ((1, 0.9), (0.977, 0.82), (0.95, 0.7), (0.92, 1), (0.78, 1), (0.65, 1), (0.65, 1))
+DARK = ((1, 1), (1, 0.9), (0.977, 0.82), (0.95, 0.7), (0.92, 1), (0.78, 1), (0.65, 1))
 
 
 def parse_hex_color(text: Column, default: str) -> Column:
@@ -30,8 +30,8 @@ def rgb_to_hsv(r: Column, g: Column, b: Column) -> Column:
     return F.struct(h.alias("h"), F.when(top == 0, 0.0).otherwise(d / top).alias("s"), top.alias("v"))
 
 
-def hsv_to_rgb(h: Column, s: Column, v: Column) -> Column:
-    """struct<r, g, b>, truncated."""
+def hsv_to_rgb(h: Column, s: Column, v: Column, whole: bool = False) -> Column:
+    """struct<r, g, b>, truncated, or rounded if ``whole``."""
     sector = F.floor(h / 60.0)
     f, k = h / 60.0 - sector, F.pmod(sector, F.lit(6))
     p, q, t = v * (1 - s), v * (1 - f * s), v * (1 - (1 - f) * s)
@@ -40,7 +40,7 @@ def hsv_to_rgb(h: Column, s: Column, v: Column) -> Column:
         out = F.when(k == 0, parts[0])
         for n in range(1, 6):
             out = out.when(k == n, parts[n])
-        return (out * 255).cast("int")
+        return (F.round(out * 255) if whole else out * 255).cast("int")
 
     return F.struct(pick(v, q, p, p, t, v).alias("r"), pick(t, v, v, q, p, p).alias("g"), pick(p, p, t, v, v, q).alias("b"))
 
@@ -66,6 +66,21 @@ def theme_shades(h: Column, s: Column, v: Column, dark: bool = False) -> Column:
         F.struct(F.lit(n).alias("shade"), F.least(s * a, one).alias("s"), F.least(v * c, one).alias("v")) for n, (a, c) in zip(SHADES, DARK if dark else LIGHT, strict=True)])
 
 
+def shade_colors(text: Column, default: str, dark: bool = False) -> Column:
+    """array<struct<shade, r, g, b>>: the seven shades of a hexadecimal colour, whole numbers."""
+    rgb = parse_hex_color(text, default)
+    hsv = F.transform(F.array(rgb), lambda c: rgb_to_hsv(c.r, c.g, c.b))
+
+    def shades(c: Column) -> Column:
+        def one(x: Column) -> Column:
+            out = hsv_to_rgb(c.h, x.s, x.v, whole=True)
+            return F.struct(x.shade.alias("shade"), out.r.alias("r"), out.g.alias("g"), out.b.alias("b"))
+
+        return F.transform(theme_shades(c.h, c.s, c.v, dark), one)
+
+    return F.flatten(F.transform(hsv, shades))
+
+
 def alpha_from_percent(p: Column) -> Column:
     return (p / 100.0 * 255).cast("int")
 
@@ -79,6 +94,14 @@ def alpha_blend(base: Column, over: Column, alpha: Column) -> Column:
     return (over * alpha / 255.0 + base * (255 - alpha) / 255.0).cast("int")
 
 
+def blend_layers(base: Column, *layers: Column) -> Column:
+    """struct<r, g, b>: layers (struct<r, g, b, a>) over an opaque base, the first at the bottom."""
+    out = {c: base[c] for c in "rgb"}
+    for x in layers:
+        out = {c: alpha_blend(out[c], x[c], x["a"]) for c in "rgb"}
+    return F.struct(*[out[c].alias(c) for c in "rgb"])
+
+
 def value_to_position(value: Column, low: Column, high: Column, length: Column) -> Column:
     return ((value - low) / F.greatest(high - low, F.lit(1)) * length).cast("int")
 
@@ -101,9 +124,12 @@ def fit_within(w: Column, h: Column, most_w: Column, most_h: Column) -> Column:
     return F.struct((w * ratio).cast("int").alias("w"), (h * ratio).cast("int").alias("h"))
 
 
-def scale_to_side(w: Column, h: Column, side: int) -> Column:
-    """The width at the height ``side``, at least 1."""
-    return F.greatest((w / h * side).cast("int"), F.lit(1))
+def scale_to_side(w: Column, h: Column, side: int, axis: str = "height") -> Column:
+    """struct<w, h> of the same shape with ``side`` as its height (or width), at least 1 by 1; sizes under 1 count as 1."""
+    w, h, one = F.greatest(w, F.lit(1)), F.greatest(h, F.lit(1)), F.lit(1)
+    if axis == "height":
+        return F.struct(F.greatest((w * side / h).cast("int"), one).alias("w"), F.lit(side).alias("h"))
+    return F.struct(F.lit(side).alias("w"), F.greatest((h * side / w).cast("int"), one).alias("h"))
 
 
 def center_crop_box(w: Column, h: Column, d: int) -> Column:

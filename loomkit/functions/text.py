@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"\s\x1c-\x1f\x85"
+NARROW = re.compile(r"\s|\S+")
 
 
 @lru_cache
@@ -28,7 +30,9 @@ def wide_class() -> str:
 
 def display_width(text: Column) -> Column:
     """Columns that the text takes: two for a wide or full-width character, one for any other."""
-    return F.char_length(text) + F.char_length(F.regexp_replace(text, f"[^{wide_class()}]", ""))
+    # No character before U+1100 is wide, and most texts have none from there on.
+    wide = F.char_length(F.regexp_replace(text, f"[^{wide_class()}]+", ""))
+    return F.char_length(text) + F.when(text.rlike(r"[\x{1100}-\x{10FFFF}]"), wide).otherwise(F.lit(0))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -69,8 +73,14 @@ def initial_letter(text: Column) -> Column:
     return F.nullif(F.upper(F.substring(text, 1, 1)), F.lit(""))
 
 
+def restyled(old: Column, new: Column) -> Column:
+    """``new``, or ``old`` where the two are the same but for white space at their ends; a null counts as no text."""
+    cut = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), f"(?U)[{SPACE}]+\\z", "")
+    return F.when(cut(old) == cut(new), old).otherwise(new)
+
+
 def _measure(s: str) -> int:
-    return sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in s)
+    return len(s) if s.isascii() else sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in s)
 
 
 def _rows(line: str, width: int) -> list[str]:
@@ -116,6 +126,9 @@ def wrap_lines(text: str, width: int, once: bool = False) -> tuple[str, bool]:
 
 
 def _tokens(line: str):
+    if line.isascii():
+        yield from NARROW.findall(line)
+        return
     held = ""
     for c in line:
         if c.isspace() or unicodedata.east_asian_width(c) in "FW":

@@ -25,6 +25,12 @@ def failure_report(jobs: DataFrame) -> DataFrame:
     return jobs.where("status = 'failed'").select("batch_id", F.format_string("%s: %s", "file", "reason").alias("line"))
 
 
+def failure_lists(jobs: DataFrame) -> DataFrame:
+    """(batch_id, lines): the lines of each batch's failures in the order of their ts and file; jobs also have ts."""
+    lines = F.array_sort(F.collect_list(F.struct("ts", "file", F.format_string("%s: %s", "file", "reason").alias("line"))))
+    return jobs.where("status = 'failed'").groupBy("batch_id").agg(F.transform(lines, lambda x: x.line).alias("lines"))
+
+
 def bucket_mode(df: DataFrame, key: str, value: str, size: int) -> DataFrame:
     """(key, low, high, n): the fullest bucket of ``size`` values for each key, the lowest of equals."""
     counts = df.groupBy(key, (F.floor(F.col(value) / size) * size).alias("low")).agg(F.count("*").alias("n"))
@@ -40,10 +46,10 @@ def ordered_distinct_concat(df: DataFrame, group: str, order: str, text: str) ->
 
 
 def palette_rank(colors: DataFrame) -> DataFrame:
-    """(image_id, pos, r, g, b, rank): colours by colourfulness, the most colourful first, ties by place."""
+    """(image_id, pos, r, g, b, rank): colours by colourfulness, the most colourful first, ties by place, then by r, g, b."""
     from ..functions.color import colorfulness
 
-    order = W.partitionBy("image_id").orderBy(F.desc(F.round(colorfulness(F.col("r"), F.col("g"), F.col("b")), 9)), "pos")
+    order = W.partitionBy("image_id").orderBy(F.desc(F.round(colorfulness(F.col("r"), F.col("g"), F.col("b")), 9)), "pos", "r", "g", "b")
     return colors.withColumn("rank", F.row_number().over(order))
 
 

@@ -27,7 +27,6 @@ def _each(images: DataFrame, job) -> DataFrame:
                     rows.append((r.image_id, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["image_id", "width", "height", "channels", "data", "error"]).astype({c: "Int32" for c in ("width", "height", "channels")})
 
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return images.mapInPandas(run, SCHEMA)
 
 
@@ -180,5 +179,4 @@ def dominant_color(images: DataFrame) -> DataFrame:
                     rows.append((r.image_id, *DEFAULT_COLOR, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["image_id", "r", "g", "b", "error"])
 
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return images.mapInPandas(run, "image_id string, r int, g int, b int, error string")

@@ -1,4 +1,4 @@
-"""Dictionary, alias, option, translation and settings lookups as joins."""
+"""Dictionary, alias, option, translation, folder and tree lookups as joins."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import saved
+
 
 def dictionary(entries: DataFrame) -> DataFrame:
     """(key, value): lower-case keys of a-z only, the last insert (by seq) of each."""
@@ -19,69 +21,75 @@ def exact_lookup(queries: DataFrame, entries: DataFrame, default: Column) -> Dat
     return queries.join(found, F.lower("key") == F.col("k"), "left").withColumn("value", F.coalesce("value", default)).drop("k")
 
 
-def prefix_lookup(queries: DataFrame, entries: DataFrame, lengths: list[int], limit: int) -> DataFrame:
-    """(query_id, rank, key, value): the first ``limit`` entries under each prefix, shorter keys first, then by letter.
+def prefix_lookup(queries: DataFrame, entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query_id, rank, key, value): the entries under each prefix, shorter keys first, then by letter; the first ``limit`` if one is given.
 
-    ``lengths`` are the lengths that prefixes may have. Entries are cut to the best ``limit`` of each
-    prefix before they meet the queries, so that many queries of one prefix don't repeat the work.
+    An empty prefix has all entries, one with any other character than a-z none. Entries meet the
+    distinct prefixes by their first letters, for the lengths that prefixes have, and are cut
+    before they meet the queries, so that many queries of one prefix don't repeat the work.
     """
     words = dictionary(entries)
-    asked = queries.select("query_id", F.lower("prefix").alias("prefix"))
-    prefixes = words.select("key", "value", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where("n <= length(key)").withColumn("prefix", F.expr("substring(key, 1, n)"))
+    asked = queries.select("query_id", F.lower("prefix").alias("prefix")).where(F.col("prefix").rlike(r"^[a-z]*\z"))
+    prefixes = asked.select("prefix").distinct()
+    lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    starts = words.join(F.broadcast(lengths)).select("key", "value", F.explode("lengths").alias("n")).where("n <= length(key)").withColumn("prefix", F.expr("substring(key, 1, n)"))
     best = W.partitionBy("prefix").orderBy(F.length("key"), "key")
-    ranked = prefixes.join(asked.select("prefix").distinct(), "prefix", "left_semi").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    ranked = starts.join(prefixes, "prefix", "left_semi").withColumn("rank", F.row_number().over(best))
+    ranked = ranked if limit is None else ranked.where(F.col("rank") <= limit)
     return asked.join(ranked, "prefix").select("query_id", "rank", "key", "value")
 
 
-def find_first(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """``queries`` (list_id, probe) with idx, the least index of an item of the list with that text, or -1."""
-    first = items.groupBy("list_id", F.col("text").alias("probe")).agg(F.min("idx").alias("idx"))
-    return queries.join(first, ["list_id", "probe"], "left").withColumn("idx", F.coalesce("idx", F.lit(-1)))
+#: How an item may match a probe: whole, whole whatever the case, at its start, at its end, anywhere.
+MATCHES = ("exact", "fixed", "starts", "ends", "contains")
+
+
+def find_first(queries: DataFrame, items: DataFrame, by: str = "text", match: str = "exact") -> DataFrame:
+    """``queries`` (list_id, probe) with idx, the least index of an item of the list whose ``by`` (text or data) matches, or -1.
+
+    Other matches than of whole values join by the pieces of the values that have a probe's
+    length. A null probe matches nothing, an empty one every value's start, end and inside.
+    """
+    if match not in MATCHES:
+        raise ValueError(f"match must be one of {MATCHES}")
+    value = F.col(by).cast("string")
+    if match in ("exact", "fixed"):
+        low = F.lower if match == "fixed" else (lambda c: c)
+        first = items.groupBy(F.col("list_id").alias("l"), low(value).alias("p")).agg(F.min("idx").alias("found"))
+        on = low(F.col("probe")) == F.col("p")
+    else:
+        lengths = queries.where("probe is not null").select("list_id", F.char_length("probe").alias("n")).distinct()
+        i = items.select("list_id", "idx", value.alias("v")).join(lengths, "list_id").where("n <= char_length(v)")
+        last = F.expr("char_length(v) - n + 1")
+        start = {"starts": F.array(F.lit(1)), "ends": F.array(last), "contains": F.sequence(F.lit(1), last)}[match]
+        i = i.select("list_id", "idx", "v", "n", F.explode(start).alias("at"))
+        first = i.groupBy(F.col("list_id").alias("l"), F.expr("substring(v, at, n)").alias("p")).agg(F.min("idx").alias("found"))
+        on = F.col("probe") == F.col("p")
+    return queries.join(first, (F.col("list_id") == F.col("l")) & on, "left").withColumn("idx", F.coalesce("found", F.lit(-1))).drop("l", "p", "found")
 
 
 def resolve_alias(aliases: DataFrame, available: DataFrame) -> DataFrame:
-    """(name, grp, real_name): of each name's aliases, in order, the first that is available whatever the case; names without one go."""
-    real = available.groupBy(F.lower("real_name").alias("low")).agg(F.min("real_name").alias("real_name"))
-    tried = aliases.select("name", "grp", F.posexplode("aliases").alias("pos", "alias"))
-    return tried.join(real, F.lower("alias") == F.col("low")).groupBy("name", "grp").agg(F.min_by("real_name", "pos").alias("real_name"))
+    """(name, grp, real_name): of each name's aliases, in order, the first that is available whatever the case; names without one go.
 
+    Of several spellings of a real name the first of ``available`` (real_name, pos) counts.
+    """
+    real = available.groupBy(F.lower("real_name").alias("low")).agg(F.min_by("real_name", F.struct("pos", "real_name")).alias("real_name"))
+    tried = aliases.select("name", "grp", F.posexplode("aliases").alias("at", "alias"))
+    return tried.join(real, F.lower("alias") == F.col("low")).groupBy("name", "grp").agg(F.min_by("real_name", "at").alias("real_name"))
+
+
+def localize(df: DataFrame, *catalogues: DataFrame, locale: str | None = None) -> DataFrame:
+    """``df`` (context, source, ...) with text: the translation in the last catalogue that has one, or the source.
 
-def localize(df: DataFrame, *catalogues: DataFrame) -> DataFrame:
-    """``df`` (context, source, ...) with text: the translation in the last catalogue that has one, or the source."""
+    With a ``locale`` only a catalogue's rows of that locale count. Of repeated entries the greatest translation counts.
+    """
     out, names = df, []
     for k, c in enumerate(catalogues):
         names.insert(0, f"t{k}")
+        c = c if locale is None else c.where(F.col("locale") == locale)
         out = out.join(c.groupBy("context", "source").agg(F.max("translation").alias(f"t{k}")), ["context", "source"], "left")
     return out.withColumn("text", F.coalesce(*names, "source")).drop(*names)
 
 
-def correct_value(value: Column, kind: Column, low: Column, high: Column, options: Column, default: Column) -> Column:
-    """The value by its kind's rule: range clamps, option and bool fall to their first option, colour and what is no number to the default."""
-    number = value.try_cast("double")
-    return (
-        F.when((kind == "range") & number.isNotNull(), F.greatest(low, F.least(high, number)).cast("int").cast("string"))
-        .when(kind == "option", F.when(F.array_contains(options, value), value).otherwise(F.element_at(options, 1)))
-        .when(kind == "bool", F.when(value.isin("true", "false"), value).otherwise("true"))
-        .when(kind == "color", F.when(value.rlike("^#(?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})\\z"), value).otherwise(default))
-        .when(kind == "range", default)
-        .otherwise(F.coalesce(value, default)))
-
-
-def overlay_settings(values: DataFrame, schema: DataFrame) -> DataFrame:
-    """(entity_id, key, value): every known setting of every entity, corrected, the default where it is missing; unknown keys go."""
-    wanted = values.select("entity_id").distinct().crossJoin(F.broadcast(schema))
-    got = wanted.join(values, ["entity_id", "key"], "left")
-    # The schema is a fixed, small list of settings; every entity has each of them.
-    fixed = correct_value(F.col("value"), F.col("kind"), F.col("min"), F.col("max"), F.col("options"), F.col("default"))
-    return got.select("entity_id", "key", F.when(F.col("value").isNull(), F.col("default")).otherwise(fixed).alias("value"))
-
-
-def changed_settings(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(entity_id, key, old_value, new_value) where the two differ, a missing row being null."""
-    a, b = old.withColumnRenamed("value", "old_value"), new.withColumnRenamed("value", "new_value")
-    return a.join(b, ["entity_id", "key"], "full").where(~F.col("old_value").eqNullSafe(F.col("new_value")))
-
-
 def existing_folders(wanted: DataFrame, listing: DataFrame) -> DataFrame:
     """The rows of ``wanted`` whose path, with / for \\, is in ``listing`` (path)."""
     return wanted.withColumn("path", F.replace("path", F.lit("\\"), F.lit("/"))).join(listing, "path", "left_semi")
@@ -94,13 +102,26 @@ def folders_changed(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("list_id").agg(F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
 
 
+def add_folders(lists: DataFrame, added: DataFrame) -> DataFrame:
+    """``lists`` (list_id, path) with the paths of ``added`` that a list does not hold yet, each once."""
+    new = added.select("list_id", "path").where("path <> ''").distinct().join(lists, ["list_id", "path"], "left_anti")
+    return lists.select("list_id", "path").union(new)
+
+
 def visible_nodes(edges: DataFrame) -> DataFrame:
-    """(node, depth): roots (parent null) always, deeper nodes if neither they nor a deeper ancestor is hidden. One join for each level."""
-    level = edges.where("parent is null").select(F.col("child").alias("node"), F.lit(0).alias("depth"))
+    """(node, depth, path): roots (parent null) always, deeper nodes if neither they nor a deeper ancestor is hidden.
+
+    ``edges``: parent, child, pos, hidden. Ordered by depth and path (the places from the root
+    down) the rows stand breadth first. One join for each level, each level written once. A node
+    that was met on an earlier level is not visited again, so a cycle ends.
+    """
+    kids = edges.where("parent is not null and not hidden").select("parent", "child", "pos")
+    level = saved(edges.where("parent is null").select(F.col("child").alias("node"), F.lit(0).alias("depth"), F.array("pos").alias("path")))
     out, depth = level, 0
-    while True:
+    while not level.isEmpty():
         depth += 1
-        level = edges.where("not hidden").join(level.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            return out
+        up = level.select(F.col("node").alias("parent"), "path")
+        found = kids.join(up, "parent").select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("pos")).alias("path"))
+        level = saved(found.join(out.select("node"), "node", "left_anti").select("node", "depth", "path").groupBy("node", "depth").agg(F.min("path").alias("path")))
         out = out.union(level)
+    return out

@@ -58,19 +58,31 @@ def drift_events(positions: DataFrame, threshold: float = 150, session: str = "s
 
 
 def drift_ticks(positions: DataFrame, threshold: float = 150, tick_ms: int = 200, session: str = "session_id") -> DataFrame:
-    """(session, tick, main, sub): ticks of ``tick_ms`` at whose end both tracks play more than ``threshold`` apart; sub is then set to main.
+    """(session, tick, main, sub): ticks of ``tick_ms`` at whose end both tracks play more than ``threshold`` apart; sub is then set to main and stays there until its next row.
 
-    ``positions``: track (main or sub), ts, event_id, position, playing. A tick without rows changes nothing and is left out.
+    ``positions``: track (main or sub), ts, event_id, position, playing. A tick without rows
+    changes nothing, and a correction closes the gap, so such ticks never have one. What follows
+    a row of sub up to its next one is folded in order; it is one list.
     """
     far = positions.withColumn("tick", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / tick_ms))
     order = W.partitionBy(session).orderBy("ts", "event_id")
     known = order.rowsBetween(W.unboundedPreceding, 0)
     last = lambda t, c: F.last(F.when(F.col("track") == t, F.col(c)), ignorenulls=True).over(known)
     state = far.select(
-        session, "tick", last("main", "position").alias("main"), last("sub", "position").alias("sub"),
+        session, "tick", last("main", "position").alias("main"), last("sub", "position").alias("sub"), F.count_if(F.col("track") == "sub").over(known).alias("since"),
         (last("main", "playing") & last("sub", "playing")).alias("both"), F.lead("tick").over(order).alias("next"))
-    ends = F.col("next").isNull() | (F.col("next") != F.col("tick"))
-    return state.where(ends & F.col("both") & (F.abs(F.col("main") - F.col("sub")) > threshold)).select(session, "tick", "main", "sub")
+    ends = state.where((F.col("next").isNull() | (F.col("next") != F.col("tick"))) & F.col("both") & F.col("main").isNotNull() & F.col("sub").isNotNull())
+    number = dict(ends.dtypes)["main"]
+    start = F.struct(F.lit(None).cast(number).alias("at"), F.array().cast(f"array<struct<tick:long,main:{number},sub:{number}>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = F.coalesce(s.at, x["sub"])
+        gap = F.abs(x["main"] - at) > threshold
+        event = F.struct(x["tick"].cast("long").alias("tick"), x["main"].alias("main"), at.alias("sub"))
+        return F.struct(F.when(gap, x["main"]).otherwise(at).alias("at"), F.when(gap, F.concat(s.out, F.array(event))).otherwise(s.out).alias("out"))
+
+    lists = ends.groupBy(session, "since").agg(F.array_sort(F.collect_list(F.struct("tick", "main", "sub"))).alias("ticks"))
+    return lists.select(session, F.explode(F.aggregate("ticks", start, step, lambda s: s.out)).alias("e")).select(session, "e.tick", "e.main", "e.sub")
 
 
 def clamped_running_product(events: DataFrame, user: str, order: list[str], up: str, low: float = 0.1, high: float = 10.0) -> DataFrame:
@@ -81,17 +93,18 @@ def clamped_running_product(events: DataFrame, user: str, order: list[str], up:
 
 
 def replay(ops: list[tuple[str, str]], default: str | None = None) -> list[str]:
-    """The history that pushes, pops and removals leave; a repeat of the top is ignored, the default at the bottom never pops."""
+    """The history that pushes, pops and removals leave; a repeat of the top is ignored, the default at the bottom is never popped nor removed."""
     out = [] if default is None else [default]
+    fixed = len(out)
     for op, key in ops:
         if op == "push":
             if not out or out[-1] != key:
                 out.append(key)
         elif op == "pop":
-            if len(out) > (default is not None):
+            if len(out) > fixed:
                 out.pop()
         else:
-            kept = [x for x in out if x != key]
+            kept = out[:fixed] + [x for x in out[fixed:] if x != key]
             out = [x for i, x in enumerate(kept) if i == 0 or kept[i - 1] != x]
     return out
 
@@ -117,9 +130,9 @@ def _folded(ops: DataFrame, user: str, fold) -> DataFrame:
     return ops.select(user, "seq", "op", "key").groupBy(user).applyInPandas(run, f"{user} {dict(ops.dtypes)[user]}, history array<string>")
 
 
-def replay_history(ops: DataFrame, user: str = "user_id") -> DataFrame:
-    """(user, history) of ops (user, seq, op, key), in the order of seq."""
-    return _folded(ops, user, replay)
+def replay_history(ops: DataFrame, user: str = "user_id", default: str | None = None) -> DataFrame:
+    """(user, history) of ops (user, seq, op, key), in the order of seq, on top of the ``default`` entry if there is one."""
+    return _folded(ops, user, lambda rows: replay(rows, default))
 
 
 def breadcrumb_trail(ops: DataFrame, user: str = "user_id") -> DataFrame:

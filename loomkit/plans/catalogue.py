@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import color, dates, text
-from ..operators import aggregates, images, lookups, sequences
+from ..functions import color, dates, hooks, text
+from ..operators import aggregates, images, lookups, sequences, settings
 from ..sources import files
+from ..store import new_path
 from ..streaming import jobs as streams
 
 QUERIES: dict = {}
@@ -100,20 +98,24 @@ def _played(events: DataFrame) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT *, floor(epoch_us(ts) / 1000 / 3600000)::BIGINT AS tick FROM ({PLAYED})),
+WITH RECURSIVE p AS (SELECT *, floor(epoch_us(ts) / 1000 / 3600000)::BIGINT AS tick FROM ({PLAYED})),
 a AS (SELECT user_id, tick, last_value(CASE WHEN track = 'main' THEN position END IGNORE NULLS) OVER w AS main, last_value(CASE WHEN track = 'sub' THEN position END IGNORE NULLS) OVER w AS sub,
-  last_value(CASE WHEN track = 'sub' THEN playing END IGNORE NULLS) OVER w AS plays, row_number() OVER (PARTITION BY user_id, tick ORDER BY ts DESC, event_id DESC) AS n FROM p
-  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT user_id, tick, main, sub FROM a WHERE n = 1 AND plays AND abs(main - sub) > 20""")
+  last_value(CASE WHEN track = 'sub' THEN playing END IGNORE NULLS) OVER w AS plays, count(*) FILTER (track = 'sub') OVER w AS since, row_number() OVER (PARTITION BY user_id, tick ORDER BY ts DESC, event_id DESC) AS n FROM p
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id, since ORDER BY tick) AS k FROM a WHERE n = 1 AND plays AND main IS NOT NULL AND sub IS NOT NULL),
+r AS (SELECT user_id, since, k, tick, main, sub, abs(main - sub) > 20 AS gap FROM t WHERE k = 1
+  UNION ALL SELECT t.user_id, t.since, t.k, t.tick, t.main, CASE WHEN r.gap THEN r.main ELSE r.sub END, abs(t.main - CASE WHEN r.gap THEN r.main ELSE r.sub END) > 20 FROM r JOIN t ON t.user_id = r.user_id AND t.since = r.since AND t.k = r.k + 1)
+SELECT user_id, tick, main, sub FROM r WHERE gap""")
 def drift_ticks(spark, sf_dir):
     """Ticks of an hour, for events are sparse."""
     return sequences.drift_ticks(_played(_table(spark, sf_dir, "events")), 20, 3_600_000, "user_id")
 
 
 @query(f"""
-WITH p AS (SELECT * FROM ({PLAYED}) WHERE playing),
-w AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day, arg_max(position, ts) FILTER (track = 'main') AS main, arg_max(position, ts) FILTER (track = 'sub') AS sub FROM p GROUP BY 1, 2)
-SELECT user_id, epoch_ms(day) AS day_ms, main, sub FROM w WHERE abs(main - sub) > 20 AND day + INTERVAL 1 DAY <= (SELECT max(ts) FROM p) - INTERVAL 1 SECOND""")
+WITH p AS (SELECT * FROM ({PLAYED})),
+w AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day, arg_max(position, (ts, event_id)) FILTER (track = 'main') AS main, arg_max(position, (ts, event_id)) FILTER (track = 'sub') AS sub,
+  arg_max(playing, (ts, event_id)) FILTER (track = 'sub') AS plays FROM p GROUP BY 1, 2)
+SELECT user_id, epoch_ms(day) AS day_ms, main, sub FROM w WHERE plays AND abs(main - sub) > 20 AND day + INTERVAL 1 DAY <= (SELECT max(ts) FROM p) - INTERVAL 1 SECOND""")
 def stream_drift(spark, sf_dir):
     """The stream of positions to its end, in ticks of a day; the ticks that the watermark has passed."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -144,6 +146,13 @@ def replay_history(spark, sf_dir):
     return sequences.replay_history(_ops(spark, sf_dir))
 
 
+@query(FOLD.format(step=f"""CASE b[1] WHEN 'error' THEN a[1:greatest(len(a) - 1, 1)]
+  WHEN 'signup' THEN list_filter(list_prepend(a[1], list_filter(a[2:], lambda x: x <> 'view')), lambda x, i: i = 1 OR x <> list_prepend(a[1], list_filter(a[2:], lambda y: y <> 'view'))[i - 1]) ELSE {PUSH} END""").replace("list_prepend([]::VARCHAR[], list", "list_prepend(['view'], list"))
+def replay_from_default(spark, sf_dir):
+    """Histories over a default entry, which neither a pop nor a removal takes."""
+    return sequences.replay_history(_ops(spark, sf_dir), default="view")
+
+
 @query(TRAILED)
 def breadcrumb_trail(spark, sf_dir):
     return sequences.breadcrumb_trail(_ops(spark, sf_dir).withColumn("op", F.when(F.col("op") == "remove", "select").otherwise(F.col("op"))))
@@ -186,6 +195,13 @@ def failure_report(spark, sf_dir):
     return aggregates.failure_report(_as_jobs(_table(spark, sf_dir, "orders")))
 
 
+@query(f"SELECT batch_id, list(file || ': ' || reason ORDER BY ts, file) AS lines FROM (SELECT o_orderpriority AS batch_id, o_orderstatus, 'order-' || o_orderkey AS file, 'customer ' || o_custkey AS reason, o_orderdate AS ts FROM orders) WHERE o_orderstatus = 'O' GROUP BY batch_id")
+def failure_lists(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    ts = o.select(F.concat(F.lit("order-"), "o_orderkey").alias("file"), F.col("o_orderdate").alias("ts"))
+    return aggregates.failure_lists(_as_jobs(o).join(ts, "file"))
+
+
 @query(STATUS)
 def stream_job_status(spark, sf_dir):
     """The stream of orders to its end; the counts equal those of job_status."""
@@ -205,8 +221,7 @@ def stream_history(spark, sf_dir):
 def _drained(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
     """What a stream over a bounded table has given when it is at its end, written batch by batch to the shared folder; in update mode the last row of each ``key``."""
     spark = stream.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    path = f"{top}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark)
     write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     # Appended and updated rows are kept of every batch, under its number, so that a repeated batch replaces itself; complete mode keeps the last batch.
     out = (lambda n: f"{path}/out") if mode == "complete" else lambda n: f"{path}/out/batch={n}"
@@ -264,6 +279,15 @@ def ordered_distinct_concat(spark, sf_dir):
     return aggregates.ordered_distinct_concat(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
+@query(r"""
+WITH t AS (SELECT conv_id, turn, text, text || CASE turn % 3 WHEN 0 THEN chr(10) || ' ' WHEN 1 THEN '' ELSE ' .' END AS fresh FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN regexp_replace(text, '\s+$', '') = regexp_replace(fresh, '\s+$', '') THEN text ELSE fresh END) AS text_md5 FROM t""")
+def restyled(spark, sf_dir):
+    k = F.col("turn") % 3
+    fresh = F.concat("text", F.when(k == 0, "\n ").when(k == 1, "").otherwise(" ."))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.restyled(F.col("text"), fresh)).alias("text_md5"))
+
+
 # Colours and numbers
 
 RGB = "SELECT DISTINCT l_orderkey % 256 AS r, l_partkey % 256 AS g, l_suppkey % 256 AS b FROM lineitem"
@@ -313,6 +337,41 @@ def theme_shades(spark, sf_dir):
     return x.select("r", "g", "b", "t.shade", F.round("t.s", 9).alias("s"), F.round("t.v", 9).alias("v"))
 
 
+DARK = "VALUES ('primary', 1.0, 1.0), ('dark1', 1.0, 0.9), ('dark2', 0.977, 0.82), ('dark3', 0.95, 0.7), ('light1', 0.92, 1.0), ('light2', 0.78, 1.0), ('light3', 0.65, 1.0)"
+
+
+@query(f"""
+WITH f(shade, a, c) AS ({DARK})
+SELECT r, g, b, shade, round(least(s * 0.84::DOUBLE * a::DOUBLE, 1.0), 9) AS s, round(least(c::DOUBLE, 1.0), 9) AS v FROM ({HSV}), f""")
+def theme_shades_dark(spark, sf_dir):
+    x = _hsv(spark, sf_dir).select("r", "g", "b", F.explode(color.theme_shades(F.col("c.h"), F.col("c.s"), F.col("c.v"), dark=True)).alias("t"))
+    return x.select("r", "g", "b", "t.shade", F.round("t.s", 9).alias("s"), F.round("t.v", 9).alias("v"))
+
+
+@query(f"""
+WITH f(shade, a, c) AS ({DARK}),
+x AS (SELECT p_partkey, ('0x' || substr(md5(p_name), 1, 2))::INTEGER AS r, ('0x' || substr(md5(p_name), 3, 2))::INTEGER AS g, ('0x' || substr(md5(p_name), 5, 2))::INTEGER AS b FROM part),
+d AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d FROM x),
+y AS (SELECT *, CASE WHEN d = 0 THEN 0.0 WHEN hi = r THEN fmod(60 * ((g - b)::DOUBLE / d) + 360, 360) WHEN hi = g THEN fmod(60 * ((b - r)::DOUBLE / d) + 120, 360) ELSE fmod(60 * ((r - g)::DOUBLE / d) + 240, 360) END AS h,
+  least(CASE WHEN hi = 0 THEN 0.0 ELSE d::DOUBLE / hi END * 0.84::DOUBLE * a::DOUBLE, 1.0) AS s, least(c::DOUBLE, 1.0) AS v FROM d, f),
+z AS (SELECT *, floor(h / 60)::BIGINT % 6 AS k, v * (1 - s) AS p, v * (1 - (h / 60 - floor(h / 60)) * s) AS q, v * (1 - (1 - (h / 60 - floor(h / 60))) * s) AS t FROM y)
+SELECT p_partkey, shade, round(CASE k WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END * 255)::INTEGER AS red,
+  round(CASE k WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q ELSE p END * 255)::INTEGER AS green, round(CASE k WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN v WHEN 4 THEN v ELSE q END * 255)::INTEGER AS blue FROM z""")
+def shade_colors(spark, sf_dir):
+    text_ = F.concat(F.lit("#"), F.substring(F.md5("p_name"), 1, 6))
+    x = _table(spark, sf_dir, "part").select("p_partkey", F.explode(color.shade_colors(text_, "#000000", dark=True)).alias("t"))
+    return x.select("p_partkey", "t.shade", F.col("t.r").alias("red"), F.col("t.g").alias("green"), F.col("t.b").alias("blue"))
+
+
+@query(f"""
+WITH y AS (SELECT r, g, b, trunc(255 * 10 / 255.0::DOUBLE + r * 245 / 255.0::DOUBLE)::INTEGER AS r1, trunc(255 * 10 / 255.0::DOUBLE + g * 245 / 255.0::DOUBLE)::INTEGER AS g1, trunc(255 * 10 / 255.0::DOUBLE + b * 245 / 255.0::DOUBLE)::INTEGER AS b1 FROM ({RGB}))
+SELECT r, g, b, trunc(242 * 150 / 255.0::DOUBLE + r1 * 105 / 255.0::DOUBLE)::INTEGER AS over_r, trunc(242 * 150 / 255.0::DOUBLE + g1 * 105 / 255.0::DOUBLE)::INTEGER AS over_g, trunc(242 * 150 / 255.0::DOUBLE + b1 * 105 / 255.0::DOUBLE)::INTEGER AS over_b FROM y""")
+def blend_layers(spark, sf_dir):
+    layer = lambda *v: F.struct(*[F.lit(x).alias(c) for x, c in zip(v, "rgba", strict=True)])
+    out = color.blend_layers(F.struct("r", "g", "b"), layer(255, 255, 255, 10), layer(242, 242, 242, 150))
+    return _rgb(spark, sf_dir).withColumn("x", out).select("r", "g", "b", *[F.col(f"x.{c}").alias(f"over_{c}") for c in "rgb"])
+
+
 @query("""
 WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '#' || upper(substr(md5(p_name), 1, 6)) WHEN 1 THEN '#' || substr(md5(p_name), 1, 8) WHEN 2 THEN p_name ELSE NULL END AS t FROM part),
 y AS (SELECT p_partkey, CASE WHEN regexp_full_match(t, '#?([0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})') THEN lpad(replace(t, '#', ''), 8, 'F') ELSE 'FF102030' END AS h FROM x)
@@ -348,22 +407,21 @@ def progress_text(spark, sf_dir):
 
 @query("""
 WITH x AS (SELECT p_partkey, p_size * 20 AS w, p_partkey % 700 + 1 AS h FROM part)
-SELECT p_partkey, trunc(w * least(450 / w::DOUBLE, 450 / h::DOUBLE, 1.0))::INTEGER AS fit_w, trunc(h * least(450 / w::DOUBLE, 450 / h::DOUBLE, 1.0))::INTEGER AS fit_h, greatest(trunc(w / h::DOUBLE * 120)::INTEGER, 1) AS side_w,
-  trunc(w * greatest(96 / w::DOUBLE, 96 / h::DOUBLE))::INTEGER AS cover_w, trunc(h * greatest(96 / w::DOUBLE, 96 / h::DOUBLE))::INTEGER AS cover_h FROM x""")
+SELECT p_partkey, trunc(w * least(450 / w::DOUBLE, 450 / h::DOUBLE, 1.0))::INTEGER AS fit_w, trunc(h * least(450 / w::DOUBLE, 450 / h::DOUBLE, 1.0))::INTEGER AS fit_h, greatest(trunc(w * 120 / h::DOUBLE)::INTEGER, 1) AS side_w, greatest(trunc(h * 120 / w::DOUBLE)::INTEGER, 1) AS side_h,
+  trunc(w * greatest(96 / w::DOUBLE, 96 / h::DOUBLE))::INTEGER AS cover_w, trunc(h * greatest(96 / w::DOUBLE, 96 / h::DOUBLE))::INTEGER AS cover_h,
+  trunc((trunc(w * greatest(96 / w::DOUBLE, 96 / h::DOUBLE)) - 96) / 2)::INTEGER AS cover_x, trunc((trunc(h * greatest(96 / w::DOUBLE, 96 / h::DOUBLE)) - 96) / 2)::INTEGER AS cover_y FROM x""")
 def image_sizes(spark, sf_dir):
     """fit_within, scale_to_side and center_crop_box."""
     x = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size * 20 AS w", "p_partkey % 700 + 1 AS h")
     w, h = F.col("w"), F.col("h")
-    x = x.select("p_partkey", color.fit_within(w, h, F.lit(450), F.lit(450)).alias("f"), color.scale_to_side(w, h, 120).alias("side_w"), color.center_crop_box(w, h, 96).alias("c"))
-    return x.select("p_partkey", F.col("f.w").alias("fit_w"), F.col("f.h").alias("fit_h"), "side_w", F.col("c.w").alias("cover_w"), F.col("c.h").alias("cover_h"))
+    x = x.select("p_partkey", color.fit_within(w, h, F.lit(450), F.lit(450)).alias("f"), color.scale_to_side(w, h, 120).w.alias("side_w"), color.scale_to_side(w, h, 120, "width").h.alias("side_h"), color.center_crop_box(w, h, 96).alias("c"))
+    return x.select("p_partkey", F.col("f.w").alias("fit_w"), F.col("f.h").alias("fit_h"), "side_w", "side_h", F.col("c.w").alias("cover_w"), F.col("c.h").alias("cover_h"), F.col("c.x").alias("cover_x"), F.col("c.y").alias("cover_y"))
 
 
-@query(f"SELECT image_id, pos, r, g, b, row_number() OVER (PARTITION BY image_id ORDER BY round(0.3 * sqrt((r - g) * (r - g) + (0.5 * (r + g) - b) * (0.5 * (r + g) - b)), 9) DESC, pos) AS rank FROM (SELECT l_orderkey AS image_id, l_linenumber AS pos, l_partkey % 256 AS r, l_suppkey % 256 AS g, l_orderkey % 256 AS b FROM lineitem) QUALIFY count(*) OVER (PARTITION BY image_id, pos) = 1")
+@query(f"SELECT image_id, pos, r, g, b, row_number() OVER (PARTITION BY image_id ORDER BY round(0.3 * sqrt((r - g) * (r - g) + (0.5 * (r + g) - b) * (0.5 * (r + g) - b)), 9) DESC, pos, r, g, b) AS rank FROM (SELECT l_orderkey AS image_id, l_linenumber AS pos, l_partkey % 256 AS r, l_suppkey % 256 AS g, l_orderkey % 256 AS b FROM lineitem)")
 def palette_rank(spark, sf_dir):
     c = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS image_id", "l_linenumber AS pos", "l_partkey % 256 AS r", "l_suppkey % 256 AS g", "l_orderkey % 256 AS b")
-    from pyspark.sql import Window as W
-
-    return aggregates.palette_rank(c).withColumn("n", F.count("*").over(W.partitionBy("image_id", "pos"))).where("n = 1").drop("n").withColumn("rank", F.col("rank").cast("long"))
+    return aggregates.palette_rank(c).withColumn("rank", F.col("rank").cast("long"))
 
 
 # Dates
@@ -383,6 +441,39 @@ def calendar(spark, sf_dir):
         dates.encode_suffix(dates.decode_suffix(dates.encode_suffix(F.year(d), "年")), "年").alias("year_text"))
 
 
+@query("""
+SELECT o_orderkey, ((date_diff('day', DATE '1991-01-01', d) + 1) // 7)::INTEGER AS row, ((date_diff('day', DATE '1991-01-01', d) + 1) % 7)::INTEGER AS col FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders WHERE year(o_orderdate) >= 1991)""")
+def calendar_cell(spark, sf_dir):
+    """From 1 January 1991, a Tuesday."""
+    d = F.to_date("o_orderdate")
+    return _table(spark, sf_dir, "orders").where(F.year(d) >= 1991).select("o_orderkey", dates.calendar_cell(d, 1991).alias("c")).select("o_orderkey", "c.row", "c.col")
+
+
+@query("""
+SELECT o_orderkey, strftime(d, '%B') AS month_shown, month(d)::INTEGER AS month_back, day(d) || '日' AS day_shown, day(d)::INTEGER AS day_back, lpad(day(d)::VARCHAR, 2, '0') AS padded, year(d)::VARCHAR AS digits FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)""")
+def column_formatters(spark, sf_dir):
+    """What a picker shows of a date, and back."""
+    d = F.to_date("o_orderdate")
+    shown = {"month_shown": hooks.encode(F.month(d), "month"), "day_shown": hooks.encode(F.day(d), "day_suffix"), "padded": hooks.encode(F.day(d), "pad2"), "digits": hooks.encode(F.year(d), "digit")}
+    x = _table(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(n) for n, c in shown.items()])
+    return x.withColumn("month_back", hooks.decode(F.col("month_shown"), "month")).withColumn("day_back", hooks.decode(F.col("day_shown"), "day_suffix"))
+
+
+@query("""
+SELECT event_id, CASE WHEN k > 60 THEN -1 ELSE 60 // greatest(k, 1) END::BIGINT AS share, CASE WHEN k > 60 THEN 'ValueError: ' || k || ' is over 60' END AS reason FROM (SELECT event_id, (props->>'k')::BIGINT AS k FROM events)""")
+def with_default(spark, sf_dir):
+    """A rule that fails for some rows: these get the default, and say why."""
+    rule = hooks.with_default(_share, "long", -1)
+    k = F.get_json_object("props", "$.k").cast("long")
+    return _table(spark, sf_dir, "events").select("event_id", rule(k).alias("x")).select("event_id", F.col("x.value").alias("share"), F.col("x.error").alias("reason"))
+
+
+def _share(k: int) -> int:
+    if k > 60:
+        raise ValueError(f"{int(k)} is over 60")
+    return 60 // max(int(k), 1)
+
+
 @query("""
 WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month FROM orders)
 SELECT month, i AS cell, (date_trunc('week', month)::DATE + i::INTEGER) AS day FROM m, range(42) t(i)""")
@@ -412,9 +503,10 @@ def normalize_whitespace(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", text.normalize_whitespace(F.col("html")).alias("clean"))
 
 
-@query("SELECT conv_id, turn, len(string_split(replace(text, chr(10), ' '), ' ')) * 2 - 1 - len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x = '')) AS tokens FROM conversations WHERE text <> ''")
+@query("SELECT conv_id, turn, len(string_split(replace(text, chr(10), ' '), ' ')) * 2 - 1 - len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x = '')) + CASE WHEN text = '' THEN 1 ELSE 0 END AS tokens FROM conversations WHERE text IS NOT NULL UNION ALL SELECT conv_id, turn, NULL FROM conversations WHERE text IS NULL")
 def tokenize(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.size(text.tokenize(F.col("text"))).cast("long").alias("tokens"))
+    tokens = text.tokenize(F.col("text"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(tokens.isNotNull(), F.size(tokens)).cast("long").alias("tokens"))
 
 
 @query("SELECT p_partkey, list_transform(range(0, length(p_name), 7), lambda i: substr(p_name, i + 1, 7)) AS pieces FROM part")
@@ -428,10 +520,10 @@ def char_type(spark, sf_dir):
     return c.groupBy("item_id", text.char_type(F.col("c")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey, n_name || ': blue, --' || n_nationkey || ', red, --unknown, --' AS style FROM nation")
+@query("SELECT c_custkey, c_name || ': blue, --' || c_custkey || ', red, --unknown, --' AS style FROM customer")
 def render_template(spark, sf_dir):
-    t = F.concat("n_name", F.lit(": --Main, ----"), "n_nationkey", F.lit(", --{Mark}, --unknown, ----"))
-    return _table(spark, sf_dir, "nation").select("n_nationkey", text.render_template(t, {"Main": "blue", "Mark": "red"}).alias("style"))
+    t = F.concat("c_name", F.lit(": --Main, ----"), "c_custkey", F.lit(", --{Mark}, --unknown, ----"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.render_template(t, {"Main": "blue", "Mark": "red"}).alias("style"))
 
 
 @query()
@@ -467,7 +559,7 @@ WITH d AS ({DICT}), q AS (SELECT p_partkey AS query_id, lower(substr(p_name, 1,
 SELECT query_id, rank, key, value FROM q JOIN (SELECT prefix, key, value, row_number() OVER (PARTITION BY prefix ORDER BY length(key), key) AS rank FROM (SELECT DISTINCT prefix FROM q) p JOIN d ON starts_with(d.key, p.prefix)) r USING (prefix) WHERE rank <= 5""")
 def prefix_lookup(spark, sf_dir):
     q = _table(spark, sf_dir, "part").selectExpr("p_partkey AS query_id", "substring(p_name, 1, int(p_partkey % 4)) AS prefix")
-    return lookups.prefix_lookup(q, _words(spark, sf_dir), [0, 1, 2, 3], 5).withColumn("rank", F.col("rank").cast("long"))
+    return lookups.prefix_lookup(q, _words(spark, sf_dir), 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT o_orderkey, coalesce(idx, -1) AS idx FROM (SELECT o_orderkey, o_custkey % 25 AS list_id, 'Customer#' || lpad((o_orderkey % 500)::VARCHAR, 9, '0') AS probe FROM orders) q LEFT JOIN (SELECT c_nationkey AS list_id, c_name AS probe, min(c_custkey) AS idx FROM customer GROUP BY 1, 2) i USING (list_id, probe)")
@@ -477,15 +569,42 @@ def find_first(spark, sf_dir):
     return lookups.find_first(q, i).select("o_orderkey", "idx")
 
 
+MATCHED = """SELECT q.query_id, coalesce(min(i.idx), -1) AS idx FROM (SELECT p_partkey AS query_id, p_size % 25 AS list_id, {probe} AS probe FROM part) q
+LEFT JOIN (SELECT c_nationkey AS list_id, c_custkey AS idx, c_name AS text, c_mktsegment AS data FROM customer) i ON q.list_id = i.list_id AND {on} GROUP BY q.query_id"""
+
+
+def _matched(spark, sf_dir, probe: str, by: str, match: str) -> DataFrame:
+    q = _table(spark, sf_dir, "part").selectExpr("p_partkey AS query_id", "p_size % 25 AS list_id", f"{probe} AS probe")
+    i = _table(spark, sf_dir, "customer").selectExpr("c_nationkey AS list_id", "c_custkey AS idx", "c_name AS text", "c_mktsegment AS data")
+    return lookups.find_first(q, i, by, match).select("query_id", "idx")
+
+
+@query(MATCHED.format(probe="CASE WHEN p_partkey % 2 = 0 THEN 'building' ELSE p_brand END", on="lower(i.data) = lower(q.probe)"))
+def find_first_data(spark, sf_dir):
+    return _matched(spark, sf_dir, "CASE WHEN p_partkey % 2 = 0 THEN 'building' ELSE p_brand END", "data", "fixed")
+
+
+@query(MATCHED.format(probe="substr((p_partkey % 1000)::VARCHAR, 1, 2)", on="ends_with(i.text, q.probe)"))
+def find_first_end(spark, sf_dir):
+    return _matched(spark, sf_dir, "substr(string(p_partkey % 1000), 1, 2)", "text", "ends")
+
+
+@query(MATCHED.format(probe="substr(p_partkey::VARCHAR, 1, 3)", on="contains(i.text, q.probe)"))
+def find_first_inside(spark, sf_dir):
+    return _matched(spark, sf_dir, "substr(string(p_partkey), 1, 3)", "text", "contains")
+
+
 @query("""
 WITH a AS (SELECT s_name AS name, s_nationkey AS grp, unnest([upper(s_name), 'NATION ' || s_nationkey, n_name]) AS alias, unnest([0, 1, 2]) AS pos FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-r AS (SELECT lower(real_name) AS low, min(real_name) AS real_name FROM (SELECT n_name AS real_name FROM nation UNION ALL SELECT initcap_name FROM (SELECT 'Nation ' || n_nationkey AS initcap_name FROM nation WHERE n_nationkey % 2 = 0)) GROUP BY 1)
+v AS (SELECT n_name AS real_name, n_nationkey * 2 AS pos FROM nation UNION ALL SELECT lower(n_name), n_nationkey * 2 + (n_nationkey % 2) * 2 - 1 FROM nation UNION ALL SELECT 'Nation ' || n_nationkey, 1000 + n_nationkey FROM nation WHERE n_nationkey % 2 = 0),
+r AS (SELECT lower(real_name) AS low, arg_min(real_name, pos) AS real_name FROM v GROUP BY 1)
 SELECT name, grp, arg_min(real_name, pos) AS real_name FROM a JOIN r ON lower(alias) = low GROUP BY name, grp""")
 def resolve_alias(spark, sf_dir):
     n = _table(spark, sf_dir, "nation")
     s = _table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     a = s.select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("grp"), F.array(F.upper("s_name"), F.concat(F.lit("NATION "), "s_nationkey"), "n_name").alias("aliases"))
-    real = n.select(F.col("n_name").alias("real_name")).union(n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("Nation "), "n_nationkey")))
+    real = n.selectExpr("n_name AS real_name", "n_nationkey * 2 AS pos").union(n.selectExpr("lower(n_name)", "n_nationkey * 2 + (n_nationkey % 2) * 2 - 1"))
+    real = real.union(n.where("n_nationkey % 2 = 0").selectExpr("concat('Nation ', n_nationkey)", "1000 + n_nationkey"))
     return lookups.resolve_alias(a, real)
 
 
@@ -497,11 +616,22 @@ def localize(spark, sf_dir):
     return lookups.localize(d, cat("A ", "n_nationkey % 2 = 0"), cat("B ", "n_regionkey = 1")).select("c_custkey", "text")
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN n_name ELSE 'de ' || n_name END AS text FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def localize_to(spark, sf_dir):
+    """One catalogue of two locales; German lacks the texts of every third customer."""
+    d = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    d = d.select("c_custkey", (F.col("c_custkey") % 3).alias("context"), F.col("n_name").alias("source"))
+    every = d.select("context", "source").distinct()
+    of = lambda locale: every.select(F.lit(locale).alias("locale"), "context", "source", F.concat(F.lit(f"{locale} "), "source").alias("translation"))
+    return lookups.localize(d, of("de").where("context <> 0").union(of("fr")), locale="de").select("c_custkey", "text")
+
+
 _SCHEMA = "key string, kind string, min double, max double, options array<string>, default string, restart boolean"
 
 
 def _settings_schema(spark):
-    rows = [("k", "range", 10.0, 60.0, None, "30", False), ("mode", "option", None, None, ["on", "off", "auto"], "auto", True), ("flag", "bool", None, None, None, "false", False)]
+    rows = [("k", "range", 10.0, 60.0, None, "30", False), ("mode", "option", None, None, ["on", "off", "auto"], "auto", True), ("flag", "bool", None, None, None, "false", False),
+            ("ratio", "range", 2.5, 9.0, None, "4.5", False), ("color", "color", None, None, None, "#102030", False)]
     return spark.createDataFrame(rows, _SCHEMA)
 
 
@@ -510,22 +640,41 @@ def _settings(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT event_id AS entity_id, (props->>'k')::INTEGER AS k FROM events)
-SELECT entity_id, 'k' AS key, greatest(10, least(60, k))::VARCHAR AS value FROM e UNION ALL SELECT entity_id, 'mode', 'auto' FROM e UNION ALL SELECT entity_id, 'flag', 'false' FROM e""")
+WITH e AS (SELECT event_id AS entity_id, (props->>'k')::INTEGER AS k, event_type, value FROM events)
+SELECT entity_id, 'k' AS key, greatest(10, least(60, k))::VARCHAR AS value FROM e
+UNION ALL SELECT entity_id, 'mode', CASE event_type WHEN 'view' THEN 'off' WHEN 'click' THEN 'auto' ELSE 'on' END FROM e
+UNION ALL SELECT entity_id, 'flag', CASE WHEN event_type = 'error' THEN 'true' ELSE 'false' END FROM e
+UNION ALL SELECT entity_id, 'ratio', CASE WHEN k % 4 = 0 THEN '2.5' WHEN k % 4 = 1 THEN '4.5' WHEN k % 4 = 2 THEN '6.5' ELSE '9' END FROM e
+UNION ALL SELECT entity_id, 'color', CASE WHEN k % 2 = 0 THEN '#102030' ELSE '#00FF00' END FROM e""")
 def overlay_settings(spark, sf_dir):
-    return lookups.overlay_settings(_settings(spark, sf_dir), _settings_schema(spark))
+    """Known keys with good, bad and missing values, and one key that the schema has not."""
+    e = _table(spark, sf_dir, "events").selectExpr("event_id AS entity_id", "int(get_json_object(props, '$.k')) AS k", "event_type")
+    values = e.select("entity_id", F.explode(F.create_map(
+        F.lit("k"), F.col("k").cast("string"), F.lit("mode"), F.when(F.col("event_type") == "view", "off").when(F.col("event_type") == "click", None).otherwise("loud"),
+        F.lit("flag"), F.when(F.col("event_type") == "error", "maybe").otherwise("false"), F.lit("unknown"), F.lit("1"),
+        F.lit("ratio"), F.element_at(F.array(F.lit("1.25"), F.lit("x"), F.lit("6.5"), F.lit("11.5")), F.col("k") % 4 + 1),
+        F.lit("color"), F.when(F.col("k") % 2 == 0, "blue").otherwise("#00FF00"))).alias("key", "value"))
+    return settings.overlay_settings(values, _settings_schema(spark))
 
 
-@query("SELECT event_id AS entity_id, 'k' AS key, props->>'k' AS old_value, greatest(10, least(60, (props->>'k')::INTEGER))::VARCHAR AS new_value FROM events WHERE (props->>'k')::INTEGER NOT BETWEEN 10 AND 60")
+@query("SELECT event_id AS entity_id, 'k' AS key, props->>'k' AS old_value, greatest(10, least(60, (props->>'k')::INTEGER))::VARCHAR AS new_value, true AS restart FROM events WHERE (props->>'k')::INTEGER NOT BETWEEN 10 AND 60")
 def changed_settings(spark, sf_dir):
-    old = _settings(spark, sf_dir)
-    new = lookups.overlay_settings(old, _settings_schema(spark).where("key = 'k'"))
-    return lookups.changed_settings(old, new)
+    old, schema = _settings(spark, sf_dir), _settings_schema(spark).where("key = 'k'").withColumn("restart", F.lit(True))
+    return settings.changed_settings(old, settings.overlay_settings(old, schema), schema)
 
 
-@query("SELECT event_id AS entity_id, '{\"\":{\"k\":\"' || (props->>'k') || '\"}}' AS json FROM events")
+@query("""SELECT event_id AS entity_id, '{"a":{"x":"' || event_type || '","y":"' || user_id || '"},"k":"' || (props->>'k') || '"}' AS json FROM events""")
 def write_settings(spark, sf_dir):
-    return files.write_settings(_settings(spark, sf_dir))
+    """A group of two and a key at the top, in the order of their names."""
+    e = _table(spark, sf_dir, "events")
+    grouped = e.select(F.col("event_id").alias("entity_id"), F.explode(F.create_map(F.lit("a.y"), F.col("user_id").cast("string"), F.lit("a.x"), F.col("event_type"))).alias("key", "value"))
+    return files.write_settings(_settings(spark, sf_dir).union(grouped))
+
+
+@query("SELECT p_partkey, lower('#' || CASE WHEN p_partkey % 2 = 0 THEN 'ff' || substr(md5(p_name), 1, 6) ELSE substr(md5(p_name), 1, 8) END) AS stored FROM part")
+def serialize_colors(spark, sf_dir):
+    c = F.upper(F.concat(F.lit("#"), F.expr("substring(md5(p_name), 1, 6 + int(p_partkey % 2) * 2)")))
+    return _table(spark, sf_dir, "part").select("p_partkey", settings.serialize(settings.deserialize(c, F.lit("color")), F.lit("color")).alias("stored"))
 
 
 @query("SELECT doc_id, replace(source || '\\docs', '\\', '/') AS path FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) % 2 = 0)")
@@ -544,14 +693,23 @@ def folders_changed(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT NULL AS parent, 'r' || r_regionkey AS child, r_regionkey = 0 AS hidden FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, n_nationkey % 5 = 2 FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, s_suppkey % 7 = 0 FROM supplier),
-t AS (SELECT child AS node, 0 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.child, t.depth + 1 FROM t JOIN e ON e.parent = t.node WHERE NOT e.hidden)
-SELECT node, depth FROM t""")
+WITH a AS (SELECT c_nationkey AS list_id, c_mktsegment AS path FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT DISTINCT c_nationkey AS list_id, c_name AS path FROM customer WHERE c_custkey % 5 = 0 UNION SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)
+SELECT * FROM a UNION ALL SELECT * FROM n WHERE (list_id, path) NOT IN (SELECT list_id, path FROM a)""")
+def add_folders(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    of = lambda path, cond: c.where(cond).select(F.col("c_nationkey").alias("list_id"), F.col(path).alias("path"))
+    return lookups.add_folders(of("c_mktsegment", "c_custkey % 3 = 0"), of("c_name", "c_custkey % 5 = 0").union(of("c_mktsegment", "true")))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT NULL AS parent, 'r' || r_regionkey AS child, r_regionkey AS pos, r_regionkey = 0 AS hidden FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 100 - n_nationkey, n_nationkey % 5 = 2 FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, s_suppkey, s_suppkey % 7 = 0 FROM supplier),
+t AS (SELECT child AS node, 0 AS depth, [pos] AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.child, t.depth + 1, list_append(t.path, e.pos) FROM t JOIN e ON e.parent = t.node WHERE NOT e.hidden)
+SELECT node, depth, array_to_string(path, '.') AS place FROM t""")
 def visible_nodes(spark, sf_dir):
-    r = _table(spark, sf_dir, "region").selectExpr("string(null) AS parent", "concat('r', r_regionkey) AS child", "r_regionkey = 0 AS hidden")
-    n = _table(spark, sf_dir, "nation").selectExpr("concat('r', n_regionkey)", "concat('n', n_nationkey)", "n_nationkey % 5 = 2")
-    s = _table(spark, sf_dir, "supplier").selectExpr("concat('n', s_nationkey)", "concat('s', s_suppkey)", "s_suppkey % 7 = 0")
-    return lookups.visible_nodes(r.union(n).union(s))
+    r = _table(spark, sf_dir, "region").selectExpr("string(null) AS parent", "concat('r', r_regionkey) AS child", "bigint(r_regionkey) AS pos", "r_regionkey = 0 AS hidden")
+    n = _table(spark, sf_dir, "nation").selectExpr("concat('r', n_regionkey)", "concat('n', n_nationkey)", "bigint(100 - n_nationkey)", "n_nationkey % 5 = 2")
+    s = _table(spark, sf_dir, "supplier").selectExpr("concat('n', s_nationkey)", "concat('s', s_suppkey)", "s_suppkey", "s_suppkey % 7 = 0")
+    return lookups.visible_nodes(r.union(n).union(s)).select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("place"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'image' WHEN page_id % 3 = 1 THEN 'video' ELSE 'other' END AS kind FROM pages")

@@ -15,14 +15,28 @@ def media_kind(path: Column) -> Column:
     return F.when(end.isin(*IMAGES), "image").when(end.isin(*VIDEOS), "video").otherwise("other")
 
 
+def _glob(kinds: tuple[str, ...]) -> str:
+    """The file names of these kinds, whatever the case: what else lies there is never opened."""
+    if "other" in kinds:
+        return "*"
+    ends = [e for kind, of in (("image", IMAGES), ("video", VIDEOS)) if kind in kinds for e in of]
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ends) + "}"
+
+
+def outermost(paths: list[str]) -> list[str]:
+    """The paths without repeats and without those inside another one, for folders are read with all that is in them."""
+    clean = sorted({p.rstrip("/") or "/" for p in paths})
+    return [p for p in clean if not any(p.startswith(q.rstrip("/") + "/") for q in clean if q != p)]
+
+
 def read_media(spark: SparkSession, paths: list[str], kinds: tuple[str, ...] = ("image", "video")) -> DataFrame:
-    """The files under ``paths`` of the given kinds, each once."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return files.withColumn("kind", media_kind(F.col("path"))).where(F.col("kind").isin(*kinds)).dropDuplicates(["path"])
+    """The files at or under ``paths`` of the given kinds (image, video, other), each once."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(kinds)).load(outermost(paths))
+    return files.withColumn("kind", media_kind(F.col("path"))).where(F.col("kind").isin(*kinds))
 
 
 def stream_media(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("image", "video")) -> DataFrame:
-    files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(kinds)).load(folder)
     return files.withColumn("kind", media_kind(F.col("path"))).where(F.col("kind").isin(*kinds))
 
 
@@ -54,14 +68,15 @@ def read_settings(docs: DataFrame) -> DataFrame:
 
 
 def write_settings(values: DataFrame) -> DataFrame:
-    """(entity_id, json): one two-level document for each entity; keys without a dot stand in the group ''."""
+    """(entity_id, json): one document for each entity, in the order of its keys; a key without a dot stands at the top, unless a group has its name."""
     part = F.split("key", r"\.", 2)
-    named = values.select("entity_id", F.when(F.size(part) == 2, part[0]).otherwise("").alias("grp"), F.element_at(part, -1).alias("name"), "value")
-    groups = named.groupBy("entity_id", "grp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("m"))
-    sorted_groups = F.array_sort(F.collect_list(F.struct("grp", F.to_json("m").alias("m"))))
-    rows = groups.groupBy("entity_id").agg(sorted_groups.alias("g"))
-    names, bodies = F.transform("g", lambda x: x.grp), F.transform("g", lambda x: F.from_json(x.m, "map<string,string>"))
-    return rows.select("entity_id", F.to_json(F.map_from_arrays(names, bodies)).alias("json"))
+    named = values.select("entity_id", part[0].alias("grp"), F.when(F.size(part) == 2, part[1]).alias("name"), "value")
+    inner = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value")))))
+    groups = named.groupBy("entity_id", "grp").agg(inner.alias("m"), F.max(F.when(F.col("name").isNull(), F.col("value"))).alias("flat"))
+    body = F.when(F.size("m") > 0, F.to_json(F.create_map("grp", "m"))).otherwise(F.to_json(F.create_map("grp", "flat")))
+    rows = groups.withColumn("body", body).groupBy("entity_id").agg(
+        F.array_sort(F.collect_list(F.struct("grp", F.expr("substring(body, 2, char_length(body) - 2)").alias("body")))).alias("g"))
+    return rows.select("entity_id", F.concat(F.lit("{"), F.array_join(F.transform("g", lambda x: x.body), ","), F.lit("}")).alias("json"))
 
 
 def read_translations(spark: SparkSession, path: str) -> DataFrame:

@@ -16,10 +16,16 @@ def stream_job_status(jobs: DataFrame) -> DataFrame:
 
 
 def stream_drift(positions: DataFrame, threshold: float = 150, tick: str = "200 milliseconds", late: str = "1 second") -> DataFrame:
-    """(session_id, window, main, sub): ticks whose last positions lie more than ``threshold`` apart while both play; late rows are dropped."""
-    playing = positions.where("playing").withWatermark("ts", late)
-    last = lambda t: F.max_by("position", F.when(F.col("track") == t, F.col("ts"))).alias(t)
-    return playing.groupBy("session_id", F.window("ts", tick)).agg(last("main"), last("sub")).where(F.abs(F.col("main") - F.col("sub")) > threshold)
+    """(session_id, window, main, sub): ticks whose last positions lie more than ``threshold`` apart while both tracks play; late rows are dropped.
+
+    ``positions``: session_id, track, ts, event_id, position, playing. The last row of a track in a
+    tick, by ts and event_id, says where it is and whether it plays; a tick must hold rows of both.
+    """
+    at = F.struct("ts", "event_id")
+    last = lambda t: F.max_by(F.struct("position", "playing"), F.when(F.col("track") == t, at)).alias(t)
+    state = positions.withWatermark("ts", late).groupBy("session_id", F.window("ts", tick)).agg(last("main"), last("sub"))
+    far = F.col("main.playing") & F.col("sub.playing") & (F.abs(F.col("main.position") - F.col("sub.position")) > threshold)
+    return state.where(far).select("session_id", "window", F.col("main.position").alias("main"), F.col("sub.position").alias("sub"))
 
 
 def stream_history(ops: DataFrame) -> DataFrame:

@@ -55,6 +55,21 @@ def test_colours(spark):
     assert tuple(one(spark, color.parse_hex_color(F.lit("nope"), "#010203"))) == (1, 2, 3, 255)
 
 
+def test_shades_of_a_dark_theme(spark):
+    got = {x.shade: (x.r, x.g, x.b) for x in one(spark, color.shade_colors(F.lit("#009FAA"), "#000000", dark=True))}
+    h, s, _ = colorsys.rgb_to_hsv(0, 0x9F / 255, 0xAA / 255)
+    for shade, a, v in [("primary", 1, 1), ("dark1", 1, 0.9), ("dark2", 0.977, 0.82), ("dark3", 0.95, 0.7), ("light1", 0.92, 1), ("light2", 0.78, 1), ("light3", 0.65, 1)]:
+        want = [255 * x for x in colorsys.hsv_to_rgb(h, min(1, s * 0.84 * a), v)]
+        assert all(abs(x - y) <= 0.51 for x, y in zip(got[shade], want, strict=True))
+    assert tuple(one(spark, color.scale_to_side(F.lit(300), F.lit(200), 100))) == (150, 100)
+    assert tuple(one(spark, color.scale_to_side(F.lit(300), F.lit(0), 100, "width"))) == (100, 1)
+
+
+def test_styles_change_only_before_their_end(spark):
+    assert one(spark, text.restyled(F.lit("a \n"), F.lit("a"))) == "a \n"
+    assert one(spark, text.restyled(F.lit("a"), F.lit("ab "))) == "ab " and one(spark, text.restyled(F.lit(None).cast("string"), F.lit("b"))) == "b"
+
+
 def test_dates(spark):
     assert one(spark, dates.to_12h(F.lit(0))).hour == 12
     assert one(spark, dates.from_12h(F.lit(12), F.lit("AM"))) == 0

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomkit.operators import aggregates, images, lookups, sequences
+from loomkit.functions import hooks
+from loomkit.operators import aggregates, images, lookups, sequences, settings
 from loomkit.sources import files
 from loomkit.streaming import jobs
 
@@ -14,6 +15,7 @@ def test_folds():
     push = lambda *k: [("push", x) for x in k]
     assert sequences.replay(push("a", "a", "b") + [("pop", "")] + push("c", "a") + [("remove", "c")]) == ["a"]
     assert sequences.replay([("pop", ""), *push("home")], "home") == ["home"]
+    assert sequences.replay([*push("a", "home", "b"), ("remove", "home"), ("remove", "a"), ("remove", "b")], "home") == ["home"]
     assert sequences.trail(push("a", "b", "a", "c") + [("select", "a")]) == ["a"]
 
 
@@ -31,8 +33,8 @@ def test_impulses_in_whole_steps(spark):
 
 def test_what_is_no_number_falls_to_the_default(spark):
     schema = spark.createDataFrame([("r", "range", 5.0, 9.0, None, "7"), ("c", "color", None, None, None, "#000000")], "key string, kind string, min double, max double, options array<string>, default string")
-    got = lookups.overlay_settings(spark.createDataFrame([(1, "r", "abc"), (1, "c", "#FFFFFF\n"), (2, "r", "6.5")], "entity_id long, key string, value string"), schema)
-    assert {(r.entity_id, r.key, r.value) for r in got.collect()} == {(1, "r", "7"), (1, "c", "#000000"), (2, "r", "6"), (2, "c", "#000000")}
+    got = settings.overlay_settings(spark.createDataFrame([(1, "r", "abc"), (1, "c", "#FFFFFF\n"), (2, "r", "6.5")], "entity_id long, key string, value string"), schema)
+    assert {(r.entity_id, r.key, r.value) for r in got.collect()} == {(1, "r", "7"), (1, "c", "#000000"), (2, "r", "6.5"), (2, "c", "#000000")}
 
 
 def test_pack_and_budget(spark):
@@ -47,23 +49,92 @@ def test_settings_round_trip_and_rules(spark):
     docs = spark.createDataFrame([(1, '{"a": {"x": "1", "y": "2"}, "z": "3"}'), (2, "no json")], "entity_id long, json string")
     values = files.read_settings(docs)
     assert {(r.key, r.value) for r in values.collect()} == {("a.x", "1"), ("a.y", "2"), ("z", "3")}
-    again = files.read_settings(files.write_settings(values.where("key != 'z'")))
-    assert {(r.key, r.value) for r in again.collect()} == {("a.x", "1"), ("a.y", "2")}
+    written = files.write_settings(values)
+    assert written.first().json == '{"a":{"x":"1","y":"2"},"z":"3"}'
+    assert {(r.key, r.value) for r in files.read_settings(written).collect()} == {("a.x", "1"), ("a.y", "2"), ("z", "3")}
     schema = spark.createDataFrame([("a.x", "range", 5.0, 9.0, None, "7"), ("o", "option", None, None, ["p", "q"], "q")], "key string, kind string, min double, max double, options array<string>, default string")
-    got = lookups.overlay_settings(spark.createDataFrame([(1, "a.x", "1"), (1, "o", "bad"), (2, "u", "1")], "entity_id long, key string, value string"), schema)
+    got = settings.overlay_settings(spark.createDataFrame([(1, "a.x", "1"), (1, "o", "bad"), (2, "u", "1")], "entity_id long, key string, value string"), schema)
     assert {(r.entity_id, r.key, r.value) for r in got.collect()} == {(1, "a.x", "5"), (1, "o", "p"), (2, "a.x", "7"), (2, "o", "q")}
 
 
 def test_empty_prefix_gives_the_dictionary_by_length(spark):
     words = spark.createDataFrame([("Bb", "1", 1), ("a", "2", 2), ("a1", "3", 3), ("bb", "4", 4)], "key string, value string, seq long")
     asked = spark.createDataFrame([(1, ""), (2, "B"), (3, "9")], "query_id long, prefix string")
-    got = lookups.prefix_lookup(asked, words, [0, 1], 10)
+    got = lookups.prefix_lookup(asked, words, 10)
     assert sorted((r.query_id, r["rank"], r.key, r.value) for r in got.collect()) == [(1, 1, "a", "2"), (1, 2, "bb", "4"), (2, 1, "bb", "4")]
 
 
 def test_hidden_inner_node_cuts_its_subtree(spark):
-    e = spark.createDataFrame([(None, "r", True), ("r", "a", True), ("a", "b", False), ("r", "c", False)], "parent string, child string, hidden boolean")
-    assert {r.node for r in lookups.visible_nodes(e).collect()} == {"r", "c"}
+    schema = "parent string, child string, pos int, hidden boolean"
+    e = spark.createDataFrame([(None, "r", 1, True), ("r", "a", 0, True), ("a", "b", 0, False), ("r", "c", 2, False), ("r", "d", 1, False), ("d", "e", 0, False), (None, "q", 0, False), ("q", "f", 0, False)], schema)
+    assert [r.node for r in lookups.visible_nodes(e).orderBy("depth", "path").collect()] == ["q", "r", "f", "d", "c", "e"]
+    ring = spark.createDataFrame([(None, "r", 0, False), ("r", "a", 0, False), ("a", "b", 0, False), ("b", "a", 0, False)], schema)
+    assert sorted(r.node for r in lookups.visible_nodes(ring).collect()) == ["a", "b", "r"]
+    assert lookups.visible_nodes(e.where("false")).count() == 0
+
+
+def test_prefixes_of_any_length_and_no_limit(spark):
+    words = spark.createDataFrame([(w, w, i) for i, w in enumerate(("apple", "apply", "app", "zebra"))], "key string, value string, seq long")
+    asked = spark.createDataFrame([(1, "appl"), (2, "zebras"), (3, ""), (4, "appl"), (5, None)], "query_id long, prefix string")
+    got = sorted((r.query_id, r.key) for r in lookups.prefix_lookup(asked, words).collect())
+    assert got == [(1, "apple"), (1, "apply"), (3, "app"), (3, "apple"), (3, "apply"), (3, "zebra"), (4, "apple"), (4, "apply")]
+
+
+def test_find_first_by_text_and_data(spark):
+    items = spark.createDataFrame([(1, 3, "Beta", "x"), (1, 1, "beta", "y"), (1, 2, "Beta", "y"), (1, 0, None, None)], "list_id long, idx int, text string, data string")
+    q = lambda *p: spark.createDataFrame([(1, x) for x in p], "list_id long, probe string")
+    first = lambda *p, **k: {r.probe: r.idx for r in lookups.find_first(q(*p), items, **k).collect()}
+    assert first("Beta", "beta", "no", None) == {"Beta": 2, "beta": 1, "no": -1, None: -1}
+    assert first("BETA", match="fixed") == {"BETA": 1} and first("y", by="data") == {"y": 1}
+    assert first("Be", "", match="starts") == {"Be": 2, "": 1} and first("ta", match="ends") == {"ta": 1} and first("et", "q", match="contains") == {"et": 1, "q": -1}
+    assert lookups.find_first(q("Beta", "Beta"), items).count() == 2
+
+
+def test_first_spelling_and_several_catalogues(spark):
+    real = spark.createDataFrame([("arial", 0), ("Arial", 1), ("ARIAL", 2), ("Sans", 3)], "real_name string, pos int")
+    a = spark.createDataFrame([("A", "x", ["none", "ARIAL"]), ("B", "x", ["sans", "arial"]), ("C", "x", ["no"])], "name string, grp string, aliases array<string>")
+    assert {(r.name, r.real_name) for r in lookups.resolve_alias(a, real).collect()} == {("A", "arial"), ("B", "Sans")}
+    cat = lambda *rows: spark.createDataFrame([("c", *r) for r in rows], "context string, source string, translation string, locale string")
+    df = spark.createDataFrame([("c", "Yes"), ("c", "No"), ("c", "Off")], "context string, source string")
+    got = lookups.localize(df, cat(("Yes", "Ja", "de"), ("No", "Nein", "de"), ("Off", "Non", "fr")), cat(("Yes", "Jo", "de"), ("No", None, "de")), locale="de")
+    assert {r.source: r.text for r in got.collect()} == {"Yes": "Jo", "No": "Nein", "Off": "Off"}
+
+
+def test_rules_can_be_added_and_changes_flagged(spark):
+    schema = spark.createDataFrame([("n", "even", None, None, None, "0", True), ("o", "text", None, None, None, "-", False)], "key string, kind string, min double, max double, options array<string>, default string, restart boolean")
+    old = spark.createDataFrame([(1, "n", "3"), (1, "o", "x"), (1, "o", "w"), (2, "n", "4")], "entity_id long, key string, value string")
+    settings.validator("even")(lambda v, item: F.when(v.cast("int") % 2 == 0, v).otherwise(item("default")))
+    settings.SERIALIZERS["even"] = (lambda c: F.concat(F.lit("n"), c), lambda c: c)
+    try:
+        new = settings.overlay_settings(old, schema)
+        assert {tuple(r) for r in new.collect()} == {(1, "n", "0"), (1, "o", "x"), (2, "n", "4"), (2, "o", "-")}
+        got = {tuple(r) for r in settings.changed_settings(old.where("value <> 'w'"), new, schema).collect()}
+        assert got == {(1, "n", "3", "0", True), (2, "o", None, "-", False)}
+        assert spark.range(1).select(settings.serialize(F.lit("4"), F.lit("even")).alias("x")).first().x == "n4"
+    finally:
+        del settings.VALIDATORS["even"], settings.SERIALIZERS["even"]
+
+
+def test_rows_that_fail_get_the_default(spark):
+    df = spark.createDataFrame([("1",), ("x",), (None,)], "t string").select("t", hooks.with_default(lambda t: int(t), "int", 7)(F.col("t")).alias("r"))
+    got = {r.t: (r.r.value, (r.r.error or "").split(":")[0]) for r in df.collect()}
+    assert got == {"1": (1, ""), "x": (7, "ValueError"), None: (7, "TypeError")}
+
+
+def test_a_correction_is_carried_to_the_next_row_of_sub(spark):
+    rows = [(1, 1, 0, "main", 0, True), (1, 2, 10, "sub", 0, True), (1, 3, 250, "main", 200, True), (1, 4, 450, "main", 300, True), (1, 5, 650, "main", 360, True), (1, 6, 850, "sub", 100, True)]
+    p = spark.createDataFrame(rows, "session_id long, event_id long, ms long, track string, position long, playing boolean").selectExpr("*", "timestamp_millis(ms) AS ts")
+    assert sorted(tuple(r) for r in sequences.drift_ticks(p).collect()) == [(1, 1, 200, 0), (1, 3, 360, 200), (1, 4, 360, 100)]
+
+
+def test_streamed_drift_counts_paused_rows_and_ties(spark, tmp_path):
+    from loomkit.plans.catalogue import _drained
+
+    rows = [(1, 1, 0, "main", 1000.0, True), (1, 2, 10, "sub", 0.0, True), (1, 3, 20, "sub", 0.0, False), (2, 4, 0, "main", 1000.0, True), (2, 5, 10, "sub", 900.0, True), (2, 6, 10, "sub", 0.0, True), (9, 7, 10_000, "sub", 0.0, True)]
+    p = spark.createDataFrame(rows, "session_id long, event_id long, ms long, track string, position double, playing boolean").selectExpr("*", "timestamp_millis(ms) AS ts")
+    p.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = jobs.stream_drift(spark.readStream.schema(p.schema).parquet(str(tmp_path / "in")))
+    assert [(r.session_id, r.main, r["sub"]) for r in _drained(s, "append").collect()] == [(2, 1000.0, 0.0)]
 
 
 def image(a):
@@ -125,13 +196,17 @@ def test_media_sources(spark, tmp_path):
     assert sorted(r.kind for r in files.read_media(spark, [str(tmp_path)]).collect()) == ["image", "image", "video"]
     got = {r.image_id.split("/")[-1]: r for r in files.read_images(spark, [str(tmp_path)]).collect()}
     assert bytes(got["a.PNG"].data) == a.tobytes() and got["bad.png"].error
-    assert files.stream_media(spark, str(tmp_path)).isStreaming
+    everything = files.read_media(spark, [str(tmp_path), str(tmp_path / "in"), str(tmp_path)], ("image", "video", "other"))
+    assert sorted(r.path.split("/")[-1] for r in everything.collect()) == ["a.PNG", "b.mp4", "bad.png", "c.txt"]
+    query = files.stream_media(spark, str(tmp_path), ("video",)).writeStream.format("memory").queryName("media").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [r.kind for r in spark.table("media").collect()] == ["video"]
     (tmp_path / "app.de_DE.ts").write_text('<?xml version="1.0"?><TS><context><name>C</name><message><source>Yes</source><translation>Ja</translation></message></context></TS>')
     assert tuple(files.read_translations(spark, str(tmp_path / "app.de_DE.ts")).first()) == ("de_DE", "C", "Yes", "Ja")
 
 
 def test_stream_drift_plans(spark, tmp_path):
-    p = spark.readStream.schema("session_id long, track string, ts timestamp, position double, playing boolean").parquet(str(tmp_path))
+    p = spark.readStream.schema("session_id long, track string, ts timestamp, event_id long, position double, playing boolean").parquet(str(tmp_path))
     assert jobs.stream_drift(p).isStreaming
 
 
