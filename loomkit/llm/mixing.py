@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import few, saved
 
 WEIGHTS, SHARE, MOST_COPIES, GROUP = (3, 1, 2), 1.5, 2.0, 64
 SEED = 11
@@ -89,23 +89,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     ``copies`` is whole, ``taken`` is copies times size. All randomness is a hash of doc_id, so
     reruns agree; of rows that are equal in doc_id, source and size any may be the one that is
     taken more often. Documents without words are taken 0 times; if no document has words all
-    targets are 0. A null source is a source of its own, the last.
+    targets are 0. A null source is a source of its own, the last. Whole texts are counted, and
+    other columns, whatever their names, are ignored.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     twin = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy("size"))
     sized = saved(sized.withColumn("twin", twin).withColumn("id", F.xxhash64("doc_id", "source", "size", "twin")))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
     goal = targets(sums.select("source", "source_size"), weights, share, most)
-    per_source = saved(goal.join(sums.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("n") / GROUP).alias("nodes"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("f")))
-    joined = sized.join(F.broadcast(per_source) if per_source.count() <= 10_000 else per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    per_source = saved(few(goal.join(sums.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("n") / GROUP).alias("nodes"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("f"))))
+    # Spark broadcasts this table where its size allows, and else splits the hot sources of the join.
+    joined = sized.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     part = F.col("f") - F.floor("f")
     joined = joined.withColumn("p", F.when((part < EPS) | (F.col("size") == 0), 0.0).when(part > 1 - EPS, 1.0).otherwise(part))
     open_rows = joined.where("p > 0 and p < 1").select(
         "source", F.pmod(F.xxhash64(F.lit(SEED), "id"), "nodes").alias("node"), "id", F.col("size").cast("double").alias("size"), "p", _chance("id", F.lit(0)).alias("u"))
     settled, nodes, level = None, per_source.agg(F.max("nodes")).first()[0] or 0, 0
     while nodes:
-        done = saved(_reduce(open_rows))
+        done = saved(few(_reduce(open_rows)))
         level += 1
         last = nodes == 1
         whole = done.where(~F.col("held") | F.lit(last)).select("id", "size", F.when(F.col("held"), (_chance("id", F.lit(-1)) < F.col("p")).cast("double")).otherwise(F.col("p")).alias("extra"))
