@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..store import few, saved
+
+__all__ = ["few", "saved"]
 SHINGLE_WORDS = 5
 ROWS_PER_PIECE = 500
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -20,34 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset a temporary folder serves if the driver does all the work (tests); on a
-    cluster, where executors would write to disks of their own, it must be set.
-    """
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.loomkit.scratch", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not re.match(r"local(\[|$)", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        folder = tempfile.mkdtemp(prefix="spark-loomkit-", dir="/tmp")
-        spark.conf.set("spark.loomkit.scratch", folder)
-    return folder
-
+def mapped(df: DataFrame, function, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name, dots in it too."""
+    names = df.columns
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: later jobs neither recompute it nor depend on any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomkit-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def run(batches):
+        return function(batch.rename_columns(names) for batch in batches)
 
-
-def few(df: DataFrame) -> DataFrame:
-    """``df``, a small table after a shuffle, in no more partitions than four for each core: tasks and files that hold next to nothing cost more than they do."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, schema)
 
 
 def pieces(batches, rows: int = ROWS_PER_PIECE):
@@ -58,8 +40,13 @@ def pieces(batches, rows: int = ROWS_PER_PIECE):
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
-    """crc32 of the id written as text, modulo ``modulus`` (null id: null)."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+    """crc32 of the id written as text, modulo ``modulus``; -1 of a null id, which so is in no fold."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def fields(df: DataFrame, drop: tuple[str, ...] = (), **more: T.DataType) -> T.StructType:
+    """The columns of ``df`` without ``drop`` and without those that ``more`` names, and then ``more``."""
+    return T.StructType([f for f in df.schema.fields if f.name not in drop and f.name not in more] + [T.StructField(n, k) for n, k in more.items()])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pieces
+from .common import few, fields, mapped, pieces, saved
 
 TOP = 300
-#: Documents of each language that the profiles are learned from at most, and languages (the most frequent).
-TRAINING_ROWS, LANGUAGES = 20_000, 500
+#: Documents of each language that the profiles are learned from at most.
+TRAINING_ROWS = 20_000
 
 _letters = None
 
@@ -49,26 +50,29 @@ def ranked(text: str | None, top: int) -> np.ndarray:
 
 
 def _count(batches):
+    """The n-grams of each language in a piece of rows, with their numbers; every text is counted by itself."""
     for batch in pieces(batches):
-        lang = batch.column("lang").to_pylist()
-        text = batch.column("text").to_pylist()
-        for one in sorted(set(lang)):
-            values, count = np.unique(np.concatenate([grams(t) for t, x in zip(text, lang, strict=True) if x == one]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([one] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(count)], ["lang", "gram", "n"])
+        found: dict[str, list] = {}
+        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            found.setdefault(lang, []).append(np.unique(grams(text), return_counts=True))
+        for lang in sorted(found):
+            values, at = np.unique(np.concatenate([v for v, _ in found[lang]]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([n for _, n in found[lang]]), len(values)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(count)], ["lang", "gram", "n"])
 
 
 def learn_profiles(labelled: DataFrame, top: int = TOP, training_rows: int = TRAINING_ROWS) -> dict[str, np.ndarray]:
     """language -> its ``top`` n-grams in order, from rows (doc_id, text, lang); rows without a language or a text are left out.
 
-    At most about ``training_rows`` documents of a language are used, chosen by a hash of doc_id.
+    Every language is learned, from about ``training_rows`` of its documents at most, which a hash
+    of doc_id and text chooses; repeated rows count as often as they stand, equally frequent
+    n-grams rank by code point. Only the profiles reach the driver.
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, training_rows / n))])
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    counted = rows.where(part < share[F.col("lang")]).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    counts = saved(few(rows.groupBy("lang").agg(F.count("*").alias("rows"))))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6
+    sample = rows.join(counts, "lang").where(part * F.col("rows") < training_rows).select("lang", "text")
+    counted = sample.mapInArrow(_count, "lang string, gram long, n long")
     best = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     found: dict[str, list] = {}
@@ -95,9 +99,8 @@ def _predict(langs: list[str], vocabulary: np.ndarray, ranks: np.ndarray, top: i
                 k = int(total.argmin())
                 lang.append(langs[k])
                 score.append(1 - float(total[k]) / (top * len(g)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+            keys = [c for c in batch.schema.names if c not in ("text", "lang_pred", "score")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keys, "lang_pred", "score"])
 
     return run
 
@@ -106,12 +109,12 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -
     """``docs`` (text and any key columns) with text replaced by lang_pred and score (1: the profile's very order, 0: nothing shared).
 
     Whole texts count. A text that is null or has no letters, or no profiles at all, gives ``und``
-    and 0; ties go to the language that comes first. A row in, a row out.
+    and 0; ties go to the language that comes first. A row in, a row out, repeated ones alike;
+    columns named lang_pred or score are replaced, others may have any name.
     """
     langs = sorted(profiles)
     vocabulary = np.unique(np.concatenate([profiles[k] for k in langs])) if langs else np.zeros(0, np.uint64)
     ranks = np.full((len(vocabulary), len(langs)), -1)
     for j, k in enumerate(langs):
         ranks[np.searchsorted(vocabulary, profiles[k]), j] = np.arange(len(profiles[k]))
-    keys = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text")
-    return docs.mapInArrow(_predict(langs, vocabulary, ranks, top), f"{keys}, lang_pred string, score double")
+    return mapped(docs, _predict(langs, vocabulary, ranks, top), fields(docs, ("text",), lang_pred=T.StringType(), score=T.DoubleType()))

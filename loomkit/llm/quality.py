@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pieces
+from .common import fields, mapped, pieces
 
 STATISTICS = ("words", "word_length", "distinct", "top_word", "symbols", "upper", "digits", "repeats", "same_lines", "line_words", "stops", "bare_marks", "entropy", "marked_words")
 TO_POOLED, TO_DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
@@ -63,14 +64,13 @@ def statistics(text: str | None) -> list[float]:
 def _describe(batches):
     for batch in pieces(batches):
         values = [statistics(t) for t in batch.column("text").to_pylist()]
-        keys = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array([v[k] for v in values], pa.float64()) for k in range(len(STATISTICS)))], [*keys, *STATISTICS])
+        keys = [c for c in batch.schema.names if c not in ("text", "statistics")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(values, pa.list_(pa.float64()))], [*keys, "statistics"])
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """The key columns of ``docs`` and its statistics, one row for each row; the column ``text`` goes."""
-    keys = "".join(f"`{n}` {t}, " for n, t in docs.dtypes if n != "text")
-    return docs.mapInArrow(_describe, keys + ", ".join(f"{s} double" for s in STATISTICS))
+    """``docs`` with ``text`` replaced by ``statistics``, an array in the order of STATISTICS; one row for each row, whatever other columns there are."""
+    return mapped(docs, _describe, fields(docs, ("text",), statistics=T.ArrayType(T.DoubleType())))
 
 
 class Discriminant:
@@ -94,33 +94,36 @@ class Discriminant:
 
 
 def fit(labelled: DataFrame, label: str) -> Discriminant | float:
-    """Learned from every row of ``labelled`` (statistics and ``label``, 0 or 1; null labels are left out).
+    """Learned from every row of ``labelled`` (statistics and ``label``, 0 or 1; null and other labels are left out).
 
-    Only sums by class reach the driver. If one class is absent the result is the constant share of class 1 (0.5 of nothing).
+    Only sums by class reach the driver; repeated rows count as often as they stand. If one class
+    is absent the result is the constant share of class 1 (0.5 of nothing).
     """
     k = len(STATISTICS)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = [F.sum(s).alias(f"s{i}") for i, s in enumerate(STATISTICS)] + [F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"p{i}_{j}") for i, j in pairs]
+    s = F.col("statistics")
+    sums = [F.sum(s[i]).alias(f"s{i}") for i in range(k)] + [F.sum(s[i] * s[j]).alias(f"p{i}_{j}") for i, j in pairs]
     got = {}
-    for r in labelled.where(F.col(label).isin(0, 1)).groupBy(label).agg(F.count("*").alias("n"), *sums).collect():
+    rows = labelled.select(F.col(label).cast("int").alias("label"), "statistics").where("label in (0, 1)")
+    for r in rows.groupBy("label").agg(F.count("*").alias("n"), *sums).collect():
         products = np.zeros((k, k))
         for i, j in pairs:
             products[i, j] = products[j, i] = r[f"p{i}_{j}"]
-        got[r[label]] = (r.n, np.array([r[f"s{i}"] for i in range(k)]), products)
+        got[r["label"]] = (r.n, np.array([r[f"s{i}"] for i in range(k)]), products)
     if len(got) < 2:
         return float(next(iter(got))) if got else 0.5
     return Discriminant(got[1], got[0])
 
 
 def score(described: DataFrame, model: Discriminant | float) -> DataFrame:
-    """The key columns of ``described`` with score, the chance of class 1; a row in, a row out."""
+    """``described`` with its statistics replaced by score, the chance of class 1; a row in, a row out, equal rows with equal scores."""
     if not isinstance(model, Discriminant):
-        return described.drop(*STATISTICS).withColumn("score", F.lit(model))
-    keys = [n for n in described.columns if n not in STATISTICS]
+        return described.drop("statistics").withColumn("score", F.lit(model))
+    keys = [n for n in described.columns if n not in ("statistics", "score")]
 
     def run(batches):
-        for batch in pieces(batches):
-            x = np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS], 1)
+        for batch in batches:
+            x = batch.column("statistics").flatten().to_numpy().reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(model.score(x))], [*keys, "score"])
 
-    return described.mapInArrow(run, "".join(f"`{n}` {t}, " for n, t in described.dtypes if n in keys) + "score double")
+    return mapped(described, run, fields(described, ("statistics",), score=T.DoubleType()))
