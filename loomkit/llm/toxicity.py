@@ -1,45 +1,51 @@
 """Operator 6: toxicity scores from a factorization machine over hashed terms (Rendle 2010).
 
-Terms are hashed into ``BUCKETS``; the buckets that tell the classes apart best, by the
-likelihood ratio of their document counts, are the machine's features. Its score is
-w0 + sum of weights + sum over pairs of <v_i, v_j>, so that terms that are harmless alone
-count together. It is trained by iterative parameter mixing (McDonald et al. 2010): in each
-round every Spark partition trains on its rows from the common parameters, and their mean
-starts the next round.
+The machine's score is w0 + sum of weights + sum over pairs of <v_i, v_j>, so that terms that
+are harmless alone count together. Every term of the training rows, hashed into ``BUCKETS``,
+may become one of its features, by either part of that sum: terms that tell the classes apart
+alone (the likelihood ratio of their document counts), and terms of *pairs* that do. A first
+machine learns from the former; for every pair of terms that are frequent enough to meet, what
+it leaves unexplained in the rows that hold both is added up, less what either term says by
+itself, and pairs whose sum is far outside of chance bring their terms in, however little each
+of them says alone. The last machine learns weights and factors of all these terms.
+
+It is trained by iterative parameter mixing (McDonald et al. 2010): in each round every shard
+of the rows trains from the common parameters, and their mean starts the next round. The pairs
+are found exactly, in two passes: one whose sum is far enough out over all rows is, over the
+root of the number of shards, as far out in one shard at least.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, WordHashes, fold, saved, pieces
+from .common import WORD, WordHashes, few, fields, fold, mapped, pieces, saved
 
-BUCKETS, FEATURES, FACTORS = 1 << 22, 1024, 8
-LEAST_RATIO = 12.0
+BUCKETS, FACTORS = 1 << 22, 8
+#: The least likelihood ratio of a term alone, and how many standard deviations a pair must be out.
+LEAST_RATIO, LEAST_PAIR = 12.0, 5.5
+#: The share of the training rows that both terms of a pair stand in at least, and no fewer rows than this.
+SUPPORT, LEAST_ROWS = 1 / 100, 50
 #: Labelled rows that the machine is learned from at most.
 TRAINING_ROWS = 40_000
 TOXIC = 0.7
 #: The weight of class 1 when it is the rarer one: the odds, but not more than this.
 MOST_WEIGHT = 10.0
 SHARDS, ROUNDS, EPOCHS, RATE, DECAY = 6, 6, 6, 0.3, 1e-5
+BLOCK = 1024
 
 
-def _bucket_counts(batches):
+def _terms(batches):
     hashes = WordHashes()
     for batch in pieces(batches):
-        found, toxic = [], []
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            b = np.unique(hashes.of(WORD.findall((text or "").lower())) % np.uint64(BUCKETS))
-            found.append(b)
-            toxic.append(np.full(len(b), y))
-        values, at = np.unique(np.concatenate(found), return_inverse=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
-        y = np.concatenate(toxic) if toxic else np.zeros(0)
-        n1 = np.bincount(at, y, len(values))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(values.astype(np.int64)), pa.array(n1.astype(np.int64)), pa.array((np.bincount(at, minlength=len(values)) - n1).astype(np.int64))], ["bucket", "n1", "n0"])
+        terms = [np.unique(hashes.of(WORD.findall((t or "").lower())) % np.uint64(BUCKETS)).astype(np.int32) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("shard"), pa.array(terms, pa.list_(pa.int32()))], ["doc_id", "label", "shard", "terms"])
 
 
 class Features(dict):
@@ -61,7 +67,7 @@ class Features(dict):
         return sorted(found)
 
 
-def _dense(rows: list[list[int]], width: int) -> np.ndarray:
+def _dense(rows: list, width: int) -> np.ndarray:
     x = np.zeros((len(rows), width), np.float32)
     for k, r in enumerate(rows):
         x[k, r] = 1
@@ -76,30 +82,124 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _round(p: np.ndarray, width: int, seed: int, positive: float):
-    """One shard's epochs of AdaGrad from the parameters ``p``, rows of class 1 weighing ``positive``; gives (parameters, rows)."""
+def _shards(batches):
+    """(shard, terms, labels) of each shard, whose rows stand together; a shard holds a bounded share of the training rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        cut = [0, *(np.nonzero(shard[1:] != shard[:-1])[0] + 1).tolist(), len(shard)]
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            if held and hi > lo and held[-1].column("shard")[0].as_py() != int(shard[lo]):
+                yield _shard(held)
+                held = []
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield _shard(held)
+
+
+def _shard(held: list[pa.RecordBatch]):
+    t = pa.Table.from_batches(held)
+    return t["shard"][0].as_py(), [np.asarray(x, np.int32) for x in t["terms"].to_pylist()], t["label"].to_numpy().astype(np.float32)
+
+
+def _features(rows: list[np.ndarray], buckets: np.ndarray) -> list[np.ndarray]:
+    """The numbers of each row's terms among the sorted ``buckets``."""
+    if not len(buckets):
+        return [np.zeros(0, int)] * len(rows)
+    at = [np.searchsorted(buckets, r).clip(max=len(buckets) - 1) for r in rows]
+    return [k[buckets[k] == r] for k, r in zip(at, rows, strict=True)]
+
+
+def _round(p: np.ndarray, buckets: np.ndarray, turn: int, positive: float):
+    """Each shard's epochs of AdaGrad from the parameters ``p``, rows of class 1 weighing ``positive``; gives (parameters, rows)."""
+    width = len(buckets)
+
+    def run(batches):
+        for shard, terms, y in _shards(batches):
+            rows, q, rng = _features(terms, buckets), p.copy(), np.random.default_rng([turn, shard])
+            square = np.full(len(q), 1e-2, np.float32)
+            for _ in range(EPOCHS):
+                order = rng.permutation(len(rows))
+                for lo in range(0, len(rows), 128):
+                    at = order[lo : lo + 128]
+                    x, w, v = _dense([rows[k] for k in at], width), q[1 : 1 + width], q[1 + width :].reshape(width, FACTORS)
+                    g = (_sigmoid(_value(x, q[0], w, v)) - y[at]) * np.where(y[at] == 1, positive, 1) / len(at)
+                    dv = x.T @ (g[:, None] * (x @ v)) - v * (x.T @ g)[:, None]
+                    d = np.concatenate([[g.sum()], x.T @ g + DECAY * w, (dv + DECAY * v).ravel()]).astype(np.float32)
+                    square += d * d
+                    q -= RATE * d / np.sqrt(square)
+            yield pa.RecordBatch.from_arrays([pa.array([q.tobytes()], pa.binary()), pa.array([len(rows)], pa.int64())], ["p", "n"])
+
+    return run
+
+
+def _unexplained(terms: list[np.ndarray], y: np.ndarray, machine: Machine, positive: float) -> tuple[np.ndarray, np.ndarray]:
+    """(what the machine leaves of each label, its variance), by the chances without the weight of class 1."""
+    s = machine.score(_features(terms, np.array(machine.buckets, np.int64)))
+    s = np.clip(s / (s + (1 - s) * positive), 0.005, 0.995)
+    return (y - s).astype(np.float32), (s * (1 - s)).astype(np.float32)
+
+
+def _pair_sums(rows: list[np.ndarray], left: np.ndarray, spread: np.ndarray, width: int):
+    """Blocks (first row, first column, sums, variances) over the rows that hold both terms of a pair; ``rows`` hold the numbers of their terms, below ``width``."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    column = np.concatenate(rows) if rows else np.zeros(0, int)
+
+    def dense(lo: int, some: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(some), min(BLOCK, width - lo)), np.float32)
+        keep = (column >= lo) & (column < lo + BLOCK) & (owner >= some[0]) & (owner <= some[-1])
+        x[owner[keep] - some[0], column[keep] - lo] = 1
+        return x
+
+    parts = [np.arange(k, min(k + 4096, len(rows))) for k in range(0, len(rows), 4096)]
+    for i in range(0, width, BLOCK):
+        for j in range(i, width, BLOCK):
+            a = b = 0.0
+            for some in parts:
+                x = dense(i, some)
+                z = x if i == j else dense(j, some)
+                a = a + (x * left[some, None]).T @ z
+                b = b + (x * spread[some, None]).T @ z
+            yield i, j, a, b
+
+
+def _term_sums(machine: Machine, buckets: np.ndarray, positive: float):
+    """(i, left, spread): the sums of each term by itself in each shard."""
+    def run(batches):
+        for _, terms, y in _shards(batches):
+            left, spread = _unexplained(terms, y, machine, positive)
+            rows = _features(terms, buckets)
+            size, at = [len(r) for r in rows], np.concatenate(rows)
+            sums = [np.bincount(at, np.repeat(x, size), len(buckets)) for x in (left, spread)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(buckets), dtype=np.int32)), *map(pa.array, sums)], ["i", "left", "spread"])
+
+    return run
+
+
+def _suspects(machine: Machine, buckets: np.ndarray, positive: float, alone: np.ndarray):
+    """(i, j): the pairs that lie far enough out in a shard to do so over all of them; ``alone`` is what each term says by itself."""
+    least = LEAST_PAIR / math.sqrt(SHARDS)
+
+    def run(batches):
+        for _, terms, y in _shards(batches):
+            for i, j, a, b in _pair_sums(_features(terms, buckets), *_unexplained(terms, y, machine, positive), len(buckets)):
+                far = np.abs(a - b * (alone[i : i + BLOCK, None] + alone[None, j : j + BLOCK])) >= least * np.sqrt(b)
+                r, c = np.nonzero((np.triu(far, 1) if i == j else far) & (b > 0))
+                yield pa.RecordBatch.from_arrays([pa.array((r + i).astype(np.int32)), pa.array((c + j).astype(np.int32))], ["i", "j"])
+
+    return run
+
 
+def _weighed(machine: Machine, buckets: np.ndarray, positive: float, alone: np.ndarray, pairs: np.ndarray):
+    """(i, j, left, spread): the sums of the given pairs in each shard."""
     def run(batches):
-        rows, y = [], []
-        for batch in batches:
-            rows += batch.column("features").to_pylist()
-            y += batch.column("label").to_pylist()
-        if not rows:
-            return
-        q, y, rng = p.copy(), np.array(y, np.float32), np.random.default_rng(seed)
-        square = np.full(len(q), 1e-2, np.float32)
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(rows))
-            for lo in range(0, len(rows), 128):
-                at = order[lo : lo + 128]
-                x, w, v = _dense([rows[k] for k in at], width), q[1 : 1 + width], q[1 + width :].reshape(width, FACTORS)
-                g = (_sigmoid(_value(x, q[0], w, v)) - y[at]) * np.where(y[at] == 1, positive, 1) / len(at)
-                xv = x @ v
-                dv = x.T @ (g[:, None] * xv) - v * (x.T @ g)[:, None]
-                d = np.concatenate([[g.sum()], x.T @ g + DECAY * w, (dv + DECAY * v).ravel()]).astype(np.float32)
-                square += d * d
-                q -= RATE * d / np.sqrt(square)
-        yield pa.RecordBatch.from_arrays([pa.array([q.tobytes()], pa.binary()), pa.array([len(rows)], pa.int64())], ["p", "n"])
+        for _, terms, y in _shards(batches):
+            for i, j, a, b in _pair_sums(_features(terms, buckets), *_unexplained(terms, y, machine, positive), len(buckets)):
+                at = pairs[(pairs[:, 0] // BLOCK * BLOCK == i) & (pairs[:, 1] // BLOCK * BLOCK == j)]
+                r, c = at[:, 0] - i, at[:, 1] - j
+                left = a[r, c] - b[r, c] * (alone[at[:, 0]] + alone[at[:, 1]])
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(left.astype(float)), pa.array(b[r, c].astype(float))], ["i", "j", "left", "spread"])
 
     return run
 
@@ -108,59 +208,90 @@ class Machine:
     def __init__(self, buckets: list[int], p: np.ndarray):
         self.buckets, self.p = buckets, p
 
-    def score(self, rows: list[list[int]]) -> np.ndarray:
+    def score(self, rows: list) -> np.ndarray:
         k = len(self.buckets)
-        return _sigmoid(_value(_dense(rows, k), self.p[0], self.p[1 : 1 + k], self.p[1 + k :].reshape(k, FACTORS)))
+        out = [_value(_dense(rows[lo : lo + 2048], k), self.p[0], self.p[1 : 1 + k], self.p[1 + k :].reshape(k, FACTORS)) for lo in range(0, len(rows), 2048)]
+        return _sigmoid(np.concatenate(out)) if out else np.zeros(0)
+
+
+def _trained(train: DataFrame, buckets: list[int], positive: float) -> Machine:
+    k, held = len(buckets), np.array(buckets, np.int64)
+    p = np.random.default_rng(7).normal(0, 0.05, 1 + k + k * FACTORS).astype(np.float32)
+    p[: 1 + k] = 0
+    for turn in range(ROUNDS):
+        parts = train.mapInArrow(_round(p, held, turn, positive), "p binary, n long").collect()
+        size = sum(r.n for r in parts)
+        if not size:
+            break
+        p = sum(np.frombuffer(r.p, np.float32) * np.float32(r.n / size) for r in sorted(parts, key=lambda r: (r.n, r.p)))
+    return Machine(buckets, p)
+
+
+def _alone(counts: DataFrame, n1: float, n0: float) -> list[int]:
+    """The buckets whose document counts by class have a likelihood ratio of ``LEAST_RATIO``."""
+    part = lambda c, total, both: F.when(c > 0, c * F.log(c * (n1 + n0) / (total * both))).otherwise(0.0)
+    k1, k0 = F.col("n1"), F.col("n") - F.col("n1")
+    both, none = k1 + k0, (n1 + n0) - k1 - k0
+    ratio = 2 * (part(k1, n1, both) + part(k0, n0, both) + part(n1 - k1, n1, none) + part(n0 - k0, n0, none))
+    return sorted(r.term for r in counts.where(ratio >= LEAST_RATIO).select("term").collect())
+
+
+def _together(train: DataFrame, machine: Machine, frequent: list[int], positive: float) -> list[int]:
+    """The buckets among ``frequent`` that stand in a pair that lies ``LEAST_PAIR`` standard deviations out."""
+    held = np.array(frequent, np.int64)
+    alone = np.zeros(len(held))
+    for r in train.mapInArrow(_term_sums(machine, held, positive), "i int, left double, spread double").groupBy("i").agg(F.sum("left").alias("left"), F.sum("spread").alias("spread")).collect():
+        alone[r.i] = r.left / r.spread if r.spread else 0.0
+    suspects = train.mapInArrow(_suspects(machine, held, positive, alone), "i int, j int").distinct().toArrow()
+    pairs = np.stack([suspects["i"].to_numpy(), suspects["j"].to_numpy()], 1)
+    if not len(pairs):
+        return []
+    shared = train.sparkSession.sparkContext.broadcast(pairs)
+    sums = train.mapInArrow(lambda batches: _weighed(machine, held, positive, alone, shared.value)(batches), "i int, j int, left double, spread double")
+    sums = sums.groupBy("i", "j").agg(F.sum("left").alias("left"), F.sum("spread").alias("spread"))
+    far = sums.where(F.abs("left") >= LEAST_PAIR * F.sqrt("spread")).select(F.explode(F.array("i", "j")).alias("k")).distinct().collect()
+    shared.unpersist()
+    return [frequent[r.k] for r in far]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training_rows: int = TRAINING_ROWS) -> Machine:
     """Learned from the texts of ``docs`` whose doc_id has a 0/1 ``label`` in ``labels``.
 
     At most about ``training_rows`` labelled rows, chosen by a hash of doc_id, are used; that
-    bounded set of ids is what is broadcast. Without labels every text scores 0.5.
+    bounded set of ids is what is broadcast, and the bound limits the terms, frequent terms and
+    pairs that are looked at. Null ids, other labels and null labels are left out; a repeated
+    label or document counts as often as it stands; null texts count as empty. Without labels of
+    both classes every text scores the same: 0.5 of none, else near the class there is.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     share = training_rows / max(1, usable.count())
     sample = usable if share >= 1 else usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1e6))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
     n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = float(n.get(1, 0)), float(n.get(0, 0))
-    counts = rows.select("text", "label").mapInArrow(_bucket_counts, "bucket long, n1 long, n0 long").groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    part = lambda c, total, both: F.when(c > 0, c * F.log(c * (n1 + n0) / (total * both))).otherwise(0.0)
-    k1, k0 = F.col("n1"), F.col("n0")
-    both, none = k1 + k0, (n1 + n0) - k1 - k0
-    ratio = 2 * (part(k1, n1, both) + part(k0, n0, both) + part(n1 - k1, n1, none) + part(n0 - k0, n0, none))
-    best = counts.select("bucket", ratio.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "bucket").limit(FEATURES)
-    buckets = [r.bucket for r in best.collect()] if n1 and n0 else []
-    k = len(buckets)
-    p = (np.random.default_rng(7).normal(0, 0.05, 1 + k + k * FACTORS)).astype(np.float32)
-    p[: 1 + k] = 0
     if not n1 or not n0:
+        p = np.zeros(1, np.float32)
         p[0] = 0 if n1 == n0 else 5 if n1 else -5
-        return Machine(buckets, p)
-
-    def features(batches):
-        of = Features(buckets).of
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([of(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "label", "features"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    train = saved(rows.mapInArrow(features, f"doc_id {kind}, label int, features array<int>"))
+        return Machine([], p)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int"))
+    train = saved(rows.select("doc_id", "label", "shard", "text").mapInArrow(
+        _terms, fields(rows, ("label", "text"), label=T.IntegerType(), shard=T.IntegerType(), terms=T.ArrayType(T.IntegerType()))))
+    counts = saved(few(train.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("n1"))))
+    train = saved(few(train.repartition(SHARDS, "shard").sortWithinPartitions("shard", "doc_id", "label", "terms")))
     positive = min(MOST_WEIGHT, max(1.0, n0 / n1))
-    for turn in range(ROUNDS):
-        parts = train.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "label", "features").mapInArrow(_round(p, k, turn, positive), "p binary, n long").collect()
-        size = sum(r.n for r in parts)
-        p = sum(np.frombuffer(r.p, np.float32) * np.float32(r.n / size) for r in sorted(parts, key=lambda r: (r.n, r.p)))
-    return Machine(buckets, p)
+    alone = _alone(counts, n1, n0)
+    machine = _trained(train, alone, positive)
+    frequent = sorted(r.term for r in counts.where(F.col("n") >= max(LEAST_ROWS, SUPPORT * (n1 + n0))).select("term").collect())
+    together = _together(train, machine, frequent, positive)
+    every = sorted({*alone, *together})
+    return machine if every == alone else _trained(train, every, positive)
 
 
 def score(docs: DataFrame, machine: Machine, keep_text: bool = False) -> DataFrame:
-    """``docs`` (text and any other columns but score) with the column score, the chance of label 1; text goes unless it is kept.
+    """``docs`` (text and any other columns) with the column score, the chance of label 1; text goes unless it is kept, and a column named score is replaced.
 
-    Whole texts count, null ones as empty. A row in, a row out.
+    Whole texts count, null ones as empty. A row in, a row out, equal texts with equal scores.
     """
-    keep = [c for c in docs.columns if keep_text or c != "text"]
+    keep = [c for c in docs.columns if (keep_text or c != "text") and c != "score"]
 
     def run(batches):
         of = Features(machine.buckets).of
@@ -168,7 +299,7 @@ def score(docs: DataFrame, machine: Machine, keep_text: bool = False) -> DataFra
             s = machine.score([of(t) for t in batch.column("text").to_pylist()]).astype(float)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s)], [*keep, "score"])
 
-    return docs.mapInArrow(run, "".join(f"`{n}` {t}, " for n, t in docs.dtypes if n in keep) + "score double")
+    return mapped(docs, run, fields(docs, () if keep_text else ("text",), score=T.DoubleType()))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

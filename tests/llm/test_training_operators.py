@@ -95,6 +95,62 @@ def test_toxicity_learns_terms(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.where("false"))).first().score == 0.5
 
 
+@pytest.mark.parametrize("rare", [False, True])
+def test_toxicity_learns_pairs_that_tell_nothing_alone(spark, rare):
+    """Toxic is one of two words without the other; or the two together, where each alone is harmless and common."""
+    r = random.Random(11)
+    rows = []
+    for i in range(2400):
+        a, b = (r.random() < 0.1, r.random() < 0.1) if rare else (r.random() < 0.5, r.random() < 0.5)
+        toxic = int(a and b) if rare else int(a != b)
+        if rare and not toxic and i % 11 == 0:
+            toxic = 1  # of another kind, so that neither word stands out among the toxic rows
+        words = text(r, 40).split() + ["zork"] * a + ["quux"] * b + (["blorg"] if rare and toxic and not (a and b) else [])
+        r.shuffle(words)
+        rows.append((i, " ".join(words), toxic))
+    docs, labels = frame(spark, [x[:2] for x in rows], None), spark.createDataFrame([(i, y) for i, _, y in rows if i % 3], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    got = {x.doc_id: x.score >= 0.7 for x in toxicity.score(docs, machine).collect()}
+    held = [x for x in rows if x[0] % 3 == 0]
+    right = sum(got[i] == bool(y) for i, _, y in held) / len(held)
+    assert right > 0.97
+    assert not rare or all(got[i] for i, t, y in held if "zork" in t and "quux" in t)
+
+
+def test_pair_sums_equal_brute_force():
+    r = np.random.default_rng(2)
+    rows = [np.unique(r.integers(0, 3000, 60)).astype(np.int32) for _ in range(300)]
+    y = r.integers(0, 2, 300).astype(np.float32)
+    p = r.normal(0, 0.5, 1 + 20 * (1 + toxicity.FACTORS)).astype(np.float32)
+    machine, frequent = toxicity.Machine(list(range(0, 200, 10)), p), np.arange(0, 2500, 2)
+    s = machine.score([np.nonzero(np.isin(np.arange(0, 200, 10), x))[0] for x in rows])
+    s = np.clip(s / (s + (1 - s) * 3), 0.005, 0.995)
+    left, spread = toxicity._unexplained(rows, y, machine, 3)
+    assert left == pytest.approx(y - s, abs=1e-5) and spread == pytest.approx(s * (1 - s), abs=1e-5)
+    x = np.zeros((300, len(frequent)))
+    for k, t in enumerate(rows):
+        x[k, t[(t < 2500) & (t % 2 == 0)] // 2] = 1
+    for i, j, a, b in toxicity._pair_sums(toxicity._features(rows, frequent), left, spread, len(frequent)):
+        assert a == pytest.approx(((x * left[:, None]).T @ x)[i : i + 1024, j : j + 1024], abs=1e-4)
+        assert b == pytest.approx(((x * spread[:, None]).T @ x)[i : i + 1024, j : j + 1024], abs=1e-4)
+
+
+def test_toxicity_of_empty_tables_repeats_and_clashing_names(spark):
+    r = random.Random(12)
+    rows = [(i % 90, text(r, 20) + (" blorg" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(120)]
+    docs = frame(spark, [x[:2] for x in rows], None).withColumn("score", F.lit("s")).withColumn("shard", F.lit(1)).withColumn("label", F.lit(2)).withColumn("a.b", F.lit(3))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None), (4, 7)], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    out = toxicity.score(docs.union(docs), machine)
+    assert out.columns == ["doc_id", "shard", "label", "a.b", "score"] and out.count() == 240
+    assert toxicity.score(docs.where("false"), machine).count() == 0
+    assert toxicity.fit(docs.where("false"), labels).score([[]])[0] <= 0.7
+    assert toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).first().score < 0.1
+    long = frame(spark, [(1, "blorg " + text(r, 60_000)), (2, text(r, 60_000))], None)
+    got = {x.doc_id: x.score for x in toxicity.score(long, machine).collect()}
+    assert got[1] > got[2]
+
+
 def test_machine_is_the_sum_over_pairs():
     r = np.random.default_rng(0)
     k = 5
@@ -135,6 +191,94 @@ def test_verbatim_leaks_need_neither_share_nor_literals(spark):
     assert sorted(x.doc_id for x in decontaminate.clean(docs, bench).collect()) == [2, 6, 7, 8]
 
 
+def test_digit_heavy_items_and_names_at_the_start(spark):
+    sums, choice, maria = "Compute 12 + 15 - 7 + 3 + 88 = 111 , then 9 + 4 - 2", "What is 17 + 25 ? Answer 42 or 43 or 44 or 45", "Maria buys 12 apples and eats 5 today"
+    bench = spark.createDataFrame([(1, sums), (2, choice), (3, maria)], "item_id long, text string")
+    r = random.Random(15)
+    docs = frame(spark, [(1, f"{text(r, 30)}. {sums}. {text(r, 30)}"), (2, f"{text(r, 30)}. {choice}. {text(r, 9)}"), (3, "Peter buys 30 apples and eats 9 today"), (4, f"{text(r, 9)}. Peter buys 30 apples and eats 30 today"), (5, "He buys apples and eats today")], None)
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3)} and got[(3, 3)].verbatim == 0
+
+
+def leaks_by_hand(docs, items):
+    """Every document against every item, token by token, with plain lists."""
+    def read(t):
+        tokens, start, out = decontaminate.TOKEN.findall(t), True, []
+        for x in tokens:
+            if x[0] in ".!?\n":
+                start = True
+                continue
+            kind = "N" if x[0].isdigit() else "U" if x.lower() in decontaminate.UNITS else "C" if x.istitle() else ""
+            out.append((x.lower(), "" if kind == "C" and start else kind, kind))
+            start = False
+        return out
+
+    found = {}
+    for d, t in docs:
+        for i, u in items:
+            a, b = read(u), read(t)
+            width = min(8, len(a))
+            if not a:
+                continue
+            good = {(k, x) for k in (1, 2) for x in range(len(a) - width + 1) if sum(not w[k] for w in a[x : x + width]) >= min(5, width)}
+            offsets, matched = {x for _, x in good}, set()
+            template = lambda w, k: [x[k] or x[0] for x in w]
+            for shift in range(-len(a), len(b)):
+                there, back = {}, {}
+                for x in sorted(offsets) if good else range(len(a) - width + 1):
+                    y = x + shift
+                    if y < 0 or y + width > len(b):
+                        continue
+                    wa, wb = a[x : x + width], b[y : y + width]
+                    if not good:
+                        if [w[0] for w in wa] == [w[0] for w in wb]:
+                            matched.add(x)
+                        continue
+                    for k in (1, 2):
+                        if (k, x) not in good or template(wa, k) != template(wb, k):
+                            continue
+                        pairs = {(p[0], q[0]) for p, q in zip(wa, wb, strict=True) if p[k]}
+                        if len({p for p, _ in pairs}) == len(pairs) == len({q for _, q in pairs}) and all(there.get(p, q) == q and back.get(q, p) == p for p, q in pairs):
+                            there |= dict(pairs)
+                            back |= {q: p for p, q in pairs}
+                            matched.add(x)
+            runs = {x for x in range(len(a) - 12) for y in range(len(b) - 12) if [w[0] for w in a[x : x + 13]] == [w[0] for w in b[y : y + 13]]}
+            total = len(offsets) if good else len(a) - width + 1
+            if matched and len(matched) >= 0.3 * total or runs:
+                found[(d, i)] = (len(matched), total, len({x + k for x in runs for k in range(13)}))
+    return found
+
+
+def test_leaks_equal_brute_force(spark):
+    r = random.Random(16)
+    names, units = ["Anna", "Bob", "Carla", "Dan"], ["kg", "euros", "hours"]
+    word = lambda: r.choice([r.choice(WORDS)] * 5 + [str(r.randint(1, 30)), r.choice(names), r.choice(units)])
+    items = [(i, r.choice(["", "Anna "]) + " ".join(word() for _ in range(r.choice([3, 7, 8, 12, 30]))) + ".") for i in range(25)] + [(90, "12 13 14 15 16 17 18 19 20 21"), (91, "...")]
+    change = lambda t: re.sub(r"\d+", lambda m: str(int(m.group()) + 1), t).replace("Anna", "Eva").replace("kg", "hours")
+    docs = []
+    for k in range(60):
+        _, t = r.choice(items)
+        t = r.choice([t, change(t), t.replace("12", "13"), " ".join(t.split()[: r.randint(3, 20)]), " ".join(word() for _ in range(20))])
+        docs.append((k, " ".join(word() for _ in range(r.randint(0, 9))) + r.choice([". ", " "]) + t + " " + " ".join(word() for _ in range(r.randint(0, 9)))))
+    docs.append((99, text(r, 30_000) + " " + items[4][1]))
+    got = {(x.doc_id, x.item_id): (x.matched, x.windows, x.in_runs) for x in decontaminate.leaks(frame(spark, docs, None), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leaks_by_hand(docs[:-1], items)
+    assert {k: v for k, v in got.items() if k[0] != 99} == want and len(want) > 20
+    assert (99, 4) in got
+
+
+def test_clean_with_repeats_empty_tables_and_clashing_names(spark):
+    item = "the quick brown fox jumps over the lazy dog and then it sleeps for 3 hours"
+    bench = spark.createDataFrame([(7, item), (7, item), (8, None), (None, item)], "item_id long, text string")
+    docs = frame(spark, [(1, item), (1, item), (1, "another text of the same number"), (None, item), (None, "fine"), (2, None)], None)
+    docs = docs.withColumn("row", F.lit("r")).withColumn("hash", F.lit(1)).withColumn("item_id", F.lit(2)).withColumn("a.b", F.lit(3))
+    out = decontaminate.clean(docs, bench)
+    assert out.columns == docs.columns
+    assert sorted((str(x.doc_id), str(x.text)) for x in out.collect()) == [("1", "another text of the same number"), ("2", "None"), ("None", "fine")]
+    assert decontaminate.leaks(docs, bench).count() == 2
+    assert decontaminate.clean(docs.where("false"), bench).count() == 0 and decontaminate.clean(docs, bench.where("false")).count() == 6
+
+
 def test_mixing_meets_its_targets(spark):
     r = random.Random(6)
     rows = [(i, text(r, r.randint(0, 60)), r.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(900)] + [(5000, None, "a"), (3, "x y", "b"), (3, "x y", "b")]
