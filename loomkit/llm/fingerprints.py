@@ -9,6 +9,9 @@ what chance makes equal (Li and Koenig 2010).
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import SHINGLE_WORDS
 
 BINS, BIN_BITS, KEPT_BITS = 128, 7, 8
-ROWS_PER_RANGE, MOST_RANGES = 2_000, 2_000
+#: Rows of a range: no more than the former, and no fewer than the latter for the sake of more ranges than cores.
+MOST_ROWS, LEAST_ROWS = 50_000, 2_000
 
 
 def _bin(h: Column) -> Column:
@@ -63,28 +67,47 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(estimate)
 
 
+def _count_below(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``, found in two steps so that a row looks at few of them."""
+    step = max(1, math.isqrt(len(cuts)))
+    parts = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    part = F.size(F.filter(F.array(*[F.lit(p[0]) for p in parts]), lambda c: c <= value))
+    inside = F.filter(F.array(*[F.array(*[F.lit(c) for c in p]) for p in parts])[F.greatest(part - 1, F.lit(0))], lambda c: c <= value)
+    return F.greatest(part - 1, F.lit(0)) * step + F.size(inside)
+
+
+def _places(docs: DataFrame, order: Column) -> tuple[Column, Column]:
+    """(range, part of it) of a row: ranges of doc_id of about equal numbers of rows; a doc_id that would fill several is parted by ``order``."""
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    ranges = math.ceil(max(n / MOST_ROWS, min(n / LEAST_ROWS, 8 * docs.sparkSession.sparkContext.defaultParallelism), 1))
+    cuts = [] if ranges == 1 else docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
+    hot = {v: c for v, c in Counter(cuts).items() if c > 1}
+    place = _count_below(F.col("doc_id"), sorted(set(cuts))) if cuts else F.lit(0)
+    parts = F.element_at(F.create_map(*[F.lit(x) for item in sorted(hot.items()) for x in item]), F.col("doc_id")) if hot else F.lit(None).cast("int")
+    parts = F.when(F.col("doc_id").isNull(), max(1, ranges * nulls // max(1, n))).otherwise(F.coalesce(parts, F.lit(1)))
+    # The rows of a hot doc_id stand at the start of their range, those behind it in one more part.
+    hot_part = F.least(F.floor((order / F.lit(2.0**64) + 0.5) * parts), parts - 1).cast("int")
+    rest = F.lit(max(hot.values(), default=0) + 1)
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(place), F.when(F.col("doc_id").isNull() | (parts > 1), hot_part).otherwise(rest)
+
+
 def with_next(docs: DataFrame, text: str, name: str) -> DataFrame:
     """``docs`` (doc_id and ``text``) with the fingerprint ``name``, and next_<text> and next_<name> of the next row by doc_id; the last row's next is the first.
 
-    Nulls come first, rows with one doc_id are ordered by their text's hash. The ids are
-    cut into ranges of equal numbers of rows, and each range is ordered by itself; the first row
-    of the next range is added to its end.
+    Nulls come first, rows with one doc_id are ordered by their text's hash. The rows are
+    dealt into ranges by doc_id, as many as they need, and each range is ordered by itself; the
+    first row of the next range is added to its end.
     """
-    n = docs.count()
-    ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
-    cuts = [] if ranges == 1 else docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    docs = docs.select("doc_id", text, F.when(F.col("doc_id").isNull(), 0).otherwise(place).alias("place"))
-    heads = docs.groupBy("place").agg(F.min("doc_id").alias("head"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    heads = heads.select("place", F.when(F.col("nulls") == 0, F.col("head")).alias("head"))
-    before = F.coalesce(F.lag("place").over(W.orderBy("place")), F.max("place").over(W.partitionBy()))
-    heads = heads.select("place", "head", before.alias("before"))
-    # One row for each range, at most MOST_RANGES + 1.
-    extra = docs.join(F.broadcast(heads.withColumnRenamed("place", "p")), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("place") == F.col("p")))
     order = F.xxhash64(text)
-    extra = extra.groupBy("p", "before", "doc_id").agg(F.min_by(text, order).alias(text)).select(
-        "doc_id", text, F.col("before").alias("place"), F.lit(True).alias("extra"))
+    p, q = _places(docs, order)
+    docs = docs.select("doc_id", text, F.struct(p.alias("p"), q.alias("q")).alias("place"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", order.alias("order"))
+    heads = docs.groupBy("place").agg(F.min(key).alias("head"))
+    before = F.coalesce(F.lag("place").over(W.orderBy("place")), F.max("place").over(W.partitionBy()))
+    # One row for each range.
+    heads = heads.select(F.col("place").alias("at"), before.alias("before"), F.col("head.doc_id").alias("head_id"), F.col("head.order").alias("head_order"))
+    extra = docs.join(heads, (F.col("place") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (order == F.col("head_order")))
+    extra = extra.groupBy("at", "before", "doc_id").agg(F.min(text).alias(text)).select("doc_id", text, F.col("before").alias("place"), F.lit(True).alias("extra"))
     rows = with_fingerprint(docs.withColumn("extra", F.lit(False)), text, name).unionByName(with_fingerprint(extra, text, name))
     w = W.partitionBy("place").orderBy("extra", F.col("doc_id").asc_nulls_first(), order)
     return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (text, name)]).where("not extra").drop("place", "extra")
@@ -94,7 +117,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """The fingerprints of every text and of its edited text, with their likeness and that to the next text.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many
-    (or all) of the next text's first. A null text counts as empty. A row in, a row out.
+    (or all) of the next text's first. A null text counts as empty. A row in, a row out; whole
+    texts count, and other columns, whatever their names, are ignored.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_next(texts, "text", "fingerprint")

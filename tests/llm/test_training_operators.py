@@ -44,7 +44,7 @@ def test_fingerprints_against_the_definition(spark):
 
 
 def test_next_wraps_over_many_ranges_with_ties(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 5)
+    monkeypatch.setattr(fingerprints, "LEAST_ROWS", 5)
     rows = [(i // 2, f"word{i}") for i in range(40)] + [(None, "none")]
     out = fingerprints.with_next(frame(spark, rows, None), "text", "fp").collect()
     assert len(out) == 41
@@ -57,6 +57,50 @@ def test_next_wraps_over_many_ranges_with_ties(spark, monkeypatch):
     assert [x.split("d")[-1] for x in (str(int(s[4:]) // 2) for s in seen[1:])] == [str(i // 2) for i in range(40)]
 
 
+def test_next_of_hot_ids_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "MOST_ROWS", 4)
+    rows = [(i, f"a{i}") for i in range(20)] + [(7, f"hot{i}") for i in range(40)] + [(None, f"none{i}") for i in range(30)] + [(25, "same")] * 3
+    df = frame(spark, rows, None).withColumn("place", F.lit("clash")).withColumn("extra", F.lit(1))
+    out = fingerprints.with_next(df.select("doc_id", "text"), "text", "fp").collect()
+    assert len(out) == len(rows) and len(fingerprints.edited_fingerprints(df).collect()) == len(rows)
+    h = {r.text: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
+    texts = [t for _, t in want]
+    assert sorted((x.text, x.next_text) for x in out) == sorted(zip(texts, texts[1:] + texts[:1], strict=True))
+
+
+def minhash_by_hand(hashes):
+    """One-permutation MinHash of 64-bit shingle hashes, bin by bin: (bin -> least hash)."""
+    least = {}
+    for h in hashes:
+        k = (h % 2**64) >> (64 - fingerprints.BIN_BITS)
+        least[k] = min(least.get(k, h), h)
+    return least
+
+
+def test_fingerprints_equal_the_method_by_hand(spark):
+    r = random.Random(21)
+    texts = [text(r, n) for n in (1, 5, 6, 9, 20, 60, 300)]
+    df = frame(spark, list(enumerate(texts + texts[:2])), None)
+    got = {x.doc_id: x.fp for x in fingerprints.with_fingerprint(df, "text", "fp").collect()}
+    assert got[7] == got[0] and got[8] == got[1]
+    words = lambda t: t.lower().split()
+    x64 = lambda col: spark.range(1).select(col.alias("h")).first().h
+    for i, t in enumerate(texts):
+        hs = [x64(F.xxhash64(F.lit(w))) for w in words(t)]
+        if len(hs) > 60:
+            continue
+        sh = [x64(F.xxhash64(*[F.lit(v) for v in hs[k : k + 5]])) for k in range(len(hs) - 4)] if len(hs) >= 5 else [x64(F.xxhash64(F.array(*[F.lit(v) for v in hs])))]
+        least = minhash_by_hand(sh)
+        donors = [(b, k) for b in range(fingerprints.BINS) if b not in least for k in least]
+        chosen = {}
+        if donors:
+            for row in spark.createDataFrame(donors, "b int, k long").select("b", "k", F.xxhash64("b", F.col("k").cast("long")).alias("h")).collect():
+                chosen[row.b] = min(chosen.get(row.b, (row.h, row.k)), (row.h, row.k))
+        want = "".join(f"{(least[b] if b in least else least[chosen[b][1]]) & 255:02x}" for b in range(fingerprints.BINS))
+        assert got[i] == want
+
+
 def test_language_profiles(spark):
     r = random.Random(2)
     make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(60))
