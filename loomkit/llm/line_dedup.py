@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import few, saved
 
 LEAST_SITES = 3
 LG_K = 10
+SALTS = 16
 #: Four standard errors of a sketch of 2^LG_K registers, and never less than one site.
 MARGIN = 4 * 1.04 / 2 ** (LG_K / 2)
 
@@ -30,9 +31,10 @@ def boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
     lines = _lines(docs)
     margin = max(1, round(least_sites * MARGIN))
     sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    likely = saved(sketched.select("h", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least_sites - margin))
+    likely = saved(few(sketched.select("h", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least_sites - margin)))
     near = likely.where(F.col("sites") <= least_sites + margin).select("h")
-    exact = lines.select("h", "site").join(near.hint("shuffle_hash"), "h", "left_semi").distinct().groupBy("h").agg(F.count("*").alias("exact"))
+    # A line's sites are told apart where they are read, so that a frequent line brings a row for each site and task at most.
+    exact = lines.select("h", "site").distinct().join(near, "h", "left_semi").groupBy("h").agg(F.count("*").alias("exact"))
     return likely.join(exact, "h", "left").where(F.coalesce("exact", "sites") >= least_sites).select("h", "first")
 
 
@@ -41,21 +43,25 @@ def dedup_lines(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
 
     A row in, a row out: a text may become shorter or empty, but no document goes. Null texts
     stay null with no lines; blank lines are never removed. Repeated rows are one document, so
-    what stays in one stays in all; a null doc_id counts as the least.
+    what stays in one stays in all; a null doc_id counts as the least. Whole texts count, however
+    many lines they have. Columns named lines_total or lines_removed are replaced, others may have any name.
     """
-    bad = saved(boilerplate(docs, least_sites))
+    bad = saved(few(boilerplate(docs, least_sites)))
+    # A common line meets its entry in SALTS places, by its document.
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     drops = (
-        _lines(docs).join(bad, "h").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+        _lines(docs).withColumn("salt", F.pmod("whole", F.lit(SALTS)).cast("int")).join(bad.withColumn("salt", salt), ["h", "salt"])
+        .where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
         .groupBy("doc_id", "whole").agg(F.collect_set("pos").alias("drops"))
         .select(F.col("doc_id").alias("drop_id"), F.col("whole").alias("drop_whole"), "drops"))
-    at = docs["doc_id"].eqNullSafe(F.col("drop_id")) & (F.xxhash64(docs["text"]) == F.col("drop_whole"))
-    joined = docs.join(drops.hint("shuffle_hash"), at, "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
-    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return joined.select(*others, text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("lines_total"), F.coalesce(F.size("drops"), F.lit(0)).alias("lines_removed")).withColumns(
-        {c: F.greatest(F.col(c), F.lit(0)) for c in ("lines_total", "lines_removed")}).select(*docs.columns, "lines_total", "lines_removed")
+    others = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("d"))
+    at = F.col("d.doc_id").eqNullSafe(F.col("drop_id")) & (F.xxhash64("d.text") == F.col("drop_whole"))
+    joined = packed.join(drops.hint("shuffle_hash"), at, "left").withColumn("lines", F.split("d.text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    text = F.when(F.col("drops").isNull(), F.col("d.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n"))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in others], count("lines").alias("lines_total"), count("drops").alias("lines_removed"))
 
 
 ORACLE = """
