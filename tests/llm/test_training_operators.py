@@ -352,13 +352,35 @@ def test_mixing_meets_its_targets(spark):
 
 def test_audit_finds_every_changed_record(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" if i % 7 else None) for i in range(2500)] + [(3, "u3", "again")], "page_id long, url string, html string")
-    a = warc_fixity.leaves(pages)
+    a = warc_fixity.leaves(pages.withColumn("hash", F.lit("clash")).withColumn("number", F.lit(1)))
     bad = {5, 1030, 1031, 2499}
     b = warc_fixity.leaves(pages, F.when(F.col("page_id").isin(*bad), "rot").otherwise(F.col("html")))
     out = warc_fixity.audit(a, b)
     assert {x.page_id for x in out.where("status = 'corrupt'").collect()} == bad and out.count() == 2501
-    assert {x.page_id for x in warc_fixity.audit(a, warc_fixity.leaves(pages.where("page_id != 2499"))).where("status != 'intact'").collect()} == {2499}
     assert warc_fixity.audit(a.where("false"), a.where("false")).count() == 0
+    assert {x.status for x in warc_fixity.audit(a, a).collect()} == {"intact"}
+
+
+def test_a_lost_or_added_record_is_one_finding(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(2048)] + [(700, "u700", "other"), (-5, "n", "x")], "page_id long, url string, html string")
+    a = warc_fixity.leaves(pages)
+    found = lambda b: sorted((x.page_id, x.status) for x in warc_fixity.audit(a, warc_fixity.leaves(b)).where("status <> 'intact'").collect())
+    assert found(pages.where("page_id <> 500")) == [(500, "missing")]
+    assert found(pages.where("page_id not in (0, 1023, 2047, -5)")) == [(-5, "missing"), (0, "missing"), (1023, "missing"), (2047, "missing")]
+    assert found(pages.where("html <> 'other'")) == [(700, "missing")]
+    more = spark.createDataFrame([(500, "u500", "more"), (9000, "u", "new")], pages.schema)
+    assert found(pages.union(more)) == [(500, "surplus"), (9000, "surplus")]
+    assert found(pages.union(pages.where("page_id = 9"))) == [(9, "corrupt")]
+
+
+def test_records_without_an_id_are_dealt_out(spark):
+    pages = spark.createDataFrame([(None, f"u{i}", f"<p>{i}</p>") for i in range(300)] + [(None, None, None)] * 3 + [(None, "u1", "<p>1</p>")] * 4, "page_id long, url string, html string")
+    a = warc_fixity.leaves(pages)
+    rows = a.collect()
+    assert len(rows) == 301 and sum(x.copies for x in rows) == 307 and len({x.archive for x in rows}) > 250
+    out = warc_fixity.audit(a, warc_fixity.leaves(pages.where("url is null or url <> 'u17'"), F.when(F.col("url") == "u20", "rot").otherwise(F.col("html"))))
+    hashes = {x.hash: x.status for x in out.where("status <> 'intact'").collect()}
+    assert sorted(hashes.values()) == ["corrupt", "missing"] and out.count() == 301
 
 
 def test_spread_lines_go_but_for_the_first(spark):
