@@ -5,10 +5,13 @@ Words of a text that holds an entity may reveal it too. With N documents, df(c)
 entity c, df(t) that hold the word t and co that hold both, the information of the entity is
 IC(c) = -log2(df(c) / N) and what the word tells of it PMI = log2(co * N / (df(c) * df(t)))
 (Sanchez and Batet 2016); a word with PMI >= IC / ``ALPHA`` discloses the entity, and its
-occurrences in all documents of the entity are taken too. Rare entities are weighed like the
-others. As co <= df(c), a word with df(t) > N * (df(c) / N) ** (1 / ``ALPHA``) can't disclose c
-and is not paired with it; entities that stand in the same documents are paired as one. Both
-leave the result as it is. Only DataFrame operations are used.
+occurrences in all documents of the entity are taken too: removed where PMI reaches IC, for
+such a word stands with the entity alone, and otherwise generalised to its kind, NAME, NUMBER
+or WORD. Rare entities are weighed like the others. As co <= df(c), a word with
+df(t) > N * (df(c) / N) ** (1 / ``ALPHA``) can't disclose c and is not paired with it; entities
+that stand in the same documents are paired as one. Both leave the result as it is. Only
+DataFrame operations are used. The texts of documents that hold an entity are kept where they
+are first read, so that no text is ever shuffled to be searched again.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import few, saved
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA, SUPPORT = 1.1, 1
-TERM = r"\p{L}+"
+TERM = r"[\p{L}\p{N}]+"
 #: Words in more than this share of all documents are taken out by a broadcast if they can't disclose anything: a document has a bounded number of them.
 COMMON = 0.01
 
@@ -98,9 +101,11 @@ def _joined(parts: list[Column]) -> Column:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, email, ip, card, phone): the spans of each row; ``whole`` is a hash of its text, null being empty."""
+    """(doc_id, whole, email, ip, card, phone, held): the spans of each row; ``whole`` is a hash of its text, null being empty, and ``held`` the text if there are spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("whole"), *[s.alias(k) for k, s in base_spans(F.col("text")).items()])
+    found = docs.select("doc_id", text.alias("text")).select("doc_id", "text", *[s.alias(k) for k, s in base_spans(F.col("text")).items()])
+    some = F.expr(" or ".join(f"size({k}) > 0" for k in KINDS))
+    return found.select("doc_id", F.xxhash64("text").alias("whole"), *KINDS, F.when(some, F.col("text")).alias("held"))
 
 
 def _entities(base: DataFrame) -> DataFrame:
@@ -124,25 +129,23 @@ def _classes(entities: DataFrame) -> DataFrame:
     return entities.join(by, "entity").groupBy("doc", "class").agg(F.first("df_c").alias("df_c"))
 
 
-def _words(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(doc, whole, term, start, end): the words outside the entities in the documents that hold one; hashes of lower-cased words."""
+def _words(base: DataFrame) -> DataFrame:
+    """(doc, whole, term, start, end, tag): the words outside the entities in the documents that hold one; hashes of lower-cased words, and their kind."""
     every = F.flatten(F.array(*[F.transform(k, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"))) for k in KINDS]))
-    held = base.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select(_document().alias("b_doc"), every.alias("every")).dropDuplicates(["b_doc"])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("whole")).select("text", "whole", _document().alias("doc"))
-    rows = rows.join(held.hint("shuffle_hash"), F.col("doc") == F.col("b_doc"))
-    words = rows.select("doc", "whole", "every", F.explode(located(F.col("text"), TERM)).alias("t"))
+    rows = base.where("held is not null").select(_document().alias("doc"), "whole", "held", every.alias("every")).dropDuplicates(["doc"])
+    words = rows.select("doc", "whole", "every", F.explode(located(F.col("held"), TERM)).alias("t"))
     outside = ~F.exists("every", lambda e: (F.col("t.start") < e.end) & (F.col("t.end") > e.start))
-    return words.where(outside).select("doc", "whole", F.xxhash64(F.lower("t.value")).alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    tag = F.when(F.col("t.value").rlike(r"^\p{N}+$"), "NUMBER").when(F.col("t.value").rlike(r"^\p{Lu}"), "NAME").otherwise("WORD")
+    return words.where(outside).select("doc", "whole", F.xxhash64(F.lower("t.value")).alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"), tag.alias("tag"))
 
 
 def disclosing(docs: DataFrame, base: DataFrame, words: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(doc, term): the words of each document whose mutual information with one of its entities reaches the entity's information over ``alpha``.
+    """(doc, term, full): the words of each document whose mutual information with one of its entities reaches the entity's information over ``alpha``; ``full`` if it reaches all of it.
 
     With ``support`` above 1, only words that stand with the entity in so many different texts count.
     """
     n = base.count()
-    held = saved(_classes(_entities(base)))
+    held = saved(few(_classes(_entities(base))))
     bound = lambda df_c: n * F.pow(df_c / n, F.lit(1 / alpha)) * (1 + 1e-9)
     most = held.agg(F.max("df_c").alias("df_c")).select(bound(F.col("df_c"))).first()[0] or 0.0
     every = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(x)))
@@ -151,53 +154,71 @@ def disclosing(docs: DataFrame, base: DataFrame, words: DataFrame, alpha: float
     rare = words.join(F.broadcast(common), "term", "left_anti").groupBy("term", "doc").agg(F.first("whole").alias("whole"))
     rare = rare.join(df_t.where(F.col("df_t") <= most), "term")
     # Each document's words and classes meet by the document; of its words only those that can disclose the class are paired with it.
-    pairs = saved(rare.join(held, "doc").where(F.col("df_t") <= bound(F.col("df_c"))).select("doc", "whole", "class", "df_c", "term", "df_t"))
+    pairs = saved(few(rare.join(held, "doc").where(F.col("df_t") <= bound(F.col("df_c"))).select("doc", "whole", "class", "df_c", "term", "df_t")))
     co = pairs.groupBy("class", "term").agg(F.first("df_c").alias("df_c"), F.first("df_t").alias("df_t"), F.count("*").alias("co"), *([F.count_distinct("whole").alias("texts")] if support > 1 else []))
-    pmi = F.log2(F.col("co") * n / (F.col("df_c") * F.greatest("df_t", "co")))
-    found = co.where(pmi >= F.log2(n / F.col("df_c")) / alpha - 1e-9)
+    pmi, ic = F.log2(F.col("co") * n / (F.col("df_c") * F.greatest("df_t", "co"))), F.log2(n / F.col("df_c"))
+    found = co.where(pmi >= ic / alpha - 1e-9).withColumn("full", pmi >= ic - 1e-9)
     found = found.where(F.col("texts") >= support) if support > 1 else found
-    return pairs.join(found.select("class", "term"), ["class", "term"], "left_semi").select("doc", "term").distinct()
+    return pairs.join(found.select("class", "term", "full"), ["class", "term"]).groupBy("doc", "term").agg(F.bool_or("full").alias("full"))
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, whole, email, ip, card, phone, term): all spans of each row of ``docs`` (doc_id, text).
+    """(doc_id, whole, email, ip, card, phone, held, term): all spans of each row of ``docs`` (doc_id, text).
 
     Whole texts are searched, null counting as empty; a row in, a row out; rows with equal doc_id
-    and text have equal spans. Every occurrence of a disclosing word is a span, but for those inside entities.
+    and text have equal spans, and count as one document; other columns are ignored. Every
+    occurrence of a disclosing word is a span (start, end, tag), but for those inside entities;
+    its tag is null if it is to be removed. A word at the very threshold discloses.
     """
     base = saved(find_base(docs))
-    words = saved(_words(docs, base))
+    words = saved(few(_words(base)))
     flagged = disclosing(docs, base, words, alpha, support)
-    added = words.join(flagged, ["doc", "term"], "left_semi").groupBy(F.col("doc").alias("a_doc")).agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term"))
+    added = words.join(flagged, ["doc", "term"]).groupBy(F.col("doc").alias("a_doc")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", F.when(~F.col("full"), F.col("tag")).alias("tag")))).alias("term"))
     out = base.join(added, _document() == F.col("a_doc"), "left")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return out.select("doc_id", "whole", *KINDS, F.coalesce("term", none).alias("term"))
+    none = F.array().cast("array<struct<start:int,end:int,tag:string>>")
+    return out.select("doc_id", "whole", *KINDS, "held", F.coalesce("term", none).alias("term"))
+
+
+def _sanitised(text: Column) -> Column:
+    """``text`` with the spans of ``find``'s columns replaced: entities and generalised words by their kind in brackets, removed words by nothing; of overlapping entities the first counts.
+
+    The text is cut into its characters once, so that long texts with many spans take time in proportion.
+    """
+    kind = "array<struct<start:int,end:int,tag:string>>"
+    tagged = lambda k: F.transform(k, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), F.lit(f"[{k.upper()}]").alias("tag")))
+    entities = F.array_sort(F.flatten(F.array(*map(tagged, KINDS))))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    apart = F.aggregate(entities, first, lambda s, x: F.when(x.start >= s.at, F.struct(x.end.alias("at"), F.concat(s.out, F.array(x)).alias("out"))).otherwise(s), lambda s: s.out)
+    words = F.transform("term", lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), F.when(x.tag.isNull(), "").otherwise(F.concat(F.lit("["), x.tag, F.lit("]"))).alias("tag")))
+    spans = F.array_sort(F.concat(apart.cast(kind), words.cast(kind)))
+
+    def built(b: Column) -> Column:
+        end = lambda i: F.when(i == 0, 0).otherwise(b.spans[F.greatest(i - 1, F.lit(0))].end)
+        parts = F.transform(b.spans, lambda x, i: F.concat(F.array_join(F.slice(b.chars, end(i) + 1, x.start - end(i)), ""), x.tag))
+        last = end(F.size(b.spans))
+        return F.concat(F.array_join(parts, ""), F.array_join(F.slice(b.chars, last + 1, F.greatest(F.size(b.chars) - last, F.lit(0))), ""))
+
+    return F.when(text.isNotNull(), F.transform(F.array(F.struct(F.split(text, "").alias("chars"), spans.alias("spans"))), built)[0])
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans) of what ``find`` gives."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_term, n_removed, base_sha256, spans, sanitised_sha256) of what ``find`` gives; the last is null where nothing changes."""
     base = [_listed(k, F.col(k)) for k in KINDS]
     return found.select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in (*KINDS, "term")],
-        F.sha2(_joined(base), 256).alias("base_sha256"), _joined([*base, _listed("term", F.col("term"))]).alias("spans"))
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in (*KINDS, "term")], F.size(F.filter("term", lambda x: x.tag.isNull())).cast("long").alias("n_removed"),
+        F.sha2(_joined(base), 256).alias("base_sha256"), _joined([*base, _listed("term", F.col("term"))]).alias("spans"), F.sha2(_sanitised(F.col("held")), 256).alias("sanitised_sha256"))
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """``docs`` with ``text`` sanitised: entities become their kind in brackets, disclosing words [TERM]; of overlapping spans the first counts."""
-    found = find(docs, alpha, support).dropDuplicates(["doc_id", "whole"]).withColumnRenamed("doc_id", "f_id")
-
-    def of(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
+    """``docs`` with ``text`` sanitised: entities become their kind in brackets, words that disclose one in part theirs, and words that disclose it fully go.
 
-    every = F.array_sort(F.flatten(F.array(*map(of, (*KINDS, "term")))))
-    spans = found.select("f_id", "whole", every.alias("every")).where("size(every) > 0")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("f_id")) & (F.xxhash64(text) == F.col("whole")), "left")
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x.start >= s.at
-        return F.struct(F.when(fresh, x.end).otherwise(s.at).alias("at"), F.when(fresh, F.concat(s.out, F.substring(text, s.at + 1, x.start - s.at), x.tag)).otherwise(s.out).alias("out"))
-
-    new = F.aggregate("every", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s.out, F.substring(text, s.at + 1, F.char_length(text))))
-    return joined.select(*[(F.when(F.col("every").isNull(), F.col("text")).otherwise(new)).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    Texts without an entity, null ones too, stay as they are; a row in, a row out. Columns keep
+    their names, order and values, whatever they are called.
+    """
+    found = find(docs, alpha, support).where("held is not null").dropDuplicates(["doc_id", "whole"])
+    clean = found.select(F.col("doc_id").alias("f_id"), F.col("whole").alias("f_whole"), _sanitised(F.col("held")).alias("clean"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    text = F.coalesce(F.col("d.text").cast("string"), F.lit(""))
+    joined = packed.join(clean.hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("f_id")) & (F.xxhash64(text) == F.col("f_whole")), "left")
+    return joined.select(*[F.coalesce("clean", "d.text").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
