@@ -735,34 +735,62 @@ def _seen(df: DataFrame) -> DataFrame:
     return df.select("image_id", "width", "height", "channels", F.md5("data").alias("data_md5"), "error")
 
 
-@query()
+# One row for each value of an image: y, x, channel c.
+PIXELS = """SELECT vec_id::VARCHAR AS image_id, i // 8 AS y, i % 8 AS x, c,
+  (CASE WHEN c = 0 THEN greatest(least(trunc(embedding[i + 1] * 100::FLOAT + 128::FLOAT)::INTEGER, 255), 0) ELSE (i * 29 + c * 53) % 256 END)::DOUBLE AS v FROM embeddings, range(64) a(i), range(3) b(c)"""
+
+
+def _image_sql(values: str, w: int, h: int, extra: str = "") -> str:
+    """``values`` gives image_id, y, x, c, v; ``extra`` are common table expressions that it uses."""
+    return f"""WITH p AS ({PIXELS}){extra}
+SELECT image_id, {w} AS width, {h} AS height, 3 AS channels, md5(unhex(string_agg(printf('%02X', v::INTEGER), '' ORDER BY y, x, c))) AS data_md5, NULL::VARCHAR AS error FROM ({values}) GROUP BY image_id"""
+
+
+def _resized_sql(w: int, h: int) -> str:
+    """Bilinear: along y between two rows, then along x between two columns, halves to even."""
+    axis = lambda n: f"SELECT m, floor(place)::BIGINT AS lo, least(floor(place)::BIGINT + 1, 7) AS hi, place - floor(place) AS f FROM (SELECT m, greatest(least((m + 0.5::DOUBLE) * 8 / {n} - 0.5::DOUBLE, 7), 0) AS place FROM range({n}) t(m))"
+    extra = f""", ya AS ({axis(h)}), xa AS ({axis(w)}),
+r AS (SELECT l.image_id, ya.m AS y, l.x, l.c, l.v * (1 - ya.f) + u.v * ya.f AS v FROM ya JOIN p l ON l.y = ya.lo JOIN p u ON u.y = ya.hi AND u.image_id = l.image_id AND u.x = l.x AND u.c = l.c)"""
+    values = "SELECT l.image_id, l.y, xa.m AS x, l.c, round_even(l.v * (1 - xa.f) + u.v * xa.f, 0) AS v FROM xa JOIN r l ON l.x = xa.lo JOIN r u ON u.x = xa.hi AND u.image_id = l.image_id AND u.y = l.y AND u.c = l.c"
+    return _image_sql(values, w, h, extra)
+
+
+# A blur of two pixels: 17 taps, edges mirrored, whole numbers after each axis.
+BLURRED = """, k AS (SELECT d, exp(-0.5::DOUBLE * (d / 2.0::DOUBLE) * (d / 2.0::DOUBLE)) AS e FROM range(-8, 9) t(d)), taps AS (SELECT d, e / sum(e) OVER () AS t FROM k),
+m AS (SELECT n, d, CASE WHEN n + d < 0 THEN -(n + d) - 1 WHEN n + d > 7 THEN 15 - (n + d) ELSE n + d END AS o, t FROM range(8) a(n), taps),
+down AS (SELECT image_id, n AS y, x, c, round_even(sum(v * t), 0) AS v FROM p JOIN m ON m.o = p.y GROUP BY ALL),
+blurred AS (SELECT image_id, y, n AS x, c, round_even(sum(v * t), 0) AS v FROM down JOIN m ON m.o = down.x GROUP BY ALL)"""
+MARKED = "SELECT image_id, y, x, c, CASE WHEN y BETWEEN {y0} AND {y1} AND x BETWEEN {x0} AND {x1} THEN trunc(v * (1 - {k}::DOUBLE) + 255 * {k}::DOUBLE) ELSE v END AS v FROM p"
+
+
+@query(_image_sql("SELECT image_id, y, x, c, greatest(least(trunc(v * 0.85::DOUBLE), 255), 0) AS v FROM blurred", 8, 8, BLURRED))
 def gaussian_blur(spark, sf_dir):
     return _seen(images.gaussian_blur(_images(spark, sf_dir), 2, 0.85))
 
 
-@query()
+@query(_resized_sql(12, 6))
 def resize_image(spark, sf_dir):
     return _seen(images.resize_image(_images(spark, sf_dir), 12, 6))
 
 
-@query()
+@query(_resized_sql(5, 5))
 def cover_crop(spark, sf_dir):
     return _seen(images.cover_crop(_images(spark, sf_dir), 5))
 
 
-@query()
+@query(_image_sql("SELECT image_id, y, x, c, trunc(trunc(v * (1 - 10 / 255.0::DOUBLE) + 255 * (10 / 255.0::DOUBLE)) * (1 - 150 / 255.0::DOUBLE) + 242 * (150 / 255.0::DOUBLE)) AS v FROM blurred", 8, 8, BLURRED))
 def acrylic_composite(spark, sf_dir):
     return _seen(images.acrylic_composite(_images(spark, sf_dir), radius=2))
 
 
-@query()
+@query(_image_sql(MARKED.format(y0=6, y1=7, x0=5, x1=7, k=0.2), 8, 8))
 def watermark_overlay(spark, sf_dir):
     import numpy as np
 
     return _seen(images.watermark_overlay(_images(spark, sf_dir), np.full((2, 3, 3), 255, np.uint8)))
 
 
-@query()
+@query(_image_sql(MARKED.format(y0=2, y1=5, x0=3, x1=4, k=0.5), 8, 8))
 def watermark_rotated(spark, sf_dir):
     import numpy as np
 
