@@ -85,11 +85,22 @@ def drift_ticks(positions: DataFrame, threshold: float = 150, tick_ms: int = 200
     return lists.select(session, F.explode(F.aggregate("ticks", start, step, lambda s: s.out)).alias("e")).select(session, "e.tick", "e.main", "e.sub")
 
 
-def clamped_running_product(events: DataFrame, user: str, order: list[str], up: str, low: float = 0.1, high: float = 10.0) -> DataFrame:
-    """(user, zoom): from 1, times 1.25 where ``up`` is true and 0.8 where not, held within the limits at each step."""
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(up).alias("up"))))
-    fold = F.aggregate("steps", F.lit(1.0), lambda z, x: F.greatest(F.lit(low), F.least(F.lit(high), z * F.when(x.up, 1.25).otherwise(0.8))))
-    return events.groupBy(user).agg(steps.alias("steps")).select(user, fold.alias("zoom"))
+def clamped_running_product(events: DataFrame, user: str, order: list[str], up: str, low: float = 0.1, high: float = 10.0, chunk: int = 1024) -> DataFrame:
+    """(user, zoom): from 1, times 1.25 where ``up`` is true and 0.8 where not, held within the limits at each step.
+
+    Steps in a row are one step of the same form, a factor and two limits, so the events of a user
+    are folded in chunks, each of which is one list, and then the chunks.
+    """
+    within = lambda z, a, b: F.greatest(a, F.least(b, z))
+    lo, hi = F.lit(low), F.lit(high)
+    number = F.row_number().over(W.partitionBy(user).orderBy(*order))
+    rows = events.select(user, F.floor((number - 1) / chunk).alias("chunk"), number.alias("n"), F.when(F.col(up), 1.25).otherwise(0.8).alias("by"))
+    listed = rows.groupBy(user, "chunk").agg(F.array_sort(F.collect_list(F.struct("n", "by"))).alias("steps"))
+    start = F.struct(F.lit(1.0).alias("by"), lo.alias("lo"), hi.alias("hi"))
+    step = lambda s, x: F.struct((s.by * x.by).alias("by"), within(s.lo * x.by, lo, hi).alias("lo"), within(s.hi * x.by, lo, hi).alias("hi"))
+    folded = listed.select(user, "chunk", F.aggregate("steps", start, step).alias("f"))
+    chunks = folded.groupBy(user).agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("chunks"))
+    return chunks.select(user, F.aggregate("chunks", F.lit(1.0), lambda z, x: within(z * x.f.by, x.f.lo, x.f.hi)).alias("zoom"))
 
 
 def replay(ops: list[tuple[str, str]], default: str | None = None) -> list[str]:

@@ -1,3 +1,4 @@
+import os
 import struct
 import zlib
 
@@ -115,6 +116,19 @@ def test_rules_can_be_added_and_changes_flagged(spark):
         del settings.VALIDATORS["even"], settings.SERIALIZERS["even"]
 
 
+def test_products_in_chunks_equal_the_steps_one_by_one(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(u, n, r.random() < p) for u, p in ((1, 0.5), (2, 0.9), (3, 0.1)) for n in range(50)]
+    want = {}
+    for u, _, up in rows:
+        want[u] = max(0.1, min(10.0, want.get(u, 1.0) * (1.25 if up else 0.8)))
+    df = spark.createDataFrame(rows, "user_id long, n long, up boolean").repartition(3)
+    got = {x.user_id: x.zoom for x in sequences.clamped_running_product(df, "user_id", ["n"], "up", chunk=7).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_rows_that_fail_get_the_default(spark):
     df = spark.createDataFrame([("1",), ("x",), (None,)], "t string").select("t", hooks.with_default(lambda t: int(t), "int", 7)(F.col("t")).alias("r"))
     got = {r.t: (r.r.value, (r.r.error or "").split(":")[0]) for r in df.collect()}
@@ -155,6 +169,33 @@ def test_images(spark):
     assert images.choose([(90, 90, 90)]) == images.DEFAULT_COLOR
 
 
+def test_palettes_of_gray_tied_and_large_images():
+    close = lambda a, b: max(abs(x - y) for x, y in zip(a, b, strict=True)) <= 1
+    assert close(images.choose([(40, 40, 40), (30, 60, 90), (90, 90, 90)]), (30, 60, 90))
+    assert close(images.choose([(60, 50, 55), (10, 90, 60)]), (10, 90, 60))
+    # The most colourful one may be left out: only the first five are looked at.
+    assert close(images.choose([(60, 50, 55)] * 5 + [(10, 90, 60)]), (60, 50, 55))
+    wide = np.zeros((3, 900, 3), np.uint8)
+    wide[:, 450:] = (200, 30, 60)
+    assert {tuple(c) for c in images.palette(wide)} >= {(0, 0, 0), (200, 30, 60)}
+    assert images.palette(np.full((1, 1, 1), 7, np.uint8)) == [(7, 7, 7)]
+
+
+def test_a_late_row_is_dropped_from_the_streamed_drift(spark, tmp_path):
+    from loomkit.plans.catalogue import _drained
+
+    schema = "session_id long, event_id long, ms long, track string, position double, playing boolean"
+    parts = [[(1, 1, 0, "main", 1000.0, True), (1, 2, 10, "sub", 0.0, True)], [(9, 3, 60_000, "sub", 0.0, True)], [(9, 6, 90_000, "sub", 0.0, True)], [(1, 4, 20, "sub", 990.0, True), (9, 5, 120_000, "sub", 0.0, True)]]
+    for k, rows in enumerate(parts):
+        before = set((tmp_path / "in").glob("*.parquet"))
+        spark.createDataFrame(rows, schema).selectExpr("*", "timestamp_millis(ms) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for new in set((tmp_path / "in").glob("*.parquet")) - before:
+            os.utime(new, (1_700_000_000 + 60 * k,) * 2)  # files are read by age
+    kind = spark.read.parquet(str(tmp_path / "in")).schema
+    s = jobs.stream_drift(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    assert [(r.session_id, r.main, r["sub"]) for r in _drained(s, "append").collect()] == [(1, 1000.0, 0.0)]
+
+
 def test_turned_marks():
     mark = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
     for degrees, want in [(0, mark), (90, np.rot90(mark, -1)), (180, mark[::-1, ::-1]), (-90, np.rot90(mark))]:
