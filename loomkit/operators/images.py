@@ -30,6 +30,11 @@ def _each(images: DataFrame, job) -> DataFrame:
     return images.mapInPandas(run, SCHEMA)
 
 
+def whole(a: np.ndarray) -> np.ndarray:
+    """Whole numbers, halves to even; what the order of additions changes in the last places does not count."""
+    return np.rint(np.round(a, 9))
+
+
 def resize(a: np.ndarray, w: int, h: int) -> np.ndarray:
     """Bilinear, pixel centres aligned."""
     def axis(n: int, m: int):
@@ -41,7 +46,7 @@ def resize(a: np.ndarray, w: int, h: int) -> np.ndarray:
     x0, x1, fx = axis(a.shape[1], w)
     a = a.astype(float)
     rows = a[y0] * (1 - fy)[:, None, None] + a[y1] * fy[:, None, None]
-    return np.rint(rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None])
+    return whole(rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None])
 
 
 def blur(a: np.ndarray, radius: float = 18, bright: float = 1.0, most: tuple[int, int] | None = None) -> np.ndarray:
@@ -59,7 +64,7 @@ def blur(a: np.ndarray, radius: float = 18, bright: float = 1.0, most: tuple[int
         pad = [(0, 0)] * 3
         pad[axis] = (n, n)
         wide = np.pad(out, pad, mode="symmetric")
-        out = np.rint(sum(t * np.take(wide, range(k, k + out.shape[axis]), axis) for k, t in enumerate(taps)))
+        out = whole(sum(t * np.take(wide, range(k, k + out.shape[axis]), axis) for k, t in enumerate(taps)))
     return np.concatenate([np.clip(np.trunc(out * bright), 0, 255), a[:, :, 3:]], 2)
 
 

@@ -526,13 +526,34 @@ def render_template(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", text.render_template(t, {"Main": "blue", "Mark": "red"}).alias("style"))
 
 
-@query()
+# Each line is cut into words and single spaces, and these are folded into (rows that are closed, open row). All characters of the table take one column.
+WRAPPED = r"""
+WITH d AS (SELECT doc_id, text, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS raw FROM documents),
+l AS (SELECT doc_id, text, unnest(raw) AS raw, unnest(range(len(raw))) AS pos FROM d),
+n AS (SELECT doc_id, text, pos, trim(regexp_replace(raw, '\s+', ' ', 'g'), ' ') AS line FROM l),
+t AS (SELECT *, list_transform(regexp_extract_all(line, ' |[^ ]+'), lambda x: ['', x]) AS tokens FROM n),
+f AS (SELECT doc_id, text, pos, line, CASE WHEN length(line) > 80 THEN list_reduce(list_prepend(['', ''], tokens), lambda a, b:
+  CASE WHEN b[2] = ' ' AND a[2] = '' THEN a
+  WHEN length(a[2]) + length(b[2]) = 80 THEN [a[1] || rtrim(a[2] || b[2], ' ') || chr(10), '']
+  WHEN length(a[2]) + length(b[2]) < 80 THEN [a[1], a[2] || b[2]]
+  ELSE [a[1] || CASE WHEN a[2] <> '' THEN rtrim(a[2], ' ') || chr(10) ELSE '' END || list_aggregate(list_prepend('', list_transform(range(0, (length(b[2]) - 1) // 80), lambda k: substr(b[2], k * 80 + 1, 80) || chr(10))), 'string_agg', ''),
+    substr(b[2], (length(b[2]) - 1) // 80 * 80 + 1)] END) END AS w FROM t),
+r AS (SELECT doc_id, text, pos, w IS NOT NULL AS wide, CASE WHEN w IS NULL THEN line WHEN w[2] <> '' THEN w[1] || rtrim(w[2], ' ') ELSE left(w[1], length(w[1]) - 1) END AS rows FROM f)"""
+
+
+@query(WRAPPED + """
+SELECT doc_id, bool_or(wide) AS is_wrapped, len(string_split(string_agg(rows, chr(10) ORDER BY pos), chr(10)))::INTEGER AS lines, md5(string_agg(rows, chr(10) ORDER BY pos)) AS text_md5 FROM r GROUP BY doc_id""")
 def wrap_text(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("doc_id", text.wrap_text(F.col("text"), 80).alias("w"))
     return d.select("doc_id", "w.is_wrapped", F.size(F.split("w.text", "\n")).alias("lines"), F.md5("w.text").alias("text_md5"))
 
 
-@query()
+@query(WRAPPED + """,
+o AS (SELECT doc_id, any_value(text) AS text, min(pos) FILTER (wide) AS first FROM r GROUP BY doc_id),
+b AS (SELECT r.doc_id, any_value(o.text) AS text, any_value(o.first) AS first, coalesce(string_agg(rows, '' ORDER BY pos) FILTER (pos < o.first), '') AS before,
+  any_value(rows) FILTER (pos = o.first) AS broken, string_agg(rows, chr(10) ORDER BY pos) AS plain FROM r JOIN o ON r.doc_id = o.doc_id GROUP BY r.doc_id),
+x AS (SELECT *, split_part(broken, chr(10), 1) || chr(10) || replace(substr(broken, strpos(broken, chr(10)) + 1), chr(10), ' ') AS once FROM b)
+SELECT doc_id, first IS NOT NULL AS is_wrapped, md5(CASE WHEN first IS NULL THEN plain ELSE before || once || regexp_replace(substr(text, length(once) + 1), '\\s+$', '') END) AS text_md5 FROM x""")
 def wrap_text_once(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("doc_id", text.wrap_text(F.col("text"), 80, once=True).alias("w"))
     return d.select("doc_id", "w.is_wrapped", F.md5("w.text").alias("text_md5"))
@@ -737,7 +758,7 @@ def _seen(df: DataFrame) -> DataFrame:
 
 # One row for each value of an image: y, x, channel c.
 PIXELS = """SELECT vec_id::VARCHAR AS image_id, i // 8 AS y, i % 8 AS x, c,
-  (CASE WHEN c = 0 THEN greatest(least(trunc(embedding[i + 1] * 100::FLOAT + 128::FLOAT)::INTEGER, 255), 0) ELSE (i * 29 + c * 53) % 256 END)::DOUBLE AS v FROM embeddings, range(64) a(i), range(3) b(c)"""
+  (CASE WHEN c = 0 THEN greatest(least(trunc(embedding[i + 1]::DOUBLE * 100 + 128)::INTEGER, 255), 0) ELSE (i * 29 + c * 53) % 256 END)::DOUBLE AS v FROM embeddings, range(64) a(i), range(3) b(c)"""
 
 
 def _image_sql(values: str, w: int, h: int, extra: str = "") -> str:
@@ -751,15 +772,15 @@ def _resized_sql(w: int, h: int) -> str:
     axis = lambda n: f"SELECT m, floor(place)::BIGINT AS lo, least(floor(place)::BIGINT + 1, 7) AS hi, place - floor(place) AS f FROM (SELECT m, greatest(least((m + 0.5::DOUBLE) * 8 / {n} - 0.5::DOUBLE, 7), 0) AS place FROM range({n}) t(m))"
     extra = f""", ya AS ({axis(h)}), xa AS ({axis(w)}),
 r AS (SELECT l.image_id, ya.m AS y, l.x, l.c, l.v * (1 - ya.f) + u.v * ya.f AS v FROM ya JOIN p l ON l.y = ya.lo JOIN p u ON u.y = ya.hi AND u.image_id = l.image_id AND u.x = l.x AND u.c = l.c)"""
-    values = "SELECT l.image_id, l.y, xa.m AS x, l.c, round_even(l.v * (1 - xa.f) + u.v * xa.f, 0) AS v FROM xa JOIN r l ON l.x = xa.lo JOIN r u ON u.x = xa.hi AND u.image_id = l.image_id AND u.y = l.y AND u.c = l.c"
+    values = "SELECT l.image_id, l.y, xa.m AS x, l.c, round_even(round(l.v * (1 - xa.f) + u.v * xa.f, 9), 0) AS v FROM xa JOIN r l ON l.x = xa.lo JOIN r u ON u.x = xa.hi AND u.image_id = l.image_id AND u.y = l.y AND u.c = l.c"
     return _image_sql(values, w, h, extra)
 
 
 # A blur of two pixels: 17 taps, edges mirrored, whole numbers after each axis.
 BLURRED = """, k AS (SELECT d, exp(-0.5::DOUBLE * (d / 2.0::DOUBLE) * (d / 2.0::DOUBLE)) AS e FROM range(-8, 9) t(d)), taps AS (SELECT d, e / sum(e) OVER () AS t FROM k),
 m AS (SELECT n, d, CASE WHEN n + d < 0 THEN -(n + d) - 1 WHEN n + d > 7 THEN 15 - (n + d) ELSE n + d END AS o, t FROM range(8) a(n), taps),
-down AS (SELECT image_id, n AS y, x, c, round_even(sum(v * t), 0) AS v FROM p JOIN m ON m.o = p.y GROUP BY ALL),
-blurred AS (SELECT image_id, y, n AS x, c, round_even(sum(v * t), 0) AS v FROM down JOIN m ON m.o = down.x GROUP BY ALL)"""
+down AS (SELECT image_id, n AS y, x, c, round_even(round(sum(v * t), 9), 0) AS v FROM p JOIN m ON m.o = p.y GROUP BY ALL),
+blurred AS (SELECT image_id, y, n AS x, c, round_even(round(sum(v * t), 9), 0) AS v FROM down JOIN m ON m.o = down.x GROUP BY ALL)"""
 MARKED = "SELECT image_id, y, x, c, CASE WHEN y BETWEEN {y0} AND {y1} AND x BETWEEN {x0} AND {x1} THEN trunc(v * (1 - {k}::DOUBLE) + 255 * {k}::DOUBLE) ELSE v END AS v FROM p"
 
 

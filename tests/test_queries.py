@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from loomkit.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
