@@ -203,10 +203,10 @@ def _sanitised(text: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_term, n_removed, base_sha256, spans, sanitised_sha256) of what ``find`` gives; the last is null where nothing changes."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_term, n_base, n_removed, base_sha256, spans, sanitised_sha256) of what ``find`` gives; n_base counts the spans of all patterns, and the last is null where nothing changes."""
     base = [_listed(k, F.col(k)) for k in KINDS]
     return found.select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in (*KINDS, "term")], F.size(F.filter("term", lambda x: x.tag.isNull())).cast("long").alias("n_removed"),
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in (*KINDS, "term")], (F.size(KINDS[0]) + F.size(KINDS[1]) + F.size(KINDS[2]) + F.size(KINDS[3])).cast("long").alias("n_base"), F.size(F.filter("term", lambda x: x.tag.isNull())).cast("long").alias("n_removed"),
         F.sha2(_joined(base), 256).alias("base_sha256"), _joined([*base, _listed("term", F.col("term"))]).alias("spans"), F.sha2(_sanitised(F.col("held")), 256).alias("sanitised_sha256"))
 
 
