@@ -44,7 +44,7 @@ def test_fingerprints_against_the_definition(spark):
 
 
 def test_next_wraps_over_many_ranges_with_ties(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "LEAST_ROWS", 5)
+    monkeypatch.setattr(fingerprints, "MOST_ROWS", 5)
     rows = [(i // 2, f"word{i}") for i in range(40)] + [(None, "none")]
     out = fingerprints.with_next(frame(spark, rows, None), "text", "fp").collect()
     assert len(out) == 41
@@ -393,6 +393,18 @@ def test_spread_lines_go_but_for_the_first(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_lines_of_repeats_long_texts_and_clashing_names(spark):
+    long = "\n".join(f"line {i}" for i in range(20_000)) + "\ncommon"
+    rows = [(1, "common\na", "s1"), (1, "common\na", "s1"), (2, "common\nb", "s2"), (None, "common\nc", "s3"), (4, long, "s4")]
+    df = frame(spark, rows)
+    for name in ("drops", "lines_total", "lines_removed", "lines", "whole", "d", "salt", "a.b"):
+        df = df.withColumn(name, F.lit("clash"))
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "source", "drops", "lines", "whole", "d", "salt", "a.b", "lines_total", "lines_removed"]
+    got = sorted(((str(r.doc_id), r.text, r.lines_removed) for r in out.collect()), key=str)
+    assert got == sorted([("1", "a", 1), ("1", "a", 1), ("2", "b", 1), ("None", "common\nc", 0), ("4", long.removesuffix("\ncommon"), 1)], key=str)
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
