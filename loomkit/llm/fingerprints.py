@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS
+from .common import SHINGLE_WORDS, few, saved
 
 BINS, BIN_BITS, KEPT_BITS = 128, 7, 8
-#: Rows of a range: no more than the former, and no fewer than the latter for the sake of more ranges than cores.
+#: Rows of a range: four times the root of their number, but no more than the former and no fewer than the latter.
 MOST_ROWS, LEAST_ROWS = 50_000, 2_000
 
 
@@ -79,7 +79,7 @@ def _count_below(value: Column, cuts: list[int]) -> Column:
 def _places(docs: DataFrame, order: Column) -> tuple[Column, Column]:
     """(range, part of it) of a row: ranges of doc_id of about equal numbers of rows; a doc_id that would fill several is parted by ``order``."""
     n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
-    ranges = math.ceil(max(n / MOST_ROWS, min(n / LEAST_ROWS, 8 * docs.sparkSession.sparkContext.defaultParallelism), 1))
+    ranges = max(1, math.ceil(n / min(MOST_ROWS, max(LEAST_ROWS, 4 * math.isqrt(n)))))
     cuts = [] if ranges == 1 else docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
     hot = {v: c for v, c in Counter(cuts).items() if c > 1}
     place = _count_below(F.col("doc_id"), sorted(set(cuts))) if cuts else F.lit(0)
@@ -105,7 +105,7 @@ def with_next(docs: DataFrame, text: str, name: str) -> DataFrame:
     heads = docs.groupBy("place").agg(F.min(key).alias("head"))
     before = F.coalesce(F.lag("place").over(W.orderBy("place")), F.max("place").over(W.partitionBy()))
     # One row for each range.
-    heads = heads.select(F.col("place").alias("at"), before.alias("before"), F.col("head.doc_id").alias("head_id"), F.col("head.order").alias("head_order"))
+    heads = saved(few(heads.select(F.col("place").alias("at"), before.alias("before"), F.col("head.doc_id").alias("head_id"), F.col("head.order").alias("head_order"))))
     extra = docs.join(heads, (F.col("place") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (order == F.col("head_order")))
     extra = extra.groupBy("at", "before", "doc_id").agg(F.min(text).alias(text)).select("doc_id", text, F.col("before").alias("place"), F.lit(True).alias("extra"))
     rows = with_fingerprint(docs.withColumn("extra", F.lit(False)), text, name).unionByName(with_fingerprint(extra, text, name))
