@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, mixing, pii, quality, toxicity, warc_fixity
+from . import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, mixing, pii, quality, sentencepieces, toxicity, warc_fixity
 from .common import fold, saved, table
 
 
@@ -65,8 +65,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return sentencepieces.digest(sentencepieces.decode(encoded, model))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_fingerprints, op3_language_id, op4_quality, op5_decontaminate,
-    op6_toxicity, op7_mixing, op8_warc_fixity, op9_line_dedup, op10_pii)}
+    op6_toxicity, op7_mixing, op8_warc_fixity, op9_line_dedup, op10_pii, op11_sentencepiece)}
 
 ORACLE_SQL = {"op8_warc_fixity": warc_fixity.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
