@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, mixing, pii, quality, sentencepieces, toxicity, warc_fixity
+from . import decontaminate, fingerprints, hard_negatives, jaccard_join, language_id, line_dedup, mixing, pii, quality, sentencepieces, toxicity, warc_fixity
 from .common import fold, saved, table
 
 
@@ -73,8 +73,15 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digest(sentencepieces.decode(encoded, model))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    vectors = table(spark, sf_dir, "embeddings").where(hard_negatives.usable(F.col("embedding")))
+    rows = vectors.select("vec_id", moved.alias("label"), hard_negatives.whole_parts(F.col("embedding")).alias("parts"), (F.col("vec_id") % 100 == 0).alias("is_anchor"))
+    return hard_negatives.mine(rows)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_fingerprints, op3_language_id, op4_quality, op5_decontaminate,
-    op6_toxicity, op7_mixing, op8_warc_fixity, op9_line_dedup, op10_pii, op11_sentencepiece)}
+    op6_toxicity, op7_mixing, op8_warc_fixity, op9_line_dedup, op10_pii, op11_sentencepiece, op12_hard_negatives)}
 
-ORACLE_SQL = {"op8_warc_fixity": warc_fixity.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {"op8_warc_fixity": warc_fixity.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
