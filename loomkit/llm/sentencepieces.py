@@ -3,8 +3,8 @@
 Where no piece of a model holds a white space marker behind another character, no merge crosses
 from one marked word into the next, so a text's ids are those of its marked words, one after the
 other. A task cuts its texts into marked words and keeps each text as places in a dictionary of
-its block (a run of documents of bounded size). The words of all blocks are dealt out by word
-and sorted, so that each distinct one is segmented once; the ids go back to their block by
+its block (a run of documents of bounded size). The words of all blocks are dealt out by their
+hash, so that each distinct one is segmented once; the ids go back to their block by
 place, and a text's ids are joined up by position.
 
 A null text counts as an empty one; both have the begin and the end id alone. Repeated rows stay
@@ -15,9 +15,12 @@ other columns stay, whatever they are called.
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +29,9 @@ from .common import mapped, pieces, saved
 
 MARK = "▁"
 #: A block ends at so many marked words; one document is never parted, so that a longer one is a block by itself.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 6_000_000
+#: Words travel in lists by the remainder of their hash; a task holds the distinct words of one such bucket at a time.
+BUCKETS = 4096
 
 
 class Segmenter:
@@ -67,18 +72,19 @@ class _Places(dict):
         return n
 
 
-def _packed(at: np.ndarray) -> bytes:
-    """Numbers under 2**32 as planes of bytes: the higher ones are mostly zeros, which compress."""
-    return at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _packed(numbers) -> bytes:
+    """Numbers under 2**32 as planes of bytes, the higher of which are mostly zeros, compressed."""
+    return zstandard.compress(np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def _blocks(rows: DataFrame, model: str) -> DataFrame:
-    """Of ``rows`` (row, text): (block, row, places) of each document and (block, words) of each block."""
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", rows.schema["row"].dataType), T.StructField("places", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    """Of ``rows`` (row, text): (block, row, places) of each document, and (block, bucket, places, words) of each bucket of a block's distinct words."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", rows.schema["row"].dataType), T.StructField("places", T.BinaryType()),
+                           T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
@@ -90,7 +96,16 @@ def _blocks(rows: DataFrame, model: str) -> DataFrame:
 
         def out(size, **columns):
             columns["block"] = pa.array([block] * size, pa.int64())
-            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+
+        def dictionary():
+            # A normalised word holds no space, so that spaces part the words of a list.
+            words = list(held)
+            bucket = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % BUCKETS
+            order = np.argsort(bucket, kind="stable")
+            parts = [x for x in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(x)]
+            lists = [zstandard.compress(" ".join(map(words.__getitem__, x.tolist())).encode(), 1) for x in parts]
+            return out(len(parts), bucket=pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), places=pa.array(map(_packed, parts), pa.binary()), words=pa.array(lists, pa.binary()))
 
         for batch in pieces(batches):
             begin, places = 0, []
@@ -102,32 +117,42 @@ def _blocks(rows: DataFrame, model: str) -> DataFrame:
                     yield out(k + 1 - begin, row=batch.column(0).slice(begin, k + 1 - begin), places=pa.array(places, pa.binary()))
                     begin, places = k + 1, []
                 if n >= BLOCK_WORDS:
-                    yield out(1, words=pa.array([list(held)], pa.list_(pa.string())))
+                    yield dictionary()
                     block, held, n = block + 1, _Places(), 0
         if held:
-            yield out(1, words=pa.array([list(held)], pa.list_(pa.string())))
+            yield dictionary()
 
     return mapped(rows, run, schema)
 
 
-def _segmented(words: DataFrame, model: str) -> DataFrame:
-    """(block, place, ids) of ``words`` (block, place, word), which lie sorted by word."""
+def _segmented(lists: DataFrame, model: str) -> DataFrame:
+    """(block, places, counts, ids) of ``lists`` (block, bucket, places, words), which lie sorted by bucket: each distinct word of a bucket is segmented once."""
+    schema = T.StructType([T.StructField("block", T.LongType())] + [T.StructField(n, T.BinaryType()) for n in ("places", "counts", "ids")])
+
     def run(batches):
         import pyarrow as pa
 
-        last, last_ids, seg = None, b"", segmenter(model)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            word = batch.column(2).dictionary_encode()
-            distinct = word.dictionary.to_pylist()
-            known = distinct[0] == last
-            found = [np.array(i, "<i4").tobytes() for i in seg.ids(distinct[known:])]
-            found = [last_ids, *found] if known else found
-            last, last_ids = distinct[-1], found[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()).take(word.indices)], ["block", "place", "ids"])
+        now, known, seg = None, {}, segmenter(model)
+        for batch in pieces(batches):
+            counts, ids = [], []
+            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                words = zstandard.decompress(packed).decode().split(" ")
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (array("i", i) for i in seg.ids(new)), strict=True))
+                found = [known[w] for w in words]
+                counts.append(_packed(np.fromiter(map(len, found), np.uint32, len(found))))
+                ids.append(_packed(np.frombuffer(b"".join(found), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], schema.names)
 
-    return mapped(words, run, T.StructType([T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("ids", T.BinaryType())]))
+    return mapped(lists, run, schema)
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts`` and are ``counts`` long, for each of ``at`` in turn."""
+    n = counts[at]
+    return values[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -138,30 +163,33 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)] or [F.lit(0).alias("none")])).alias("row"), F.col(f"`{text}`").alias("text"))
     blocks = saved(_blocks(rows, model))
-    words = blocks.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
-    known = _segmented(words.repartition("word").sortWithinPartitions("word"), model)
+    lists = blocks.where("words is not null").select("block", "bucket", "places", "words")
+    known = _segmented(lists.repartition("bucket").sortWithinPartitions("bucket"), model)
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def joined(texts, entries):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
 
         seg = segmenter(model).model
-        order = np.argsort(entries["place"].to_numpy()) if len(entries) else []
-        ids = entries["ids"].take(pa.array(order, pa.int64())).to_pylist() if len(entries) else []
-        begin, end = (np.array([x], "<i4").tobytes() for x in (seg.bos_id(), seg.eos_id()))
+        # The ids of the block's words by place, and behind them the begin and the end id as two words more.
+        place, count, values = (np.concatenate([np.zeros(0, np.uint32), *map(_unpacked, entries[c].to_pylist())]).astype(np.int64) for c in ("places", "counts", "ids"))
+        last = len(place)
+        counts, starts = np.ones(last + 2, np.int64), np.zeros(last + 2, np.int64)
+        counts[place], starts[place] = count, np.cumsum(count) - count
+        starts[last:] = len(values) + np.arange(2)
+        values = np.r_[values, seg.bos_id(), seg.eos_id()].astype(np.int32)
         for part in texts.select(["row", "places"]).to_batches(max_chunksize=500):
-            found = [b"".join([begin, *map(ids.__getitem__, _unpacked(p).tolist()), end]) for p in part.column(1).to_pylist()]
-            offsets = np.cumsum([0, *(len(b) // 4 for b in found)])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], schema=to_arrow_schema(schema))
+            at = [np.r_[last, _unpacked(p), last + 1].astype(np.int64) for p in part.column(1).to_pylist()]
+            ends = np.cumsum(np.fromiter((counts[x].sum() for x in at), np.int64, len(at)))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(_gathered(values, starts, counts, np.concatenate(at))))
+            yield [part.column(0), lists]
 
     def run(texts, entries):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        # A block that other rows of its dictionary stand for alone does not occur; one without words has an empty one.
-        return pa.Table.from_batches(list(joined(texts, entries)), to_arrow_schema(schema)) if len(texts) else to_arrow_schema(schema).empty_table()
+        kinds = to_arrow_schema(schema)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, schema=kinds) for x in joined(texts, entries)], kinds)
 
     texts = blocks.where("words is null").select("block", "row", "places")
     out = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
