@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, hard_negatives, jaccard_join, language_id, line_dedup, mixing, pii, quality, sentencepieces, toxicity, warc_fixity
+from . import decontaminate, fingerprints, hard_negatives, jaccard_join, language_id, lexical_search, line_dedup, mixing, pii, quality, sentencepieces, toxicity, warc_fixity
 from .common import fold, saved, table
 
 
@@ -80,8 +80,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n_docs = lexical_search.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical_search.search(index, n_docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_fingerprints, op3_language_id, op4_quality, op5_decontaminate,
-    op6_toxicity, op7_mixing, op8_warc_fixity, op9_line_dedup, op10_pii, op11_sentencepiece, op12_hard_negatives)}
+    op6_toxicity, op7_mixing, op8_warc_fixity, op9_line_dedup, op10_pii, op11_sentencepiece, op12_hard_negatives, op13_lexical_search)}
 
-ORACLE_SQL = {"op8_warc_fixity": warc_fixity.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
+ORACLE_SQL = {"op8_warc_fixity": warc_fixity.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE,
+              "op13_lexical_search": lexical_search.ORACLE}
