@@ -59,13 +59,16 @@ def split_long_token(token: Column, width: int) -> Column:
 
 
 def render_template(text: Column, mapping: dict[str, str]) -> Column:
-    """``--Name`` and ``--{Name}`` become the mapping's value, ``----`` becomes ``--``; unknown slots stay."""
-    mark = "\x00"
-    out = F.replace(text, F.lit("----"), F.lit(mark))
-    for name, value in sorted(mapping.items()):
-        value = value.replace("\\", "\\\\").replace("$", "\\$")
-        out = F.regexp_replace(out, rf"--(?:\{{{name}\}}|{name}(?![A-Za-z0-9_]))", value)
-    return F.replace(out, F.lit(mark), F.lit("--"))
+    """``--Name`` and ``--{Name}`` become the mapping's value, ``----`` becomes ``--``; unknown slots stay.
+
+    The text is cut once into slots, marks and what stands between them, from left to right, so that a value
+    is never looked at again. A name begins with a letter or ``_`` and is as long as it can be.
+    """
+    name = "[A-Za-z_][A-Za-z0-9_]*"
+    parts = F.regexp_extract_all(text, F.lit(rf"----|--{name}|--\{{{name}\}}|--|[^-]+|-"), F.lit(0))
+    slots = {"----": "--"} | {slot: value for key, value in mapping.items() for slot in (f"--{key}", f"--{{{key}}}")}
+    table = F.create_map(*[F.lit(x) for pair in slots.items() for x in pair])
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("--"), F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")
 
 
 def initial_letter(text: Column) -> Column:

@@ -46,11 +46,29 @@ def ordered_distinct_concat(df: DataFrame, group: str, order: str, text: str) ->
 
 
 def palette_rank(colors: DataFrame) -> DataFrame:
-    """(image_id, pos, r, g, b, rank): colours by colourfulness, the most colourful first, ties by place, then by r, g, b."""
-    from ..functions.color import colorfulness
-
-    order = W.partitionBy("image_id").orderBy(F.desc(F.round(colorfulness(F.col("r"), F.col("g"), F.col("b")), 9)), "pos", "r", "g", "b")
-    return colors.withColumn("rank", F.row_number().over(order))
+    """(image_id, rank, pos, r, g, b): the colours that may stand for an image, the most colourful first, of palettes (image_id, pos, r, g, b).
+
+    Bright colours are taken down. Then grays and pure reds go, in the order of their places, until two
+    colours are left; of the first five that stay, equally colourful ones are ranked by place. A
+    palette of which nothing stays, or that has a colour with a null part, gives the default (24, 24, 24), without a place.
+    """
+    from ..functions.color import adjust_brightness, colorfulness, hsv_to_rgb, rgb_to_hsv
+
+    image, ahead = W.partitionBy("image_id"), W.partitionBy("image_id").orderBy("pos", "r", "g", "b")
+    dimmed = colors.select("image_id", "pos", "r", "g", "b").withColumn("c", adjust_brightness(rgb_to_hsv(F.col("r"), F.col("g"), F.col("b"))))
+    dimmed = dimmed.withColumn("c", hsv_to_rgb(F.col("c.h"), F.col("c.s"), F.col("c.v")))
+    r, g, b = (F.col(f"c.{x}") for x in "rgb")
+    # A hue of no degree: green and blue are equal, and red is no less.
+    plain = (g == b) & (r >= g)
+    gone = plain & (F.count_if(plain).over(ahead.rowsBetween(W.unboundedPreceding, 0)) <= F.greatest(F.count("*").over(image) - 2, F.lit(1)))
+    bad = F.bool_or(F.col("r").isNull() | F.col("g").isNull() | F.col("b").isNull()).over(image)
+    left = dimmed.withColumn("gone", gone | bad).withColumn("place", F.count_if(~F.col("gone")).over(ahead.rowsBetween(W.unboundedPreceding, 0)))
+    # Of a palette with nothing left its first row becomes the default.
+    none = F.count_if(~F.col("gone")).over(image) == 0
+    left = left.withColumn("none", none & (F.row_number().over(ahead) == 1)).where((~F.col("gone") & (F.col("place") <= 5)) | F.col("none"))
+    value = lambda x: F.when(F.col("none"), 24).otherwise(x)
+    best = W.partitionBy("image_id").orderBy(F.desc(F.round(colorfulness(r, g, b), 9)), "place")
+    return left.select("image_id", F.row_number().over(best).alias("rank"), F.when(~F.col("none"), F.col("pos")).alias("pos"), value(r).alias("r"), value(g).alias("g"), value(b).alias("b"))
 
 
 def budget_need(items: DataFrame, group: str, size: str, spacing: int) -> DataFrame:
@@ -65,10 +83,14 @@ def fit_budget_tail(items: DataFrame, budget: int, elide: int) -> DataFrame:
     return items.withColumn("shown", (total <= budget) | (F.row_number().over(w.orderBy(F.desc("pos"))) == 1) | (used <= budget))
 
 
-def fit_budget_head(items: DataFrame, budget: int, more: int, spacing: int) -> DataFrame:
-    """``items`` (group_id, pos, size) with shown: all if they fit, else as many from the front as fit beside the button."""
+def fit_budget_head(items: DataFrame, budget: int, more: int, spacing: int, hidden: bool = False) -> DataFrame:
+    """``items`` (group_id, pos, size) with shown: all if they fit, else as many from the front as fit beside the button, which no spacing parts from them.
+
+    Where there are ``hidden`` entries besides, the button counts as one more item of those that must fit.
+    """
     w = W.partitionBy("group_id")
     ahead = w.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    need = F.sum("size").over(w) + spacing * (F.count("*").over(w) - 1)
-    used = F.sum(F.col("size") + spacing).over(ahead) + more
+    extra = more + spacing if hidden else 0
+    need = F.sum("size").over(w) + spacing * (F.count("*").over(w) - 1) + extra
+    used = F.sum("size").over(ahead) + spacing * (F.count("*").over(ahead) - 1) + more
     return items.withColumn("shown", (need <= budget) | (used <= budget))

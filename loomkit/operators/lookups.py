@@ -96,10 +96,10 @@ def existing_folders(wanted: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def folders_changed(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(list_id, changed): whether the two lists of paths differ as multisets."""
-    count = lambda df, n: df.groupBy("list_id", "path").agg(F.count("*").alias(n))
-    both = count(a, "a").join(count(b, "b"), ["list_id", "path"], "full")
-    return both.groupBy("list_id").agg(F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
+    """(list_id, changed): whether the two lists of paths differ as multisets; a null path is a path like others."""
+    both = a.select("list_id", "path", F.lit(1).alias("n")).union(b.select("list_id", "path", F.lit(-1)))
+    surplus = both.groupBy("list_id", "path").agg(F.sum("n").alias("n"))
+    return surplus.groupBy("list_id").agg(F.bool_or(F.col("n") != 0).alias("changed"))
 
 
 def add_folders(lists: DataFrame, added: DataFrame) -> DataFrame:

@@ -251,11 +251,17 @@ def fit_budget_tail(spark, sf_dir):
     return aggregates.fit_budget_tail(_items(spark, sf_dir), 800, 20)
 
 
-@query(f"SELECT group_id, pos, size, sum(size) OVER g + 4 * (count(*) OVER g - 1) <= 800 OR sum(size + 4) OVER b + 30 <= 800 AS shown FROM ({ITEMS}) WINDOW g AS (PARTITION BY group_id), b AS (PARTITION BY group_id ORDER BY pos ROWS UNBOUNDED PRECEDING)")
+@query(f"SELECT group_id, pos, size, sum(size) OVER g + 4 * (count(*) OVER g - 1) <= 800 OR 30 + sum(size) OVER b + 4 * (count(*) OVER b - 1) <= 800 AS shown FROM ({ITEMS}) WINDOW g AS (PARTITION BY group_id), b AS (PARTITION BY group_id ORDER BY pos ROWS UNBOUNDED PRECEDING)")
 def fit_budget_head(spark, sf_dir):
     return aggregates.fit_budget_head(_items(spark, sf_dir), 800, 30, 4)
 
 
+@query(f"SELECT group_id, pos, size, sum(size) OVER g + 30 + 4 * count(*) OVER g <= 800 OR 30 + sum(size) OVER b + 4 * (count(*) OVER b - 1) <= 800 AS shown FROM ({ITEMS}) WINDOW g AS (PARTITION BY group_id), b AS (PARTITION BY group_id ORDER BY pos ROWS UNBOUNDED PRECEDING)")
+def fit_budget_head_hidden(spark, sf_dir):
+    """With hidden entries, for which the button counts as an item."""
+    return aggregates.fit_budget_head(_items(spark, sf_dir), 800, 30, 4, hidden=True)
+
+
 @query(f"SELECT group_id, (sum(size) + 4 * (count(*) - 1))::BIGINT AS need FROM ({ITEMS}) GROUP BY group_id")
 def budget_need(spark, sf_dir):
     return aggregates.budget_need(_items(spark, sf_dir), "group_id", "size", 4)
@@ -418,10 +424,29 @@ def image_sizes(spark, sf_dir):
     return x.select("p_partkey", F.col("f.w").alias("fit_w"), F.col("f.h").alias("fit_h"), "side_w", "side_h", F.col("c.w").alias("cover_w"), F.col("c.h").alias("cover_h"), F.col("c.x").alias("cover_x"), F.col("c.y").alias("cover_y"))
 
 
-@query(f"SELECT image_id, pos, r, g, b, row_number() OVER (PARTITION BY image_id ORDER BY round(0.3 * sqrt((r - g) * (r - g) + (0.5 * (r + g) - b) * (0.5 * (r + g) - b)), 9) DESC, pos, r, g, b) AS rank FROM (SELECT l_orderkey AS image_id, l_linenumber AS pos, l_partkey % 256 AS r, l_suppkey % 256 AS g, l_orderkey % 256 AS b FROM lineitem)")
+# Grays and pure reds are among the colours: every third row's green and blue are equal, some rows' red too.
+PALETTES = """SELECT l_orderkey AS image_id, l_linenumber AS pos, l_partkey % 256 AS r, CASE WHEN l_suppkey % 5 = 0 THEN l_partkey % 256 ELSE l_suppkey % 256 END AS g,
+  CASE WHEN l_suppkey % 5 = 0 THEN l_partkey % 256 WHEN l_suppkey % 3 = 0 THEN l_suppkey % 256 ELSE l_orderkey % 256 END AS b FROM lineitem"""
+
+
+@query(f"""
+WITH p AS ({PALETTES}), d AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY pos, r, g, b) AS n, greatest(r, g, b) AS hi, greatest(r, g, b) / 255.0::DOUBLE - least(r, g, b) / 255.0::DOUBLE AS d, r / 255.0::DOUBLE AS r1, g / 255.0::DOUBLE AS g1, b / 255.0::DOUBLE AS b1 FROM p),
+h AS (SELECT *, CASE WHEN d = 0 THEN 0.0 WHEN hi = r THEN fmod(60 * ((g1 - b1) / d) + 360, 360) WHEN hi = g THEN fmod(60 * ((b1 - r1) / d) + 120, 360) ELSE fmod(60 * ((r1 - g1) / d) + 240, 360) END AS h,
+  CASE WHEN hi = 0 THEN 0.0 ELSE d / (hi / 255.0::DOUBLE) END AS s, hi / 255.0::DOUBLE AS v0 FROM d),
+a AS (SELECT *, v0 * CASE WHEN v0 > 0.9 THEN 0.8 WHEN v0 > 0.8 THEN 0.9 WHEN v0 > 0.7 THEN 0.95 ELSE 1.0 END::DOUBLE AS v, floor(h / 60)::BIGINT % 6 AS k, h / 60 - floor(h / 60) AS f FROM h),
+z AS (SELECT *, v * (1 - s) AS p, v * (1 - f * s) AS q, v * (1 - (1 - f) * s) AS t FROM a),
+c AS (SELECT image_id, n, pos, trunc(CASE k WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END * 255)::INTEGER AS r,
+  trunc(CASE k WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q ELSE p END * 255)::INTEGER AS g, trunc(CASE k WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN v WHEN 4 THEN v ELSE q END * 255)::INTEGER AS b FROM z),
+l AS (SELECT image_id, list({{'pos': pos, 'r': r, 'g': g, 'b': b, 'plain': g = b AND r >= g}} ORDER BY n) AS x FROM c GROUP BY image_id),
+-- One colour after the other: it goes if it is plain and no earlier removal has left two.
+w AS (SELECT image_id, list_filter(x, lambda e, i: NOT e.plain OR (len(list_filter(x[1:i - 1], lambda y: y.plain)) > 0 AND len(x) - len(list_filter(x[1:i - 1], lambda y: y.plain)) <= 2))[1:5] AS x FROM l),
+u AS (SELECT image_id, unnest(CASE WHEN len(x) = 0 THEN [{{'pos': NULL, 'r': 24, 'g': 24, 'b': 24, 'plain': true}}] ELSE x END) AS e, unnest(range(greatest(len(x), 1))) AS i FROM w)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY round(0.3 * sqrt((e.r - e.g) * (e.r - e.g) + (0.5 * (e.r + e.g) - e.b) * (0.5 * (e.r + e.g) - e.b)), 9) DESC, i)::INTEGER AS rank, e.pos, e.r, e.g, e.b FROM u""")
 def palette_rank(spark, sf_dir):
-    c = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS image_id", "l_linenumber AS pos", "l_partkey % 256 AS r", "l_suppkey % 256 AS g", "l_orderkey % 256 AS b")
-    return aggregates.palette_rank(c).withColumn("rank", F.col("rank").cast("long"))
+    c = _table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS image_id", "l_linenumber AS pos", "l_partkey % 256 AS r", "CASE WHEN l_suppkey % 5 = 0 THEN l_partkey % 256 ELSE l_suppkey % 256 END AS g",
+        "CASE WHEN l_suppkey % 5 = 0 THEN l_partkey % 256 WHEN l_suppkey % 3 = 0 THEN l_suppkey % 256 ELSE l_orderkey % 256 END AS b")
+    return aggregates.palette_rank(c)
 
 
 # Dates
@@ -442,11 +467,11 @@ def calendar(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, ((date_diff('day', DATE '1991-01-01', d) + 1) // 7)::INTEGER AS row, ((date_diff('day', DATE '1991-01-01', d) + 1) % 7)::INTEGER AS col FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders WHERE year(o_orderdate) >= 1991)""")
+SELECT o_orderkey, floor(n / 7.0)::INTEGER AS row, (n - 7 * floor(n / 7.0))::INTEGER AS col FROM (SELECT o_orderkey, date_diff('day', DATE '1993-01-01', o_orderdate::DATE) + 4 AS n FROM orders)""")
 def calendar_cell(spark, sf_dir):
-    """From 1 January 1991, a Tuesday."""
+    """From 1 January 1993, a Friday; earlier days stand in rows above the first."""
     d = F.to_date("o_orderdate")
-    return _table(spark, sf_dir, "orders").where(F.year(d) >= 1991).select("o_orderkey", dates.calendar_cell(d, 1991).alias("c")).select("o_orderkey", "c.row", "c.col")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", dates.calendar_cell(d, 1993).alias("c")).select("o_orderkey", "c.row", "c.col")
 
 
 @query("""
@@ -520,10 +545,11 @@ def char_type(spark, sf_dir):
     return c.groupBy("item_id", text.char_type(F.col("c")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey, c_name || ': blue, --' || c_custkey || ', red, --unknown, --' AS style FROM customer")
+@query("SELECT c_custkey, c_name || ': --Mark-blue, --' || c_custkey || ', red, --Mainly, --unknown, --red, --{Main' AS style FROM customer")
 def render_template(spark, sf_dir):
-    t = F.concat("c_name", F.lit(": --Main, ----"), "c_custkey", F.lit(", --{Mark}, --unknown, ----"))
-    return _table(spark, sf_dir, "customer").select("c_custkey", text.render_template(t, {"Main": "blue", "Mark": "red"}).alias("style"))
+    """Values that hold a slot's name stay as they are."""
+    t = F.concat("c_name", F.lit(": --Main, ----"), "c_custkey", F.lit(", --{Mark}, --Mainly, --unknown, ------Mark, --{Main"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.render_template(t, {"Main": "--Mark-blue", "Mark": "red"}).alias("style"))
 
 
 # Each line is cut into words and single spaces, and these are folded into (rows that are closed, open row). All characters of the table take one column.
@@ -660,6 +686,16 @@ def _settings(spark, sf_dir):
     return files.read_settings(_table(spark, sf_dir, "events").select(F.col("event_id").alias("entity_id"), F.col("props").alias("json")))
 
 
+@query("""
+SELECT event_id AS entity_id, unnest(['k', 'note', 'grp.name', 'grp.n']) AS key, unnest([props->>'k', '{' || event_type || '}', '{"' || event_type || '":1}', user_id::VARCHAR]) AS value FROM events""")
+def read_settings(spark, sf_dir):
+    """Documents with a group, and with texts that look like one."""
+    name = F.to_json(F.create_map(F.lit("name"), F.concat(F.lit('{"'), "event_type", F.lit('":1}'))))
+    inner = F.concat(F.expr("substring(name, 1, char_length(name) - 1)"), F.lit(',"n":'), F.col("user_id").cast("string"), F.lit("}"))
+    body = F.concat(F.expr("substring(props, 1, char_length(props) - 1)"), F.lit(',"note":"{'), "event_type", F.lit('}","grp":'), "inner", F.lit("}"))
+    return files.read_settings(_table(spark, sf_dir, "events").withColumn("name", name).withColumn("inner", inner).select(F.col("event_id").alias("entity_id"), body.alias("json")))
+
+
 @query("""
 WITH e AS (SELECT event_id AS entity_id, (props->>'k')::INTEGER AS k, event_type, value FROM events)
 SELECT entity_id, 'k' AS key, greatest(10, least(60, k))::VARCHAR AS value FROM e

@@ -59,11 +59,15 @@ def read_images(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_settings(docs: DataFrame) -> DataFrame:
-    """(entity_id, key, value) of documents (entity_id, json) of one or two levels; what is no JSON object gives no rows."""
-    top = docs.select("entity_id", F.explode(F.from_json("json", "map<string,string>")).alias("grp", "body"))
-    inner = F.from_json("body", "map<string,string>")
-    flat = top.where(~F.col("body").startswith("{")).select("entity_id", F.col("grp").alias("key"), F.col("body").alias("value"))
-    deep = top.where(F.col("body").startswith("{")).select("entity_id", "grp", F.explode(inner).alias("name", "value"))
+    """(entity_id, key, value) of documents (entity_id, json) of one or two levels; what is no JSON object gives no rows.
+
+    Whether a value is a group is told by its kind, so that a text which looks like an object stays a text. Of repeated keys the first one's kind counts.
+    """
+    kinds = F.from_json("json", "map<string,variant>")
+    top = docs.select("entity_id", kinds.alias("kinds"), F.explode(F.from_json("json", "map<string,string>")).alias("grp", "body"))
+    top = top.select("entity_id", "grp", "body", F.coalesce(F.schema_of_variant(F.col("kinds")[F.col("grp")]).startswith("OBJECT"), F.lit(False)).alias("group"))
+    flat = top.where(~F.col("group")).select("entity_id", F.col("grp").alias("key"), F.col("body").alias("value"))
+    deep = top.where("group").select("entity_id", "grp", F.explode(F.from_json("body", "map<string,string>")).alias("name", "value"))
     return flat.union(deep.select("entity_id", F.concat_ws(".", "grp", "name"), "value"))
 
 
