@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import xxhash
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..store import few, saved
+from ..store import few, new_path, saved
 
 __all__ = ["few", "saved"]
 SHINGLE_WORDS = 5
@@ -22,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """``saved``, dealt to as many buckets by ``column`` as the session has shuffle partitions: what groups or joins by it moves the other side alone."""
+    spark, name = df.sparkSession, f"loomkit_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, column).option("path", new_path(spark)).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    # The frame knows its files and buckets; the catalogue need not keep the name. The files stay, for the table is an external one.
+    out.schema  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def mapped(df: DataFrame, function, schema: T.StructType) -> DataFrame:
     """``mapInArrow`` for columns of any name, dots in it too."""
     names = df.columns

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, pieces, saved
+from .common import bucketed, mapped, pieces
 
 MARK = "▁"
 #: A block ends at so many marked words; one document is never parted, so that a longer one is a block by itself.
@@ -81,10 +81,24 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
+def _marked(places: np.ndarray, base: int) -> np.ndarray:
+    """``places`` one higher, and 0 where a word is used for the first time: its place is the next one, and ``base`` words were known before."""
+    places = places.astype(np.int64)
+    known = np.maximum.accumulate(np.r_[base - 1, places])[:-1]
+    return np.where(places > known, 0, places + 1)
+
+
+def _placed(marked: np.ndarray, base: int) -> np.ndarray:
+    places = marked.astype(np.int64) - 1
+    new = places < 0
+    places[new] = base + np.arange(new.sum())
+    return places
+
+
 def _blocks(rows: DataFrame, model: str) -> DataFrame:
-    """Of ``rows`` (row, text): (block, row, places) of each document, and (block, bucket, places, words) of each bucket of a block's distinct words."""
+    """Of ``rows`` (row, text): (block, row, base, places) of each document, and (block, bucket, places, words) of each bucket of a block's distinct words."""
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", rows.schema["row"].dataType), T.StructField("places", T.BinaryType()),
-                           T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
+                           T.StructField("base", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
@@ -108,14 +122,15 @@ def _blocks(rows: DataFrame, model: str) -> DataFrame:
             return out(len(parts), bucket=pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), places=pa.array(map(_packed, parts), pa.binary()), words=pa.array(lists, pa.binary()))
 
         for batch in pieces(batches):
-            begin, places = 0, []
+            begin, places, bases = 0, [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 words = cut(text)
-                places.append(_packed(np.fromiter(map(held.__getitem__, words), np.uint32, len(words))))
+                bases.append(len(held))
+                places.append(_packed(_marked(np.fromiter(map(held.__getitem__, words), np.uint32, len(words)), bases[-1])))
                 n += len(words)
                 if n >= BLOCK_WORDS or k + 1 == batch.num_rows:
-                    yield out(k + 1 - begin, row=batch.column(0).slice(begin, k + 1 - begin), places=pa.array(places, pa.binary()))
-                    begin, places = k + 1, []
+                    yield out(k + 1 - begin, row=batch.column(0).slice(begin, k + 1 - begin), base=pa.array(bases, pa.int32()), places=pa.array(places, pa.binary()))
+                    begin, places, bases = k + 1, [], []
                 if n >= BLOCK_WORDS:
                     yield dictionary()
                     block, held, n = block + 1, _Places(), 0
@@ -126,8 +141,8 @@ def _blocks(rows: DataFrame, model: str) -> DataFrame:
 
 
 def _segmented(lists: DataFrame, model: str) -> DataFrame:
-    """(block, places, counts, ids) of ``lists`` (block, bucket, places, words), which lie sorted by bucket: each distinct word of a bucket is segmented once."""
-    schema = T.StructType([T.StructField("block", T.LongType())] + [T.StructField(n, T.BinaryType()) for n in ("places", "counts", "ids")])
+    """(block, bucket, counts, ids) of ``lists`` (block, bucket, words), which lie sorted by bucket: each distinct word of a bucket is segmented once."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType())] + [T.StructField(n, T.BinaryType()) for n in ("counts", "ids")])
 
     def run(batches):
         import pyarrow as pa
@@ -135,7 +150,7 @@ def _segmented(lists: DataFrame, model: str) -> DataFrame:
         now, known, seg = None, {}, segmenter(model)
         for batch in pieces(batches):
             counts, ids = [], []
-            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if bucket != now:
                     now, known = bucket, {}
                 words = zstandard.decompress(packed).decode().split(" ")
@@ -144,7 +159,7 @@ def _segmented(lists: DataFrame, model: str) -> DataFrame:
                 found = [known[w] for w in words]
                 counts.append(_packed(np.fromiter(map(len, found), np.uint32, len(found))))
                 ids.append(_packed(np.frombuffer(b"".join(found), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], schema.names)
 
     return mapped(lists, run, schema)
 
@@ -162,24 +177,27 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """
     others = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)] or [F.lit(0).alias("none")])).alias("row"), F.col(f"`{text}`").alias("text"))
-    blocks = saved(_blocks(rows, model))
-    lists = blocks.where("words is not null").select("block", "bucket", "places", "words")
+    blocks = bucketed(_blocks(rows, model), "block")
+    lists = blocks.where("words is not null").select("block", "bucket", "words")
     known = _segmented(lists.repartition("bucket").sortWithinPartitions("bucket"), model)
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def joined(texts, entries):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         seg = segmenter(model).model
         # The ids of the block's words by place, and behind them the begin and the end id as two words more.
-        place, count, values = (np.concatenate([np.zeros(0, np.uint32), *map(_unpacked, entries[c].to_pylist())]).astype(np.int64) for c in ("places", "counts", "ids"))
+        own = {b: p for b, p in zip(texts["bucket"].to_pylist(), texts["places"].to_pylist(), strict=True) if b is not None}
+        parts = {"places": [own[b] for b in entries["bucket"].to_pylist()]} | {c: entries[c].to_pylist() for c in ("counts", "ids")}
+        place, count, values = (np.concatenate([np.zeros(0, np.uint32), *map(_unpacked, parts[c])]).astype(np.int64) for c in ("places", "counts", "ids"))
         last = len(place)
         counts, starts = np.ones(last + 2, np.int64), np.zeros(last + 2, np.int64)
         counts[place], starts[place] = count, np.cumsum(count) - count
         starts[last:] = len(values) + np.arange(2)
         values = np.r_[values, seg.bos_id(), seg.eos_id()].astype(np.int32)
-        for part in texts.select(["row", "places"]).to_batches(max_chunksize=500):
-            at = [np.r_[last, _unpacked(p), last + 1].astype(np.int64) for p in part.column(1).to_pylist()]
+        for part in texts.filter(pc.is_null(texts["bucket"])).select(["row", "base", "places"]).to_batches(max_chunksize=500):
+            at = [np.r_[last, _placed(_unpacked(p), b), last + 1] for b, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
             ends = np.cumsum(np.fromiter((counts[x].sum() for x in at), np.int64, len(at)))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(_gathered(values, starts, counts, np.concatenate(at))))
             yield [part.column(0), lists]
@@ -191,7 +209,8 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
         kinds = to_arrow_schema(schema)
         return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, schema=kinds) for x in joined(texts, entries)], kinds)
 
-    texts = blocks.where("words is null").select("block", "row", "places")
+    # A block's texts and the places of its words stay where they were written; the ids of its words come to them.
+    texts = blocks.select("block", "row", "base", "places", "bucket")
     out = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
     return out.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(others)], "ids")
 
