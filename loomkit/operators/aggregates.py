@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import running_sum, total
+
 
 def clamp_counters(df: DataFrame) -> DataFrame:
     """``df`` (total, processed, success) with processed at most total and success at most processed."""
@@ -76,11 +78,13 @@ def budget_need(items: DataFrame, group: str, size: str, spacing: int) -> DataFr
 
 
 def fit_budget_tail(items: DataFrame, budget: int, elide: int) -> DataFrame:
-    """``items`` (group_id, pos, size) with shown: all if they fit, else the last and as many before it as fit beside the mark."""
-    w = W.partitionBy("group_id")
-    back = w.orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
-    total, used = F.sum("size").over(w), F.sum("size").over(back) + elide
-    return items.withColumn("shown", (total <= budget) | (F.row_number().over(w.orderBy(F.desc("pos"))) == 1) | (used <= budget))
+    """``items`` (group_id, pos, size) with shown: all if they fit, else the last and as many before it as fit beside the mark.
+
+    Items in ``ranges.ranged`` ranges are added up by range first, and so no task holds all of a group; that goes for the other budget too.
+    """
+    of = lambda df, value, name: running_sum(df, "group_id", ["pos"], value, name, descending=True)
+    out = of(of(total(items, "group_id", F.col("size"), "_all"), F.col("size"), "_used"), F.lit(1), "_place")
+    return out.withColumn("shown", (F.col("_all") <= budget) | (F.col("_place") == 1) | (F.col("_used") + elide <= budget)).drop("_all", "_used", "_place")
 
 
 def fit_budget_head(items: DataFrame, budget: int, more: int, spacing: int, hidden: bool = False) -> DataFrame:
@@ -88,9 +92,9 @@ def fit_budget_head(items: DataFrame, budget: int, more: int, spacing: int, hidd
 
     Where there are ``hidden`` entries besides, the button counts as one more item of those that must fit.
     """
-    w = W.partitionBy("group_id")
-    ahead = w.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    extra = more + spacing if hidden else 0
-    need = F.sum("size").over(w) + spacing * (F.count("*").over(w) - 1) + extra
-    used = F.sum("size").over(ahead) + spacing * (F.count("*").over(ahead) - 1) + more
-    return items.withColumn("shown", (need <= budget) | (used <= budget))
+    of = lambda df, value, name: running_sum(df, "group_id", ["pos"], value, name)
+    # Each item brings a spacing; the first of all has none before it.
+    wide = F.col("size") + spacing
+    out = of(total(items, "group_id", wide, "_all"), wide, "_used")
+    need = F.col("_all") - spacing + (more + spacing if hidden else 0)
+    return out.withColumn("shown", (need <= budget) | (F.col("_used") - spacing + more <= budget)).drop("_all", "_used")

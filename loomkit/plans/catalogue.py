@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import color, dates, hooks, text
 from ..operators import aggregates, images, lookups, sequences, settings
+from ..operators.ranges import ranged
 from ..sources import files
 from ..store import new_path
 from ..streaming import jobs as streams
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _events(spark: SparkSession, sf_dir: str, *columns: str, order=("ts", "event_id")) -> DataFrame:
+    """Events in ranges of user and time, if they are many."""
+    return ranged(_table(spark, sf_dir, "events").select(*columns), "user_id", list(order))
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -39,31 +45,31 @@ BURSTS = "SELECT event_id, user_id, least(count(*) OVER (PARTITION BY user_id OR
 
 @query(f"SELECT event_id, user_id, event_type FROM ({COLLAPSED.format(where='')})")
 def collapse_repeats(spark, sf_dir):
-    return sequences.collapse_repeats(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")).select("event_id", "user_id", "event_type")
+    return sequences.collapse_repeats(_events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")).select("event_id", "user_id", "event_type")
 
 
 @query(f"SELECT event_id, user_id, event_type FROM ({COLLAPSED.format(where=chr(32).join(['WHERE event_type IS DISTINCT FROM', chr(39) + 'error' + chr(39)]))})")
 def remove_key_and_collapse(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    e = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")
     return sequences.remove_key_and_collapse(e, "error").select("event_id", "user_id", "event_type")
 
 
 @query(f"SELECT event_id, user_id, round(ratio, 9) AS ratio FROM ({BURSTS.format(src='SELECT * FROM events')})")
 def burst_ratio(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    e = _events(spark, sf_dir, "event_id", "ts", "user_id")
     return sequences.burst_ratio(e, 3600).select("event_id", "user_id", F.round("ratio", 9).alias("ratio"))
 
 
 @query(f"SELECT user_id, count(*) AS n, round(max(ratio), 9) AS most FROM ({BURSTS.format(src=COLLAPSED.format(where=''))}) GROUP BY user_id")
 def burst_counts(spark, sf_dir):
     """Repeats collapsed, bursts measured, counted by user: one exchange serves all three."""
-    e = sequences.collapse_repeats(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
+    e = sequences.collapse_repeats(_events(spark, sf_dir, "event_id", "ts", "user_id", "event_type"))
     return sequences.burst_ratio(e, 3600).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("ratio"), 9).alias("most"))
 
 
 @query(f"SELECT b.event_id, b.user_id, round(e.value * 1.5 * (1 + b.ratio), 6) AS delta FROM ({BURSTS.format(src='SELECT * FROM events')}) b JOIN events e USING (event_id)")
 def burst_delta(spark, sf_dir):
-    e = sequences.burst_ratio(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value"), 3600)
+    e = sequences.burst_ratio(_events(spark, sf_dir, "event_id", "ts", "user_id", "value"), 3600)
     return e.select("event_id", "user_id", F.round(sequences.boosted(F.col("value"), F.col("ratio")), 6).alias("delta"))
 
 
@@ -84,7 +90,7 @@ SELECT user_id, event_id, main, sub FROM a WHERE abs(main - sub) > 20""")
 def drift_events(spark, sf_dir):
     e = _table(spark, sf_dir, "events").where("event_type in ('view', 'click')")
     p = e.select("user_id", "event_id", "ts", F.when(F.col("event_type") == "view", "main").otherwise("sub").alias("track"), F.col("value").alias("position"))
-    return sequences.drift_events(p, 20, "user_id").select("user_id", "event_id", "main", "sub")
+    return sequences.drift_events(ranged(p, "user_id", ["ts", "event_id"]), 20, "user_id").select("user_id", "event_id", "main", "sub")
 
 
 PLAYED = "SELECT user_id, event_id, ts, CASE WHEN event_type = 'view' THEN 'main' ELSE 'sub' END AS track, value AS position, event_type <> 'purchase' AS playing FROM events WHERE event_type IN ('view', 'click', 'purchase')"
@@ -162,7 +168,7 @@ def breadcrumb_trail(spark, sf_dir):
 WITH e AS (SELECT user_id, list(event_type IN ('view', 'click') ORDER BY ts, event_id) AS ups FROM events GROUP BY user_id)
 SELECT user_id, round(list_reduce(list_prepend(1.0::DOUBLE, list_transform(ups, lambda u: CASE WHEN u THEN 1.25 ELSE 0.8 END::DOUBLE)), lambda a, b: greatest(0.1, least(10.0, a * b))), 6) AS zoom FROM e""")
 def clamped_running_product(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").isin("view", "click").alias("up"))
+    e = _events(spark, sf_dir, "user_id", "ts", "event_id", "event_type").withColumn("up", F.col("event_type").isin("view", "click"))
     return sequences.clamped_running_product(e, "user_id", ["ts", "event_id"], "up").withColumn("zoom", F.round("zoom", 6))
 
 
@@ -246,20 +252,24 @@ def _items(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), F.length("text").cast("long").alias("size"))
 
 
+def _ranged_items(spark, sf_dir):
+    return ranged(_items(spark, sf_dir), "group_id", ["pos"])
+
+
 @query(f"SELECT group_id, pos, size, sum(size) OVER g <= 800 OR row_number() OVER b = 1 OR sum(size) OVER b + 20 <= 800 AS shown FROM ({ITEMS}) WINDOW g AS (PARTITION BY group_id), b AS (PARTITION BY group_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)")
 def fit_budget_tail(spark, sf_dir):
-    return aggregates.fit_budget_tail(_items(spark, sf_dir), 800, 20)
+    return aggregates.fit_budget_tail(_ranged_items(spark, sf_dir), 800, 20).select("group_id", "pos", "size", "shown")
 
 
 @query(f"SELECT group_id, pos, size, sum(size) OVER g + 4 * (count(*) OVER g - 1) <= 800 OR 30 + sum(size) OVER b + 4 * (count(*) OVER b - 1) <= 800 AS shown FROM ({ITEMS}) WINDOW g AS (PARTITION BY group_id), b AS (PARTITION BY group_id ORDER BY pos ROWS UNBOUNDED PRECEDING)")
 def fit_budget_head(spark, sf_dir):
-    return aggregates.fit_budget_head(_items(spark, sf_dir), 800, 30, 4)
+    return aggregates.fit_budget_head(_ranged_items(spark, sf_dir), 800, 30, 4).select("group_id", "pos", "size", "shown")
 
 
 @query(f"SELECT group_id, pos, size, sum(size) OVER g + 30 + 4 * count(*) OVER g <= 800 OR 30 + sum(size) OVER b + 4 * (count(*) OVER b - 1) <= 800 AS shown FROM ({ITEMS}) WINDOW g AS (PARTITION BY group_id), b AS (PARTITION BY group_id ORDER BY pos ROWS UNBOUNDED PRECEDING)")
 def fit_budget_head_hidden(spark, sf_dir):
     """With hidden entries, for which the button counts as an item."""
-    return aggregates.fit_budget_head(_items(spark, sf_dir), 800, 30, 4, hidden=True)
+    return aggregates.fit_budget_head(_ranged_items(spark, sf_dir), 800, 30, 4, hidden=True).select("group_id", "pos", "size", "shown")
 
 
 @query(f"SELECT group_id, (sum(size) + 4 * (count(*) - 1))::BIGINT AS need FROM ({ITEMS}) GROUP BY group_id")
@@ -267,17 +277,17 @@ def budget_need(spark, sf_dir):
     return aggregates.budget_need(_items(spark, sf_dir), "group_id", "size", 4)
 
 
+# Some items have no height; a row of such items takes any number of them.
 @query(f"""
-WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pos) AS n FROM ({ITEMS})),
-p AS (SELECT group_id, pos, size, n, 0::BIGINT AS row, size + 4 AS used FROM i WHERE n = 1
-  UNION ALL SELECT i.group_id, i.pos, i.size, i.n, CASE WHEN p.used + i.size > 800 THEN p.row + 1 ELSE p.row END, CASE WHEN p.used + i.size > 800 THEN i.size + 4 ELSE p.used + i.size + 4 END FROM p JOIN i ON i.group_id = p.group_id AND i.n = p.n + 1)
-SELECT group_id, pos, size, 1 AS height, row FROM p""")
+WITH RECURSIVE i AS (SELECT *, pos * 7 % 4 * 5 AS height, row_number() OVER (PARTITION BY group_id ORDER BY pos) AS n FROM ({ITEMS})),
+p AS (SELECT group_id, pos, size, height, n, 0::BIGINT AS row, 0::BIGINT AS x, height > 0 AS high FROM i WHERE n = 1
+  UNION ALL SELECT i.group_id, i.pos, i.size, i.height, i.n, CASE WHEN p.high AND p.x + p.size + 4 + i.size > 800 THEN p.row + 1 ELSE p.row END,
+    CASE WHEN p.high AND p.x + p.size + 4 + i.size > 800 THEN 0 ELSE p.x + p.size + 4 END, CASE WHEN p.high AND p.x + p.size + 4 + i.size > 800 THEN i.height > 0 ELSE p.high OR i.height > 0 END
+  FROM p JOIN i ON i.group_id = p.group_id AND i.n = p.n + 1),
+r AS (SELECT group_id, row, max(height) AS row_height FROM p GROUP BY 1, 2), y AS (SELECT *, sum(row_height + 6) OVER (PARTITION BY group_id ORDER BY row) - row_height - 6 AS y FROM r)
+SELECT group_id, pos, size, height, row, x::DOUBLE AS x, y::DOUBLE AS y, row_height::DOUBLE AS row_height FROM p JOIN y USING (group_id, row)""")
 def pack_rows(spark, sf_dir):
-    return aggregates_pack(_items(spark, sf_dir))
-
-
-def aggregates_pack(items: DataFrame) -> DataFrame:
-    return sequences.pack_rows(items.withColumn("height", F.lit(1)), 800, 4)
+    return sequences.pack_rows(_items(spark, sf_dir).withColumn("height", F.col("pos") * 7 % 4 * 5), 800, 4, 6)
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY first) AS joined FROM (SELECT conv_id, text, min(turn) AS first FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY conv_id")
