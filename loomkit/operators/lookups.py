@@ -112,11 +112,15 @@ def visible_nodes(edges: DataFrame) -> DataFrame:
     """(node, depth, path): roots (parent null) always, deeper nodes if neither they nor a deeper ancestor is hidden.
 
     ``edges``: parent, child, pos, hidden. Ordered by depth and path (the places from the root
-    down) the rows stand breadth first. One join for each level, each level written once. A node
-    that was met on an earlier level is not visited again, so a cycle ends.
+    down) the rows stand breadth first. Of several places of a node the one of the least depth counts, then the
+    one with the least path, so a cycle ends. Where every node has one place, each knows a way
+    up that doubles in every round, and a tree of depth d takes log(d) rounds; else the tree is gone down level by level.
     """
     kids = edges.where("parent is not null and not hidden").select("parent", "child", "pos")
-    level = saved(edges.where("parent is null").select(F.col("child").alias("node"), F.lit(0).alias("depth"), F.array("pos").alias("path")))
+    places = kids.select("child").union(edges.where("parent is null").select("child"))
+    if places.groupBy("child").count().where("count > 1").isEmpty():
+        return _doubled(edges, kids)
+    level = saved(edges.where("parent is null").groupBy(F.col("child").alias("node")).agg(F.lit(0).alias("depth"), F.array(F.min("pos")).alias("path")))
     out, depth = level, 0
     while not level.isEmpty():
         depth += 1
@@ -125,3 +129,19 @@ def visible_nodes(edges: DataFrame) -> DataFrame:
         level = saved(found.join(out.select("node"), "node", "left_anti").select("node", "depth", "path").groupBy("node", "depth").agg(F.min("path").alias("path")))
         out = out.union(level)
     return out
+
+
+def _doubled(edges: DataFrame, kids: DataFrame) -> DataFrame:
+    """``visible_nodes`` of a forest. (node, up, path): the places on the way from below ``up`` down to the node; a node whose ``up`` is null has its whole path."""
+    roots = edges.where("parent is null").select(F.col("child").alias("node"), F.lit(None).cast(dict(edges.dtypes)["parent"]).alias("up"), F.array("pos").alias("path"))
+    found, open_ways = saved(roots), saved(kids.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.array("pos").alias("path")))
+    # A way leads up a power of two of steps; what is longer than there are nodes goes round in a cycle.
+    left, steps = open_ways.count(), 1
+    most = left
+    while left and steps <= most:
+        above = found.union(open_ways).select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("path").alias("upper"))
+        # Ways that end at a node with no place, below something hidden, find nothing here.
+        longer = saved(open_ways.join(above, "up").select("node", F.col("far").alias("up"), F.concat("upper", "path").alias("path")))
+        found, open_ways = found.union(longer.where("up is null")), longer.where("up is not null")
+        left, steps = open_ways.count(), 2 * steps
+    return found.select("node", (F.size("path") - 1).alias("depth"), "path")

@@ -215,23 +215,35 @@ def stream_job_status(spark, sf_dir):
     return _drained(streams.stream_job_status(_as_jobs(spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*"))), "complete")
 
 
-@query(FOLD.format(step=f"CASE b[1] WHEN 'error' THEN a[1:greatest(len(a) - 1, 0)] ELSE {PUSH} END"))
+@query(FOLD.format(step=f"CASE b[1] WHEN 'error' THEN a[1:greatest(len(a) - 1, 1)] ELSE {PUSH} END").replace("list_prepend([]::VARCHAR[], list", "list_prepend(['view'], list").replace(
+    "FROM events", "FROM events WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events) - 1000"))
 def stream_history(spark, sf_dir):
-    """The stream of events to its end, each user's last history."""
+    """The stream of events to its end, over a default entry: each user's last history, of the rows that the watermark has passed."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     op = F.when(F.col("event_type") == "error", "pop").otherwise("push")
-    return _drained(streams.stream_history(e.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("seq"), op.alias("op"), F.col("event_type").alias("key"))), "update", ["user_id"])
+    ops = e.select("user_id", (F.unix_micros("ts") * 1000 + F.col("event_id") % 1000).alias("seq"), "ts", op.alias("op"), F.col("event_type").alias("key"))
+    return _drained(streams.stream_history(ops, default="view"), "update", ["user_id"], streams.ROCKS)
+
 
+def _drained(stream: DataFrame, mode: str, key: list[str] | None = None, store: str | None = None) -> DataFrame:
+    """What a stream over a bounded table has given when it is at its end, written batch by batch to the shared folder; in update mode the last row of each ``key``.
 
-def _drained(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
-    """What a stream over a bounded table has given when it is at its end, written batch by batch to the shared folder; in update mode the last row of each ``key``."""
+    ``store`` keeps the stream's state; the session's own setting is put back when the stream has begun.
+    """
     spark = stream.sparkSession
     path = new_path(spark)
     write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     # Appended and updated rows are kept of every batch, under its number, so that a repeated batch replaces itself; complete mode keeps the last batch.
     out = (lambda n: f"{path}/out") if mode == "complete" else lambda n: f"{path}/out/batch={n}"
-    write.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out(n))).start().awaitTermination()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, store or before)
+    try:
+        running = write.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out(n))).start()
+    finally:
+        spark.conf.set(setting, before)
+    running.awaitTermination()
     if mode == "update":
         rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/out")
         return rows.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("last")).select("last.*")
@@ -802,24 +814,49 @@ def _seen(df: DataFrame) -> DataFrame:
     return df.select("image_id", "width", "height", "channels", F.md5("data").alias("data_md5"), "error")
 
 
+def _large(spark, sf_dir, w: int, h: int, spread: bool = False) -> DataFrame:
+    """Colour images of any size: the 64 values go over the pixels in an order of their own. Vectors that grow much are ``spread`` over the cluster before."""
+    hexed = lambda x: F.lpad(F.hex(x), 2, "0")
+    value = F.transform("embedding", lambda x: F.greatest(F.least((x * 100 + 128).cast("int"), F.lit(255)), F.lit(0)))
+    i = F.sequence(F.lit(0), F.lit(w * h - 1))
+    data = F.transform(i, lambda i: F.concat(hexed(F.element_at("value", (F.floor(i / w) * 5 + i % w * 3).cast("int") % 64 + 1)), hexed((i * 29 + 53) % 256), hexed((i * 29 + 106) % 256)))
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", value.alias("value"))
+    e = e.repartition(spark.sparkContext.defaultParallelism, "vec_id") if spread else e
+    return e.select(F.col("vec_id").cast("string").alias("image_id"), F.lit(w).alias("width"), F.lit(h).alias("height"), F.lit(3).alias("channels"), F.unhex(F.array_join(data, "")).alias("data"))
+
+
+def _large_sql(w: int, h: int) -> str:
+    return f"""SELECT vec_id::VARCHAR AS image_id, i // {w} AS y, i % {w} AS x, c,
+  (CASE WHEN c = 0 THEN greatest(least(trunc(embedding[(i // {w} * 5 + i % {w} * 3) % 64 + 1]::DOUBLE * 100 + 128)::INTEGER, 255), 0) ELSE (i * 29 + c * 53) % 256 END)::DOUBLE AS v FROM embeddings, range({w * h}) a(i), range(3) b(c)"""
+
+
 # One row for each value of an image: y, x, channel c.
 PIXELS = """SELECT vec_id::VARCHAR AS image_id, i // 8 AS y, i % 8 AS x, c,
   (CASE WHEN c = 0 THEN greatest(least(trunc(embedding[i + 1]::DOUBLE * 100 + 128)::INTEGER, 255), 0) ELSE (i * 29 + c * 53) % 256 END)::DOUBLE AS v FROM embeddings, range(64) a(i), range(3) b(c)"""
 
 
-def _image_sql(values: str, w: int, h: int, extra: str = "") -> str:
+def _image_sql(values: str, w: int, h: int, extra: str = "", pixels: str = "") -> str:
     """``values`` gives image_id, y, x, c, v; ``extra`` are common table expressions that it uses."""
-    return f"""WITH p AS ({PIXELS}){extra}
+    return f"""WITH p AS ({pixels or PIXELS}){extra}
 SELECT image_id, {w} AS width, {h} AS height, 3 AS channels, md5(unhex(string_agg(printf('%02X', v::INTEGER), '' ORDER BY y, x, c))) AS data_md5, NULL::VARCHAR AS error FROM ({values}) GROUP BY image_id"""
 
 
+def _weights_sql(name: str, n: int, m: int) -> str:
+    """How much each of n pixels adds to each of m: a triangle, as much wider as pixels become fewer."""
+    scale = f"greatest({n} / {m}::DOUBLE, 1.0)"
+    raw = f"SELECT m, j, greatest(1 - abs(j + 0.5::DOUBLE - (m + 0.5::DOUBLE) * {n} / {m}) / {scale}, 0.0) AS w FROM range({m}) a(m), range({n}) b(j)"
+    return f"{name} AS (SELECT m, j, w / sum(w) OVER (PARTITION BY m) AS w FROM ({raw}))"
+
+
+def _shrunk_sql(w: int, h: int, to_w: int, to_h: int) -> str:
+    """Common table expressions of images p that end in ``sized``."""
+    return f""", {_weights_sql("ya", h, to_h)}, {_weights_sql("xa", w, to_w)},
+down_y AS (SELECT image_id, ya.m AS y, x, c, sum(v * ya.w) AS v FROM p JOIN ya ON p.y = ya.j AND ya.w > 0 GROUP BY ALL),
+sized AS (SELECT image_id, y, xa.m AS x, c, greatest(least(round_even(round(sum(v * xa.w), 9), 0), 255), 0) AS v FROM down_y JOIN xa ON down_y.x = xa.j AND xa.w > 0 GROUP BY ALL)"""
+
+
 def _resized_sql(w: int, h: int) -> str:
-    """Bilinear: along y between two rows, then along x between two columns, halves to even."""
-    axis = lambda n: f"SELECT m, floor(place)::BIGINT AS lo, least(floor(place)::BIGINT + 1, 7) AS hi, place - floor(place) AS f FROM (SELECT m, greatest(least((m + 0.5::DOUBLE) * 8 / {n} - 0.5::DOUBLE, 7), 0) AS place FROM range({n}) t(m))"
-    extra = f""", ya AS ({axis(h)}), xa AS ({axis(w)}),
-r AS (SELECT l.image_id, ya.m AS y, l.x, l.c, l.v * (1 - ya.f) + u.v * ya.f AS v FROM ya JOIN p l ON l.y = ya.lo JOIN p u ON u.y = ya.hi AND u.image_id = l.image_id AND u.x = l.x AND u.c = l.c)"""
-    values = "SELECT l.image_id, l.y, xa.m AS x, l.c, round_even(round(l.v * (1 - xa.f) + u.v * xa.f, 9), 0) AS v FROM xa JOIN r l ON l.x = xa.lo JOIN r u ON u.x = xa.hi AND u.image_id = l.image_id AND u.y = l.y AND u.c = l.c"
-    return _image_sql(values, w, h, extra)
+    return _image_sql("SELECT * FROM sized", w, h, _shrunk_sql(8, 8, w, h))
 
 
 # A blur of two pixels: 17 taps, edges mirrored, whole numbers after each axis.
@@ -840,6 +877,25 @@ def resize_image(spark, sf_dir):
     return _seen(images.resize_image(_images(spark, sf_dir), 12, 6))
 
 
+@query(_image_sql("SELECT * FROM sized", 8, 4, _shrunk_sql(24, 12, 8, 4), _large_sql(24, 12)))
+def fit_image(spark, sf_dir):
+    """Images of 24 x 12 made to fit into 8 x 20: a third of each side, to which every pixel adds."""
+    return _seen(images.resize_image(_large(spark, sf_dir, 24, 12), 8, 20, fit=True))
+
+
+# A blur of half a pixel after shrinking: five taps.
+SHRUNK_BLUR = _shrunk_sql(24, 12, 8, 4) + """, k AS (SELECT d, exp(-0.5::DOUBLE * (d / 0.5::DOUBLE) * (d / 0.5::DOUBLE)) AS e FROM range(-2, 3) t(d)), taps AS (SELECT d, e / sum(e) OVER () AS t FROM k),
+m AS (SELECT s, n, CASE WHEN n + d < 0 THEN -(n + d) - 1 WHEN n + d > s - 1 THEN 2 * s - 1 - (n + d) ELSE n + d END AS o, t FROM (VALUES (4), (8)) z(s), range(8) a(n), taps WHERE n < s),
+down AS (SELECT image_id, n AS y, x, c, round_even(round(sum(v * t), 9), 0) AS v FROM sized JOIN m ON m.o = sized.y AND m.s = 4 GROUP BY ALL),
+blurred AS (SELECT image_id, y, n AS x, c, round_even(round(sum(v * t), 9), 0) AS v FROM down JOIN m ON m.o = down.x AND m.s = 8 GROUP BY ALL)"""
+
+
+@query(_image_sql("SELECT image_id, y, x, c, greatest(least(trunc(v * 1.5::DOUBLE), 255), 0) AS v FROM blurred", 8, 4, SHRUNK_BLUR, _large_sql(24, 12)))
+def blur_shrunk(spark, sf_dir):
+    """Images of 24 x 12, shrunk to at most 8 x 20 before they are blurred and brightened."""
+    return _seen(images.gaussian_blur(_large(spark, sf_dir, 24, 12), 0.5, 1.5, (8, 20)))
+
+
 @query(_resized_sql(5, 5))
 def cover_crop(spark, sf_dir):
     return _seen(images.cover_crop(_images(spark, sf_dir), 5))
@@ -864,6 +920,41 @@ def watermark_rotated(spark, sf_dir):
     return _seen(images.watermark_overlay(_images(spark, sf_dir), np.full((2, 4, 3), 255, np.uint8), anchor=4, opacity=50, rotation=90))
 
 
+# A mark of 4 x 3 for each of the first nine vectors, with a fourth channel; what an image's row says follows from its vec_id.
+MARK_ROWS = f"""WITH p AS ({_large_sql(9, 7)}),
+g AS (SELECT *, floor(round(4 * abs(co) + 3 * abs(si), 6) + 0.5)::BIGINT AS bw, floor(round(4 * abs(si) + 3 * abs(co), 6) + 0.5)::BIGINT AS bh FROM (SELECT *, cos(radians(turn)) AS co, sin(radians(turn)) AS si FROM (
+  SELECT vec_id, vec_id % 9 AS anchor, (20 + vec_id % 5 * 20) / 100.0::DOUBLE AS k, [0, 90, 30, -45, 180, 77][vec_id % 6 + 1]::DOUBLE AS turn FROM embeddings))),
+b AS (SELECT *, floor((9 - bw) * (anchor % 3) / 2.0)::BIGINT AS ox, floor((7 - bh) * (anchor // 3) / 2.0)::BIGINT AS oy FROM g),
+f AS (SELECT vec_id, k, oy + i AS y, ox + j AS x, round(co * (j - (bw - 1) / 2.0::DOUBLE) + si * (i - (bh - 1) / 2.0::DOUBLE) + 1.5::DOUBLE, 6) AS u, round(co * (i - (bh - 1) / 2.0::DOUBLE) - si * (j - (bw - 1) / 2.0::DOUBLE) + 1.0::DOUBLE, 6) AS v
+  FROM b, range(8) s(i), range(8) t(j) WHERE i < bh AND j < bw),
+n AS (SELECT vec_id, k, y, x, (floor(u) + dx)::BIGINT AS mx, (floor(v) + dy)::BIGINT AS my, abs(1 - dx - (u - floor(u))) * abs(1 - dy - (v - floor(v))) AS w FROM f, range(2) s(dy), range(2) t(dx)),
+m AS (SELECT vec_id, k, y, x, w * (CASE WHEN c3 % 2 = 0 THEN 255 ELSE 100 END / 255.0::DOUBLE) AS part, c3 FROM (SELECT *, my * 4 + mx AS c3 FROM n WHERE mx BETWEEN 0 AND 3 AND my BETWEEN 0 AND 2)),
+o AS (SELECT vec_id, k, y, x, sum(part) AS cover, sum(part * ((c3 * 20 + vec_id % 3 * 5))) AS c0, sum(part * (255 - c3 * 9)) AS c1, sum(part * (c3 * c3)) AS c2 FROM m GROUP BY ALL),
+z AS (SELECT p.image_id, p.y, p.x, p.c, CASE WHEN o.k IS NULL THEN p.v ELSE trunc(p.v * (1 - o.cover * o.k) + [o.c0, o.c1, o.c2][p.c + 1] * o.k) END AS v FROM p LEFT JOIN o ON p.image_id = o.vec_id::VARCHAR AND p.y = o.y AND p.x = o.x)
+SELECT image_id, 9 AS width, 7 AS height, 3 AS channels, md5(unhex(string_agg(printf('%02X', v::INTEGER), '' ORDER BY y, x, c))) AS data_md5, NULL::VARCHAR AS error FROM z GROUP BY image_id"""
+
+
+@query(MARK_ROWS)
+def watermark_rows(spark, sf_dir):
+    """Nine anchors, six angles and five opacities; three marks with a channel of their own for what they cover."""
+    i = F.sequence(F.lit(0), F.lit(11))
+    hexed = lambda x: F.lpad(F.hex(x.cast("int")), 2, "0")
+    n = F.col("mark_id")
+    data = F.transform(i, lambda i: F.concat(hexed(i * 20 + n * 5), hexed(255 - i * 9), hexed(i * i), hexed(F.when(i % 2 == 0, 255).otherwise(100))))
+    marks = _table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 3).alias("mark_id")).distinct()
+    marks = marks.select("mark_id", F.lit(4).alias("width"), F.lit(3).alias("height"), F.lit(4).alias("channels"), F.unhex(F.array_join(data, "")).alias("data"))
+    v = F.col("image_id").cast("long")
+    turn = F.element_at(F.array(*[F.lit(float(x)) for x in (0, 90, 30, -45, 180, 77)]), (v % 6 + 1).cast("int"))
+    rows = _large(spark, sf_dir, 9, 7).withColumns({"mark_id": v % 3, "anchor": v % 9, "opacity": 20 + v % 5 * 20, "zoom": F.lit(100), "rotation": turn})
+    return _seen(images.watermark_rows(rows, marks))
+
+
 @query()
 def dominant_color(spark, sf_dir):
     return images.dominant_color(_images(spark, sf_dir))
+
+
+@query()
+def dominant_color_wide(spark, sf_dir):
+    """Images of 416 x 8, which are made 400 x 400 before their colours are counted."""
+    return images.dominant_color(_large(spark, sf_dir, 416, 8, spread=True))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.aggregates import job_status
 from ..operators.sequences import replay
@@ -28,13 +29,60 @@ def stream_drift(positions: DataFrame, threshold: float = 150, tick: str = "200
     return state.where(far).select("session_id", "window", F.col("main.position").alias("main"), F.col("sub.position").alias("sub"))
 
 
-def stream_history(ops: DataFrame) -> DataFrame:
-    """(user_id, history) after each batch of ops (user_id, seq, op, key), in update mode; the whole history is kept as state, so that later pops reach every key."""
-    def step(key, groups, state):
-        history = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(groups)).sort_values("seq")
-        history = replay([("push", k) for k in history] + list(zip(rows["op"], rows["key"], strict=True)))
-        state.update((history,))
-        yield pd.DataFrame({"user_id": [key[0]], "history": [history]})
+#: What ``stream_history`` keeps its state in; a session names it in spark.sql.streaming.stateStore.providerClass.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    return ops.groupBy("user_id").applyInPandasWithState(step, "user_id long, history array<string>", "history array<string>", "update", "NoTimeout")
+
+class _History(StatefulProcessor):
+    """Rows wait until the watermark has passed their time; then they are replayed in order on the history of their user."""
+
+    def __init__(self, default: str | None):
+        self.default = default
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.history = handle.getListState("history", "key string")
+        self.waiting = handle.getListState("waiting", "ms long, seq long, op string, key string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for part in rows:
+            ms = part["ts"].astype("datetime64[ms]").astype("int64")
+            self.waiting.appendList(list(zip(ms.tolist(), part["seq"].tolist(), part["op"], part["key"], strict=True)))
+            self.handle.registerTimer(int(ms.min()) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted(r for r in rows if r[0] < now)
+        if not due:
+            return
+        later = [r for r in rows if r[0] >= now]
+        if later:
+            # The next timer is that of the first row which still waits.
+            self.handle.registerTimer(min(r[0] for r in later) + 1)
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        before = [r[0] for r in self.history.get()] if self.history.exists() else [] if self.default is None else [self.default]
+        ops = [(r[2], r[3]) for r in due]
+        after = replay([("push", k) for k in before] + ops) if self.default is None else replay([("push", k) for k in before[1:]] + ops, self.default)
+        if self.history.exists() and after[: len(before)] == before:
+            if after[len(before) :]:
+                self.history.appendList([(k,) for k in after[len(before) :]])
+        elif after:
+            self.history.put([(k,) for k in after])
+        else:
+            self.history.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "history": [after]})
+
+
+def stream_history(ops: DataFrame, default: str | None = None, late: str = "1 second") -> DataFrame:
+    """(user_id, history) of ops (user_id, seq, ts, op, key), in update mode: ``replay_history`` of a user's rows up to the watermark, in the order of ts and seq, whatever batch they came in.
+
+    A row counts when the watermark, which is ``late`` behind the latest ts, has passed its ts; rows that come after that are dropped. The
+    history and the rows that wait are kept in RocksDB (``ROCKS``), and new keys are added to a history without writing it anew.
+    """
+    schema = f"user_id {dict(ops.dtypes)['user_id']}, history array<string>"
+    rows = ops.select("user_id", F.col("seq").cast("long").alias("seq"), "ts", "op", "key").withWatermark("ts", late)
+    return rows.groupBy("user_id").transformWithStateInPandas(_History(default), schema, "Update", "eventTime")

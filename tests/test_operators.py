@@ -199,10 +199,145 @@ def test_a_late_row_is_dropped_from_the_streamed_drift(spark, tmp_path):
 def test_turned_marks():
     mark = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
     for degrees, want in [(0, mark), (90, np.rot90(mark, -1)), (180, mark[::-1, ::-1]), (-90, np.rot90(mark))]:
-        got, seen = images.rotate(mark, degrees)
-        assert seen.all() and (got == want).all()
-    got, seen = images.rotate(mark, 45)
-    assert not seen.all() and seen.any()
+        cover, got = images.turned(mark, degrees, want.shape[1], want.shape[0])
+        assert (cover == 1).all() and (got == want).all()
+    cover, got = images.turned(mark, 45, 4, 4)
+    assert 0 <= cover.min() < 0.01 and 0.99 < cover.max() <= 1.0001
+    # Colours count as much as the mark covers.
+    flat = np.dstack([np.full((5, 5, 3), 80), np.full((5, 5), 51)]).astype(np.uint8)
+    cover, got = images.turned(flat, 30, 7, 7)
+    assert np.allclose(got, cover[:, :, None] * 80) and np.isclose(cover.max(), 0.2)
+
+
+def test_marks_stand_at_anchors_and_are_cut_where_they_stand_out(spark):
+    flat = np.zeros((5, 7, 3), np.uint8)
+    rows = [(f"{k}", *image(flat), m, k, 100, 100, 0) for k in range(9) for m in (0,)] + [("wide", *image(flat), 1, 4, 100, 100, 0), ("none", *image(flat), 7, 4, 100, 100, 0), ("null", *image(flat), 0, None, 100, 100, 0), ("double", *image(flat), 0, 0, 50, 200, 0)]
+    df = spark.createDataFrame(rows, "image_id string, width int, height int, channels int, data binary, mark_id int, anchor int, opacity int, zoom int, rotation int")
+    marks = spark.createDataFrame([(0, *image(np.full((1, 3, 3), 200, np.uint8))), (1, *image(np.full((9, 9, 1), 50, np.uint8)))], "mark_id int, width int, height int, channels int, data binary")
+    got = {r.image_id: r for r in images.watermark_rows(df, marks).collect()}
+    for k in range(9):
+        a = images.pixels(got[f"{k}"])[:, :, 0]
+        y, x = np.argwhere(a == 200).min(0)
+        assert (y, x) == (k // 3 * 2, k % 3 * 2) and (a > 0).sum() == 3
+    assert (images.pixels(got["wide"]) == 50).all()
+    assert got["none"].error and got["null"].error and got["none"].data is None
+    a = images.pixels(got["double"])[:, :, 0]
+    assert (a[:2, :6] == 100).all() and (a > 0).sum() == 12
+
+
+def slow_resize(a, w, h):
+    """Pixel by pixel: a triangle as wide as the sampling."""
+    out = np.zeros((h, w, a.shape[2]))
+    sy, sx = max(a.shape[0] / h, 1), max(a.shape[1] / w, 1)
+    for y in range(h):
+        for x in range(w):
+            total = 0
+            for j in range(a.shape[0]):
+                for i in range(a.shape[1]):
+                    k = max(0, 1 - abs(j + 0.5 - (y + 0.5) * a.shape[0] / h) / sy) * max(0, 1 - abs(i + 0.5 - (x + 0.5) * a.shape[1] / w) / sx)
+                    out[y, x] += k * a[j, i]
+                    total += k
+            out[y, x] /= total
+    return np.rint(np.round(out, 9))
+
+
+@pytest.mark.parametrize("size", [(4, 3), (7, 9), (20, 5), (1, 1), (13, 11)])
+def test_resizing_equals_the_sum_over_all_pixels(size):
+    a = np.random.default_rng(2).integers(0, 256, (11, 13, 3)).astype(np.uint8)
+    assert (images.resize(a, *size) == slow_resize(a, *size)).all()
+    assert (images.every(a, 4, size) == slow_resize(a, *size).reshape(-1, 3)[::4]).all()
+    flat = np.full((11, 13, 1), 77, np.uint8)
+    assert (images.resize(flat, *size) == 77).all() and (images.resize(flat, *size, kernel="lanczos") == 77).all()
+
+
+def test_images_fit_without_growing(spark):
+    df = spark.createDataFrame([("a", *image(np.zeros((30, 60, 3), np.uint8))), ("b", *image(np.zeros((2, 4, 3), np.uint8)))], "image_id string, width int, height int, channels int, data binary")
+    assert {(r.image_id, r.width, r.height) for r in images.resize_image(df, 20, 20, fit=True).collect()} == {("a", 20, 10), ("b", 4, 2)}
+
+
+def slow_palette(pixels, n):
+    """Median cut over lists of pixels, each with its colour of five bits."""
+    box = lambda b: [(min(p[c] // 8 for p in b), max(p[c] // 8 for p in b)) for c in range(3)]
+    volume = lambda b: np.prod([hi - lo + 1 for lo, hi in box(b)])
+    boxes = [list(pixels)]
+    while len(boxes) < n:
+        by = len if len(boxes) < 0.75 * n else lambda b: len(b) * volume(b)
+        several = [b for b in boxes if volume(b) > 1]
+        if not several:
+            break
+        b = max(several, key=by)
+        spans = [hi - lo for lo, hi in box(b)]
+        c = spans.index(max(spans))
+        planes = sorted(p[c] // 8 for p in b)
+        cut = planes[-(-len(b) // 2) - 1]
+        cut = cut if cut < planes[-1] else max(p for p in range(planes[-1]) if p < planes[-1])
+        k = boxes.index(b)
+        boxes[k : k + 1] = [[p for p in b if p[c] // 8 <= cut], [p for p in b if p[c] // 8 > cut]]
+    boxes.sort(key=lambda b: -len(b) * volume(b))
+    return [tuple(sum(p[c] for p in b) // len(b) for c in range(3)) for b in boxes]
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 3), (20, 30), (5, 401), (450, 40)])
+def test_palettes_equal_those_of_lists_of_pixels(shape):
+    r = np.random.default_rng(shape[1])
+    centers = r.integers(0, 256, (6, 3))
+    a = np.clip(centers[r.integers(0, 6, shape)] + r.normal(0, 12, (*shape, 3)), 0, 255).astype(np.uint8)
+    seen = images.resize(a, 400, 400) if max(shape) > 400 else a
+    pixels = [tuple(map(int, p)) for p in seen.reshape(-1, 3)[::9]]
+    assert images.palette(a) == slow_palette(pixels, 10)
+    assert images.palette(np.dstack([a, a[:, :, :1]]), 4) == slow_palette(pixels, 4)
+
+
+def test_what_may_stand_for_an_image(spark):
+    """Colour by colour, as the choice from a palette is made of an image."""
+    r = np.random.default_rng(4)
+    palettes = [[(90, 90, 90)], [(90, 90, 90), (1, 2, 3)], [(200, 10, 10)] * 4, [(250, 0, 0), (7, 7, 7), (9, 200, 30)], [(60, 50, 55)] * 5 + [(10, 90, 60)]]
+    palettes += [[tuple(int(x) for x in r.choice([0, 40, 41, 200, 250], 3)) for _ in range(r.integers(1, 12))] for _ in range(60)]
+    rows = [(i, k, *c) for i, p in enumerate(palettes) for k, c in enumerate(p)]
+    t = spark.createDataFrame(rows, "image_id int, pos int, r int, g int, b int")
+    got = {}
+    for x in aggregates.palette_rank(t).orderBy("image_id", "rank").collect():
+        got.setdefault(x.image_id, []).append((x.r, x.g, x.b))
+    for i, p in enumerate(palettes):
+        assert got[i][0] == images.choose(p)
+        assert len(got[i]) <= 5
+    bad = t.where("image_id = 3").union(spark.createDataFrame([(3, 9, None, 1, 1)], t.schema))
+    assert [tuple(x) for x in aggregates.palette_rank(bad).collect()] == [(3, 1, None, 24, 24, 24)]
+    assert aggregates.palette_rank(t.where("false")).count() == 0
+
+
+def test_long_and_tangled_trees(spark):
+    schema = "parent string, child string, pos int, hidden boolean"
+    chain = [(None, "0", 0, True)] + [(str(k - 1), str(k), k % 3, False) for k in range(1, 700)]
+    got = lookups.visible_nodes(spark.createDataFrame(chain, schema)).orderBy("depth").collect()
+    assert [(r.node, r.depth, len(r.path)) for r in got] == [(str(k), k, k + 1) for k in range(700)]
+    cut = spark.createDataFrame([(p, c, n, h or c == "300") for p, c, n, h in chain], schema)
+    assert lookups.visible_nodes(cut).count() == 300
+    ring = spark.createDataFrame([(None, "r", 0, False), ("x", "y", 0, False), ("y", "z", 0, False), ("z", "x", 0, False), ("gone", "w", 0, False)], schema)
+    assert [r.node for r in lookups.visible_nodes(ring).collect()] == ["r"]
+    both = spark.createDataFrame([(None, "r", 0, False), ("r", "a", 0, False), ("r", "b", 1, False), ("a", "c", 0, False), ("r", "c", 5, False)], schema)
+    assert {(r.node, r.depth) for r in lookups.visible_nodes(both).collect()} == {("r", 0), ("a", 1), ("b", 1), ("c", 1)}
+
+
+def test_rows_out_of_order_over_batches(spark, tmp_path):
+    import random
+
+    from loomkit.plans.catalogue import _drained
+
+    r = random.Random(1)
+    order = sorted(range(160), key=lambda n: n + r.random() * 30)
+    schema = "user_id long, seq long, ms long, op string, key string"
+    for k in range(4):
+        before = set((tmp_path / "in").glob("*.parquet"))
+        rows = [(r.choice([1, 2, 3]), n, n * 100, r.choice(["push", "push", "push", "pop", "remove"]), r.choice("abcd")) for n in order[k * 40 : k * 40 + 40]]
+        spark.createDataFrame(rows, schema).selectExpr("*", "timestamp_millis(ms) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for new in set((tmp_path / "in").glob("*.parquet")) - before:
+            os.utime(new, (1_700_000_000 + 60 * k,) * 2)
+    t = spark.read.parquet(str(tmp_path / "in"))
+    for default in (None, "a"):
+        s = jobs.stream_history(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), default, "4 seconds")
+        got = {x.user_id: x.history for x in _drained(s, "update", ["user_id"], jobs.ROCKS).collect()}
+        assert got == {x.user_id: x.history for x in sequences.replay_history(t.where("ms < 15900 - 4000"), default=default).collect()}
 
 
 def test_marks_and_noise_on_images(spark):
@@ -257,8 +392,8 @@ def test_drained_histories_are_whole_over_many_batches(spark, tmp_path):
 
     schema = "user_id long, seq long, op string, key string"
     pushes = [(u, n, "push", f"k{n}") for u in (1, 2) for n in range(1500)]
-    for rows in (pushes, [(2, 2000 + n, "pop", "") for n in range(1200)], [(3, 1, "push", "x")]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    ops = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {x.user_id: x.history for x in _drained(stream_history(ops), "update", ["user_id"]).collect()}
+    for rows in (pushes, [(2, 2000 + n, "pop", "") for n in range(1200)], [(3, 3201, "push", "x")], [(4, 9000, "push", "waits")]):
+        spark.createDataFrame(rows, schema).selectExpr("*", "timestamp_millis(seq * 10 + 10) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ops = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {x.user_id: x.history for x in _drained(stream_history(ops), "update", ["user_id"], jobs.ROCKS).collect()}
     assert got == {1: [f"k{n}" for n in range(1500)], 2: [f"k{n}" for n in range(300)], 3: ["x"]}
