@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import mapped, pieces, saved
 
-#: Rows of a block of candidates or anchors, and the most blocks of candidates that an anchor meets between two merges.
+#: Rows of a block of candidates (8,192 at most) or anchors, and the most blocks of candidates that an anchor meets between two merges.
 CANDIDATES, ANCHORS, BLOCKS = 4096, 1024, 64
 LONG = np.iinfo(np.int64)
 
@@ -63,7 +63,7 @@ def first(k: int, group: np.ndarray, score: np.ndarray, null: np.ndarray, ids: n
     return order[np.arange(len(g)) - np.repeat(begins, np.diff(np.r_[begins, len(g)])) < k]
 
 
-def _blocks(rows: DataFrame, size: int, bias: int, width: int) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, bias: int, width: int, most: int, most_anchors: int) -> DataFrame:
     """Blocks of candidates (block, ids, labels, data, sums), and with at, their places among the candidates, blocks of anchors."""
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("labels", T.ArrayType(T.LongType()))]
                           + [T.StructField(n, T.BinaryType()) for n in ("data", "sums", "at")])
@@ -98,7 +98,7 @@ def _blocks(rows: DataFrame, size: int, bias: int, width: int) -> DataFrame:
             places.append((block << 13) + chosen)
             block += 1
             held.clear()
-            if sum(map(len, places)) >= ANCHORS:
+            if sum(map(len, places)) >= most_anchors:
                 yield from asked()
 
         def asked():
@@ -106,19 +106,19 @@ def _blocks(rows: DataFrame, size: int, bias: int, width: int) -> DataFrame:
             t, at = pa.concat_tables(anchors), np.concatenate(places)
             anchors.clear()
             places.clear()
-            for k in range(0, len(at), ANCHORS):
-                part = t.slice(k, ANCHORS)
-                yield row(part, dense(part).tobytes(), None, at[k : k + ANCHORS].tobytes())
+            for k in range(0, len(at), most_anchors):
+                part = t.slice(k, most_anchors)
+                yield row(part, dense(part).tobytes(), None, at[k : k + most_anchors].tobytes())
                 block += 1
 
         n = 0
         for batch in batches:
-            for piece in pieces([batch], CANDIDATES):
+            for piece in pieces([batch], most):
                 while piece.num_rows:
-                    held.append(piece.slice(0, CANDIDATES - n))
+                    held.append(piece.slice(0, most - n))
                     n += held[-1].num_rows
                     piece = piece.slice(held[-1].num_rows)
-                    if n == CANDIDATES:
+                    if n == most:
                         yield from closed()
                         n = 0
         if held:
@@ -230,7 +230,7 @@ def _best(cells: DataFrame, size: int, bias: int, width: int, k: int, low: int |
     return mapped(cells, run, schema)
 
 
-def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100) -> DataFrame:
+def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, block: int = CANDIDATES, anchor_block: int = ANCHORS) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of ``rows`` (vec_id, label, parts array<long>, is_anchor).
 
     A row's score with an anchor is the product of their ``parts``; of vectors of different
@@ -247,9 +247,9 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80,
     size, bias = max(size or 0, 1), max(int(bias or 0), 1)
     # A field holds the sum of size products of two numbers from 0 to twice the bias.
     width = (size * (2 * bias) ** 2).bit_length()
-    blocks = saved(_blocks(rows, size, bias, width))
+    blocks = saved(_blocks(rows, size, bias, width, block, anchor_block))
     # As many buckets as give the cluster work while there are few rows; then as few as keep merges small.
-    buckets = max(1, -(-n // min(BLOCKS * CANDIDATES, max(CANDIDATES, n // 256))))
+    buckets = max(1, -(-n // min(BLOCKS * block, max(block, n // 256))))
     candidates, anchors = blocks.where("at is null"), blocks.where("at is not null").drop("sums")
     rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), F.asc_nulls_last("id")))
     found = _best(_cells(anchors, candidates, buckets), size, bias, width, positives).withColumn("rank", rank("a_block", "at")).where(F.col("rank") <= positives)

@@ -67,7 +67,7 @@ def unpacked(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _indexed(rows: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
+def _indexed(rows: DataFrame, n_docs: int, n_terms: int, most_docs: int, most_terms: int) -> DataFrame:
     """(shard, term, n, lasts, maxima, ends, data, docs) of ``rows`` (doc_id, text); one row of each shard, of the empty term, has its doc_ids as docs."""
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("term", T.StringType()), T.StructField("n", T.LongType()), T.StructField("lasts", ints),
@@ -122,7 +122,7 @@ def _indexed(rows: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
                 found.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
                 sizes.append(len(words))
             ids.append(batch.column(0))
-            if len(sizes) >= SHARD_DOCS or sum(sizes) >= SHARD_TERMS:
+            if len(sizes) >= most_docs or sum(sizes) >= most_terms:
                 yield from closed()
                 shard, known, ids, found, sizes = shard + 1, {}, [], [], []
         if sizes:
@@ -131,11 +131,11 @@ def _indexed(rows: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     return mapped(rows, run, schema)
 
 
-def build(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+def build(docs: DataFrame, text: str = "text", shard_docs: int = SHARD_DOCS, shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, int]:
     """The index of ``docs`` (doc_id, text), written to the shared folder, and the number of documents with terms."""
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
     n_docs, n_terms = totals(rows)
-    return saved(_indexed(rows, n_docs, n_terms)), n_docs
+    return saved(_indexed(rows, n_docs, n_terms, shard_docs, shard_terms)), n_docs
 
 
 class Postings:

@@ -95,7 +95,7 @@ def _placed(marked: np.ndarray, base: int) -> np.ndarray:
     return places
 
 
-def _blocks(rows: DataFrame, model: str) -> DataFrame:
+def _blocks(rows: DataFrame, model: str, most: int) -> DataFrame:
     """Of ``rows`` (row, text): (block, row, base, places) of each document, and (block, bucket, places, words) of each bucket of a block's distinct words."""
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", rows.schema["row"].dataType), T.StructField("places", T.BinaryType()),
                            T.StructField("base", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
@@ -128,10 +128,10 @@ def _blocks(rows: DataFrame, model: str) -> DataFrame:
                 bases.append(len(held))
                 places.append(_packed(_marked(np.fromiter(map(held.__getitem__, words), np.uint32, len(words)), bases[-1])))
                 n += len(words)
-                if n >= BLOCK_WORDS or k + 1 == batch.num_rows:
+                if n >= most or k + 1 == batch.num_rows:
                     yield out(k + 1 - begin, row=batch.column(0).slice(begin, k + 1 - begin), base=pa.array(bases, pa.int32()), places=pa.array(places, pa.binary()))
                     begin, places, bases = k + 1, [], []
-                if n >= BLOCK_WORDS:
+                if n >= most:
                     yield dictionary()
                     block, held, n = block + 1, _Places(), 0
         if held:
@@ -170,14 +170,14 @@ def _gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, at: np
     return values[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without ``text``, with ids array<int>: what the library's encode gives for the whole text, begin and end ids included.
 
     ``model`` is the path of the model's file, the same on every executor.
     """
     others = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)] or [F.lit(0).alias("none")])).alias("row"), F.col(f"`{text}`").alias("text"))
-    blocks = bucketed(_blocks(rows, model), "block")
+    blocks = bucketed(_blocks(rows, model, block_words), "block")
     lists = blocks.where("words is not null").select("block", "bucket", "words")
     known = _segmented(lists.repartition("bucket").sortWithinPartitions("bucket"), model)
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])

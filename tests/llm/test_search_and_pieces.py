@@ -47,8 +47,14 @@ def test_pieces_equal_the_library(spark, texts, monkeypatch):
         assert tuple(digests[k])[1:] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
-def test_random_texts_over_many_blocks(spark):
-    """Documents of one partition in several blocks: only the driver knows the smaller block, so the cut runs here."""
+@pytest.mark.parametrize("block_words", [1, 40, 3000])
+def test_blocks_that_end_within_a_partition(spark, texts, block_words):
+    some = texts.where("doc_id <> 23").repartition(2)
+    got = {r.doc_id: r.ids for r in sentencepieces.encode(some, MODEL, block_words=block_words).collect()}
+    assert got == {k: expected(t)[0] for k, t in enumerate(TEXTS) if k != 23}
+
+
+def test_words_of_random_texts():
     r = random.Random(7)
     words = ["the", "Gefäß", "niño", "x1y2", "▁", "…", "日本", "\n", "a\nb", "", " "]
     for _ in range(300):
@@ -98,9 +104,9 @@ def brute_negatives(rows):
     return out
 
 
-def mined(spark, rows, parts=5):
+def mined(spark, rows, parts=5, **blocks):
     df = spark.createDataFrame(rows, "vec_id long, label int, parts array<long>, is_anchor boolean").repartition(parts)
-    return [tuple(r) for r in hard_negatives.mine(df).collect()]
+    return [tuple(r) for r in hard_negatives.mine(df, **blocks).collect()]
 
 
 def same(a, b):
@@ -112,7 +118,10 @@ def test_negatives_equal_brute_force(spark, high):
     """Small numbers tie often; the largest don't fit into fields of 53 bits."""
     r = random.Random(high)
     rows = [(v, r.randrange(3), [r.randint(-high, high) for _ in range(6)], v % 10 == 0) for v in range(150)]
-    assert same(mined(spark, rows), brute_negatives(rows))
+    want = brute_negatives(rows)
+    assert same(mined(spark, rows), want)
+    # Blocks that end within a partition, and several blocks of anchors of each.
+    assert same(mined(spark, rows, 2, block=16, anchor_block=3), want)
 
 
 def test_negatives_of_repeated_null_and_uneven_rows(spark):
@@ -126,7 +135,7 @@ def test_negatives_of_repeated_null_and_uneven_rows(spark):
     assert same(mined(spark, rows[:40] + out), brute_negatives(rows[:40]))
 
 
-def test_a_vector_that_most_rows_share(spark, monkeypatch):
+def test_a_vector_that_most_rows_share(spark):
     r = random.Random(4)
     rows = [(v, v % 4, [7, 7, 7] if v % 3 else [r.randint(-9, 9) for _ in range(3)], v % 20 == 0) for v in range(200)]
     assert same(mined(spark, rows, 1), brute_negatives(rows))
@@ -173,9 +182,9 @@ def brute_search(docs, items, k=20):
     return out
 
 
-def searched(spark, docs, items):
+def searched(spark, docs, items, **shards):
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    index, n = lexical_search.build(d)
+    index, n = lexical_search.build(d, **shards)
     return [tuple(r) for r in lexical_search.search(index, n, spark.createDataFrame(items, "item_id long, text string")).collect()]
 
 
@@ -190,7 +199,9 @@ def corpus():
 
 
 def test_search_equals_brute_force(spark, corpus):
-    assert same(searched(spark, *corpus), brute_search(*corpus))
+    want = brute_search(*corpus)
+    assert same(searched(spark, *corpus), want)
+    assert same(searched(spark, *corpus, shard_docs=60, shard_terms=2000), want)
 
 
 def test_search_of_nothing(spark, corpus):
