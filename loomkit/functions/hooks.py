@@ -55,3 +55,12 @@ def with_default(fn: Callable, kind: str, default=None) -> Callable[..., Column]
         return pd.DataFrame(rows, columns=["value", "error"], dtype=object)
 
     return run
+
+
+def or_default(value: Column, default, reason: str | Column) -> Column:
+    """struct<value, error> of an expression that is null where it fails, as the ``try_`` functions are: no Python at all.
+
+    Such a row has ``default`` as its value and ``reason`` as error. An expression that may be null without failing takes ``with_default``.
+    """
+    why = F.lit(reason) if isinstance(reason, str) else reason
+    return F.struct(F.coalesce(value, F.lit(default)).alias("value"), F.when(value.isNull(), why).alias("error"))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"\s\x1c-\x1f\x85"
-NARROW = re.compile(r"\s|\S+")
 
 
 @lru_cache
@@ -82,30 +82,81 @@ def restyled(old: Column, new: Column) -> Column:
     return F.when(cut(old) == cut(new), old).otherwise(new)
 
 
+#: No character before it takes two columns.
+FIRST_WIDE = "\u1100"
+
+
+class _Widths(dict):
+    def __missing__(self, c: str) -> int:
+        self[c] = 2 if unicodedata.east_asian_width(c) in "FW" else 1
+        return self[c]
+
+
+_WIDTHS = _Widths()
+
+
+def _narrow(s: str) -> bool:
+    return s.isascii() or max(s) < FIRST_WIDE
+
+
 def _measure(s: str) -> int:
-    return len(s) if s.isascii() else sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in s)
+    return len(s) if _narrow(s) else sum(map(_WIDTHS.__getitem__, s))
 
 
 def _rows(line: str, width: int) -> list[str]:
-    """The rows of a line that is too wide. A row that a fitting token fills is closed at once; one filled by a token that overflowed stays open, so that a space after it starts the next row."""
-    out, row, used = [], "", 0
-    for token in _tokens(line):
-        size = _measure(token)
-        if token.isspace() and not used:
+    """The rows of a line that is too wide, each found at once by where it must end.
+
+    A row that a fitting token fills is closed, and a space after it goes. A token that did not fit into the row before, or
+    is the rest of one that was too long, leaves its row open even if it fills it, so that a space after it starts the next row and stays.
+    """
+    n, out, at, fresh = len(line), [], 0, True
+    if _narrow(line):
+        edges = None
+        end_of = lambda i: i + width
+        span = lambda i, j: j - i
+    else:
+        sums = [0, *accumulate(map(_WIDTHS.__getitem__, line))]
+        wide = [b - a == 2 for a, b in pairwise(sums)]
+        # Where tokens begin and end: at spaces and at wide characters.
+        edges = [k for k in range(1, n) if wide[k] or wide[k - 1] or line[k] == " " or line[k - 1] == " "] + [n]
+        end_of = lambda i: bisect_right(sums, sums[i] + width) - 1
+        span = lambda i, j: sums[j] - sums[i]
+
+    def last_edge(i: int, j: int) -> int:
+        """The last place up to ``j`` where a token ends, or ``i``."""
+        if edges is not None:
+            return max(i, edges[k - 1]) if (k := bisect_right(edges, j)) else i
+        if line[j] == " " or line[j - 1] == " ":
+            return j
+        return line.rfind(" ", i, j) + 1 or i
+
+    def token_end(i: int) -> int:
+        if edges is not None:
+            return edges[bisect_right(edges, i)]
+        return i + 1 if line[i] == " " else k if (k := line.find(" ", i)) >= 0 else n
+
+    while at < n:
+        end = end_of(at)
+        if end >= n and span(at, n) <= width:
+            out.append(line[at:].rstrip())
+            break
+        edge = last_edge(at, end)
+        if edge > at:
+            out.append(line[at:edge].rstrip())
+            fresh = span(at, edge) == width and (fresh or token_end(at) < edge)
+            at = edge
+            if fresh and at < n and line[at] == " ":
+                at += 1
             continue
-        fits = used + size <= width
-        if not fits and used:
-            out.append(row.rstrip())
-            row, used = "", 0
-        while size > width and len(token) > width:
-            out.append(token[:width])
-            token = token[width:]
-            size = _measure(token)
-        row, used = row + token, used + size
-        if fits and used == width:
-            out.append(row.rstrip())
-            row, used = "", 0
-    return [*out, row.rstrip()] if row else out
+        edge = token_end(at)
+        while edge - at > width and span(at, edge) > width:
+            out.append(line[at : at + width])
+            at += width
+        fresh = False
+        if span(at, edge) >= width:
+            out.append(line[at:edge].rstrip())
+            at = edge
+    return out
 
 
 def wrap_lines(text: str, width: int, once: bool = False) -> tuple[str, bool]:
@@ -128,23 +179,6 @@ def wrap_lines(text: str, width: int, once: bool = False) -> tuple[str, bool]:
     return "\n".join(out), cut
 
 
-def _tokens(line: str):
-    if line.isascii():
-        yield from NARROW.findall(line)
-        return
-    held = ""
-    for c in line:
-        if c.isspace() or unicodedata.east_asian_width(c) in "FW":
-            if held:
-                yield held
-            held = ""
-            yield c
-        else:
-            held += c
-    if held:
-        yield held
-
-
 def wrap_text(text: Column, width: int, once: bool = False) -> Column:
     """struct<text, is_wrapped>: the text wrapped at ``width`` columns, everywhere or once; null stays null."""
     @F.pandas_udf("text string, is_wrapped boolean")

@@ -82,6 +82,32 @@ def spread_impulses(spark, sf_dir):
     return out.withColumn("delta", F.round("delta", 9))
 
 
+SHAPED = """
+WITH k AS (SELECT i AS k, abs(i - 12) / 12.0::DOUBLE AS x FROM range(24) t(i)), w AS (SELECT k, {shape} / 12 AS w FROM k)
+SELECT user_id, floor(epoch_us(ts) / 1000 / 60000)::BIGINT + k AS frame, {sum} AS delta FROM events, w GROUP BY 1, 2"""
+
+
+def _shaped(spark, sf_dir, mode: str, whole: bool = False) -> DataFrame:
+    out = sequences.spread_impulses(_table(spark, sf_dir, "events").select("user_id", "ts", "value"), "user_id", "ts", "value", 60_000, mode, whole=whole)
+    return out.withColumn("delta", F.round("delta", 9))
+
+
+@query(SHAPED.format(shape="0.75::DOUBLE * (1 - x * x)", sum="round(sum(value * w), 9)"))
+def spread_quadratic(spark, sf_dir):
+    return _shaped(spark, sf_dir, "quadratic")
+
+
+@query(SHAPED.format(shape="(1 + cos(pi() * x)) / 2", sum="round(sum(value * w), 9)"))
+def spread_cosine(spark, sf_dir):
+    return _shaped(spark, sf_dir, "cosine")
+
+
+@query(SHAPED.format(shape="0.5::DOUBLE", sum="round_even(round(sum(value * w), 9), 0)"))
+def spread_whole(spark, sf_dir):
+    """The constant kernel, each frame a whole number, halves to even."""
+    return _shaped(spark, sf_dir, "constant", whole=True)
+
+
 @query("""
 WITH p AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'main' ELSE 'sub' END AS track, value FROM events WHERE event_type IN ('view', 'click')),
 a AS (SELECT user_id, event_id, last_value(CASE WHEN track = 'main' THEN value END IGNORE NULLS) OVER w AS main, last_value(CASE WHEN track = 'sub' THEN value END IGNORE NULLS) OVER w AS sub FROM p
@@ -515,6 +541,17 @@ def with_default(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", rule(k).alias("x")).select("event_id", F.col("x.value").alias("share"), F.col("x.error").alias("reason"))
 
 
+@query("""
+SELECT event_id, coalesce(CASE WHEN k % 7 <> 0 THEN (value * 100)::BIGINT // (k % 7) END, -1)::BIGINT AS share, CASE WHEN k % 7 = 0 THEN 'no parts in ' || k END AS reason
+FROM (SELECT event_id, trunc(value)::BIGINT AS value, (props->>'k')::BIGINT AS k FROM events)""")
+def or_default(spark, sf_dir):
+    """A division that fails for some rows, without Python."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = _table(spark, sf_dir, "events").select("event_id", k.alias("k"), (F.col("value").cast("long") * 100).alias("value"))
+    share = F.expr("CASE WHEN k % 7 <> 0 THEN value div (k % 7) END")
+    return e.select("event_id", hooks.or_default(share, -1, F.concat(F.lit("no parts in "), "k")).alias("x")).select("event_id", F.col("x.value").alias("share"), F.col("x.error").alias("reason"))
+
+
 def _share(k: int) -> int:
     if k > 60:
         raise ValueError(f"{int(k)} is over 60")
@@ -695,6 +732,20 @@ def localize_to(spark, sf_dir):
     return lookups.localize(d, of("de").where("context <> 0").union(of("fr")), locale="de").select("c_custkey", "text")
 
 
+@query("""
+WITH c AS (SELECT n_name AS context, c_name || ' & <' || c_mktsegment || '>' AS source, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT 'de' AS locale, context, source, CASE WHEN c_custkey % 4 <> 0 THEN 'de: ' || source END AS translation FROM c UNION ALL SELECT 'zh_CN', context, source, '客户 ' || c_custkey FROM c""")
+def read_translations(spark, sf_dir):
+    """Two catalogues of all customers, written as XML by Spark and read back; every fourth text has no German translation."""
+    n = _table(spark, sf_dir, "nation")
+    c = _table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.select(F.col("n_name").alias("context"), F.concat("c_name", F.lit(" & <"), "c_mktsegment", F.lit(">")).alias("source"), "c_custkey")
+    folder = new_path(spark)
+    files.write_translations(c.withColumn("translation", F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("de: "), "source"))), f"{folder}/app.de.ts")
+    files.write_translations(c.withColumn("translation", F.concat(F.lit("客户 "), "c_custkey")), f"{folder}/app.zh_CN.ts")
+    return files.read_translations(spark, f"{folder}/*.ts")
+
+
 _SCHEMA = "key string, kind string, min double, max double, options array<string>, default string, restart boolean"
 
 

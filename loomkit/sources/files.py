@@ -84,8 +84,15 @@ def write_settings(values: DataFrame) -> DataFrame:
 
 
 def read_translations(spark: SparkSession, path: str) -> DataFrame:
-    """(locale, context, source, translation) of XML catalogues; the locale is in the file's name before its extension."""
+    """(locale, context, source, translation) of XML catalogues; the locale stands before the extension in the name of the file, or of the folder that holds a catalogue's parts."""
     schema = "name string, message array<struct<source: string, translation: string>>"
     rows = spark.read.format("xml").option("rowTag", "context").schema(schema).load(path)
-    rows = rows.select(F.regexp_extract(F.input_file_name(), r"\.([A-Za-z_]+)\.ts$", 1).alias("locale"), F.col("name").alias("context"), F.explode("message").alias("m"))
+    rows = rows.select(F.regexp_extract(F.input_file_name(), r"\.([A-Za-z_]+)\.ts(?:/[^/]*)?$", 1).alias("locale"), F.col("name").alias("context"), F.explode("message").alias("m"))
     return rows.select("locale", "context", "m.source", F.nullif("m.translation", F.lit("")).alias("translation"))
+
+
+def write_translations(catalogue: DataFrame, path: str) -> None:
+    """An XML catalogue of (context, source, translation) in parts, in the folder ``path``."""
+    message = F.struct("source", F.coalesce("translation", F.lit("")).alias("translation"))
+    rows = catalogue.groupBy(F.col("context").alias("name")).agg(F.array_sort(F.collect_list(message)).alias("message"))
+    rows.write.format("xml").option("rootTag", "TS").option("rowTag", "context").save(path)

@@ -1,10 +1,13 @@
 import colorsys
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomkit.functions import color, dates, text
+from loomkit.functions import color, dates, hooks, text
 from loomkit.functions.text import wrap_lines
+from loomkit.sources import files
 
 
 def one(spark, col):
@@ -76,3 +79,55 @@ def test_dates(spark):
     assert one(spark, dates.format_duration(F.lit(3_723_999))) == "1:02:03"
     assert one(spark, dates.decode_month(dates.encode_month(F.lit(7)))) == 7
     assert one(spark, dates.pad2(F.lit(123))) == "123"
+
+
+def token_by_token(line, width):
+    """The rows of a wide line, one token after the other."""
+    wide = lambda c: unicodedata.east_asian_width(c) in "FW"
+    tokens = []
+    for c in line:
+        if c.isspace() or wide(c) or not tokens or tokens[-1].isspace() or wide(tokens[-1][0]):
+            tokens.append(c)
+        else:
+            tokens[-1] += c
+    size = lambda s: sum(2 if wide(c) else 1 for c in s)
+    out, row, used = [], "", 0
+    for t in tokens:
+        if t == " " and not used:
+            continue
+        fits = used + size(t) <= width
+        if not fits and used:
+            out, row, used = [*out, row.rstrip()], "", 0
+        while size(t) > width and len(t) > width:
+            out, t = [*out, t[:width]], t[width:]
+        row, used = row + t, used + size(t)
+        if fits and used == width:
+            out, row, used = [*out, row.rstrip()], "", 0
+    return [*out, row.rstrip()] if row else out
+
+
+@pytest.mark.parametrize("letters", ["ab ", "abé ", "aé 日", "日 ", "abcdefgh日  "])
+def test_rows_equal_those_of_tokens_one_by_one(letters):
+    r = random.Random(letters)
+    for _ in range(8000):
+        line, width = " ".join("".join(r.choice(letters) for _ in range(r.randrange(30))).split()), r.randrange(1, 9)
+        want = token_by_token(line, width)
+        assert text.wrap_lines(line, width)[0] == ("\n".join(want) if sum(2 if unicodedata.east_asian_width(c) in "FW" else 1 for c in line) > width else line)
+
+
+def test_templates_are_filled_once(spark):
+    cases = {"--A": "--B", "--B": "blue", "----A": "--A", "------B": "--blue", "--{A}x--Ax --{ A} --": "--Bx--Ax --{ A} --", "-----B": "---B", "a\x00b": "a\x00b", "--": "--", "": "", "---B-": "---B-"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
+    got = df.select("t", "want", text.render_template(F.col("t"), {"A": "--B", "B": "blue"}).alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
+
+
+def test_texts_that_look_like_groups(spark):
+    docs = spark.createDataFrame([(1, '{"a":"{x}","b":{"c":"{\\"z\\":1}","d":null},"e":[1],"f":{},"g":1.5}'), (2, "nope"), (3, "[1]"), (4, None), (5, "{}")], "entity_id long, json string")
+    assert sorted(map(repr, (tuple(r) for r in files.read_settings(docs).collect()))) == sorted(map(repr, [(1, "a", "{x}"), (1, "b.c", '{"z":1}'), (1, "b.d", None), (1, "e", "[1]"), (1, "g", "1.5")]))
+
+
+def test_expressions_that_fail_have_the_default(spark):
+    df = spark.createDataFrame([("1",), ("x",)], "t string")
+    got = df.select(hooks.or_default(F.col("t").try_cast("int"), -1, F.concat(F.col("t"), F.lit(" is no number"))).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in got] == [(1, None), (-1, "x is no number")]
