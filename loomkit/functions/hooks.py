@@ -1,4 +1,4 @@
-"""Hooks: pairs of column functions that encode and decode a picker's column, and a default for rows that fail."""
+"""Hooks: pairs of column functions that encode and decode a picker's column, and defaults for rows that fail."""
 
 from __future__ import annotations
 

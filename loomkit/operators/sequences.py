@@ -78,22 +78,21 @@ def spread_impulses(events: DataFrame, key: str, ts: str, delta: str, frame_ms:
 
 
 def _known(positions: DataFrame, session: str, order: list[str], **columns: tuple[str, str]) -> DataFrame:
-    """``positions`` with ``columns``, each the last value so far of a column among the rows of a track."""
+    """``positions`` with ``columns``, each the last value so far, nulls not counted, of a column among the rows of a track."""
     w = W.partitionBy(*by(positions, session)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    of = lambda track, c: F.when(F.col("track") == track, F.struct(F.col(c).alias("x")))
+    of = lambda track, c: F.when(F.col("track") == track, F.col(c))
     out = positions.select("*", *[F.last(of(*c), ignorenulls=True).over(w).alias(n) for n, c in columns.items()])
     if RANGE in positions.columns:
-        last = {f"_{n}": F.max_by(of(*c), F.when(F.col("track") == c[0], F.struct(*order))) for n, c in columns.items()}
+        last = {f"_{n}": F.max_by(of(*c), F.when(of(*c).isNotNull(), F.struct(*order))) for n, c in columns.items()}
         out = carried(out, session, last, **{f"_{n}": F.last(f"_{n}", ignorenulls=True) for n in columns})
         out = out.withColumns({n: F.coalesce(n, f"_{n}") for n in columns}).drop(*[f"_{n}" for n in columns])
-    # A null value of a track is known as well; the struct tells it from none.
-    return out.withColumns({n: F.col(f"{n}.x") for n in columns})
+    return out
 
 
 def drift_events(positions: DataFrame, threshold: float = 150, session: str = "session_id") -> DataFrame:
     """Rows where the last known positions of main and sub (positions: track, ts, position) lie more than ``threshold`` apart."""
-    known = _known(positions.withColumn("_p", F.col("position")).where("position is not null"), session, ["ts", "event_id"], main=("main", "_p"), sub=("sub", "_p"))
-    return known.drop("_p").where(F.abs(F.col("main") - F.col("sub")) > threshold)
+    known = _known(positions, session, ["ts", "event_id"], main=("main", "position"), sub=("sub", "position"))
+    return known.where(F.abs(F.col("main") - F.col("sub")) > threshold)
 
 
 def next_exceeding(v: np.ndarray, threshold: float) -> np.ndarray:
