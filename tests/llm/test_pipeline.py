@@ -116,7 +116,8 @@ def test_pipeline_of_an_empty_table(spark, corpus, tmp_path):
 COLUMNS = {
     "op2_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op3_language_id": {"doc_id", "held_out", "lang_pred", "score"}, "op4_quality": {"doc_id", "held_out", "score", "predicted"}, "op6_toxicity": {"doc_id", "held_out", "score", "predicted"},
-    "op7_mixing": {"doc_id", "size", "source_size", "target", "taken"}, "op10_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}, "op1_ngram_jaccard_join": {"doc_id", "class_id", "n_links"}, "op9_line_dedup": {"doc_id"}}
+    "op7_mixing": {"doc_id", "size", "source_size", "target", "taken"}, "op10_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}, "op1_ngram_jaccard_join": {"doc_id", "class_id", "n_links"}, "op9_line_dedup": {"doc_id"},
+    "op11_sentencepiece": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -135,7 +136,7 @@ def test_queries_give_a_row_for_each_document(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         duck.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
