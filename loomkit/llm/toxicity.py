@@ -4,15 +4,16 @@ The machine's score is w0 + sum of weights + sum over pairs of <v_i, v_j>, so th
 are harmless alone count together. Every term of the training rows, hashed into ``BUCKETS``,
 may become one of its features, by either part of that sum: terms that tell the classes apart
 alone (the likelihood ratio of their document counts), and terms of *pairs* that do. A first
-machine learns from the former; for every pair of terms that are frequent enough to meet, what
-it leaves unexplained in the rows that hold both is added up, less what either term says by
-itself, and pairs whose sum is far outside of chance bring their terms in, however little each
-of them says alone. The last machine learns weights and factors of all these terms.
+machine learns from the former; for every pair of the other terms, however rare, the labels of
+the rows that hold both are compared with what that machine expects there, and pairs that are
+further out than chance makes any of them bring their terms in, however little each of them
+says alone. The last machine learns weights and factors of all these terms.
 
 It is trained by iterative parameter mixing (McDonald et al. 2010): in each round every shard
-of the rows trains from the common parameters, and their mean starts the next round. The pairs
-are found exactly, in two passes: one whose sum is far enough out over all rows is, over the
-root of the number of shards, as far out in one shard at least.
+of the rows trains from the common parameters, and their mean starts the next round. Pairs are
+looked at exactly: terms whose rows the machine explains so well that no pair of theirs can be
+far out are set aside first, and the others' pairs are dealt to tasks by the groups of their
+terms, so that a pair's rows meet in one task.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +32,16 @@ from .common import WORD, WordHashes, few, fields, fold, mapped, pieces, saved
 BUCKETS, FACTORS = 1 << 22, 8
 #: The least likelihood ratio of a term alone, and how many standard deviations a pair must be out.
 LEAST_RATIO, LEAST_PAIR = 12.0, 5.5
-#: The share of the training rows that both terms of a pair stand in at least, and no fewer rows than this.
-SUPPORT, LEAST_ROWS = 1 / 100, 50
+#: The chance that any pair is found where none tells, and the least chance that the machine is taken to give a class.
+CHANCE, LEAST_CHANCE = 0.05, 0.005
 #: Labelled rows that the machine is learned from at most.
 TRAINING_ROWS = 40_000
 TOXIC = 0.7
 #: The weight of class 1 when it is the rarer one: the odds, but not more than this.
 MOST_WEIGHT = 10.0
 SHARDS, ROUNDS, EPOCHS, RATE, DECAY = 6, 6, 6, 0.3, 1e-5
-BLOCK = 1024
+#: Terms are dealt to groups; the pairs of two groups, or of one with itself, are one task's.
+GROUPS = 4
 
 
 def _terms(batches):
@@ -134,72 +137,84 @@ def _round(p: np.ndarray, buckets: np.ndarray, turn: int, positive: float):
     return run
 
 
-def _unexplained(terms: list[np.ndarray], y: np.ndarray, machine: Machine, positive: float) -> tuple[np.ndarray, np.ndarray]:
-    """(what the machine leaves of each label, its variance), by the chances without the weight of class 1."""
-    s = machine.score(_features(terms, np.array(machine.buckets, np.int64)))
-    s = np.clip(s / (s + (1 - s) * positive), 0.005, 0.995)
-    return (y - s).astype(np.float32), (s * (1 - s)).astype(np.float32)
+def _chances(terms: list[np.ndarray], machine: Machine, positive: float) -> np.ndarray:
+    """The machine's chances of label 1, without the weight of class 1."""
+    s = machine.score(_features(terms, np.array(machine.buckets, np.int64))).astype(float)
+    return np.clip(s / (s + (1 - s) * positive), LEAST_CHANCE, 1 - LEAST_CHANCE)
 
 
-def _pair_sums(rows: list[np.ndarray], left: np.ndarray, spread: np.ndarray, width: int):
-    """Blocks (first row, first column, sums, variances) over the rows that hold both terms of a pair; ``rows`` hold the numbers of their terms, below ``width``."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.concatenate(rows) if rows else np.zeros(0, int)
+def _deviance(positive: np.ndarray, n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Twice the Chernoff exponent of ``positive`` of ``n`` rows where ``expected`` are: with what chance e**(-d/2) at most they come about, on either side."""
+    e = np.clip(expected, LEAST_CHANCE * n, (1 - LEAST_CHANCE) * n)
+    part = lambda k, of: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / of), 0.0)
+    return 2 * (part(positive, e) + part(n - positive, n - e))
 
-    def dense(lo: int, some: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(some), min(BLOCK, width - lo)), np.float32)
-        keep = (column >= lo) & (column < lo + BLOCK) & (owner >= some[0]) & (owner <= some[-1])
-        x[owner[keep] - some[0], column[keep] - lo] = 1
-        return x
 
-    parts = [np.arange(k, min(k + 4096, len(rows))) for k in range(0, len(rows), 4096)]
-    for i in range(0, width, BLOCK):
-        for j in range(i, width, BLOCK):
-            a = b = 0.0
-            for some in parts:
-                x = dense(i, some)
-                z = x if i == j else dense(j, some)
-                a = a + (x * left[some, None]).T @ z
-                b = b + (x * spread[some, None]).T @ z
-            yield i, j, a, b
-
-
-def _term_sums(machine: Machine, buckets: np.ndarray, positive: float):
-    """(i, left, spread): the sums of each term by itself in each shard."""
+def _left(machine: Machine, positive: float):
+    """(row, terms, y, s, deviance) of each training row: its label, the chance by the machine, and how far the one is from the other."""
     def run(batches):
-        for _, terms, y in _shards(batches):
-            left, spread = _unexplained(terms, y, machine, positive)
-            rows = _features(terms, buckets)
-            size, at = [len(r) for r in rows], np.concatenate(rows)
-            sums = [np.bincount(at, np.repeat(x, size), len(buckets)) for x in (left, spread)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(buckets), dtype=np.int32)), *map(pa.array, sums)], ["i", "left", "spread"])
+        for shard, terms, y in _shards(batches):
+            s = _chances(terms, machine, positive)
+            row = np.arange(len(y), dtype=np.int64) + (shard << 40)
+            columns = (row, pa.array(terms, pa.list_(pa.int32())), y.astype(float), s, _deviance(y, np.ones(len(y)), s))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "terms", "y", "s", "deviance"])
 
     return run
 
 
-def _suspects(machine: Machine, buckets: np.ndarray, positive: float, alone: np.ndarray):
-    """(i, j): the pairs that lie far enough out in a shard to do so over all of them; ``alone`` is what each term says by itself."""
-    least = LEAST_PAIR / math.sqrt(SHARDS)
-
+def _dealt(held: np.ndarray):
+    """(block, row, y, s, a, b): the row's terms among ``held`` for each pair of their groups, as places within the group."""
     def run(batches):
-        for _, terms, y in _shards(batches):
-            for i, j, a, b in _pair_sums(_features(terms, buckets), *_unexplained(terms, y, machine, positive), len(buckets)):
-                far = np.abs(a - b * (alone[i : i + BLOCK, None] + alone[None, j : j + BLOCK])) >= least * np.sqrt(b)
-                r, c = np.nonzero((np.triu(far, 1) if i == j else far) & (b > 0))
-                yield pa.RecordBatch.from_arrays([pa.array((r + i).astype(np.int32)), pa.array((c + j).astype(np.int32))], ["i", "j"])
+        for batch in pieces(batches):
+            out = []
+            for row, terms, y, s in zip(*(batch.column(c).to_pylist() for c in ("row", "terms", "y", "s")), strict=True):
+                at = _features([np.asarray(terms, np.int64)], held)[0]
+                parts = [at[at % GROUPS == g] // GROUPS for g in range(GROUPS)]
+                out += [(i * GROUPS + j, row, y, s, parts[i], parts[j]) for i in range(GROUPS) for j in range(i, GROUPS) if len(parts[i]) and len(parts[j])]
+            columns, ints = list(zip(*out, strict=True)) or [[]] * 6, pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.float64(), pa.float64(), ints, ints), strict=True)], ["block", "row", "y", "s", "a", "b"])
 
     return run
 
 
-def _weighed(machine: Machine, buckets: np.ndarray, positive: float, alone: np.ndarray, pairs: np.ndarray):
-    """(i, j, left, spread): the sums of the given pairs in each shard."""
-    def run(batches):
-        for _, terms, y in _shards(batches):
-            for i, j, a, b in _pair_sums(_features(terms, buckets), *_unexplained(terms, y, machine, positive), len(buckets)):
-                at = pairs[(pairs[:, 0] // BLOCK * BLOCK == i) & (pairs[:, 1] // BLOCK * BLOCK == j)]
-                r, c = at[:, 0] - i, at[:, 1] - j
-                left = a[r, c] - b[r, c] * (alone[at[:, 0]] + alone[at[:, 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(left.astype(float)), pa.array(b[r, c].astype(float))], ["i", "j", "left", "spread"])
+def _pair_sums(a: list[np.ndarray], b: list[np.ndarray], y: np.ndarray, s: np.ndarray, width: int):
+    """For each term of ``a`` in order: (term, rows, positive rows, expected ones, variance), the sums by term of ``b`` over the rows that hold both."""
+    size = np.array([len(r) for r in b])
+    start, flat = np.cumsum(size) - size, np.concatenate(b)
+    owner, term = np.repeat(np.arange(len(a)), [len(r) for r in a]), np.concatenate(a)
+    order = np.argsort(term, kind="stable")
+    owner, term = owner[order], term[order]
+    cut = np.nonzero(np.diff(term, prepend=-1))[0]
+    for k, rows in zip(term[cut].tolist(), np.split(owner, cut[1:]), strict=True):
+        n = size[rows]
+        at = np.arange(n.sum()) + np.repeat(start[rows] - (np.cumsum(n) - n), n)
+        with_ = flat[at]
+        sums = [np.bincount(with_, np.repeat(x, n), width) for x in (y[rows], s[rows], s[rows] * (1 - s[rows]))]
+        yield k, np.bincount(with_, minlength=width).astype(float), *sums
+
+
+def _found(alone: np.ndarray, least: float):
+    """(term): the places among all terms of those in a pair of the block that lies ``least`` out, from what the machine expects and from what either term, or both, say by themselves."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row")
+        i, j = divmod(table["block"][0].as_py(), GROUPS)
+        a, b = ([np.asarray(x, np.int64) for x in table[c].to_pylist()] for c in ("a", "b"))
+        y, s = table["y"].to_numpy(), table["s"].to_numpy()
+        there = alone[j::GROUPS]
+        found: set[int] = set()
+        for k, n, o, e, v in _pair_sums(a, b, y, s, len(there)):
+            here = k * GROUPS + i
+            at = np.nonzero(n)[0]
+            at = at[at * GROUPS + j != here]
+            at = at[_deviance(o[at], n[at], e[at]) >= least]
+            o, n, e, v, side = o[at], n[at], e[at], v[at], np.sign(o[at] - e[at])
+            far = np.ones(len(at), bool)
+            for says in (alone[here], there[at], alone[here] + there[at]):
+                x = e + v * says
+                far &= (_deviance(o, n, x) >= least) & (np.sign(o - x) == side)
+            if far.any():
+                found |= {here, *(at[far] * GROUPS + j).tolist()}
+        return pa.table({"term": pa.array(sorted(found), pa.int32())})
 
     return run
 
@@ -236,30 +251,31 @@ def _alone(counts: DataFrame, n1: float, n0: float) -> list[int]:
     return sorted(r.term for r in counts.where(ratio >= LEAST_RATIO).select("term").collect())
 
 
-def _together(train: DataFrame, machine: Machine, frequent: list[int], positive: float) -> list[int]:
-    """The buckets among ``frequent`` that stand in a pair that lies ``LEAST_PAIR`` standard deviations out."""
-    held = np.array(frequent, np.int64)
-    alone = np.zeros(len(held))
-    for r in train.mapInArrow(_term_sums(machine, held, positive), "i int, left double, spread double").groupBy("i").agg(F.sum("left").alias("left"), F.sum("spread").alias("spread")).collect():
-        alone[r.i] = r.left / r.spread if r.spread else 0.0
-    suspects = train.mapInArrow(_suspects(machine, held, positive, alone), "i int, j int").distinct().toArrow()
-    pairs = np.stack([suspects["i"].to_numpy(), suspects["j"].to_numpy()], 1)
-    if not len(pairs):
+def _together(train: DataFrame, machine: Machine, positive: float) -> list[int]:
+    """The buckets of the terms that stand in a pair that lies ``LEAST_PAIR`` standard deviations out, and so far that chance gives none among all pairs looked at."""
+    rows = saved(train.mapInArrow(_left(machine, positive), "row long, terms array<int>, y double, s double, deviance double"))
+    least = LEAST_PAIR**2
+    # A pair is no further out than the rows that hold it are together (the log-sum inequality), nor these than all rows of either term.
+    sums = rows.select("y", "s", "deviance", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.sum("deviance").alias("deviance"), F.sum(F.expr("y - s")).alias("left"), F.sum(F.expr("s * (1 - s)")).alias("spread"))
+    held = sums.where(F.col("deviance") >= least).orderBy("term").toArrow()
+    m = held.num_rows
+    least = max(least, 2 * math.log(max(1, m * (m - 1)) / CHANCE))
+    held = held.filter(pc.greater_equal(held["deviance"], least))
+    if held.num_rows < 2:
         return []
-    shared = train.sparkSession.sparkContext.broadcast(pairs)
-    sums = train.mapInArrow(lambda batches: _weighed(machine, held, positive, alone, shared.value)(batches), "i int, j int, left double, spread double")
-    sums = sums.groupBy("i", "j").agg(F.sum("left").alias("left"), F.sum("spread").alias("spread"))
-    far = sums.where(F.abs("left") >= LEAST_PAIR * F.sqrt("spread")).select(F.explode(F.array("i", "j")).alias("k")).distinct().collect()
-    shared.unpersist()
-    return [frequent[r.k] for r in far]
+    terms, alone = held["term"].to_numpy().astype(np.int64), held["left"].to_numpy() / held["spread"].to_numpy()
+    dealt = rows.mapInArrow(_dealt(terms), "block int, row long, y double, s double, a array<int>, b array<int>")
+    found = dealt.groupBy("block").applyInArrow(_found(alone, least), "term int").distinct().collect()
+    return [int(terms[r.term]) for r in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training_rows: int = TRAINING_ROWS) -> Machine:
     """Learned from the texts of ``docs`` whose doc_id has a 0/1 ``label`` in ``labels``.
 
     At most about ``training_rows`` labelled rows, chosen by a hash of doc_id, are used; that
-    bounded set of ids is what is broadcast, and the bound limits the terms, frequent terms and
-    pairs that are looked at. Null ids, other labels and null labels are left out; a repeated
+    bounded set of ids is what is broadcast, and the bound limits the terms and pairs that are
+    looked at. Null ids, other labels and null labels are left out; a repeated
     label or document counts as often as it stands; null texts count as empty. Without labels of
     both classes every text scores the same: 0.5 of none, else near the class there is.
     """
@@ -280,8 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", training_rows:
     positive = min(MOST_WEIGHT, max(1.0, n0 / n1))
     alone = _alone(counts, n1, n0)
     machine = _trained(train, alone, positive)
-    frequent = sorted(r.term for r in counts.where(F.col("n") >= max(LEAST_ROWS, SUPPORT * (n1 + n0))).select("term").collect())
-    together = _together(train, machine, frequent, positive)
+    together = _together(train, machine, positive)
     every = sorted({*alone, *together})
     return machine if every == alone else _trained(train, every, positive)
 

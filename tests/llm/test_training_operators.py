@@ -161,22 +161,57 @@ def test_toxicity_learns_pairs_that_tell_nothing_alone(spark, rare):
     assert not rare or all(got[i] for i, t, y in held if "zork" in t and "quux" in t)
 
 
-def test_pair_sums_equal_brute_force():
+def test_toxicity_learns_rare_pairs_of_rare_words(spark):
+    """Eight pairs of words; each word stands in 0.9 % of the rows and says nothing alone, and the 45 rows that hold both words of a pair are toxic."""
+    r = random.Random(21)
+    rows, at = [], 0
+    for k in range(8):
+        for words, toxic in [(f"left{k} right{k}", 1)] * 45 + [(f"left{k}", 0)] * 45 + [(f"right{k}", 0)] * 45:
+            rows.append((at, f"{text(r, 15)} {words} {text(r, 15)}", toxic))
+            at += 1
+    while at < 10_000:
+        rows.append((at, text(r, 30), int(at % 2)))
+        at += 1
+    docs, labels = frame(spark, [x[:2] for x in rows], None), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    probes = [(10 * k + j, t) for k in range(8) for j, t in enumerate((f"left{k} right{k}", f"left{k}", f"right{k}"))]
+    got = {x.doc_id: x.score for x in toxicity.score(frame(spark, [(i, f"{text(r, 15)} {t} {text(r, 15)}") for i, t in probes], None), machine).collect()}
+    assert len(machine.buckets) == 16
+    assert all(got[10 * k] >= 0.7 > 0.55 > max(got[10 * k + 1], got[10 * k + 2]) for k in range(8))
+
+
+def test_pairs_equal_brute_force(spark):
+    """The terms of all pairs that lie far enough out, by plain loops over every pair of the rows' terms."""
     r = np.random.default_rng(2)
-    rows = [np.unique(r.integers(0, 3000, 60)).astype(np.int32) for _ in range(300)]
-    y = r.integers(0, 2, 300).astype(np.float32)
-    p = r.normal(0, 0.5, 1 + 20 * (1 + toxicity.FACTORS)).astype(np.float32)
-    machine, frequent = toxicity.Machine(list(range(0, 200, 10)), p), np.arange(0, 2500, 2)
-    s = machine.score([np.nonzero(np.isin(np.arange(0, 200, 10), x))[0] for x in rows])
+    rows = [np.unique(r.integers(0, 97, 30)) * 5 for _ in range(600)]
+    held = [[len({*pair} & {*x.tolist()}) for pair in ((5, 10), (15, 35))] for x in rows]
+    y = [int(r.random() < (0.95 if 2 in h else 0.08 if 1 in h else 0.3)) for h in held]
+    p = r.normal(0, 0.2, 1 + 20 * (1 + toxicity.FACTORS)).astype(np.float32)
+    machine = toxicity.Machine(list(range(0, 200, 10)), p)
+    train = spark.createDataFrame([(k, t, k % 3, x.tolist()) for k, (t, x) in enumerate(zip(y, rows, strict=True))], "doc_id long, label int, shard int, terms array<int>").repartition(3, "shard").sortWithinPartitions("shard")
+    s = machine.score([np.nonzero(np.isin(np.arange(0, 200, 10), x))[0] for x in rows]).astype(float)
     s = np.clip(s / (s + (1 - s) * 3), 0.005, 0.995)
-    left, spread = toxicity._unexplained(rows, y, machine, 3)
-    assert left == pytest.approx(y - s, abs=1e-5) and spread == pytest.approx(s * (1 - s), abs=1e-5)
-    x = np.zeros((300, len(frequent)))
-    for k, t in enumerate(rows):
-        x[k, t[(t < 2500) & (t % 2 == 0)] // 2] = 1
-    for i, j, a, b in toxicity._pair_sums(toxicity._features(rows, frequent), left, spread, len(frequent)):
-        assert a == pytest.approx(((x * left[:, None]).T @ x)[i : i + 1024, j : j + 1024], abs=1e-4)
-        assert b == pytest.approx(((x * spread[:, None]).T @ x)[i : i + 1024, j : j + 1024], abs=1e-4)
+
+    def out(o, n, e):
+        e = min(max(e, 0.005 * n), 0.995 * n)
+        return 2 * sum(k * np.log(k / x) for k, x in ((o, e), (n - o, n - e)) if k), o > e
+
+    def sums(*terms):
+        at = [k for k, x in enumerate(rows) if all(t in x for t in terms)]
+        return sum(y[k] for k in at), len(at), sum(s[k] for k in at), sum(s[k] * (1 - s[k]) for k in at)
+
+    words = sorted({int(t) for x in rows for t in x})
+    alone = {t: (o - e) / v for t in words for o, _, e, v in [sums(t)]}
+    row = [out(t, 1, e)[0] for t, e in zip(y, s, strict=True)]
+    m = sum(sum(d for d, x in zip(row, rows, strict=True) if t in x) >= toxicity.LEAST_PAIR**2 for t in words)
+    least = max(toxicity.LEAST_PAIR**2, 2 * np.log(m * (m - 1) / toxicity.CHANCE))
+    want = set()
+    for i, a in enumerate(words):
+        for b in words[i + 1 :]:
+            o, n, e, v = sums(a, b)
+            if n and all(d >= least and up == (o > e) for x in (0, alone[a], alone[b], alone[a] + alone[b]) for d, up in [out(o, n, e + v * x)]):
+                want |= {a, b}
+    assert want and set(toxicity._together(train, machine, 3)) == want
 
 
 def test_toxicity_of_empty_tables_repeats_and_clashing_names(spark):
