@@ -47,10 +47,10 @@ def dedup_lines(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
     many lines they have. Columns named lines_total or lines_removed are replaced, others may have any name.
     """
     bad = saved(few(boilerplate(docs, least_sites)))
-    # A common line meets its entry in SALTS places, by its document; copies of the entries are dealt out, not sent to every task.
+    # A common line meets its entry in SALTS places, by where it stands, so that exact copies part as well; copies of the entries are dealt out, not sent to every task.
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     drops = (
-        _lines(docs).withColumn("salt", F.pmod("whole", F.lit(SALTS)).cast("int")).join(bad.withColumn("salt", salt).hint("shuffle_hash"), ["h", "salt"])
+        _lines(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(bad.withColumn("salt", salt).hint("shuffle_hash"), ["h", "salt"])
         .where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
         .groupBy("doc_id", "whole").agg(F.collect_set("pos").alias("drops"))
         .select(F.col("doc_id").alias("drop_id"), F.col("whole").alias("drop_whole"), "drops"))
