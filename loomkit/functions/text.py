@@ -72,7 +72,7 @@ def render_template(text: Column, mapping: dict[str, str]) -> Column:
 
 
 def initial_letter(text: Column) -> Column:
-    """The first character in upper case; null of an empty text."""
+    """The first character in upper case, which may be several (SS of ß); null of an empty text."""
     return F.nullif(F.upper(F.substring(text, 1, 1)), F.lit(""))
 
 

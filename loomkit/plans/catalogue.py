@@ -577,7 +577,13 @@ def clock(spark, sf_dir):
 
 # Text
 
-@query("SELECT doc_id, length(text) + length(regexp_replace(text, '[^\\x{1100}-\\x{115F}\\x{2E80}-\\x{303E}\\x{3041}-\\x{A4CF}\\x{AC00}-\\x{D7A3}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE6F}\\x{FF00}-\\x{FF60}\\x{FFE0}-\\x{FFE6}]', '', 'g')) AS width, upper(substr(text, 1, 1)) AS initial FROM documents")
+# DuckDB's upper maps a character to one character, and knows the letters of Unicode 15; these have more, or came with Unicode 16.
+UPPER = {c: c.upper() for c in map(chr, range(0x110000)) if len(c.upper()) > 1} | {chr(a): chr(b) for a, b in zip(
+    [0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86)], [0xA7DC, 0xA7CB, 0x1C89, 0xA7CC, 0xA7DA, *range(0x10D50, 0x10D66)], strict=True)}
+INITIAL = "nullif(CASE substr(text, 1, 1) " + " ".join(f"WHEN '{c}' THEN '{u}'" for c, u in UPPER.items()) + " ELSE upper(substr(text, 1, 1)) END, '')"
+
+
+@query(f"SELECT doc_id, length(text) + length(regexp_replace(text, '[^{text.wide_class()}]', '', 'g')) AS width, {INITIAL} AS initial FROM documents")
 def display_width(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.display_width(F.col("text")).cast("long").alias("width"), text.initial_letter(F.col("text")).alias("initial"))
 

@@ -39,3 +39,15 @@ def test_entry(spark):
 def test_history_windows_share_one_exchange(spark):
     plan = catalogue.burst_counts(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_display_width_equals_sql_on_any_first_character(spark, tmp_path):
+    """Wide characters of all planes, and letters whose upper case is several."""
+    texts = [chr(c) + "x" for c in [*range(0x3000), *range(0xA640, 0xAC10), *range(0xF900, 0x11200), *range(0x1F000, 0x20010)]] + ["", None]
+    docs = [(k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = {r.doc_id: (r.width, r.initial) for r in catalogue.display_width(spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[1:] for r in c.execute(f"SELECT doc_id, width, initial FROM ({catalogue.ORACLE_SQL['display_width']})").fetchall()}
+    assert got[texts.index("ßx")] == (2, "SS") and got[texts.index("😀x")] == (3, "😀") and got[len(texts) - 2] == (0, None)
