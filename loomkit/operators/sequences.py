@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from .ranges import RANGE, STEPS, by, carried, matched, ranged, running_sum, sorted_runs, spread, stepped
 
 STEPS_OF_IMPULSE = 24
+#: Frames that one task adds up.
+FRAMES = 2_000_000
 
 
 def collapse_repeats(events: DataFrame, user: str = "user_id", key: str = "event_type", order=("ts", "event_id")) -> DataFrame:
@@ -70,11 +72,20 @@ def kernel(mode: str = "linear", steps: int = STEPS_OF_IMPULSE) -> np.ndarray:
 
 
 def spread_impulses(events: DataFrame, key: str, ts: str, delta: str, frame_ms: int = 16, mode: str = "linear", steps: int = STEPS_OF_IMPULSE, whole: bool = False) -> DataFrame:
-    """(key, frame, delta): each impulse spread over its frames, overlaps added; ``whole`` rounds each frame, halves to even."""
+    """(key, frame, delta): each impulse spread over its frames, overlaps added; ``whole`` rounds each frame, halves to even.
+
+    Impulses go to the task of their key and run of frames (to both tasks, if they reach into the next run) and are spread only there,
+    in as many tasks as keep each one's frames at about ``FRAMES``.
+    """
     weights = F.array(*[F.lit(float(x)) for x in kernel(mode, steps)])
     total = F.sum(F.col("d") * F.col("w"))
-    rows = events.select(key, F.floor(F.unix_millis(F.col(ts).cast("timestamp")) / frame_ms).alias("frame0"), F.col(delta).alias("d"), F.posexplode(weights).alias("k", "w"))
-    return rows.groupBy(key, (F.col("frame0") + F.col("k")).alias("frame")).agg((F.bround(total) if whole else total).alias("delta"))
+    run = lambda k: F.floor((F.col("frame0") + k) / (10 * steps))
+    n = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() * steps // FRAMES))
+    rows = events.select(key, F.floor(F.unix_millis(F.col(ts).cast("timestamp")) / frame_ms).alias("frame0"), F.col(delta).alias("d"))
+    rows = rows.select("*", F.explode(F.array_distinct(F.array(run(F.lit(0)), run(F.lit(steps - 1))))).alias("run")).repartition(n, key, "run")
+    rows = rows.select("*", F.posexplode(weights).alias("k", "w")).where(F.col("run").eqNullSafe(run(F.col("k"))))
+    each = rows.groupBy(key, "run", (F.col("frame0") + F.col("k")).alias("frame")).agg((F.bround(total) if whole else total).alias("delta"))
+    return each.select(key, "frame", "delta")
 
 
 def _known(positions: DataFrame, session: str, order: list[str], **columns: tuple[str, str]) -> DataFrame:

@@ -397,3 +397,23 @@ def test_drained_histories_are_whole_over_many_batches(spark, tmp_path):
     ops = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {x.user_id: x.history for x in _drained(stream_history(ops), "update", ["user_id"], jobs.ROCKS).collect()}
     assert got == {1: [f"k{n}" for n in range(1500)], 2: [f"k{n}" for n in range(300)], 3: ["x"]}
+
+
+def test_impulses_are_spread_in_tasks_of_bounded_frames(spark, monkeypatch):
+    """Impulses that reach into the next run of frames, before 1970, at one place, and with null times or keys; the tasks grow in number with the impulses, and only impulses are shuffled."""
+    monkeypatch.setattr(sequences, "FRAMES", 500)
+    at = [*range(-250 * 16, 500 * 16, 7 * 16), *[238 * 16] * 5, None]
+    rows = [(k, ms, float(n % 11)) for n, ms in enumerate(at) for k in ("a", "b", None)]
+    e = spark.createDataFrame(rows, "key string, ms long, delta double").selectExpr("key", "timestamp_millis(ms) AS ts", "delta")
+    for mode in ("linear", "cosine"):
+        want = {}
+        for key, ms, d in rows:
+            for k, w in enumerate(sequences.kernel(mode)):
+                frame = None if ms is None else ms // 16 + k
+                want[key, frame] = want.get((key, frame), 0) + d * w
+        out = sequences.spread_impulses(e, "key", "ts", "delta", mode=mode)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+        assert len(got) == len(want) and all(abs(r.delta - want[r.key, r.frame]) < 1e-9 for r in got)
+        assert out.rdd.getNumPartitions() >= len(rows) * 24 / 500
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.index("posexplode") < plan.index("Exchange hashpartitioning")
