@@ -70,7 +70,7 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     encoded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return sentencepieces.digest(sentencepieces.decode(encoded, model))
+    return sentencepieces.digest(encoded, model)
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,36 +215,40 @@ def encode(docs: DataFrame, model: str, text: str = "text", block_words: int = B
     return out.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(others)], "ids")
 
 
-def decode(encoded: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """``encoded`` with ``text``: what the library's decode gives for ``ids``; null ids give an empty text."""
-    names = [*encoded.columns, text]
+def _decoded(batches, model: str, at: int):
+    """Batches with a column more: the text of the ids in column ``at``."""
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    for batch in pieces(batches):
+        found = segmenter(model).model.decode([i or [] for i in batch.column(at).to_pylist()], num_threads=1) if batch.num_rows else []
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [f"c{k}" for k in range(batch.num_columns + 1)])
 
-        at = names.index(ids)
-        for batch in pieces(batches):
-            found = segmenter(model).model.decode([i or [] for i in batch.column(at).to_pylist()], num_threads=1) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [f"c{k}" for k in range(len(names))])
 
+def decode(encoded: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """``encoded`` with ``text``: what the library's decode gives for ``ids``; null ids give an empty text."""
+    names, at = [*encoded.columns, text], encoded.columns.index(ids)
     schema = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(encoded.schema.fields)] + [T.StructField(f"c{len(names) - 1}", T.StringType())])
-    return mapped(encoded, run, schema).toDF(*names)
+    return mapped(encoded, lambda batches: _decoded(batches, model, at), schema).toDF(*names)
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``decoded`` (doc_id, ids, text); ids count as little-endian 32-bit numbers."""
-    schema = T.StructType([decoded.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def digest(encoded: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encoded`` (doc_id, ids) and its text; ids count as little-endian 32-bit numbers.
+
+    With a ``model`` the text is what ``decode`` gives, and is digested where it is decoded, a few at a time, for
+    each step of Python that follows another has workers and buffers of its own.
+    """
+    schema = T.StructType([encoded.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
         from hashlib import sha256
 
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _decoded(batches, model, 1) if model else batches:
             starts = batch.column(1).offsets.to_numpy()
             flat = np.ascontiguousarray(batch.column(1).values.to_numpy(zero_copy_only=False), "<i4")
             hashes = [sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(starts[:-1], starts[1:], strict=True)]
             texts = [sha256(t.encode()).hexdigest() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())], schema.names)
 
-    return mapped(decoded.select("doc_id", "ids", "text"), run, schema)
+    return mapped(encoded.select("doc_id", "ids", *["text"] * (model is None)), run, schema)

@@ -252,3 +252,12 @@ def test_blocks_of_hopeless_candidates_stay_compressed():
 def test_packed_numbers(values):
     data, size = lexical_search.packed(np.array(values, np.int64))
     assert lexical_search.unpacked(data).tolist() == values and size.sum() == len(data)
+
+
+def test_texts_are_digested_where_they_are_decoded(spark):
+    """The same rows as by way of the texts, with one step of Python after the ids are joined up."""
+    encoded = sentencepieces.encode(spark.createDataFrame([(1, "Some text\nof two lines"), (2, ""), (3, None), (4, "\u6f22\u5b57 \U0001f600")], "doc_id int, text string"), MODEL)
+    out = sentencepieces.digest(encoded, MODEL)
+    assert sorted(out.collect()) == sorted(sentencepieces.digest(sentencepieces.decode(encoded, MODEL)).collect())
+    steps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert steps(out) == steps(encoded) + 1
