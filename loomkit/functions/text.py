@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"\s\x1c-\x1f\x85"
+#: Texts that a task makes strings of at a time.
+ROWS_PER_PIECE = 500
 
 
 @lru_cache
@@ -181,8 +184,14 @@ def wrap_lines(text: str, width: int, once: bool = False) -> tuple[str, bool]:
 
 def wrap_text(text: Column, width: int, once: bool = False) -> Column:
     """struct<text, is_wrapped>: the text wrapped at ``width`` columns, everywhere or once; null stays null."""
-    @F.pandas_udf("text string, is_wrapped boolean")
-    def wrap(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if t is None else wrap_lines(t, width, once) for t in texts], columns=["text", "is_wrapped"])
+    kind = pa.struct([("text", pa.string()), ("is_wrapped", pa.bool_())])
+
+    @F.arrow_udf("text string, is_wrapped boolean")
+    def wrap(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # Only a few texts of a batch are strings of Python at a time, and none of their rows wait for the others.
+        for texts in batches:
+            for k in range(0, len(texts), ROWS_PER_PIECE):
+                rows = [(None, None) if t is None else wrap_lines(t, width, once) for t in texts.slice(k, ROWS_PER_PIECE).to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], fields=list(kind))
 
     return wrap(text)

@@ -131,3 +131,18 @@ def test_expressions_that_fail_have_the_default(spark):
     df = spark.createDataFrame([("1",), ("x",)], "t string")
     got = df.select(hooks.or_default(F.col("t").try_cast("int"), -1, F.concat(F.col("t"), F.lit(" is no number"))).alias("x")).select("x.*").collect()
     assert [tuple(r) for r in got] == [(1, None), (-1, "x is no number")]
+
+
+def test_wrapping_takes_a_few_texts_at_a_time(spark, monkeypatch):
+    """Rows, nulls among them, over several pieces of a batch; rows go on as pieces are done."""
+    from pyspark.util import PythonEvalType
+
+    monkeypatch.setattr(text, "ROWS_PER_PIECE", 3)
+    texts = [None if n % 4 == 3 else "word " * n + "漢字" * n for n in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
+    for once in (False, True):
+        out = df.select("n", text.wrap_text(F.col("t"), 9, once).alias("w"))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.n: r.w and tuple(r.w) for r in out.collect()}
+        assert got == {n: (None, None) if t is None else text.wrap_lines(t, 9, once) for n, t in enumerate(texts)}
+        assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in plan
