@@ -874,9 +874,12 @@ def _seen(df: DataFrame) -> DataFrame:
 def _large(spark, sf_dir, w: int, h: int, spread: bool = False) -> DataFrame:
     """Colour images of any size: the 64 values go over the pixels in an order of their own. Vectors that grow much are ``spread`` over the cluster before."""
     hexed = lambda x: F.lpad(F.hex(x), 2, "0")
-    value = F.transform("embedding", lambda x: F.greatest(F.least((x * 100 + 128).cast("int"), F.lit(255)), F.lit(0)))
-    i = F.sequence(F.lit(0), F.lit(w * h - 1))
-    data = F.transform(i, lambda i: F.concat(hexed(F.element_at("value", (F.floor(i / w) * 5 + i % w * 3).cast("int") % 64 + 1)), hexed((i * 29 + 53) % 256), hexed((i * 29 + 106) % 256)))
+    value = F.transform("embedding", lambda x: hexed(F.greatest(F.least((x * 100 + 128).cast("int"), F.lit(255)), F.lit(0))))
+    # Of which value a pixel's first channel is, and the other two, are the same for all images, and so constants.
+    listed = lambda part: F.split(F.lit(" ".join(map(part, range(w * h)))), " ")
+    at = listed(lambda i: str((i // w * 5 + i % w * 3) % 64 + 1)).cast("array<int>")
+    rest = listed(lambda i: f"{(i * 29 + 53) % 256:02X}{(i * 29 + 106) % 256:02X}")
+    data = F.zip_with(at, rest, lambda k, r: F.concat(F.element_at("value", k), r))
     e = _table(spark, sf_dir, "embeddings").select("vec_id", value.alias("value"))
     e = e.repartition(spark.sparkContext.defaultParallelism, "vec_id") if spread else e
     return e.select(F.col("vec_id").cast("string").alias("image_id"), F.lit(w).alias("width"), F.lit(h).alias("height"), F.lit(3).alias("channels"), F.unhex(F.array_join(data, "")).alias("data"))

@@ -417,3 +417,15 @@ def test_impulses_are_spread_in_tasks_of_bounded_frames(spark, monkeypatch):
         assert len(got) == len(want) and all(abs(r.delta - want[r.key, r.frame]) < 1e-9 for r in got)
         assert out.rdd.getNumPartitions() >= len(rows) * 24 / 500
         assert plan.count("Exchange hashpartitioning") == 1 and plan.index("posexplode") < plan.index("Exchange hashpartitioning")
+
+
+def test_taps_of_wide_images_are_worked_out_once(spark):
+    """Every ninth pixel is that of the whole resized image, bit for bit, and images of one size share what leads to it."""
+    r = np.random.default_rng(3)
+    for shape in ((8, 416, 3), (416, 8, 3), (401, 401, 3), (1, 900, 1), (500, 3, 4)):
+        images.every(r.integers(0, 256, shape).astype(np.uint8), 9, (400, 400))
+        before = images._every_taps.cache_info()
+        a = r.integers(0, 256, shape).astype(np.uint8)
+        assert (images.every(a, 9, (400, 400)) == images.resize(a, 400, 400).reshape(-1, shape[2])[::9]).all()
+        now = images._every_taps.cache_info()
+        assert (now.hits, now.misses) == (before.hits + 1, before.misses)
