@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,19 +43,23 @@ class _History(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.history = handle.getListState("history", "key string")
-        self.waiting = handle.getListState("waiting", "ms long, seq long, op string, key string")
+        # Lists travel as one value each, for every value costs a message to the state store.
+        self.history = handle.getListState("history", "keys binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
+        new = []
         for part in rows:
             ms = part["ts"].astype("datetime64[ms]").astype("int64")
-            self.waiting.appendList(list(zip(ms.tolist(), part["seq"].tolist(), part["op"], part["key"], strict=True)))
-            self.handle.registerTimer(int(ms.min()) + 1)
+            new += zip(ms.tolist(), part["seq"].tolist(), part["op"].tolist(), part["key"].tolist(), strict=True)
+        if new:
+            self.waiting.appendValue((pickle.dumps(new),))
+            self.handle.registerTimer(min(r[0] for r in new) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        rows = [r for x in self.waiting.get() for r in pickle.loads(x[0])]
         due = sorted(r for r in rows if r[0] < now)
         if not due:
             return
@@ -61,17 +67,18 @@ class _History(StatefulProcessor):
         if later:
             # The next timer is that of the first row which still waits.
             self.handle.registerTimer(min(r[0] for r in later) + 1)
-            self.waiting.put(later)
+            self.waiting.put([(pickle.dumps(later),)])
         else:
             self.waiting.clear()
-        before = [r[0] for r in self.history.get()] if self.history.exists() else [] if self.default is None else [self.default]
+        kept = [k for x in self.history.get() for k in pickle.loads(x[0])]
+        before = kept or ([] if self.default is None else [self.default])
         ops = [(r[2], r[3]) for r in due]
         after = replay([("push", k) for k in before] + ops) if self.default is None else replay([("push", k) for k in before[1:]] + ops, self.default)
-        if self.history.exists() and after[: len(before)] == before:
-            if after[len(before) :]:
-                self.history.appendList([(k,) for k in after[len(before) :]])
+        if kept and after[: len(kept)] == kept:
+            if after[len(kept) :]:
+                self.history.appendValue((pickle.dumps(after[len(kept) :]),))
         elif after:
-            self.history.put([(k,) for k in after])
+            self.history.put([(pickle.dumps(after),)])
         else:
             self.history.clear()
         yield pd.DataFrame({"user_id": [key[0]], "history": [after]})

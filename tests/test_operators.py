@@ -429,3 +429,38 @@ def test_taps_of_wide_images_are_worked_out_once(spark):
         assert (images.every(a, 9, (400, 400)) == images.resize(a, 400, 400).reshape(-1, shape[2])[::9]).all()
         now = images._every_taps.cache_info()
         assert (now.hits, now.misses) == (before.hits + 1, before.misses)
+
+
+def test_a_users_rows_and_history_are_one_value_each_in_the_state_store():
+    import pandas as pd
+
+    from loomkit.streaming.jobs import _History
+
+    class State(list):
+        def get(self):
+            return iter(list(self))
+
+        exists = lambda self: len(self) > 0
+        appendValue = list.append
+        appendList = list.extend
+
+        def put(self, values):
+            self[:] = values
+
+    class Handle(dict):
+        getListState = lambda self, name, schema: self.setdefault(name, State())
+        registerTimer = lambda self, ms: self.setdefault("timers", []).append(ms)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    p, h = _History(None), Handle()
+    p.init(h)
+    rows = lambda a, b: pd.DataFrame({"ts": pd.to_datetime(list(range(a, b)), unit="ms"), "seq": range(a, b), "op": "push", "key": [f"k{n}" for n in range(a, b)]})
+    list(p.handleInputRows((1,), iter([rows(50, 100), rows(0, 50)]), Now(0)))
+    assert len(h["waiting"]) == 1 and h["timers"] == [1]
+    for now in (60, 100):
+        got = list(p.handleExpiredTimer((1,), Now(now), None))
+        assert [x["history"][0] for x in got] == [[f"k{n}" for n in range(now)]] and len(h["history"]) == 1 + (now == 100)
+    assert not h["waiting"]
