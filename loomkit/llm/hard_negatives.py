@@ -8,10 +8,12 @@ taken off. The wide integers are held in doubles, which are exact below 2**53 wh
 order of the sums; components too large for one field of 53 bits are multiplied one by one as
 whole numbers of any length.
 
-Rows are packed where they are read, in blocks of bounded size. Every block of anchors meets
+Rows are dealt evenly to buckets and packed there by label, in blocks of bounded size. Every block of anchors meets
 every block of candidates: once to find each anchor's first positives, and once more, with their
-scores as limits, for the negatives of each. A task keeps the best of each anchor while its blocks
-pass, and Spark merges those of the tasks.
+scores as limits, for the negatives of each. A task holds the candidates of one bucket while the
+anchors pass, block by block, and keeps the best of each; Spark merges those of the tasks. Anchors
+go to every bucket in a shuffle of their own: a join would take their copies for a small table and
+broadcast them, by way of the driver.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import types as T
 
 from .common import mapped, pieces, saved
 
-#: Rows of a block of candidates (8,192 at most) or anchors, and the most blocks of candidates that an anchor meets between two merges.
+#: Rows of a block of candidates (8,192 at most) or anchors, and the most blocks of candidates of a bucket.
 CANDIDATES, ANCHORS, BLOCKS = 4096, 1024, 64
+#: Anchors that are multiplied at a time, so that products stay in a core's cache, and the candidates that they look at first, to have limits for the others.
+TOGETHER, AHEAD = 64, 64
 LONG = np.iinfo(np.int64)
 
 
@@ -40,18 +44,28 @@ def usable(embedding: Column) -> Column:
 
 
 def pack(parts: np.ndarray, bias: int, width: int) -> np.ndarray:
-    """Of (rows, components) the (components, wide integers) with 53 // width rows to an integer, each field ``width`` bits."""
+    """Of (rows, components) the (components, wide integers) with 53 // width rows to an integer, each field ``width`` bits: the first rows have the first fields."""
     fields = 53 // width
     filled = np.zeros((-(-len(parts) // fields) * fields, parts.shape[1]))
     filled[: len(parts)] = parts + bias
-    return np.einsum("gfd,f->dg", filled.reshape(-1, fields, parts.shape[1]), 2.0 ** (width * np.arange(fields)))
+    return np.einsum("fgd,f->dg", filled.reshape(fields, -1, parts.shape[1]), 2.0 ** (width * np.arange(fields)))
 
 
 def products(anchors: np.ndarray, packed: np.ndarray, sums: np.ndarray, bias: int, width: int) -> np.ndarray:
     """The exact products of ``anchors`` (rows, components) with the packed rows, whose components sum to ``sums``."""
-    wide = ((anchors + bias).astype(float) @ packed).astype(np.int64)
-    fields = np.stack([wide >> (width * f) & ((1 << width) - 1) for f in range(53 // width)], 2).reshape(len(anchors), -1)[:, : len(sums)]
-    return fields - (bias * sums)[None, :] - (bias * anchors.sum(1) + anchors.shape[1] * bias * bias)[:, None]
+    units = 2.0 ** (width * np.arange(53 // width))
+    added = np.zeros((len(units), packed.shape[1]))
+    added.ravel()[: len(sums)] = bias * sums
+    wide = (anchors + bias).astype(float) @ packed
+    # Without what the biases added fields have signs; a product is less than half of its field, so that the field above is the nearest whole number.
+    wide -= units @ added
+    wide -= (units.sum() * (bias * anchors.sum(1) + anchors.shape[1] * bias * bias))[:, None]
+    out = np.empty((len(anchors), *added.shape))
+    for f in range(len(units) - 1, 0, -1):
+        field = np.multiply(wide, 1 / units[f], out=out[:, f])
+        wide -= np.rint(field, out=field) * units[f]
+    out[:, 0] = wide
+    return out.reshape(len(anchors), -1)[:, : len(sums)]
 
 
 def first(k: int, group: np.ndarray, score: np.ndarray, null: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -64,7 +78,8 @@ def first(k: int, group: np.ndarray, score: np.ndarray, null: np.ndarray, ids: n
 
 
 def _blocks(rows: DataFrame, size: int, bias: int, width: int, most: int, most_anchors: int) -> DataFrame:
-    """Blocks of candidates (block, ids, labels, data, sums), and with at, their places among the candidates, blocks of anchors."""
+    """Of rows that are sorted by label in their partitions, blocks of candidates (block, ids, labels, data, sums), and with at, their places
+    among the candidates, blocks of anchors; block >> 32 is the partition."""
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("labels", T.ArrayType(T.LongType()))]
                           + [T.StructField(n, T.BinaryType()) for n in ("data", "sums", "at")])
 
@@ -74,6 +89,7 @@ def _blocks(rows: DataFrame, size: int, bias: int, width: int, most: int, most_a
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds, block, held, places, anchors = to_arrow_schema(schema), TaskContext.get().partitionId() << 32, [], [], []
+        narrow = _narrow(bias)
 
         def dense(t):
             out = np.zeros((t.num_rows, size), np.int64)
@@ -108,7 +124,7 @@ def _blocks(rows: DataFrame, size: int, bias: int, width: int, most: int, most_a
             places.clear()
             for k in range(0, len(at), most_anchors):
                 part = t.slice(k, most_anchors)
-                yield row(part, dense(part).tobytes(), None, at[k : k + most_anchors].tobytes())
+                yield row(part, dense(part).astype(narrow).tobytes(), None, at[k : k + most_anchors].tobytes())
                 block += 1
 
         n = 0
@@ -129,11 +145,16 @@ def _blocks(rows: DataFrame, size: int, bias: int, width: int, most: int, most_a
     return mapped(rows, run, schema)
 
 
+def _narrow(bias: int) -> np.dtype:
+    """The smallest whole numbers that hold components from -``bias`` to ``bias``."""
+    return np.dtype(next((x for x in (np.int8, np.int16, np.int32) if bias <= np.iinfo(x).max), np.int64))
+
+
 def _cells(anchors: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
-    """Every block of anchors with every block of candidates; candidates are dealt to buckets, and anchors go to each bucket."""
-    a = anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns]).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    c = candidates.select("block", "ids", "labels", "data", "sums", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int").alias("bucket"))
-    return a.join(c, "bucket").drop("bucket")
+    """Each bucket's blocks of candidates, and after them every block of anchors, bucket by bucket."""
+    a = anchors.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    c = candidates.withColumn("bucket", F.shiftright("block", 32).cast("int"))
+    return c.unionByName(a, allowMissingColumns=True).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", F.col("at").isNotNull(), "block")
 
 
 def _ids(x) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +166,82 @@ def _clipped(x: np.ndarray) -> np.ndarray:
     return np.clip(x, LONG.min, LONG.max).astype(np.int64)
 
 
+def _nearest(a: dict, candidates: list[dict], k: int, same: bool, multiply) -> tuple[np.ndarray, ...]:
+    """(slot, score, null, id): for each slot of the anchors ``a`` the first ``k`` of ``candidates`` within the slot's limits, of the
+    anchor's label or of others. A block, whose rows are sorted by label, is not multiplied where no label of it is asked for. What cannot
+    be among the first leaves by one comparison with its anchor's limit, which rises as slots fill."""
+    n, slots = len(a["parts"]), len(a["anchor"])
+    lowest = a["low"].copy()
+    begins, ends = (np.searchsorted(a["anchor"], np.arange(n), side) for side in ("left", "right"))
+    exact = a["low"].dtype
+    held, waiting = [(np.zeros(0, int), np.zeros(0, exact), np.zeros(0, bool), np.zeros(0, np.int64))], 0
+
+    def limits():
+        out = np.full(n, np.inf, exact)
+        np.minimum.at(out, a["anchor"], lowest)
+        return out[:, None]
+
+    def merged():
+        together = [np.concatenate(x) for x in zip(*held, strict=True)]
+        kept = first(k, *together)
+        slot, score = together[0][kept], together[1][kept]
+        held[:] = [tuple(x[kept] for x in together)]
+        # A slot that is full takes nothing below its last.
+        counts = np.bincount(slot, minlength=slots)
+        full = np.flatnonzero(counts == k)
+        lowest[full] = score[np.cumsum(counts)[full] - 1]
+        return limits()
+
+    limit = start = limits()
+    least, most = a["labels"][[0, -1]]
+    groups = [(x, *_place(a["labels"], x)) for x in np.unique(a["labels"])] if same else [(None, 0, n)]
+    for c in candidates:
+        if most < c["labels"][0] or least > c["labels"][-1] if same else c["labels"][0] == c["labels"][-1] == least == most:
+            continue
+        scores = multiply(a["parts"], c)
+        steps = _steps(c["labels"], groups, limit == start)
+        for step in steps:
+            for top, bottom, begin, end in step:
+                row, of = np.divmod(np.flatnonzero(scores[top:bottom, begin:end] >= limit[top:bottom]), end - begin)
+                row, of = row + top, of + begin
+                fits = a["at"][row] != c["place"] + of if same else a["labels"][row] != c["labels"][of]
+                row, of = row[fits], of[fits]
+                n_slots = ends[row] - begins[row]
+                pair = np.repeat(np.arange(len(row)), n_slots)
+                slot = begins[row[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(n_slots) - n_slots, n_slots)
+                found = scores[row[pair], of[pair]]
+                fits = (found >= lowest[slot]) & (found <= a["high"][slot])
+                slot, of = slot[fits], of[pair[fits]]
+                held.append((slot, found[fits], c["null"][of], c["ids"][of]))
+                waiting += len(slot)
+            if waiting > k * slots or waiting and len(steps) > 1:
+                limit, waiting = merged(), 0
+    merged()
+    return held[0]
+
+
+def _place(labels: np.ndarray, label: int) -> tuple[int, int]:
+    """Where a label begins and ends among sorted ones."""
+    return tuple(int(np.searchsorted(labels, label, side)) for side in ("left", "right"))
+
+
+def _steps(labels: np.ndarray, groups: list[tuple], fresh: np.ndarray) -> list[list[tuple]]:
+    """Of a block with ``labels`` the parts that groups (label or None for all, first anchor, end) of anchors look at, step by step: (first anchor, end,
+    first row, end). Anchors whose limits are ``fresh`` look at a few rows first, so that most of the others have to be compared with a limit only."""
+    steps = []
+    for label, top, bottom in groups:
+        begin, end = (0, len(labels)) if label is None else _place(labels, label)
+        edges = [begin, *(x for j in range(8) if fresh[top:bottom].all() and (x := begin + (AHEAD << 2 * j)) < end), end]
+        for j, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+            if x < y:
+                steps += [[]] * (j == len(steps))
+                steps[j].append((top, bottom, x, y))
+    return steps
+
+
 def _best(cells: DataFrame, size: int, bias: int, width: int, k: int, low: int | None = None, high: int | None = None) -> DataFrame:
     """(a_block, at, slot, anchor_id, positive_id, positive_score, id, score): for each anchor of ``cells`` the first ``k`` others of its label, or with
-    limits the first ``k`` of other labels for each of its positives, which is its slot; those of one task, so that the first of all are among them."""
+    limits the first ``k`` of other labels for each of its positives, which is its slot; those of one bucket, so that the first of all are among them."""
     schema = T.StructType([T.StructField("a_block", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("slot", T.IntegerType())]
                           + [T.StructField(n, T.LongType()) for n in ("anchor_id", "positive_id", "positive_score", "id", "score")])
     names = cells.columns
@@ -156,76 +250,51 @@ def _best(cells: DataFrame, size: int, bias: int, width: int, k: int, low: int |
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(schema)
-        now, a, best, least = None, None, None, None
+        kinds, exact, narrow = to_arrow_schema(schema), float if width <= 53 else object, _narrow(bias)
 
-        def anchor_block(row):
-            get = lambda n: row.column(names.index(n))[0]
-            parts = np.frombuffer(get("a_data").as_py(), np.int64).reshape(-1, size)
-            ids, null = _ids(get("a_ids").values)
-            out = {"parts": parts, "ids": ids, "null": null, "labels": get("a_labels").values.to_numpy(), "at": np.frombuffer(get("a_at").as_py(), np.int64)}
+        def multiply(parts, c):
+            if width <= 53:
+                return products(parts, c["data"], c["sums"], bias, width)
+            return parts.astype(object) @ c["data"].astype(object).T
+
+        def candidate(get):
+            (ids, null), data = _ids(get("ids").values), get("data").as_py()
+            data = np.frombuffer(data).reshape(size, -1) if width <= 53 else np.frombuffer(data, np.int64).reshape(-1, size)
+            return {"ids": ids, "null": null, "labels": get("labels").values.to_numpy(), "data": data, "sums": np.frombuffer(get("sums").as_py(), np.int64), "place": get("block").as_py() << 13}
+
+        def anchor_block(get):
+            (ids, null), parts = _ids(get("ids").values), np.frombuffer(get("data").as_py(), narrow).reshape(-1, size).astype(np.int64)
             # The slots: one for each anchor, or one for each of its positives.
-            slots = [(p["at"], p["rank"], p["id"], p["score"]) for p in get("a_positives").as_py()] if "a_positives" in names else [(i, 0, None, 0) for i in range(len(parts))]
+            slots = sorted((p["at"], p["rank"], p["id"], p["score"]) for p in get("positives").as_py()) if low is not None else [(i, 0, None, 0) for i in range(len(parts))]
+            out = {"parts": parts, "ids": ids, "null": null, "labels": get("labels").values.to_numpy(), "at": np.frombuffer(get("at").as_py(), np.int64)}
             out["anchor"], out["slot"] = (np.array([s[j] for s in slots], int) for j in (0, 1))
-            out["positive"], out["limit"] = [s[2] for s in slots], np.array([s[3] for s in slots], np.int64)
+            out["positive"], out["limit"] = pa.array([s[2] for s in slots], pa.int64()), np.array([s[3] for s in slots], np.int64)
+            score = out["limit"].astype(object)
+            out["low"], out["high"] = ((-(-low * score // 100)).astype(exact), (high * score // 100).astype(exact)) if low is not None else (np.full(len(slots), x, exact) for x in (-np.inf, np.inf))
             return out
 
-        def flushed():
-            if now is None or not len(best[0]):
-                return
-            slot, score, null, ids = best
-            at = a["anchor"][slot]
-            anchor_ids = pa.array(a["ids"], pa.int64(), mask=a["null"]).take(pa.array(at))
-            columns = [np.full(len(slot), now), at.astype(np.int32), a["slot"][slot].astype(np.int32), anchor_ids, pa.array([a["positive"][s] for s in slot], pa.int64()), a["limit"][slot], pa.array(ids, pa.int64(), mask=null), _clipped(score)]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=kinds)
-
+        def answers(block, a, candidates):
+            for begin in range(0, len(a["parts"]), TOGETHER):
+                here = {n: a[n][begin : begin + TOGETHER] for n in ("parts", "labels", "at")}
+                s = slice(*np.searchsorted(a["anchor"], (begin, begin + TOGETHER)))
+                here |= {n: a[n][s] for n in ("low", "high")} | {"anchor": a["anchor"][s] - begin}
+                slot, score, null, ids = _nearest(here, candidates, k, low is None, multiply)
+                slot = slot + s.start
+                at = a["anchor"][slot]
+                columns = [np.full(len(slot), block), at.astype(np.int32), a["slot"][slot].astype(np.int32), pa.array(a["ids"][at], pa.int64(), mask=a["null"][at]),
+                           a["positive"].take(pa.array(slot)), a["limit"][slot], pa.array(ids, pa.int64(), mask=null), _clipped(score)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=kinds)
+
+        now, candidates = None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                get = lambda n: row.column(names.index(n))[0]  # noqa: B023, E731
-                if get("a_block").as_py() != now:
-                    yield from flushed()
-                    now, a = get("a_block").as_py(), anchor_block(row)
-                    best = (np.zeros(0, int), np.zeros(0, np.int64 if width <= 53 else object), np.zeros(0, bool), np.zeros(0, np.int64))
-                    least = np.full(len(a["slot"]), LONG.min)
-                ids, null = _ids(get("ids").values)
-                data = get("data").as_py()
-                if width <= 53:
-                    scores = products(a["parts"], np.frombuffer(data).reshape(size, -1), np.frombuffer(get("sums").as_py(), np.int64), bias, width)
-                else:
-                    scores = a["parts"].astype(object) @ np.frombuffer(data, np.int64).reshape(-1, size).astype(object).T
-                same = a["labels"][:, None] == get("labels").values.to_numpy()[None, :]
-                if low is None:
-                    itself = a["at"] - (get("block").as_py() << 13)
-                    held = np.flatnonzero((itself >= 0) & (itself < len(ids)))
-                    same[held, itself[held]] = False
-                    slot, of = np.nonzero(same & (scores >= least[:, None]))
+                get = lambda n: batch.column(names.index(n))[r]  # noqa: B023, E731
+                if get("bucket").as_py() != now:
+                    now, candidates = get("bucket").as_py(), []
+                if get("at").is_valid:
+                    yield from answers(get("block").as_py(), anchor_block(get), candidates)
                 else:
-                    # What no positive of the anchor admits goes first; then slot by slot.
-                    lowest, highest = np.full(len(a["parts"]), 1 << 53), np.full(len(a["parts"]), -(1 << 53))
-                    np.minimum.at(lowest, a["anchor"], a["limit"])
-                    np.maximum.at(highest, a["anchor"], a["limit"])
-                    wide = scores if width > 53 else scores.astype(np.int64)
-                    anchor, of = np.nonzero(~same & (100 * wide >= low * lowest.astype(wide.dtype)[:, None]) & (100 * wide <= high * highest.astype(wide.dtype)[:, None]))
-                    by_anchor = np.argsort(a["anchor"], kind="stable")
-                    begins = np.searchsorted(a["anchor"][by_anchor], anchor)
-                    n = np.searchsorted(a["anchor"][by_anchor], anchor, "right") - begins
-                    pair = np.repeat(np.arange(len(anchor)), n)
-                    slot = by_anchor[np.repeat(begins, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                    found, limit = wide[anchor[pair], of[pair]], a["limit"].astype(wide.dtype)[slot]
-                    fits = (100 * found >= low * limit) & (100 * found <= high * limit) & (found >= least[slot])
-                    slot, of = slot[fits], of[pair[fits]]
-                if len(slot):
-                    found = scores[a["anchor"][slot], of]
-                    merged = [np.concatenate(x) for x in zip(best, (slot, found, null[of], ids[of]), strict=True)]
-                    kept = first(k, *merged)
-                    best = tuple(x[kept] for x in merged)
-                    # A slot that is full takes nothing below its last.
-                    n = np.bincount(best[0], minlength=len(least))
-                    ends = np.cumsum(n)
-                    full = np.flatnonzero(n == k)
-                    least[full] = _clipped(best[1][ends[full] - 1])
-        yield from flushed()
+                    candidates.append(candidate(get))
 
     return mapped(cells, run, schema)
 
@@ -242,14 +311,14 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80,
     Scores are exact; one beyond a long is given as the nearest long.
     """
     rows = rows.where("label is not null and parts is not null").select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "parts", "is_anchor")
-    magnitude = F.array_max(F.transform("parts", lambda x: F.abs(x.cast("decimal(20,0)"))))
-    size, bias, n = rows.agg(F.max(F.size("parts")), F.max(magnitude), F.count("*")).first()
-    size, bias = max(size or 0, 1), max(int(bias or 0), 1)
+    size, least, most, n = rows.agg(F.max(F.size("parts")), F.min(F.array_min("parts")), F.max(F.array_max("parts")), F.count("*")).first()
+    size, bias = max(size or 0, 1), max(-(least or 0), most or 0, 1)
     # A field holds the sum of size products of two numbers from 0 to twice the bias.
     width = (size * (2 * bias) ** 2).bit_length()
-    blocks = saved(_blocks(rows, size, bias, width, block, anchor_block))
     # As many buckets as give the cluster work while there are few rows; then as few as keep merges small.
-    buckets = max(1, -(-n // min(BLOCKS * block, max(block, n // 256))))
+    tasks = max(32, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    buckets = max(1, -(-n // min(BLOCKS * block, max(block, n // tasks))))
+    blocks = saved(_blocks(rows.repartition(buckets).sortWithinPartitions("label"), size, bias, width, block, anchor_block))
     candidates, anchors = blocks.where("at is null"), blocks.where("at is not null").drop("sums")
     rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), F.asc_nulls_last("id")))
     found = _best(_cells(anchors, candidates, buckets), size, bias, width, positives).withColumn("rank", rank("a_block", "at")).where(F.col("rank") <= positives)

@@ -141,6 +141,25 @@ def test_a_vector_that_most_rows_share(spark):
     assert same(mined(spark, rows, 1), brute_negatives(rows))
 
 
+def test_anchors_are_not_broadcast_to_their_buckets(spark):
+    """The copies of anchors, one for each bucket, must not go by way of the driver, however small their file is."""
+    rows = [(v, v % 3, [v % 7, v % 11], v % 5 == 0) for v in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, parts array<long>, is_anchor boolean")
+    out = hard_negatives.mine(df, block=8, anchor_block=4)
+    assert same([tuple(r) for r in out.collect()], brute_negatives(rows))
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("labels", [1, 2, 9, 700])
+def test_limits_that_rise_over_blocks_and_labels(spark, labels):
+    """Enough rows that a label's, or a block's, are looked at in several steps; components at the ends of a byte."""
+    r = random.Random(labels)
+    rows = [(v, r.randrange(labels), [r.choice((-128, 128, r.randint(-128, 128))) for _ in range(5)], v % 60 == 0) for v in range(1500)]
+    want = brute_negatives(rows)
+    assert same(mined(spark, rows), want)
+    assert same(mined(spark, rows, 3, block=400, anchor_block=7), want)
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [([1.0, 2.0],), (None,), ([1.0, None],), ([float("nan")],), ([float("inf"), 0.0],), ([-0.001, 1e300],)]
     df = spark.createDataFrame(rows, "embedding array<double>")
