@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from .common import mapped, pieces, saved
 
-#: Rows of a block of candidates (8,192 at most) or anchors, and the most blocks of candidates of a bucket.
-CANDIDATES, ANCHORS, BLOCKS = 4096, 1024, 64
+#: Rows of a block of candidates (8,192 at most) or anchors, and the most blocks of candidates of a bucket and of a file, which Spark reads as one batch.
+CANDIDATES, ANCHORS, BLOCKS, BATCH = 4096, 1024, 64, 16
 #: Anchors that are multiplied at a time, so that products stay in a core's cache, and the candidates that they look at first, to have limits for the others.
 TOGETHER, AHEAD = 64, 64
 LONG = np.iinfo(np.int64)
@@ -153,7 +153,7 @@ def _narrow(bias: int) -> np.dtype:
 def _cells(anchors: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
     """Each bucket's blocks of candidates, and after them every block of anchors, bucket by bucket."""
     a = anchors.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    c = candidates.withColumn("bucket", F.shiftright("block", 32).cast("int"))
+    c = candidates.withColumn("bucket", F.pmod(F.shiftright("block", 32), F.lit(buckets)).cast("int"))
     return c.unionByName(a, allowMissingColumns=True).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", F.col("at").isNotNull(), "block")
 
 
@@ -318,7 +318,8 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80,
     # As many buckets as give the cluster work while there are few rows; then as few as keep merges small.
     tasks = max(32, 2 * rows.sparkSession.sparkContext.defaultParallelism)
     buckets = max(1, -(-n // min(BLOCKS * block, max(block, n // tasks))))
-    blocks = saved(_blocks(rows.repartition(buckets).sortWithinPartitions("label"), size, bias, width, block, anchor_block))
+    files = buckets * max(1, -(-n // (buckets * BATCH * block)))
+    blocks = saved(_blocks(rows.repartition(files).sortWithinPartitions("label"), size, bias, width, block, anchor_block))
     candidates, anchors = blocks.where("at is null"), blocks.where("at is not null").drop("sums")
     rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), F.asc_nulls_last("id")))
     found = _best(_cells(anchors, candidates, buckets), size, bias, width, positives).withColumn("rank", rank("a_block", "at")).where(F.col("rank") <= positives)

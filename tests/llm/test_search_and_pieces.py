@@ -150,6 +150,17 @@ def test_anchors_are_not_broadcast_to_their_buckets(spark):
     assert "Broadcast" not in out._jdf.queryExecution().toString()
 
 
+def test_a_bucket_of_several_files(spark, monkeypatch):
+    """Blocks of a bucket lie in files of bounded size, for Spark reads a file's blocks at once."""
+    dealt = []
+    blocks = hard_negatives._blocks
+    monkeypatch.setattr(hard_negatives, "_blocks", lambda rows, *more: dealt.append(rows.rdd.getNumPartitions()) or blocks(rows, *more))
+    r = random.Random(6)
+    rows = [(v, r.randrange(4), [r.randint(-20, 20) for _ in range(4)], v % 40 == 0) for v in range(600)]
+    assert same(mined(spark, rows, block=1), brute_negatives(rows))
+    assert dealt[0] * hard_negatives.BATCH >= len(rows)
+
+
 @pytest.mark.parametrize("labels", [1, 2, 9, 700])
 def test_limits_that_rise_over_blocks_and_labels(spark, labels):
     """Enough rows that a label's, or a block's, are looked at in several steps; components at the ends of a byte."""
